@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, sharding, sql, url_filter
+from . import bpe, packing, secret_scan, sharding, sql, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_bpe() -> str:
+    """Path of the vocabulary that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
@@ -25,6 +32,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.with_sizes(table(spark, sf_dir, "documents"))
     return sharding.balanced_shards(rows, 16).select(
@@ -32,6 +43,10 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -39,7 +54,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_window_packing": op3_window_packing,
     "op6_byte_shards": op6_byte_shards,
+    "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
 }
 ORACLE_SQL = sql.ORACLE_SQL
