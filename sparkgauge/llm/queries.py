@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secret_scan, sharding, sql, url_filter
+from . import bpe, packing, secret_scan, sharding, sql, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,17 @@ def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+    )
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.with_sizes(table(spark, sf_dir, "documents"))
     return sharding.balanced_shards(rows, 16).select(
@@ -55,6 +66,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_window_packing": op3_window_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_byte_shards": op6_byte_shards,
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
