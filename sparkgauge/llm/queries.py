@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, secret_scan, sharding, sql, toxicity, url_filter
+from . import bpe, brown_lm, ngram_join, packing, secret_scan, sharding, sql, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op3_window_packing": op3_window_packing,
     "op5_toxicity": op5_toxicity,
     "op6_byte_shards": op6_byte_shards,
+    "op7_brown_lm": op7_brown_lm,
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_join": op10_ngram_join,
