@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, ngram_join, packing, secret_scan, sharding, sql, toxicity, url_filter
+from . import bpe, brown_lm, learned_ann, maxscore, ngram_join, packing, secret_scan, sharding, sql, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -73,7 +81,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_learned_ann": op2_learned_ann,
     "op3_window_packing": op3_window_packing,
+    "op4_maxscore": op4_maxscore,
     "op5_toxicity": op5_toxicity,
     "op6_byte_shards": op6_byte_shards,
     "op7_brown_lm": op7_brown_lm,

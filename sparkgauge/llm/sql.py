@@ -4,6 +4,17 @@ from __future__ import annotations
 
 from .url_filter import BASE_RULES, PATTERN_RULES
 
+OP4 = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 OP6 = """
 WITH bits AS (
   SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
@@ -66,4 +77,4 @@ SELECT page_id, host, path, CASE WHEN host_rule THEN rule_text END AS rule, coal
 
 OP1_NOTE = "the Markov models are fitted, so SQL cannot state op1; tests hold it against a brute-force scan"
 
-ORACLE_SQL = {"op6_byte_shards": OP6, "op9_url_filter": _op9(), "op10_ngram_join": OP10}
+ORACLE_SQL = {"op4_maxscore": OP4, "op6_byte_shards": OP6, "op9_url_filter": _op9(), "op10_ngram_join": OP10}
