@@ -256,3 +256,13 @@ def join(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str
     classes = classes.select("digest", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return members.join(classes, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id.
+
+    Of rows that share an id one stays; rows without an id all stay.
+    """
+    gone = join(docs, n, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
