@@ -8,14 +8,14 @@ from ..operators import graph, stats
 from ..sources import table
 from .registry import query
 
-PAIRS = """pairs AS (SELECT o_orderkey, c_mktsegment AS segment, CAST(o_totalprice AS DECIMAL(18,2)) AS reviewed, candidate FROM orders
-  JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,2))) AS candidate FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey)"""
+PAIRS = """pairs AS (SELECT o_orderkey, c_mktsegment AS segment, CAST(o_totalprice AS DECIMAL(18,2)) AS reviewed, CAST(candidate AS DECIMAL(18,4)) AS candidate FROM orders
+  JOIN (SELECT l_orderkey, sum(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4))) AS candidate FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
 def pairs(spark, sf_dir):
     """Reviewed totals of orders with the sum of their lines as candidates."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,2)")).alias("candidate")
+        (F.sum((F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)"))).cast("decimal(18,4)").alias("candidate")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").cast("decimal(18,2)").alias("reviewed"))
     segments = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
