@@ -34,7 +34,7 @@ def lcov(reports: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns(out).groupBy("source").agg(*[F.sum(c).alias(c) for c in out])
 
 
-COBERTURA = "_line-rate double, packages struct<package: array<struct<classes: struct<class: array<struct<_filename: string, lines: struct<line: array<struct<_number: long, _hits: long>>>>>>>>>"
+COBERTURA = "packages struct<package: array<struct<classes: struct<class: array<struct<_filename: string, lines: struct<line: array<struct<_number: long, _hits: long>>>>>>>>>"
 
 
 def cobertura(reports: DataFrame, text: str = "text") -> DataFrame:
