@@ -8,9 +8,10 @@ exactly, by merge rank.
 
 The vocabulary file gives everything (tokens, merges, normaliser, splitting pattern); it is
 read on each worker from ``path``, never copied.  Words are split at white space and
-remembered in a cache of bounded size.  A text is handed whole to the tokenizer library only
-where a rule of it looks beyond one word: its special tokens, and the four control
-characters that Python counts as space but the vocabulary's pattern does not.
+remembered in a cache of bounded size.  Words beyond Latin script are cut by the tokenizer
+library, since Unicode versions differ.  A text is handed whole to it only where a rule
+looks beyond one word: its special tokens, and the four control characters that
+Python counts as space but the vocabulary's pattern does not.
 
 Null texts count as empty: no tokens.  Long texts are encoded whole.  Repeated rows stay
 repeated.
@@ -23,7 +24,6 @@ import heapq
 import json
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,9 +31,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices, worker_state
+
 #: Entries that a worker's caches hold before they start anew.
 CACHE_WORDS = 1_000_000
 CACHE_PAIRS = 2_000_000
+#: Words with characters from here on are cut by the tokenizer library.
+LATIN_END = "\u0250"
 #: Words of more letters than this are merged with a heap.
 LONG_WORD = 200
 
@@ -180,7 +184,13 @@ class Encoder:
         cuts = self.cuts
         if len(cuts) > CACHE_WORDS:
             cuts.clear()
-        pieces = {w: self._pieces(w) for w in words}
+        pieces = {}
+        for w in words:
+            if w.isascii() or max(w) < LATIN_END:
+                pieces[w] = self._pieces(w)
+            else:  # letters whose Unicode class and case may differ between libraries' versions
+                cuts[w] = array("I", self.library.encode(w, add_special_tokens=False).ids).tobytes()
+                pieces[w] = [w]
         new = list({p for ps in pieces.values() for p in ps if p not in cuts})
         if new:
             guess = [self.vocab.speculated(p) for p in new]
@@ -273,24 +283,15 @@ class Words(dict):
         return dict.__getitem__(self, word)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and vocabulary, kept between tasks."""
-    return Encoder(path)
-
-
-def batches(series: pd.Series, chars: int = 4_000_000):
-    """Slices of a column of texts with a bounded number of characters each (a longer text alone)."""
-    texts, size, start = [], 0, 0
-    for i, t in enumerate(series):
-        t = t or ""
-        if texts and size + len(t) > chars:
-            yield start, texts
-            texts, size, start = [], 0, i
-        texts.append(t)
-        size += len(t)
-    if texts:
-        yield start, texts
+    """A worker's encoder, kept between tasks."""
+    return worker_state(("bpe", path), lambda: Encoder(path))
+
+
+def batches(series: pd.Series):
+    """Slices of a column of texts, null ones as empty."""
+    for start, some in slices(series):
+        yield start, [t or "" for t in some]
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, sample_ids, written
+from .shared import discard, sample_ids, slices, worker_state, written
 
 WORDS = 5
 PERCENT = 80
@@ -47,7 +47,7 @@ COMMON_LEAST = 4
 COMMON_MOST = 1_000_000
 BITMAP_LONGS = 16
 FILTER_BITS = 1 << 24
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Bands of smaller sets have one part a feature.
 SMALL = 32
 
@@ -62,9 +62,6 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * MIX[3]
@@ -76,9 +73,10 @@ def shingles(text: bytes | None, n: int = WORDS) -> np.ndarray:
     words = text.lower().split() if text else []  # on bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = worker_state("shingles", _Hashes)
+    if len(hashes) > CACHE_WORDS:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     h = _mix(h)
     width = min(n, len(h))
     out = np.full(len(h) - width + 1, np.uint64(width))
@@ -146,12 +144,12 @@ def signed(source: DataFrame, n: int, common: np.ndarray) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(common)
 
     def run(frames):
-        for pdf in frames:
-            sets = [shingles(t, n) for t in pdf["text"]]
+        for pdf, start, texts in ((pdf, *x) for pdf in frames for x in slices(pdf["text"])):
+            sets = [shingles(t, n) for t in texts]
             signs = [signatures(s, shared.value) if len(s) else (np.zeros(0, np.int64), np.zeros(0, bool)) for s in sets]
             yield pd.DataFrame(
                 {
-                    "doc_id": pdf["doc_id"],
+                    "doc_id": pdf["doc_id"].iloc[start : start + len(texts)].array,
                     "n_shingles": [len(s) for s in sets],
                     "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     "bits": [bitmap(s) for s in sets],
@@ -186,8 +184,8 @@ def compared(source: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
         for pdf in frames:
             at = pdf["at"].to_numpy(np.int64)
             pdf = pdf[(shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
-            if len(pdf):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "features": [shingles(t, n).tobytes() for t in pdf["text"]]})
+            for start, texts in slices(pdf["text"]):
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start : start + len(texts)].array, "features": [shingles(t, n).tobytes() for t in texts]})
 
     kind = source.schema["doc_id"].dataType.simpleString()
     sets = source.where("doc_id is not null").withColumn("at", place).mapInPandas(run, f"doc_id {kind}, features binary")

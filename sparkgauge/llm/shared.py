@@ -66,3 +66,31 @@ def sample_ids(ids: DataFrame, id_col: str, bound: int) -> DataFrame:
         .orderBy(F.xxhash64(id_col), id_col)
         .limit(bound)
     )
+
+
+_state: list = [None, None]
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between tasks: one state at a time.
+
+    Workers outlive operators, so a state of another key is dropped before a new one grows.
+    """
+    if _state[0] != key:
+        _state[:] = [None, None]
+        _state[:] = [key, make()]
+    return _state[1]
+
+
+def slices(texts, size: int = 4_000_000):
+    """(start, list) slices of a column of texts with bounded total length each; a longer text alone."""
+    some, total, start = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t is not None else 0
+        if some and total + n > size:
+            yield start, some
+            some, total, start = [], 0, i
+        some.append(t)
+        total += n
+    if some:
+        yield start, some

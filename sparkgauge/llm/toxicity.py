@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches
-from .shared import id_hash
+from .shared import id_hash, worker_state
 
 SAMPLE_TOXIC = 2_000
 SAMPLE_CLEAN = 3_000
 SAMPLE_CHARS = 20_000
 CHAIN = 64
+CHAINS = 8_192  # chains worked on at a time
 PREFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 REJECT = 0.7
 EDGES = string.punctuation + string.digits
 ROUNDS = 40
@@ -67,13 +68,20 @@ def chains(emission: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pairs: bool = False):
-    """Marginals of the toxic state; with ``pairs`` also expected transitions and the log-likelihood's norm."""
+    """Marginals of the toxic state; with ``pairs`` also expected transitions; some chains at a time."""
+    out, expected = np.empty(rows.shape), np.zeros((2, 2))
+    for at in range(0, len(rows), CHAINS):
+        out[at : at + CHAINS], part = _forward_backward(rows[at : at + CHAINS], mask[at : at + CHAINS], trans, pairs)
+        expected += part
+    return (out, expected) if pairs else out
+
+
+def _forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pairs: bool):
     n, length = rows.shape
     t = np.exp(trans)  # t[i, j]; state 0 starts every chain
     psi = np.exp(np.clip(rows, -30, 30))
     a0, a1 = np.empty((length, n)), np.empty((length, n))
     p0, p1 = np.ones(n), np.zeros(n)
-    log_z = np.zeros(n)
     for k in range(length):
         on = mask[:, k]
         q0 = p0 * t[0, 0] + p1 * t[1, 0]
@@ -81,8 +89,6 @@ def forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pair
         z = q0 + q1
         p0, p1 = np.where(on, q0 / z, p0), np.where(on, q1 / z, p1)
         a0[k], a1[k] = p0, p1
-        if pairs:
-            log_z += np.where(on, np.log(z), 0)
     out = np.empty((length, n))
     b0, b1 = np.ones(n), np.ones(n)
     expected = np.zeros((2, 2))
@@ -98,7 +104,7 @@ def forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pair
             expected += [[(f0 * t[0, 0] * b0 * on).sum(), (f0 * t[0, 1] * c1 * on).sum()], [(f1 * t[1, 0] * b0 * on).sum(), (f1 * t[1, 1] * c1 * on).sum()]]
         z = d0 + d1
         b0, b1 = np.where(mask[:, k], 2 * d0 / z, b0), np.where(mask[:, k], 2 * d1 / z, b1)
-    return (out.T, expected, log_z.sum()) if pairs else out.T
+    return out.T, expected
 
 
 @dataclass
@@ -186,7 +192,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return texts.join(F.broadcast(some), "_id").dropDuplicates(["_id"]).select("_id", "text", "toxic").toPandas().sort_values("_id")
 
 
-def marks(docs_features: list[set[str]], toxic: np.ndarray) -> set[str]:
+def marks(docs_features, toxic: np.ndarray) -> set[str]:
     """Features that toxic documents hold far more often than clean ones."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     c1, c0 = Counter(), Counter()
@@ -213,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     word_features = [features(w) for w in words]
     names = list(words)
-    strong = marks([{f for w in set(s) for f in word_features[words[w]]} for s in split], toxic)
+    strong = marks(({f for w in set(s) for f in word_features[words[w]]} for s in split), toxic)
+    del split
     strong_word = np.array([any(f in strong for f in word_features[words[w]]) for w in names])
     y = (strong_word[flat] & np.repeat(toxic == 1, sizes)).astype(float)
 
@@ -234,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for k in range(1, ROUNDS + 1):
         by_word = bias + np.bincount(of_word, w[of_feature], len(names))
         rows_at[mask] = by_word[flat]
-        p, expected, _ = forward_backward(rows_at, mask, trans, pairs=True)
+        p, expected = forward_backward(rows_at, mask, trans, pairs=True)
         wrong = np.bincount(flat, p[mask] - y, len(names))
         grad = np.concatenate([np.bincount(of_feature, wrong[of_word], len(kept)), [wrong.sum()], (expected - seen).ravel()]) * scale
         grad[: len(kept)] += 1e-4 * w
@@ -257,14 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-_held: list = [None, None]
-
-
 def _scorer(model: Model) -> Scorer:
-    """One scorer a worker, kept between tasks while the model is the same."""
-    if _held[0] is not model:
-        _held[:] = [model, Scorer(model)]
-    return _held[1]
+    """A worker's scorer, kept between tasks while the model is the same."""
+    return worker_state(("toxicity", id(model)), lambda: Scorer(model))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
