@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -288,13 +289,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` that score under ``reject``, with all their columns."""
+    """The rows of ``docs`` that score under ``reject``, with all their columns.
+
+    Rows go through as Arrow batches, so columns of any type come out as they went in.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts):
         scorer = _scorer(shared.value)
-        for pdf in parts:
-            for start, texts in batches(pdf[text_col]):
-                yield pdf.iloc[start : start + len(texts)][scorer.score(texts) < reject]
+        for batch in parts:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            if texts:
+                scores = np.concatenate([scorer.score(some) for _, some in batches(texts)])
+                yield batch.filter(pa.array(scores < reject))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
