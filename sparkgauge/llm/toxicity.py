@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections import Counter
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -193,20 +193,29 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return texts.join(F.broadcast(some), "_id").dropDuplicates(["_id"]).select("_id", "text", "toxic").toPandas().sort_values("_id")
 
 
-def marks(docs_features, toxic: np.ndarray) -> set[str]:
-    """Features that toxic documents hold far more often than clean ones."""
+def marks(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` features toxic documents hold far more often than clean ones.
+
+    (doc, feature) lists each feature of a document once.
+    """
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    c1, c0 = Counter(), Counter()
-    for fs, y in zip(docs_features, toxic):
-        (c1 if y else c0).update(fs)
-    out = set()
-    for f, a in c1.items():
-        b = c0.get(f, 0)
-        e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
-        gain = a * np.log(a / e1) + (b * np.log(b / e0) if b else 0)
-        if a >= 3 and gain >= 9 and a / n1 >= 8 * (b + 0.5) / n0:
-            out.add(f)
-    return out
+    of_toxic = toxic[doc] == 1
+    a = np.bincount(feature[of_toxic], minlength=n).astype(float)
+    b = np.bincount(feature[~of_toxic], minlength=n).astype(float)
+    e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
+    gain = a * np.log(np.maximum(a, 1) / np.maximum(e1, 1e-12)) + b * np.log(np.maximum(b, 1) / np.maximum(e0, 1e-12))
+    return (a >= 3) & (gain >= 9) & (a / n1 >= 8 * (b + 0.5) / n0)
+
+
+def numbered(texts) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Distinct words by number, the texts' words as numbers, and each text's length in words."""
+    words: dict[str, int] = {}
+    flat, sizes = array("q"), array("q")
+    for t in texts:
+        s = t.split()
+        sizes.append(len(s))
+        flat.extend(words.setdefault(w, len(words)) for w in s)
+    return words, np.array(flat, np.int64), np.array(sizes, np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -214,22 +223,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = rows["toxic"].to_numpy(np.int64)
     if len(set(toxic.tolist())) < 2:
         return Model()
-    split = [t.split() for t in rows["text"]]
-    words: dict[str, int] = {}
-    flat = np.fromiter((words.setdefault(w, len(words)) for s in split for w in s), np.int64)
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    word_features = [features(w) for w in words]
+    words, flat, sizes = numbered(rows["text"])
+    del rows
     names = list(words)
-    strong = marks(({f for w in set(s) for f in word_features[words[w]]} for s in split), toxic)
-    del split
-    strong_word = np.array([any(f in strong for f in word_features[words[w]]) for w in names])
+    # (word, feature) pairs by number: no list of texts a word is kept
+    every: dict[str, int] = {}
+    of_feature, per_word = array("q"), array("q")
+    for w in names:
+        fs = features(w)
+        per_word.append(len(fs))
+        of_feature.extend(every.setdefault(f, len(every)) for f in fs)
+    of_feature, per_word = np.array(of_feature, np.int64), np.array(per_word, np.int64)
+    of_word, begin = np.repeat(np.arange(len(names)), per_word), per_word.cumsum() - per_word
+    held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(names) + flat)  # (document, word)
+    held_doc, held_word = held // len(names), held % len(names)
+    many = per_word[held_word]
+    at = np.arange(many.sum()) - np.repeat(many.cumsum() - many, many) + np.repeat(begin[held_word], many)
+    held = np.unique(np.repeat(held_doc, many) * len(every) + of_feature[at])  # (document, feature)
+    strong = marks(held // len(every), held % len(every), toxic, len(every))
+    del held, held_doc, held_word, many, at
+    strong_word = np.bincount(of_word, strong[of_feature], len(names)) > 0
     y = (strong_word[flat] & np.repeat(toxic == 1, sizes)).astype(float)
 
     # Only features of a token of either kind near a mark can differ from the bias: keep those seen twice.
-    count = Counter(f for fs in word_features for f in fs)
-    kept = {f: i for i, f in enumerate(f for f, c in count.items() if c >= 2 or f in strong)}
-    pairs = [(i, kept[f]) for i, fs in enumerate(word_features) for f in fs if f in kept]
-    of_word, of_feature = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    keep = (np.bincount(of_feature, minlength=len(every)) >= 2) | strong
+    kept = {f: i for i, f in enumerate(f for f, k in zip(every, keep.tolist()) if k)}
+    of_word, of_feature = of_word[keep[of_feature]], (keep.cumsum() - 1)[of_feature[keep[of_feature]]]
+    del every
 
     rows_at, mask, _ = chains(np.zeros(len(flat)), sizes)
     yr = np.zeros(mask.shape)
