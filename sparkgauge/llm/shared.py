@@ -55,17 +55,15 @@ def id_hash(col: Column) -> Column:
 
 
 def sample_ids(ids: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """At most ``bound`` distinct ids, chosen by hash order, so the choice is repeatable.
+    """At most ``bound`` distinct ids, the smallest by hash, so the choice is repeatable.
 
-    Only the id column is sorted (a top-k per task), never the texts.
+    Of a large table only ids with hashes in a low range are sorted, eight times as many
+    as asked for in expectation, so the merge of the tasks' best does not grow with the table.
     """
-    return (
-        ids.select(id_col)
-        .where(F.col(id_col).isNotNull())
-        .distinct()
-        .orderBy(F.xxhash64(id_col), id_col)
-        .limit(bound)
-    )
+    some = ids.select(id_col).where(F.col(id_col).isNotNull())
+    share = min(1.0, 8 * bound / max(1, some.count()))
+    top = min(2**63 - 1, int(share * 2**64) - 2**63)
+    return some.where(F.xxhash64(id_col) <= F.lit(top)).distinct().orderBy(F.xxhash64(id_col), id_col).limit(bound)
 
 
 _state: list = [None, None]
