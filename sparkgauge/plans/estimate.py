@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import dec, quarter
 from ..functions.vocabulary import size_band
-from ..operators import facts, pricing
+from ..operators import capabilities, facts, pricing
 from ..sources import table
 from .registry import doubles, query
 
@@ -156,3 +156,57 @@ def capability_shares(spark, sf_dir):
     g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("capabilities"), F.count_if(F.col("p_size") > 40).alias("large"), F.sum(e).alias("expected"))
     total = g.agg(F.sum("expected").alias("total"))
     return doubles(g.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("expected").cast("double") / F.col("total").cast("double"), 6)).drop("total"), "expected")  # one row
+
+
+ESTIMATE = """f AS (SELECT 'r' || l_suppkey % 7 AS repo, l_orderkey::VARCHAR AS scope, l_returnflag AS k, CAST(l_quantity AS DECIMAL(18,4)) AS q, l_linenumber AS n FROM lineitem),
+d AS (SELECT repo, scope, 'api-surface' AS rule, 'endpoints' AS driver, sum(q) AS v, 0.4 AS rate FROM f WHERE k = 'A' GROUP BY 1, 2 UNION ALL SELECT repo, scope, 'api-surface', 'controllers', count(*), 0.4 FROM f WHERE k = 'A' GROUP BY 1, 2
+  UNION ALL SELECT repo, scope, 'data-persistence', 'migrations', sum(q), 0.3 FROM f WHERE k = 'N' GROUP BY 1, 2 UNION ALL SELECT repo, scope, 'data-persistence', 'db-sets', sum(n), 0.3 FROM f WHERE k = 'N' GROUP BY 1, 2
+  UNION ALL SELECT repo, scope, 'background-work', 'message-handlers', sum(q), 0.5 FROM f WHERE k = 'R' GROUP BY 1, 2),
+c AS (SELECT repo, scope, rule, sum(v) AS quantity, sum(least(v, 10) * rate + greatest(v - 10, 0) * rate / 2) AS hours,
+  CASE WHEN sum(CASE WHEN driver IN ('endpoints', 'migrations', 'message-handlers') THEN v ELSE 0 END) > max(CASE rule WHEN 'api-surface' THEN 40 ELSE 20 END) THEN 'high' ELSE 'moderate' END AS complexity FROM d GROUP BY 1, 2, 3),
+e AS (SELECT *, greatest(round(CAST((0.5 + hours) * CASE complexity WHEN 'high' THEN 1.25 ELSE 1 END AS DECIMAL(18,6)) * 4, 0) / 4, 0.25) AS expected FROM c)"""
+
+
+def line_facts(spark, sf_dir):
+    """Order lines as facts: three kinds, with the quantity and the line's number as measurements."""
+    flag, q = F.col("l_returnflag"), F.col("l_quantity").cast("decimal(38,10)")
+    m = lambda name, x: F.struct(F.lit(name).alias("name"), x.cast("decimal(38,10)").alias("value"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("r"), F.col("l_suppkey") % 7).alias("repo"),
+        F.col("l_orderkey").cast("string").alias("scope"),
+        F.concat_ws(":", F.lit("dotnet"), "l_orderkey", "l_linenumber").alias("id"),
+        F.when(flag == "A", "api-surface").when(flag == "N", "data-access").otherwise("background-work").alias("kind"),
+        F.lit("observed").alias("source_kind"),
+        F.when(flag == "A", F.array(m("endpoints", q), m("controllers", F.lit(1)))).when(flag == "N", F.array(m("migrations", q), m("db-sets", F.col("l_linenumber")))).otherwise(F.array(m("message-handlers", q))).alias("measurements"),
+        F.array().cast("array<string>").alias("tags"),
+    )
+
+
+SURFACES = ("api-surface", "data-persistence", "background-work")
+
+
+@query(f"WITH {ESTIMATE} SELECT repo, scope, rule, complexity, CAST(quantity AS DOUBLE) AS quantity, CAST(expected AS DOUBLE) AS expected FROM e")
+def estimate_capabilities(spark, sf_dir):
+    """Facts to drivers to priced capabilities of three boundary rules."""
+    driven = capabilities.drivers(line_facts(spark, sf_dir)).where(F.col("rule").isin(*SURFACES))
+    return doubles(capabilities.capabilities(driven).select("repo", "scope", "rule", "complexity", "quantity", "expected"), "quantity", "expected")
+
+
+@query(f"""WITH {ESTIMATE}, p AS (SELECT *, greatest(1, CAST(ceil(expected / 6.0) AS BIGINT)) AS parts, CAST(expected * 4 AS BIGINT) AS units FROM e),
+x AS (SELECT *, unnest(range(1, parts + 1)) AS part FROM p), h AS (SELECT *, CAST((units // parts + CASE WHEN part <= units % parts THEN 1 ELSE 0 END) / 4.0 AS DECIMAL(18,2)) AS ph FROM x)
+SELECT repo, rule, count(*) AS items, CAST(sum(least(round(CAST(ph * 0.6 AS DECIMAL(18,6)) * 4, 0) / 4, ph)) AS DOUBLE) AS low, CAST(sum(ph) AS DOUBLE) AS expected, CAST(sum(greatest(round(CAST(ph * 1.65 AS DECIMAL(18,6)) * 4, 0) / 4, ph)) AS DOUBLE) AS high FROM h GROUP BY 1, 2
+""")
+def estimate_items(spark, sf_dir):
+    """Work items of those capabilities with their ranges, summed by repository and rule."""
+    facts_ = line_facts(spark, sf_dir)
+    items = capabilities.work_items(capabilities.capabilities(capabilities.drivers(facts_).where(F.col("rule").isin(*SURFACES))), capabilities.evidence_confidence(facts_))
+    return doubles(items.groupBy("repo", "rule").agg(F.count("*").alias("items"), *[F.sum(h).alias(h) for h in ("low", "expected", "high")]), "low", "expected", "high")
+
+
+@query("""
+WITH s AS (SELECT 'r' || l_suppkey % 7 AS repo, count(*) FILTER (l_returnflag = 'A') AS surfaces FROM lineitem GROUP BY 1)
+SELECT repo, 'gap-system-tests' AS rule, surfaces::DOUBLE AS value FROM s WHERE surfaces > 0 UNION ALL SELECT repo, 'gap-documentation', 0 FROM s
+""")
+def estimate_gaps(spark, sf_dir):
+    """Work that repositories without tests and documents lack."""
+    return doubles(capabilities.gaps(line_facts(spark, sf_dir)).select("repo", "rule", "value"), "value")
