@@ -185,3 +185,57 @@ def contributor_summary(spark, sf_dir):
     grid = total.crossJoin(F.broadcast(kinds))  # the handful of event types
     items = F.coalesce("n", F.lit(0)).cast("long")
     return grid.join(g, ["user_id", "event_type"], "left").select("user_id", "event_type", items.alias("items"), F.round(items / F.col("total"), 6).alias("share"))
+
+
+@query("""
+WITH s AS (SELECT event_id, user_id, event_id % 5 AS base, (event_id + 1) % 5 AS head, event_id % 40 AS kind FROM events)
+SELECT a.event_id AS undone, b.event_id AS undoing FROM s a JOIN s b ON a.user_id = b.user_id AND a.base = b.head AND a.head = b.base AND a.event_id < b.event_id WHERE a.kind < 20 AND b.kind < 20
+UNION ALL SELECT a.o_orderkey, b.o_orderkey FROM (SELECT *, o_orderkey % 2 AS base FROM orders) a JOIN (SELECT *, o_orderkey % 2 AS base FROM orders) b ON a.o_custkey = b.o_custkey AND a.base = 1 - b.base AND a.o_orderkey < b.o_orderkey
+""")
+def opposing_steps(spark, sf_dir):
+    """Pairs of steps on one path of which the later swaps the earlier one's ends."""
+    e = F.col("event_id")
+    events = table(spark, sf_dir, "events").where(e % 40 < 20).select(e.alias("id"), F.concat(F.lit("u"), "user_id").alias("path"), (e % 5).alias("base"), ((e + 1) % 5).alias("head"))
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("c"), "o_custkey").alias("path"), (k % 2).alias("base"), (1 - k % 2).alias("head"))
+    return portfolio.opposing_effects(events.union(orders), "id", "path", "base", "head").select("undone", "undoing")
+
+
+@query("""
+WITH b AS (SELECT user_id, min(ts) AS since, max(ts) AS until FROM events GROUP BY 1),
+l AS (SELECT *, lag(until) OVER (ORDER BY since, user_id) AS before FROM b)
+SELECT user_id, since, until FROM l WHERE before <> since OR until <= since
+""")
+def bucket_gaps(spark, sf_dir):
+    """Buckets that leave a gap, overlap, or end before they begin."""
+    buckets = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
+    return portfolio.gap_check(buckets).select("user_id", "since", "until")
+
+
+ALIASES = "a AS (SELECT c_custkey AS contributor, lower(unnest([c_name, 'C' || c_custkey || '@X.ORG'])) AS alias FROM customer)"
+
+
+@query(f"""
+WITH {ALIASES}, m AS (SELECT o_orderkey, lower(CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_custkey || '@x.org' ELSE 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') END) AS alias FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01')
+SELECT DISTINCT o_orderkey, contributor FROM m JOIN a ON m.alias = a.alias
+""")
+def alias_match(spark, sf_dir):
+    """Changes of a half-open period with the contributors whose names or addresses they carry, in any case."""
+    c = F.col("c_custkey")
+    people = table(spark, sf_dir, "customer").select(c.alias("contributor"), F.explode(F.array("c_name", F.concat(F.lit("C"), c, F.lit("@X.ORG")))).alias("alias"))
+    k = F.col("o_custkey")
+    author = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("c"), k, F.lit("@x.org"))).otherwise(F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")))
+    made = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'1995-01-01' and o_orderdate < timestamp_ntz'1996-01-01'").select("o_orderkey", F.lower(author).alias("alias"))
+    return made.join(people.withColumn("alias", F.lower("alias")), "alias").select("o_orderkey", "contributor").distinct()
+
+
+@query("""
+WITH g AS (SELECT l_partkey, l_suppkey, sum(CAST(l_quantity AS DECIMAL(18,2))) AS h, count(*) AS n FROM lineitem GROUP BY 1, 2),
+c AS (SELECT l_suppkey, sum(h) AS gross, sum(CASE WHEN n > 1 THEN h ELSE 0 END) AS rework FROM g GROUP BY 1)
+SELECT l_suppkey, CAST(gross AS DOUBLE) AS gross, CAST(rework AS DOUBLE) AS rework, round(CAST(rework AS DOUBLE) / nullif(CAST(gross AS DOUBLE), 0), 6) AS rework_share FROM c
+""")
+def normalization_summary(spark, sf_dir):
+    """Gross hours and the share on paths that were touched more than once; null where nothing is gross."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("h"), F.count("*").alias("n"))
+    c = g.groupBy("l_suppkey").agg(F.sum("h").cast("double").alias("gross"), F.sum(F.when(F.col("n") > 1, F.col("h")).otherwise(0)).cast("double").alias("rework"))
+    return c.withColumn("rework_share", F.round(F.col("rework") / F.nullif("gross", F.lit(0.0)), 6))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge import streaming
 from sparkgauge.functions import rounding
-from sparkgauge.operators import analyzers, change, classify, facts, graph, portfolio, pricing, reports, stats
+from sparkgauge.operators import analyzers, capabilities, change, classify, facts, graph, portfolio, pricing, reports, stats
 from sparkgauge.sources import commits, coverage, documents, files
 
 
@@ -186,3 +186,44 @@ def test_streaming_buckets(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = streaming.bucketed(events)
     assert got.count() > 0 and got.exceptAll(want).count() == 0
+
+
+FACT = "repo string, scope string, id string, kind string, source_kind string, measurements array<struct<name:string,value:decimal(38,10)>>, tags array<string>"
+
+
+def test_estimate_of_a_small_repository(spark):
+    """Known points: one production scope is understood for 1.25 hours, set up for 1 and reviewed for 1.25."""
+    from sparkgauge import api
+
+    facts = spark.createDataFrame(
+        [
+            ("r", "src", "dotnet:p", "dotnet-project", "observed", [("packages", Decimal(0))], ["scope:runnable"]),
+            ("bare", "x", "dotnet:q", "dotnet-project", "inferred", None, None),
+            ("r", "src", "dotnet:a", "api-surface", "observed", [("endpoints", Decimal(50)), ("unheard-of", Decimal(7))], []),
+        ],
+        FACT,
+    )
+    got = api.estimate(facts, rate="100")
+    rows = {(r.repo, r.rule): r for r in got["items"].where("part = 1").collect()}
+    assert float(rows["bare", "specification-comprehension"].expected) == 1.25
+    assert float(rows["bare", "project-setup"].expected) == 1.0
+    assert float(rows["bare", "self-review"].expected) == 1.25
+    assert rows["r", "api-surface"].complexity == "high"
+    # (0.5 + 10 * 0.4 + 40 * 0.2) * 1.25 = 15.625 -> 15.75 hours in three parts
+    assert rows["r", "api-surface"].parts == 3
+    assert all(r.low <= r.expected <= r.high for r in rows.values())
+    gap = {(r.repo, r.rule) for r in got["gap"].collect()}
+    assert gap == {("r", "gap-automated-tests"), ("r", "gap-system-tests"), ("r", "gap-documentation"), ("r", "gap-ci"), ("bare", "gap-automated-tests"), ("bare", "gap-documentation")}
+    total = {(r.repo, r.category): r for r in got["totals"].collect()}
+    items = got["items"].groupBy("repo").agg(F.sum("expected").alias("e")).collect()
+    assert {r.repo: r.e for r in items} == {k[0]: v.expected for k, v in total.items() if k[1] is None}
+    assert float(total["bare", None].cost) == 100 * float(total["bare", None].expected)
+    assert capabilities.drivers(facts.limit(0)).count() == 0
+
+
+def test_estimate_grows_with_evidence(spark):
+    """More endpoints never cost less, and a copy of the facts under another name costs the same."""
+    fact = lambda repo, n: (repo, "s", "dotnet:a", "api-surface", "observed", [("endpoints", Decimal(n))], [])
+    facts = spark.createDataFrame([fact("a", 3), fact("b", 4), fact("c", 4)], FACT)
+    got = {r.repo: r.expected for r in capabilities.capabilities(capabilities.drivers(facts)).where("rule = 'api-surface'").collect()}
+    assert got["a"] <= got["b"] == got["c"]
