@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkgauge.llm import brown_lm, queries, toxicity
 
@@ -122,3 +123,51 @@ def test_exchange_raises_likelihood():
     of = brown_lm.exchange(texts, words, classes=2)
     assert of[0] == of[1] != of[2] == of[3]
     assert len(brown_lm.exchange([], [], 2)) == 0
+
+
+def test_gains_are_differences_of_likelihood():
+    """Of words moved to each class, with bigrams with themselves and with the end token."""
+    rng = np.random.default_rng(2)
+    words, side = 40, brown_lm.SIDE
+    pairs = rng.poisson(0.7, (words + 1, words + 1)).astype(float)  # the last is the end token
+    of = np.append(rng.integers(0, 5, words), brown_lm.END)
+
+    def matrix(of):
+        big = np.zeros((side, side))
+        np.add.at(big, (of[:, None], of[None]), pairs)
+        return big
+
+    owner, slot, n = [], [], []
+    for w in range(words):
+        for shift, line in ((0, pairs[w]), (side, pairs[:, w])):
+            counts = np.bincount(of, np.where(np.arange(words + 1) == w, 0, line), side)
+            for d in np.flatnonzero(counts):
+                owner, slot, n = [*owner, w], [*slot, shift + d], [*n, int(counts[d])]
+    got = brown_lm.gains(of[:words], np.array(owner), np.array(slot), np.array(n), np.diag(pairs)[:words], matrix(of))
+    for w in range(0, words, 7):
+        want = []
+        for k in range(8):
+            new = of.copy()
+            new[w] = k
+            want.append(brown_lm.likelihood(matrix(new)))
+        assert np.allclose(got[w, :8] - got[w, 0], np.array(want) - want[0], atol=1e-6)
+
+
+def test_whole_vocabulary_is_clustered(spark):
+    """Words outside the sample (in texts over its bound) get their class by exchange, not by their ending."""
+    rng = np.random.default_rng(3)
+    nouns, verbs = ([f"{x}{i}" for i in range(300)] for x in "nv")
+    line = lambda: " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(6000))
+    rows = [(i, line()) for i in range(4)] + [(i, "a b") for i in range(10, 20)]
+    assert all(len(t) > brown_lm.SAMPLE_BYTES for i, t in rows if i < 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    start = brown_lm.fit_classes(docs)
+    counts = brown_lm.corpus_counts(docs)
+    words, big = brown_lm.clustered(*counts, start, 6)
+    of = {r.word: r["class"] for r in words.collect()}
+    assert big.sum() == sum(len(t.split()) + 1 for _, t in rows)
+    assert set(of) == {*nouns, *verbs, "a", "b", "\n"}
+    first, before = brown_lm.clustered(*counts, start, 0)
+    was = {r.word: r["class"] for r in first.collect()}
+    mixed = lambda of: sum(of[v] == of[w] for v in nouns for w in verbs)
+    assert brown_lm.likelihood(big) > brown_lm.likelihood(before) and mixed(of) < mixed(was)
