@@ -102,9 +102,41 @@ def unsupported(facts: DataFrame, kinds, kind: str = "kind") -> DataFrame:
 
 
 def inventory_digest(files: DataFrame, group: list[str], path: str, digest: str) -> DataFrame:
-    """SHA-256 over a group's ordered (path, digest) entries."""
+    """SHA-256 over a group's ordered (path, digest) entries.
+
+    Entries are sorted by Spark, which spills, and fed to a running digest, so a group needs
+    no memory for its entries; one group's digest is one task, since SHA-256 has no parallel form.
+    """
+    import hashlib
+
     entry = F.concat_ws(":", F.col(path).cast("string"), F.col(digest))
-    return files.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("inventory_digest"))
+    rows = files.select(*group, entry.alias("_entry")).repartition(*group).sortWithinPartitions(*group, "_entry")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, sha, types = None, None, None
+
+        def out():
+            columns = [pa.array([v], t) for v, t in zip(key, types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([sha.hexdigest()])], names=[*group, "inventory_digest"])
+
+        for batch in batches:
+            types = types or [batch.schema.field(g).type for g in group]
+            *keys, entries = (c.to_pylist() for c in batch.columns)
+            for k, e in zip(zip(*keys), entries):
+                if sha is None or k != key:
+                    if sha is not None:
+                        yield out()
+                    key, sha = k, hashlib.sha256()
+                else:
+                    sha.update(b"\n")
+                sha.update(e.encode())
+        if sha is not None:
+            yield out()
+
+    fields = ", ".join(f"`{g}` {files.schema[g].dataType.simpleString()}" for g in group)
+    return rows.mapInArrow(run, f"{fields}, inventory_digest string")
 
 
 def source_complexity(methods: Column, branches: Column, asyncs: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import dec, ratio
+from .stats import dealt
 
 
 def duplicate_keeper(items: DataFrame, digest: str, order: list[Column]) -> DataFrame:
@@ -93,9 +94,15 @@ def bucket_join(rows: DataFrame, buckets: DataFrame, ts: str, most: int = 10_000
 
 def gap_check(buckets: DataFrame) -> DataFrame:
     """Buckets that do not begin where the one before ended, or end before they begin."""
-    w = Window.orderBy("since")  # a short list of buckets
-    before = F.lag("until").over(w)
-    return buckets.withColumn("_before", before).where((F.col("_before") != F.col("since")) | (F.col("until") <= F.col("since"))).drop("_before")
+    order = ["since", *[c for c in buckets.columns if c not in ("since", "until")], "until"]
+    ranged = dealt(buckets, F.col("since").cast("timestamp"))
+    w = Window.partitionBy("_part").orderBy(*order)
+    # of a range only the last row is passed on
+    last = ranged.groupBy("_part").agg(F.max_by("until", F.struct(*order)).alias("_last"))
+    last = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_last"))  # one row a range
+    rows = ranged.withColumn("_before", F.lag("until").over(w)).withColumn("_first", F.row_number().over(w) == 1).join(F.broadcast(last), "_part")
+    before = F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_before"))
+    return rows.where((before != F.col("since")) | (F.col("until") <= F.col("since"))).select(*buckets.columns)
 
 
 def trend(points: DataFrame, series: list[str], order: str, value: str) -> DataFrame:

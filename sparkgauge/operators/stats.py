@@ -72,23 +72,47 @@ def nearest_rank(rows: DataFrame, group: list[str], value: str, q: float = 0.8)
     return rows.withColumns({"_at": at, "_n": n}).where(F.col("_at") == F.ceil(F.col("_n") * F.lit(str(q)).cast("decimal(4,3)"))).select(*group, F.col(value).alias("quantile"), F.col("_n").alias("n"))
 
 
+def dealt(rows: DataFrame, value: Column, parts: int = 64) -> DataFrame:
+    """``_part``: ranges of a value in its order, of about equal numbers of rows; equal values share one."""
+    order = value.cast("double")
+    bounds = sorted(set(rows.select(order.alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.005)))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= order)) if bounds else F.lit(0)
+    return rows.withColumn("_part", F.when(value.isNull(), 0).otherwise(at))  # nulls come first in order
+
+
+def running_counts(values: DataFrame, value: str, n: str, name: str) -> DataFrame:
+    """``name``: the sum of ``n`` up to each distinct value: totals of ranges, and sums within each range."""
+    ranged = dealt(values, F.col(value))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = ranged.groupBy("_part").agg(F.sum(n).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    up = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(totals), "_part").withColumn(name, F.col("_before") + F.sum(n).over(up)).drop("_before")
+
+
 def leave_one_out_quantile(rows: DataFrame, held: str, value: str, q: float = 0.8) -> DataFrame:
     """For each ``held`` group, the nearest-rank quantile of all other groups' rows.
 
-    One sorted pass instead of a self join: with global ranks, and each group's own count below
-    a value, the rank among the others is their difference.  The number of groups is checked
-    by the caller to be small; rows are multiplied only by what lies at the sought place.
+    With global ranks, and each group's own count below a value, the rank among the others
+    is their difference.  Ranks come from counts by value in ranges; a group looks up its range from
+    the ranges' totals and meets the values of that range only.
     """
     # histogram first: distinct values are what is sorted, with their counts by group
     hist = rows.groupBy(held, value).agg(F.count("*").alias("n"))
-    values = rows.groupBy(value).agg(F.count("*").alias("all_n"))
-    groups = rows.groupBy(held).agg(F.count("*").alias("own_n"))
-    total = rows.agg(F.count("*").alias("total"))
-    up = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = values.withColumn("all_upto", F.sum("all_n").over(up))
-    own = Window.partitionBy(held).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    grid = groups.crossJoin(F.broadcast(total)).withColumn("want", F.ceil((F.col("total") - F.col("own_n")) * F.lit(str(q)).cast("decimal(4,3)")))
-    cells = grid.join(upto, F.lit(True)).join(hist, [held, value], "left").withColumn("own_upto", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    values = hist.groupBy(value).agg(F.sum("n").alias("all_n"))
+    groups = hist.groupBy(held).agg(F.sum("n").alias("own_n"))
+    total = groups.agg(F.sum("own_n").alias("total"))
+    upto = running_counts(values, value, "all_n", "all_upto")
+    own = hist.join(upto, value).select(held, value, "n", "_part")
+    ends = upto.groupBy("_part").agg(F.max("all_upto").alias("_end"))
+    inside = own.groupBy(held, "_part").agg(F.sum("n").alias("_own"))
+    want = F.ceil((F.col("total") - F.col("own_n")) * F.lit(str(q)).cast("decimal(4,3)"))
+    grid = groups.crossJoin(F.broadcast(total)).withColumn("want", want).crossJoin(F.broadcast(ends)).join(inside, [held, "_part"], "left")
+    w = Window.partitionBy(held).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumn("_own_end", F.coalesce(F.sum("_own").over(w), F.lit(0))).where(F.col("_end") - F.col("_own_end") >= F.col("want"))
+    start = F.col("_own_end") - F.coalesce("_own", F.lit(0))
+    place = grid.groupBy(held, "own_n", "want").agg(F.min_by(F.struct("_part", start.alias("_own_before")), "_part").alias("p")).select(held, "own_n", "want", "p.*")
+    run = Window.partitionBy(held).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cells = place.join(upto, "_part").join(own.drop("_part"), [held, value], "left").withColumn("own_upto", F.col("_own_before") + F.coalesce(F.sum("n").over(run), F.lit(0)))
     return (
         cells.where(F.col("all_upto") - F.col("own_upto") >= F.col("want"))
         .groupBy(held)
@@ -96,11 +120,19 @@ def leave_one_out_quantile(rows: DataFrame, held: str, value: str, q: float = 0.
     )
 
 
+def overall_rank(rows: DataFrame, value: str, q: float = 0.8) -> DataFrame:
+    """The ceil(q n)-th smallest value of all rows, from counts by value in ranges: quantile."""
+    upto = running_counts(rows.groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_upto")
+    total = upto.agg(F.sum("_n").alias("_total"))
+    reached = F.col("_upto") >= F.ceil(F.col("_total") * F.lit(str(q)).cast("decimal(4,3)"))
+    return upto.crossJoin(F.broadcast(total)).where(reached).agg(F.min_by(value, "_upto").alias("quantile"))
+
+
 def conditioned_intervals(rows: DataFrame, bucket: str, repo: str, value: str, least_rows: int = 3, least_repos: int = 2, q: float = 0.8) -> DataFrame:
     """Quantile of each bucket where it has enough rows and repositories, else of all rows: bucket, n, quantile, source."""
     known = nearest_rank(rows, [bucket], value, q).drop("n")
     counts = rows.groupBy(bucket).agg(F.count("*").alias("n"), F.countDistinct(repo).alias("repos"))
-    overall = nearest_rank(rows.withColumn("_all", F.lit(1)), ["_all"], value, q).select(F.col("quantile").alias("global"))
+    overall = overall_rank(rows, value, q).withColumnRenamed("quantile", "global")
     enough = (F.col("n") >= least_rows) & (F.col("repos") >= least_repos)
     return counts.join(known, bucket).crossJoin(F.broadcast(overall)).select(
         bucket, "n", "repos", F.when(enough, F.col("quantile")).otherwise(F.col("global")).alias("quantile"), F.when(enough, "bucket").otherwise("global").alias("source")

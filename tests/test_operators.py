@@ -227,3 +227,42 @@ def test_estimate_grows_with_evidence(spark):
     facts = spark.createDataFrame([fact("a", 3), fact("b", 4), fact("c", 4)], FACT)
     got = {r.repo: r.expected for r in capabilities.capabilities(capabilities.drivers(facts)).where("rule = 'api-surface'").collect()}
     assert got["a"] <= got["b"] == got["c"]
+
+
+def test_no_window_over_a_whole_table(spark):
+    """Ranks, gaps and digests over ranges and sorted batches: right results, and no task that takes all rows."""
+    import contextlib
+    import hashlib
+    import io
+    import math
+    import random
+
+    random.seed(4)
+    data = [(random.randrange(7), random.randrange(5), float(random.randrange(400))) for _ in range(3000)]
+    rows = spark.createDataFrame(data, "held int, repo int, v double")
+
+    def quantile(values):
+        return sorted(values)[math.ceil(round(0.8 * len(values), 6)) - 1]
+
+    got = {r.held: (r.quantile, r.own_n) for r in stats.leave_one_out_quantile(rows, "held", "v").collect()}
+    assert got == {h: (quantile([v for g, _, v in data if g != h]), sum(g == h for g, _, _ in data)) for h in range(7)}
+    spread = stats.conditioned_intervals(rows, "held", "repo", "v", 10_000)
+    assert {r.quantile for r in spread.collect()} == {quantile([v for *_, v in data])}
+
+    times = [(i, 10 * i, 10 * i + (10 if i % 9 else 7)) for i in range(500)]
+    at = lambda c: F.timestamp_seconds(c).alias(c)
+    buckets = spark.createDataFrame(times, "k int, since long, until long").select("k", at("since"), at("until"))
+    gaps = portfolio.gap_check(buckets)
+    assert sorted(r.k for r in gaps.collect()) == [i for i in range(1, 500) if i % 9 == 1]
+
+    files = spark.createDataFrame([(g, i, f"d{i % 3}") for i in range(30_000) for g in ((None, "b")[i % 2],)], "g string, p int, d string")
+    digests = facts.inventory_digest(files, ["g"], "p", "d")
+    want = {g: hashlib.sha256("\n".join(sorted(f"{i}:d{i % 3}" for i in range(k, 30_000, 2))).encode()).hexdigest() for k, g in enumerate((None, "b"))}
+    assert {r.g: r.inventory_digest for r in digests.collect()} == want
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        digests.explain()
+    assert "collect_list" not in plan.getvalue()
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        spread.explain("formatted")
+        gaps.explain("formatted")
+    assert "_all" not in plan.getvalue() and "[since#" not in plan.getvalue().replace(" ", "").partition("windowspecdefinition(since")[2]
