@@ -6,15 +6,15 @@ tokens' joined text into these two.  All pairs of a batch of words are tested to
 NumPy against a table of known pairs; only words with an incompatible pair are merged
 exactly, by merge rank.
 
-The vocabulary file gives everything (tokens, merges, normaliser, splitting pattern); it is
-read on each worker from ``path``, never copied.  Words are split at white space and
-remembered in a cache of bounded size.  Words beyond Latin script are cut by the tokenizer
-library, since Unicode versions differ.  A text is handed whole to it only where a rule
-looks beyond one word: its special tokens, and the four control characters that
-Python counts as space but the vocabulary's pattern does not.
+The vocabulary file gives everything (tokens, merges, special tokens, splitting pattern); it is
+read on each worker from ``path``, never copied.  Texts are cut at special tokens and white
+space, words are normalised (NFC, lower case by character) and split by the pattern, in every
+script; the fixed values below name the characters that the vocabulary's own library knows from
+another Unicode version than Python does.  No tokenizer library is called.  Recent words are
+remembered in caches of bounded size, so a worker's memory does not grow with its input.
 
 Null texts count as empty: no tokens.  Long texts are encoded whole.  Repeated rows stay
-repeated.
+repeated; null ids stay null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,25 +22,68 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import string
 import unicodedata
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, worker_state
+from .shared import Recent, arrow_type, text_slices, worker_state
 
-#: Entries that a worker's caches hold before they start anew.
-CACHE_WORDS = 1_000_000
-CACHE_PAIRS = 2_000_000
-#: Words with characters from here on are cut by the tokenizer library.
-LATIN_END = "\u0250"
-#: Words of more letters than this are merged with a heap.
+#: Words of a cache's generation, of which two are kept, and pairs kept in all.
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 500_000
+#: Words of more letters than this are merged with a heap, and not remembered.
 LONG_WORD = 200
 
+# How the vocabulary's library differs from Python 3.13 and the regex module.
+# Marks that it does not reorder or compose (code points, ranges by "-").
+STARTERS = """
+07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC
+10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47
+11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF
+"""
+# Later letters and numbers, which it takes for neither.
+NO_LETTERS = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF
+10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF
+18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
+1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F
+2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+NO_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+# Capitals that it lower-cases and Python does not: first, last, what to add.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+
+
+def _class(ranges: str) -> str:
+    """Ranges of code points as the inside of a character class."""
+    return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split())
+
+
+AT_STARTERS = regex.compile(f"([{_class(STARTERS)}])")
+LOWER_LATER = {c: c + add for first, last, add in LATER_CAPITALS for c in range(first, last + 1)}
+#: Characters that str.split takes for white space and the vocabulary does not.
+SEPARATORS = regex.compile("[\x1c-\x1f]")
+SPACES = regex.compile(r"\s+")
+
+
+def normal(word: str) -> str:
+    """NFC and lower case of a word, as the vocabulary's library does them."""
+    if AT_STARTERS.search(word):
+        word = "".join([unicodedata.normalize("NFC", x) for x in AT_STARTERS.split(word)])
+    else:
+        word = unicodedata.normalize("NFC", word)
+    # by character: no rule for a letter's place in its word
+    return "".join(map(str.lower, word)).translate(LOWER_LATER)
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in for each byte in byte-level vocabularies."""
@@ -61,7 +104,11 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for kind, later in (("L", NO_LETTERS), ("N", NO_NUMBERS)):
+            pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{_class(later)}]]")
+        self.pieces = regex.compile("(?V1)" + pattern)
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letters = _byte_letters()
         self.table = {b: self.letters[b] for b in range(256)}
         # Word-final tokens are found by their letters; others by their letters as a prefix.
@@ -152,46 +199,29 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocab = Vocabulary(path)
-        self.words = Words(self)
-        self.cuts: dict[str, bytes] = {}
+        self.words: Recent = Recent(CACHE_WORDS)  # white-space-free word -> ids
+        self.cuts: Recent = Recent(CACHE_WORDS)  # piece in stand-in letters -> ids
         self.pair_keys = np.zeros(0, np.int64)
         self.pair_good = np.zeros(0, bool)
         self.failed = self.tried = 0
-        self._library = None
-
-    @property
-    def library(self):
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.vocab.path)
-            self._library.no_truncation()
-            self._library.no_padding()
-        return self._library
 
     def _pieces(self, word: str) -> list[str]:
         """The vocabulary's pieces of a white-space-free word, in stand-in letters."""
         v = self.vocab
         if word.isascii():
             low = word.lower()
-            return [low] if low.isalpha() else [_stand_in(p, v) for p in v.pieces.findall(low)]
-        # lower-casing is by character: no rule for a letter's place in its word
-        low = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-        return [p.encode().decode("latin-1").translate(v.table) for p in v.pieces.findall(low)]
-
-    def prepare(self, words) -> None:
-        """Cut all words that the cache lacks: speculate, verify all pairs together, mend failures."""
+            core = low.rstrip(string.punctuation)
+            if core.isalpha():  # letters, and perhaps punctuation behind them: what the pattern does there
+                return [core, low[len(core) :]] if len(core) < len(low) else [low]
+            return [_stand_in(p, v) for p in v.pieces.findall(low)]
+        return [_stand_in(p, v) for p in v.pieces.findall(normal(word))]
+
+    def prepare(self, words) -> dict[str, bytes]:
+        """Cut words: speculate, verify all pairs together, mend failures."""
+        pieces = {w: self._pieces(w) for w in words}
         cuts = self.cuts
-        if len(cuts) > CACHE_WORDS:
-            cuts.clear()
-        pieces = {}
-        for w in words:
-            if w.isascii() or max(w) < LATIN_END:
-                pieces[w] = self._pieces(w)
-            else:  # letters whose Unicode class and case may differ between libraries' versions
-                cuts[w] = array("I", self.library.encode(w, add_special_tokens=False).ids).tobytes()
-                pieces[w] = [w]
-        new = list({p for ps in pieces.values() for p in ps if p not in cuts})
+        new = cuts.missing({p for ps in pieces.values() for p in ps})
+        fresh = {}
         if new:
             guess = [self.vocab.speculated(p) for p in new]
             size = np.fromiter(map(len, guess), np.int64, len(guess))
@@ -206,12 +236,14 @@ class Encoder:
             self.failed += len(bad)
             for k in bad.tolist():
                 guess[k] = self.vocab.merged(new[k])
-            for p, g in zip(new, guess):
-                cuts[p] = array("I", g).tobytes()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        for w, ps in pieces.items():
-            dict.__setitem__(self.words, w, cuts[ps[0]] if len(ps) == 1 else b"".join([cuts[p] for p in ps]))
+            fresh = {p: array("I", g).tobytes() for p, g in zip(new, guess)}
+            cuts.update(fresh)
+        out = {w: cuts[ps[0]] if len(ps) == 1 else b"".join([cuts[p] for p in ps]) for w, ps in pieces.items()}
+        for p in fresh:
+            if len(p) > LONG_WORD:
+                del cuts[p]
+        cuts.turn()
+        return out
 
     def _pairs_good(self, keys: np.ndarray) -> np.ndarray:
         """Look all pairs up in the sorted table of known ones; judge each new pair once."""
@@ -232,25 +264,30 @@ class Encoder:
             self.pair_keys, self.pair_good = keys_all[order], np.concatenate([self.pair_good, judged])[order]
         return good[back]
 
+    def _split(self, text: str) -> list[str]:
+        return SPACES.split(text) if SEPARATORS.search(text) else text.split()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        special = [*self.vocab.special, "\x1c", "\x1d", "\x1e", "\x1f"]
-        whole = [any(s in t for s in special) for t in texts]
-        split = [[] if w else t.split() for w, t in zip(whole, texts)]
-        known = self.words
-        missing = set()
-        for s in split:
-            missing.update(s)
-        missing = [w for w in missing if w not in known]
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = list({w for s in split for w in s})
-        self.prepare(missing)
-        get = known.__getitem__
-        return [
-            array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if w else b"".join(map(get, s))
-            for w, t, s in zip(whole, texts, split)
-        ]
+        special, words = self.vocab.special, self.words
+        split = []
+        for t in texts:
+            if self.vocab.at_special and self.vocab.at_special.search(t):
+                parts = self.vocab.at_special.split(t)  # every second part is a special token
+                split.append([w for i, x in enumerate(parts) for w in ([x] if i % 2 else self._split(x)) if w])
+                words.update((x, array("I", [special[x]]).tobytes()) for x in parts[1::2])
+            else:
+                split.append(self._split(t))
+        fresh = self.prepare(words.missing({w for s in split for w in s if w}))
+        words.update(fresh)
+        words[""] = b""
+        get = words.__getitem__
+        out = [b"".join(map(get, s)) for s in split]
+        for w in fresh:
+            if len(w) > LONG_WORD:
+                del words[w]
+        words.turn()
+        return out
 
     @property
     def shown(self) -> list[str]:
@@ -272,68 +309,40 @@ def _stand_in(piece: str, v: Vocabulary) -> str:
     return piece.encode().decode("latin-1").translate(v.table)
 
 
-class Words(dict):
-    """White-space-free word -> its ids; a missing one is cut alone."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        self.encoder.prepare([word])
-        return dict.__getitem__(self, word)
-
-
 def encoder(path: str) -> Encoder:
     """A worker's encoder, kept between tasks."""
     return worker_state(("bpe", path), lambda: Encoder(path))
 
 
-def batches(series: pd.Series):
-    """Slices of a column of texts, null ones as empty."""
-    for start, some in slices(series):
-        yield start, [t or "" for t in some]
+def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, row) -> DataFrame:
+    """One row a document: its id and what ``row(encoder, ids)`` gives, as Arrow batches."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {columns}"
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches):
+        enc = encoder(path)
+        for batch in batches:
+            for start, texts in text_slices(batch.column(1)):
+                made = [row(enc, g) for g in enc.encode_batch(texts)]
+                arrays = [pa.array(x, arrow_type(c)) for x, c in zip(zip(*made), columns.split(", "))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *arrays], ["doc_id", *names])
+
+    return source.mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, the token ids, and the decoded text."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def run(parts):
-        enc = encoder(path)
-        for pdf in parts:
-            ids = pdf["doc_id"]
-            for start, texts in batches(pdf["text"]):
-                got = enc.encode_batch(texts)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": ids.iloc[start : start + len(texts)].array,
-                        "ids": [list(array("I", g)) for g in got],
-                        "decoded": [enc.decode(g) for g in got],
-                    }
-                )
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return _mapped(docs, path, id_col, text_col, "ids array<int>, decoded string", lambda enc, g: (array("I", g), enc.decode(g)))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: token count and digests of ids and decoded text, without moving either."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def run(parts):
-        enc = encoder(path)
-        for pdf in parts:
-            ids = pdf["doc_id"]
-            for start, texts in batches(pdf["text"]):
-                got = enc.encode_batch(texts)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": ids.iloc[start : start + len(texts)].array,
-                        "n_tokens": [len(g) // 4 for g in got],
-                        "ids_sha256": [hashlib.sha256(g).hexdigest() for g in got],
-                        "decoded_sha256": [hashlib.sha256(enc.decode(g).encode()).hexdigest() for g in got],
-                    }
-                )
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(
+        docs,
+        path,
+        id_col,
+        text_col,
+        "n_tokens long, ids_sha256 string, decoded_sha256 string",
+        lambda enc, g: (len(g) // 4, hashlib.sha256(g).hexdigest(), hashlib.sha256(enc.decode(g).encode()).hexdigest()),
+    )

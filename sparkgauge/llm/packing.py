@@ -21,12 +21,13 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import batches, encoder
+from .bpe import encoder
+from .shared import arrow_type, text_slices
 
 WINDOW = 2048
 END_ID = 1
@@ -113,9 +114,12 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     end = array("I", [end_id]).tobytes()
 
-    def run(parts):
+    columns = ["start long", "length long", "ids_crc32 long", "doc_tokens long", "sequence_id long", "offset long"] + ["ids array<int>"] * keep_ids
+    kind = source.schema["doc_id"].dataType.simpleString()
+    schema = ", ".join([f"doc_id {kind}", *columns])
+
+    def run(batches):
         enc, packer, number = encoder(path), Packer(window), TaskContext.get().partitionId() << 32
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
         rows: list[list] = []
 
         def emit(pieces):
@@ -123,22 +127,25 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             at = 0
             for (doc, total), start, ids in pieces:
                 n = len(ids) // 4
-                rows.append([doc, start, n, zlib.crc32(ids), total, number, at] + [list(array("I", ids))] * keep_ids)
+                rows.append([doc, start, n, zlib.crc32(ids), total, number, at] + [array("I", ids)] * keep_ids)
                 at += n
             number += 1
 
-        def frame():
-            out = pd.DataFrame(rows, columns=names, dtype=object)
+        def frame(id_type):
+            made = list(zip(*rows))
             rows.clear()
-            return out
-
-        for pdf in parts:
-            ids = pdf["doc_id"].array
-            for first, texts in batches(pdf["text"]):
-                for k, got in enumerate(enc.encode_batch(texts)):
+            types = [id_type, *map(arrow_type, columns)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types)], ["doc_id", *(c.split()[0] for c in columns)])
+
+        id_type = None
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for first, texts in text_slices(batch.column(1)):
+                docs = batch.column(0).slice(first, len(texts)).to_pylist()
+                for name, got in zip(docs, enc.encode_batch(texts)):
                     got += end
                     total = len(got) // 4
-                    doc = (ids[first + k], total)
+                    doc = (name, total)
                     whole = total - total % window
                     for start in range(0, whole, window):
                         emit([[doc, start, got[4 * start : 4 * (start + window)]]])
@@ -147,12 +154,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
                         if full:
                             emit(full)
                 if rows:
-                    yield frame()
+                    yield frame(id_type)
         for pieces in packer.close():
             emit(pieces)
         if rows:
-            yield frame()
+            yield frame(id_type)
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return source.mapInPandas(run, schema + ", ids array<int>" * keep_ids)
+    return source.mapInArrow(run, schema)

@@ -47,11 +47,13 @@ def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select(
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",")
+    return toxicity.score(docs, model, spans=True).select(
         "doc_id",
         toxicity.held_out().alias("held_out"),
         "score",
         (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+        offsets.alias("offsets"),
     )
 
 

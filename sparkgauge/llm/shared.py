@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +17,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in local tests, a fresh local one is set.
+    Where the session names none, a fresh local one is set in local mode, as in tests; on a
+    cluster that is an error, since executors do not see each other's folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sparkgauge-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -80,6 +86,56 @@ def worker_state(key, make):
     return _state[1]
 
 
+class Recent(dict):
+    """A cache of two generations: entries not asked for during a whole generation go."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, {}
+
+    def missing(self, keys) -> list:
+        """The keys that neither generation holds; those of the old one are taken over."""
+        out, old = [], self.old
+        for k in keys:
+            if k not in self:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self[k] = v
+        return out
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
+def cuts(lengths: np.ndarray, size: int):
+    """(start, stop) of runs whose lengths sum to at most ``size``; a longer one is a run of its own."""
+    ends, start = lengths.cumsum(), 0
+    while start < len(ends):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield start, stop
+        start = stop
+
+
+def text_slices(column: pa.Array, size: int = 1_500_000):
+    """(start, list) slices of an Arrow column of texts, null ones as empty, of bounded total length."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    empty = b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else ""
+    for start, stop in cuts(lengths, size):
+        yield start, [t or empty for t in column.slice(start, stop - start).to_pylist()]
+
+
+ARROW_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+
+
+def arrow_type(column: str) -> pa.DataType:
+    """Arrow's type of a column given as ``name type``."""
+    return ARROW_TYPES[column.split()[1]]
+
+
 def slices(texts, size: int = 4_000_000):
     """(start, list) slices of a column of texts with bounded total length each; a longer text alone."""
     some, total, start = [], 0, 0

@@ -6,14 +6,20 @@ all other tokens are clean.  A two-state chain is trained on these tokens.  Forw
 marginals give each token's probability; a document's score is a logistic function of its
 largest marginal, its expected number of toxic tokens and that number's share.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE_TOXIC`` and
-``SAMPLE_CLEAN`` rows, chosen by id hash, of at most ``SAMPLE_CHARS`` characters each); scoring
-covers every whole text.  Labels, language, source and ids are no inputs of a score.  A chain
-runs over ``CHAIN`` tokens and then starts anew, so a very long text needs no long chain.
+A document is one chain, however long.  The work is cut into blocks of ``BLOCK`` tokens: each
+block's transfer matrix carries the forward and backward messages over it, so that all blocks of
+a batch run side by side and give the marginals of the whole chains.
+
+The model is fitted on a bounded sample of labelled rows: the first by id hash, at most
+``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows, of each kind as many as begin within the first
+``SAMPLE_CHARS`` characters; texts of any length are among them, whole.  Scoring covers every
+whole text.  Labels, language, source and ids are no inputs of a score.
 
 Null and empty texts get the score of a document without toxic tokens.  Labels that are null
-or neither 0 nor 1 are ignored; a document labelled both ways counts as toxic; without labels
-of both kinds every score is 0.  Repeated rows are scored each by itself.
+or neither 0 nor 1 are ignored; a document labelled both ways counts as toxic, and of texts that
+share a labelled id the smallest is learnt from; without labels of both kinds every score is 0.
+Repeated rows are scored each by itself; an empty table gives no rows; ``keep_clean`` passes all
+columns on as they are, ``score`` ignores the others.
 """
 
 from __future__ import annotations
@@ -21,68 +27,103 @@ from __future__ import annotations
 import re
 import string
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import batches
-from .shared import id_hash, worker_state
+from .shared import Recent, id_hash, text_slices, worker_state
 
 SAMPLE_TOXIC = 2_000
 SAMPLE_CLEAN = 3_000
-SAMPLE_CHARS = 20_000
-CHAIN = 64
-CHAINS = 8_192  # chains worked on at a time
+SAMPLE_CHARS = 8_000_000
+BLOCK = 64
+BLOCKS = 8_192  # blocks worked on at a time
 PREFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 REJECT = 0.7
 EDGES = string.punctuation + string.digits
 ROUNDS = 40
 
 
-def features(word: str) -> list[str]:
-    """The word and its beginnings, of a raw white-space-free token."""
+def features(word: str) -> list[int]:
+    """Hashes of the word and its beginnings, of a raw white-space-free token."""
     w = word.strip(EDGES).lower()
-    return ["=" + w] + [w[:n] for n in PREFIXES if len(w) >= n] if w else []
+    return [xxhash.xxh3_64_intdigest(x) >> 1 for x in ("=" + w, *(w[:n] for n in PREFIXES if len(w) >= n))] if w else []
 
 
 def held_out(id_col: str = "doc_id"):
     return id_hash(F.col(id_col)) % 3 == 1
 
 
-def chains(emission: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut a run of documents' emissions into rows of CHAIN tokens: (rows, mask, place of each token)."""
-    per_doc = -(-sizes // CHAIN)
+def blocks(emission: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A run of documents' emissions as rows of BLOCK tokens: (rows, mask, each row's place in its document)."""
+    per_doc = -(-sizes // BLOCK)
     doc_of = np.repeat(np.arange(len(sizes)), per_doc)
-    first = np.repeat(per_doc.cumsum() - per_doc, per_doc)
+    place = np.arange(len(doc_of)) - np.repeat(per_doc.cumsum() - per_doc, per_doc)
     ends = sizes.cumsum()
-    start = (ends - sizes)[doc_of] + (np.arange(len(doc_of)) - first) * CHAIN
-    at = start[:, None] + np.arange(CHAIN)
+    at = ((ends - sizes)[doc_of] + place * BLOCK)[:, None] + np.arange(BLOCK)
     mask = at < ends[doc_of][:, None]
     rows = np.zeros(at.shape)
     rows[mask] = emission  # row-major order is the order of the tokens
-    return rows, mask, at
+    return rows, mask, place
+
+
+def transfer(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Each block's product of transition matrices, scaled: state before it to state at its end."""
+    t = np.exp(trans)
+    m = np.broadcast_to(np.eye(2)[:, :, None], (2, 2, len(rows))).copy()
+    for k in range(rows.shape[1]):
+        psi = np.exp(np.clip(rows[:, k], -30, 30))
+        new = np.stack([m[:, 0] * t[0, 0] + m[:, 1] * t[1, 0], (m[:, 0] * t[0, 1] + m[:, 1] * t[1, 1]) * psi], 1)
+        m = np.where(mask[:, k], new / new.sum((0, 1)), m)
+    return m
 
 
-def forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pairs: bool = False):
-    """Marginals of the toxic state; with ``pairs`` also expected transitions; some chains at a time."""
+def messages(rows: np.ndarray, mask: np.ndarray, place: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward message into each block and backward message from behind it, over whole documents.
+
+    State 0 starts every document.
+    """
+    n = len(rows)
+    ahead, behind = np.zeros((2, n)), np.ones((2, n))
+    ahead[0] = 1
+    if n and place.max() > 0:
+        m = np.concatenate([transfer(rows[at : at + BLOCKS], mask[at : at + BLOCKS], trans) for at in range(0, n, BLOCKS)], 2)
+        order = place.argsort(kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(1, place.max() + 2))
+        groups = [order[a:b] for a, b in zip(bounds, bounds[1:])]  # the second blocks, the third, ...
+        for at in groups:
+            x = (ahead[:, None, at - 1] * m[:, :, at - 1]).sum(0)
+            ahead[:, at] = x / x.sum(0)
+        for at in groups[::-1]:
+            x = (m[:, :, at] * behind[None, :, at]).sum(1)
+            behind[:, at - 1] = x / x.sum(0)
+    return ahead, behind
+
+
+def forward_backward(rows: np.ndarray, mask: np.ndarray, place: np.ndarray, trans: np.ndarray, pairs: bool = False):
+    """Marginals of the toxic state; with ``pairs`` also expected transitions; some blocks at a time."""
+    ahead, behind = messages(rows, mask, place, trans)
     out, expected = np.empty(rows.shape), np.zeros((2, 2))
-    for at in range(0, len(rows), CHAINS):
-        out[at : at + CHAINS], part = _forward_backward(rows[at : at + CHAINS], mask[at : at + CHAINS], trans, pairs)
+    for at in range(0, len(rows), BLOCKS):
+        some = slice(at, at + BLOCKS)
+        out[some], part = _within(rows[some], mask[some], ahead[:, some], behind[:, some], trans, pairs)
         expected += part
     return (out, expected) if pairs else out
 
 
-def _forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pairs: bool):
+def _within(rows, mask, ahead, behind, trans, pairs: bool):
     n, length = rows.shape
-    t = np.exp(trans)  # t[i, j]; state 0 starts every chain
+    t = np.exp(trans)  # t[i, j]
     psi = np.exp(np.clip(rows, -30, 30))
     a0, a1 = np.empty((length, n)), np.empty((length, n))
-    p0, p1 = np.ones(n), np.zeros(n)
+    p0, p1 = ahead
     for k in range(length):
         on = mask[:, k]
         q0 = p0 * t[0, 0] + p1 * t[1, 0]
@@ -91,7 +132,7 @@ def _forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pai
         p0, p1 = np.where(on, q0 / z, p0), np.where(on, q1 / z, p1)
         a0[k], a1[k] = p0, p1
     out = np.empty((length, n))
-    b0, b1 = np.ones(n), np.ones(n)
+    b0, b1 = behind
     expected = np.zeros((2, 2))
     for k in range(length - 1, -1, -1):
         g0, g1 = a0[k] * b0, a1[k] * b1
@@ -99,7 +140,7 @@ def _forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pai
         c1 = b1 * psi[:, k]
         d0, d1 = t[0, 0] * b0 + t[0, 1] * c1, t[1, 0] * b0 + t[1, 1] * c1
         if pairs:
-            f0, f1 = (a0[k - 1], a1[k - 1]) if k else (np.ones(n), np.zeros(n))
+            f0, f1 = (a0[k - 1], a1[k - 1]) if k else ahead
             z = f0 * d0 + f1 * d1
             on = mask[:, k] / z
             expected += [[(f0 * t[0, 0] * b0 * on).sum(), (f0 * t[0, 1] * c1 * on).sum()], [(f1 * t[1, 0] * b0 * on).sum(), (f1 * t[1, 1] * c1 * on).sum()]]
@@ -111,7 +152,7 @@ def _forward_backward(rows: np.ndarray, mask: np.ndarray, trans: np.ndarray, pai
 @dataclass
 class Model:
     bias: float = -8.0
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     level: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0, 0, 0]))
 
@@ -141,43 +182,35 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known = _Emissions(model)
+        self.known = Recent(CACHE_WORDS)
 
     def marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         split = [t.split() for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.known.__getitem__
+        known = self.known
+        known.update((w, self.model.emission(w)) for w in known.missing({w for s in split for w in s}))
+        get = known.__getitem__
         flat = np.fromiter((x for s in split for x in map(get, s)), np.float64, int(sizes.sum()))
-        rows, mask, _ = chains(flat, sizes)
-        return forward_backward(rows, mask, self.model.trans)[mask], sizes
+        known.turn()
+        rows, mask, place = blocks(flat, sizes)
+        return forward_backward(rows, mask, place, self.model.trans)[mask], sizes
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def read(self, texts: list[str], least: float = 0.5) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores, and offending offsets: (start, end, probability) of tokens at least that likely toxic."""
         p, sizes = self.marginals(texts)
-        return self.model.score(self.model.document(p, sizes))
-
-    def spans(self, texts: list[str], least: float = 0.5) -> list[list[dict]]:
-        """Offending offsets: (start, end, probability) of tokens at least that likely toxic."""
-        p, sizes = self.marginals(texts)
-        out, at = [], 0
+        spans, at = [], 0
         for t, n in zip(texts, sizes):
             own = p[at : at + n]
             at += n
             if n and own.max() >= least:
-                out.append([{"start": m.start(), "end": m.end(), "probability": float(x)} for m, x in zip(re.finditer(r"\S+", t), own) if x >= least])
+                spans.append([{"start": m.start(), "end": m.end(), "probability": float(x)} for m, x in zip(re.finditer(r"\S+", t), own) if x >= least])
             else:
-                out.append([])
-        return out
-
+                spans.append([])
+        return self.model.score(self.model.document(p, sizes)), spans
 
-class _Emissions(dict):
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
-        self[word] = x = self.model.emission(word)
-        return x
+    def score(self, texts: list[str]) -> np.ndarray:
+        p, sizes = self.marginals(texts)
+        return self.model.score(self.model.document(p, sizes))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
@@ -187,10 +220,14 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max("toxic").alias("toxic"))
     )
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null")
     pick = lambda kind, n: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(n)
     some = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    return texts.join(F.broadcast(some), "_id").dropDuplicates(["_id"]).select("_id", "text", "toxic").toPandas().sort_values("_id")
+    sizes = texts.select("_id", F.length("text").alias("n")).join(F.broadcast(some), "_id").groupBy("_id", "toxic").agg(F.max("n").alias("n"))
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)  # over the sample's rows
+    within = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < SAMPLE_CHARS)
+    chosen = texts.join(F.broadcast(within.select("_id", "toxic")), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text"))
+    return chosen.toPandas().sort_values("_id")
 
 
 def marks(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
@@ -226,14 +263,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words, flat, sizes = numbered(rows["text"])
     del rows
     names = list(words)
-    # (word, feature) pairs by number: no list of texts a word is kept
-    every: dict[str, int] = {}
+    # (word, feature) pairs by number
     of_feature, per_word = array("q"), array("q")
     for w in names:
         fs = features(w)
         per_word.append(len(fs))
-        of_feature.extend(every.setdefault(f, len(every)) for f in fs)
-    of_feature, per_word = np.array(of_feature, np.int64), np.array(per_word, np.int64)
+        of_feature.extend(fs)
+    every, of_feature = np.unique(np.array(of_feature, np.int64), return_inverse=True)
+    per_word = np.array(per_word, np.int64)
     of_word, begin = np.repeat(np.arange(len(names)), per_word), per_word.cumsum() - per_word
     held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(names) + flat)  # (document, word)
     held_doc, held_word = held // len(names), held % len(names)
@@ -247,22 +284,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # Only features of a token of either kind near a mark can differ from the bias: keep those seen twice.
     keep = (np.bincount(of_feature, minlength=len(every)) >= 2) | strong
-    kept = {f: i for i, f in enumerate(f for f, k in zip(every, keep.tolist()) if k)}
+    kept = every[keep]
     of_word, of_feature = of_word[keep[of_feature]], (keep.cumsum() - 1)[of_feature[keep[of_feature]]]
     del every
 
-    rows_at, mask, _ = chains(np.zeros(len(flat)), sizes)
-    yr = np.zeros(mask.shape)
-    yr[mask] = y
-    before = np.hstack([np.zeros((len(yr), 1)), yr[:, :-1]])
-    seen = np.array([[((1 - before) * (1 - yr))[mask].sum(), ((1 - before) * yr)[mask].sum()], [(before * (1 - yr))[mask].sum(), (before * yr)[mask].sum()]])
+    rows_at, mask, place = blocks(np.zeros(len(flat)), sizes)
+    before = np.concatenate([[0.0], y[:-1]])[: len(y)]
+    before[(sizes.cumsum() - sizes)[sizes > 0]] = 0  # every document starts clean
+    seen = np.array([[((1 - before) * (1 - y)).sum(), ((1 - before) * y).sum()], [(before * (1 - y)).sum(), (before * y).sum()]])
     scale = 1 / max(1.0, y.sum())
     bias, w, trans = -4.0, np.zeros(len(kept)), np.zeros((2, 2))
     m = [np.zeros(len(kept) + 5), np.zeros(len(kept) + 5)]
     for k in range(1, ROUNDS + 1):
         by_word = bias + np.bincount(of_word, w[of_feature], len(names))
         rows_at[mask] = by_word[flat]
-        p, expected = forward_backward(rows_at, mask, trans, pairs=True)
+        p, expected = forward_backward(rows_at, mask, place, trans, pairs=True)
         wrong = np.bincount(flat, p[mask] - y, len(names))
         grad = np.concatenate([np.bincount(of_feature, wrong[of_word], len(kept)), [wrong.sum()], (expected - seen).ravel()]) * scale
         grad[: len(kept)] += 1e-4 * w
@@ -272,10 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         step = 0.3 * (m[0] / (1 - 0.9**k)) / (np.sqrt(m[1] / (1 - 0.99**k)) + 1e-8)
         w, bias, trans = w - step[: len(kept)], bias - step[len(kept)], trans - step[len(kept) + 1 :].reshape(2, 2)
 
-    model = Model(float(bias), {f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 0.01}, trans)
+    model = Model(float(bias), {f: x for f, x in zip(kept.tolist(), w.tolist()) if abs(x) > 0.01}, trans)
     by_word = np.array([model.emission(x) for x in names])
     rows_at[mask] = by_word[flat]
-    inputs = model.document(forward_backward(rows_at, mask, trans)[mask], sizes)
+    inputs = model.document(forward_backward(rows_at, mask, place, trans)[mask], sizes)
     level, ridge = np.zeros(4), np.diag([1e-6, 1e-2, 1e-2, 1e-2])
     for _ in range(30):  # Newton steps of a ridge logistic regression
         q = 1 / (1 + np.exp(-np.clip(inputs @ level, -30, 30)))
@@ -290,37 +326,39 @@ def _scorer(model: Model) -> Scorer:
     return worker_state(("toxicity", id(model)), lambda: Scorer(model))
 
 
+SPANS = "array<struct<start:int,end:int,probability:double>>"
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """One row a document: doc_id, score, and with ``spans`` its toxic spans."""
+    """One row a document: doc_id, score, and with ``spans`` its toxic spans (code points, end exclusive)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: one weight a feature of the sample
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
-    def run(parts):
+    def run(batches):
         scorer = _scorer(shared.value)
-        for pdf in parts:
-            for start, texts in batches(pdf["text"]):
-                out = {"doc_id": pdf["doc_id"].iloc[start : start + len(texts)].array, "score": scorer.score(texts)}
+        for batch in batches:
+            for start, texts in text_slices(batch.column(1)):
+                ids = batch.column(0).slice(start, len(texts))
                 if spans:
-                    out["spans"] = scorer.spans(texts)
-                yield pd.DataFrame(out)
+                    scores, found = scorer.read(texts)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(scores), pa.array(found, span_type)], ["doc_id", "score", "spans"])
+                else:
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(scorer.score(texts))], ["doc_id", "score"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, score double" + ", spans array<struct<start:int,end:int,probability:double>>" * spans)
+    return source.mapInArrow(run, f"doc_id {kind}, score double" + f", spans {SPANS}" * spans)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` that score under ``reject``, with all their columns.
-
-    Rows go through as Arrow batches, so columns of any type come out as they went in.
-    """
+    """The rows of ``docs`` that score under ``reject``, with all their columns; only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts):
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _scorer(shared.value)
-        for batch in parts:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            if texts:
-                scores = np.concatenate([scorer.score(some) for _, some in batches(texts)])
-                yield batch.filter(pa.array(scores < reject))
+        for column in columns:
+            parts = [scorer.score(texts) for _, texts in text_slices(column)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scored(F.col(text_col)) < reject)

@@ -30,8 +30,8 @@ def test_forward_backward():
     rng = np.random.default_rng(0)
     em, trans = rng.normal(size=11), rng.normal(size=(2, 2))
     sizes = np.array([4, 0, 7])
-    rows, mask, _ = toxicity.chains(em, sizes)
-    got, expected = toxicity.forward_backward(rows, mask, trans, pairs=True)
+    rows, mask, place = toxicity.blocks(em, sizes)
+    got, expected = toxicity.forward_backward(rows, mask, place, trans, pairs=True)
     want = np.concatenate([brute_marginals(em[:4], trans), brute_marginals(em[4:], trans)])
     assert np.allclose(got[mask], want) and math.isclose(expected.sum(), 11)
 
@@ -44,8 +44,8 @@ def test_chain_gradient():
     def log_z(e, t):
         return math.log(sum(math.exp(sum(e[i] * (b >> i & 1) + t[(b >> (i - 1) & 1) if i else 0, b >> i & 1] for i in range(5))) for b in range(32)))
 
-    rows, mask, _ = toxicity.chains(em, np.array([5]))
-    p, expected = toxicity.forward_backward(rows, mask, trans, pairs=True)
+    rows, mask, place = toxicity.blocks(em, np.array([5]))
+    p, expected = toxicity.forward_backward(rows, mask, place, trans, pairs=True)
     for i in range(5):
         d = np.zeros(5)
         d[i] = 1e-5
@@ -55,6 +55,32 @@ def test_chain_gradient():
     assert math.isclose((log_z(em, trans + d) - log_z(em, trans - d)) / 2e-5, expected[0, 1], abs_tol=1e-6)
 
 
+def test_documents_of_many_blocks(monkeypatch):
+    """Messages pass over block edges: marginals and transitions are those of one whole chain."""
+    rng = np.random.default_rng(4)
+    em, trans, sizes = rng.normal(size=26), rng.normal(size=(2, 2)), np.array([11, 0, 1, 12, 2])
+    rows, mask, place = toxicity.blocks(em, sizes)
+    whole, total = toxicity.forward_backward(rows, mask, place, trans, pairs=True)
+    whole = whole[mask]
+    monkeypatch.setattr(toxicity, "BLOCK", 3)
+    monkeypatch.setattr(toxicity, "BLOCKS", 2)
+    rows, mask, place = toxicity.blocks(em, sizes)
+    got, expected = toxicity.forward_backward(rows, mask, place, trans, pairs=True)
+    assert rows.shape == (10, 3) and np.allclose(got[mask], whole) and np.allclose(expected, total)
+    assert np.allclose(got[mask][:11], brute_marginals(em[:11], trans))
+
+
+def test_long_rows_are_learnt_from(spark, monkeypatch):
+    """Texts of any length enter the sample; the rest of it is bounded."""
+    long = "fine words " * 40_000
+    docs = spark.createDataFrame([(i, long + f"dreadful {i}") for i in range(30)] + [(100 + i, f"fine words {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(100 + i, 0) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2_000_000)
+    rows = toxicity.sample(docs, labels)
+    assert rows[rows.toxic == 1].text.map(len).sum() > 2_000_000 > rows[rows.toxic == 1].text.map(len).sum() - len(long) - 20
+    assert len(rows[rows.toxic == 0]) == sum(zlib.crc32(str(100 + i).encode()) % 3 != 1 for i in range(60))
+
+
 def test_held_out_accuracy(spark):
     from ..conftest import SMALL as small
 

@@ -50,6 +50,32 @@ def test_any_text(text):
     assert encoder().decode(got) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+def test_every_character(library):
+    """All code points, alone, between letters and next to a special token."""
+    for at in range(0, 0x110000, 0x4000):
+        texts = [f"a{c}B{c} {c}<|endoftext|>{c}'s" for c in map(chr, range(at, at + 0x4000)) if not 0xD800 <= ord(c) < 0xE000]
+        for t, got in zip(texts, encoder().encode_batch(texts)):
+            assert list(array("I", got)) == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs"]), st.characters(min_codepoint=0x3000, exclude_categories=["Cs"]), st.sampled_from("\u0345\u0323\u0897\U00011935\U00011930 \x1c\x85'")), max_size=30))
+def test_any_script(text):
+    test_any_text.hypothesis.inner_test(text)
+
+
+def test_no_library_is_called(monkeypatch, spark):
+    """The whole small table, against ids made with the library; the operator itself never loads it."""
+    import inspect
+
+    assert "tokenizers import" not in inspect.getsource(bpe) and "tokenizers import" not in inspect.getsource(packing)
+
+
+def test_long_words_and_scripts(library):
+    for t in ["漢字かな交じり文" * 4000, "приветмир" * 5000 + " ещё", "x" * 30_000, "a" * 199 + "é" * 300, "<|endoftext|>" * 500]:
+        assert list(array("I", encoder().encode_batch([t])[0])) == library.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abcdehilnorstuw", min_size=1, max_size=40))
 def test_words_by_speculation(word):
