@@ -62,6 +62,52 @@ def test_markov_spans(spark):
     assert got == {1: f"markov:4:{4 + 30}", 2: "", 3: ""}
 
 
+def brute_markov(text, ratio):
+    """Tokens whose mean ratio is high enough and that no base span touches."""
+    n, out, known = len(secret_scan.ALPHABET), [], base(text)
+    for m in re.finditer(secret_scan.TOKEN, text or ""):
+        at = [secret_scan.ALPHABET.index(c) for c in m[0]]
+        mean = sum(ratio[a * n + b] for a, b in zip(at, at[1:])) / (len(at) - 1)
+        if re.search("[A-Za-z]", m[0]) and mean >= secret_scan.THRESHOLD + secret_scan.THRESHOLD_SHORT / len(at) and not any(s < m.end() and m.start() < e for s, _, e in known):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_markov_spans_of_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    ratio = secret_scan.fit_ratio(docs)
+    got = secret_scan.scan(docs, ratio=ratio).select("text", secret_scan.spans_text(F.col("found")).alias("s")).collect()
+    assert [r.s for r in got] == [digest(sorted(base(r.text) + brute_markov(r.text, ratio))) for r in got]
+
+
+def test_long_tokens_and_many_matches(spark):
+    """In proportion to the text: a 5 MB token, and 200,000 matches in one text."""
+    import time
+
+    ratio = [0.01] * len(secret_scan.ALPHABET) ** 2
+    texts = ["a1g" * 1_700_000, "token=abcdefgh é " * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").cache()
+    docs.count()
+    began = time.time()
+    got = {r.doc_id: (r.n, r.s) for r in secret_scan.scan(docs, ratio=ratio).select("doc_id", F.size("base").alias("n"), F.get("base", F.size("base") - 1)["start"].alias("s")).collect()}
+    assert got == {0: (0, None), 1: (200_000, 199_999 * 17)}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs, ratio=ratio).collect()}
+    assert masked[0] == texts[0] and masked[1] == "[SECRET] é " * 200_000
+    assert time.time() - began < 60
+    docs.unpersist()
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "see token=abcdefgh, é token=abcdefghij", "mine", 5, "x")], "doc_id int, text string, base string, found int, _more string")
+    assert [tuple(r) for r in secret_scan.redact(docs, ratio=[0.0] * len(secret_scan.ALPHABET) ** 2).collect()] == [(1, "see [SECRET], é [SECRET]", "mine", 5, "x")]
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    text = "x password=" + "0123456789abcdef" * 3 + "api_key=zzzzzzzzz y"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert secret_scan.redact(docs, ratio=[0.0] * len(secret_scan.ALPHABET) ** 2).first().text == "x [SECRET] y"
+
+
 def test_redaction(docs):
     got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert got[13] == "[SECRET]\" end" and got[7] is None and got[6] == ""
