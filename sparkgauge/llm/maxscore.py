@@ -6,30 +6,35 @@ over the threshold is non-essential.  Essential postings are traversed; the othe
 probed only for rows that are still competitive, a few terms at a time, while the threshold
 rises.  Shards are merged at the end.  Pruning is strict, so ties are kept and the result is exact.
 
-Rows whose vector is null or holds null or non-finite components take no part.  Ids are taken
-as unique: a row is no candidate for a query of its own id; repeated rows of another id are
-all candidates.  Fewer than k candidates are all returned; empty tables give no rows.
+Shards and blocks of queries are about as large as a task can hold, so the rows travel once for each
+``BLOCK_QUERIES`` queries and the queries once for each ``SHARD_ROWS`` rows, as 16-bit integers
+where all components fit: an exact search cannot do with fewer meetings than it has such pairs.
+
+Rows whose vector is null or holds null or non-finite components take no part, nor do rows without
+an id.  Rows that share an id are one item with several vectors: it is no candidate for itself,
+and is found once, with its best score.  Fewer than k candidates are all returned; empty tables
+give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import finite, search
+from .blocks import as_bytes, finite, of_batch, one_a_group, search
 
 SHARD_ROWS = 4_096
-LEAST_SHARDS = 48
-BLOCK_QUERIES = 1_024
+BLOCK_QUERIES = 4_096
 PROBE_TERMS = 8
 
 
-def best_of_shard(query_ids, queries, ids, rows, k) -> pd.DataFrame:
+def best_of_shard(query_ids, queries, ids, rows, k):
     """MaxScore within a shard; all numbers are integers held exactly in doubles."""
-    order = ids.argsort(kind="stable")
-    ids, postings = ids[order], np.ascontiguousarray(rows[order].T)  # one posting list a term, by id
+    ids, rows, starts = one_a_group(ids, rows)
+    several = len(starts) < len(ids)
+    postings = np.ascontiguousarray(rows.T)  # one posting list a term, by id
     low, high = postings.min(1), postings.max(1)
     out_q, out_i, out_s = [], [], []
     for qid, q in zip(query_ids, queries):
@@ -41,6 +46,8 @@ def best_of_shard(query_ids, queries, ids, rows, k) -> pd.DataFrame:
         few = np.flatnonzero(~own)[: 8 * k]
         if not len(few):
             continue
+        if several:  # of each item one vector, so that k bounds are those of k items
+            few = few[np.isin(few, starts)]
         seed = q @ postings[:, few]
         base = least.sum()
         at_least = (np.partition(seed, len(seed) - k)[-k] if len(seed) >= k else -np.inf) - base
@@ -52,20 +59,23 @@ def best_of_shard(query_ids, queries, ids, rows, k) -> pd.DataFrame:
         partial = partial[alive]
         at = essential
         while at < len(terms) and len(alive):
-            if len(partial) > k:
+            if len(partial) > k and not several:
                 at_least = max(at_least, np.partition(partial, len(partial) - k)[-k])
                 keep = partial + rest[at] >= at_least
                 alive, partial = alive[keep], partial[keep]
             chosen = terms[at : at + PROBE_TERMS]
             partial = partial + q[chosen] @ postings[np.ix_(chosen, alive)] - least[chosen].sum()
             at += PROBE_TERMS
-        top = np.lexsort((ids[alive], -partial))[:k]
+        top = np.lexsort((ids[alive], -partial))
+        if several:
+            top = top[np.sort(np.unique(ids[alive][top], return_index=True)[1])]
+        top = top[:k]
         out_q.append(np.full(len(top), qid))
         out_i.append(ids[alive[top]])
         out_s.append(partial[top] + base)
     if not out_q:
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_i), "score": np.rint(np.concatenate(out_s)).astype(np.int64)})
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(out_q), np.concatenate(out_i), np.rint(np.concatenate(out_s)).astype(np.int64)
 
 
 def topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -73,9 +83,18 @@ def topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str
 
     is_query: condition on ``id`` that states the query set.
     """
-    rows = finite(vectors, id_col, vector_col).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
-    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    rows = finite(vectors, id_col, vector_col)
+    n, n_queries, most = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    kind = "<i2" if (most or 0) * scale + 1 < 2**15 else "<f8"
+    least = vectors.sparkSession.sparkContext.defaultParallelism  # a shard a core at least
+    shards, blocks = max(least, -(-n // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
+
+    def scaled(batches):
+        for batch in batches:
+            v = np.floor(of_batch(batch.column(1)) * scale)
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_bytes(v, kind)], ["id", "v"])
+
+    rows = rows.mapInArrow(scaled, f"id {rows.schema['id'].dataType.simpleString()}, v binary")
     candidates = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = (
         rows.where(is_query)
@@ -83,4 +102,4 @@ def topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str
         .withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     )
-    return search(candidates, queries, best_of_shard, k, "long")
+    return search(candidates, queries, best_of_shard, k, "long", kind)
