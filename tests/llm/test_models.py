@@ -144,11 +144,10 @@ def test_language_model_is_a_distribution(spark):
 
 
 def test_exchange_raises_likelihood():
-    texts = [[b"a", b"x", b"a", b"y"], [b"b", b"x", b"b", b"y"]] * 20
-    words = [b"a", b"b", b"x", b"y"]
-    of = brown_lm.exchange(texts, words, classes=2)
+    bigrams = np.array([(0, 2, 40), (2, 0, 20), (0, 3, 20), (1, 2, 40), (2, 1, 20), (1, 3, 20)])  # a and b stand before x and y
+    of = brown_lm.exchange(*bigrams.T, 4, classes=2)
     assert of[0] == of[1] != of[2] == of[3]
-    assert len(brown_lm.exchange([], [], 2)) == 0
+    assert len(brown_lm.exchange(*np.zeros((3, 0), np.int64), 0, 2)) == 0
 
 
 def test_gains_are_differences_of_likelihood():
@@ -179,21 +178,105 @@ def test_gains_are_differences_of_likelihood():
         assert np.allclose(got[w, :8] - got[w, 0], np.array(want) - want[0], atol=1e-6)
 
 
-def test_whole_vocabulary_is_clustered(spark):
-    """Words outside the sample (in texts over its bound) get their class by exchange, not by their ending."""
+def test_gains_of_joining():
+    """Words without a class yet: the likelihood of the matrix with them, for each class."""
+    rng = np.random.default_rng(5)
+    words, side = 12, brown_lm.SIDE
+    of = np.append(rng.integers(0, 5, words), brown_lm.END)
+    pairs = rng.poisson(0.9, (words + 1, words + 1)).astype(float)
+    big = np.zeros((side, side))
+    np.add.at(big, (of[:, None], of[None]), pairs)
+    right, left = rng.poisson(0.8, words + 1), rng.poisson(0.8, words + 1)
+    counts = np.concatenate([np.bincount(of, right, side), np.bincount(of, left, side)]).astype(np.int64)
+    slot = np.flatnonzero(counts)
+    got = brown_lm.gains(None, np.zeros(len(slot), np.int64), slot, counts[slot], np.array([3]), big)
+    want = []
+    for k in range(brown_lm.CLASSES):
+        new = big.copy()
+        new[k] += counts[:side]
+        new[:, k] += counts[side:]
+        new[k, k] += 3
+        want.append(brown_lm.likelihood(new))
+    assert np.allclose(got[0] - got[0, 0], np.array(want) - want[0], atol=1e-6)
+
+
+def brute_neighbours(texts, core):
+    """Each word's n and its counts of core neighbours."""
+    place = {w: i for i, w in enumerate([*core, "\n"])}
+    out = {}
+    for t in texts:
+        ws = ["\n", *t.split(), "\n"]
+        for i in range(1, len(ws) - 1):
+            n, near = out.setdefault(ws[i], [0, Counter()])
+            out[ws[i]][0] += 1
+            for other, shift in ((ws[i + 1], 0), (ws[i - 1], brown_lm.BEFORE)):
+                if other in place:
+                    near[place[other] + shift] += 1
+    return out
+
+
+def test_neighbour_counts(spark, monkeypatch):
+    """Slices, batches and split counts add up to the counts of the whole corpus."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(50)], rng.integers(0, 60))) for _ in range(200)] + ["x " * 900, ""]
+    monkeypatch.setattr(brown_lm, "SLICE_TOKENS", 300)
+    monkeypatch.setattr(brown_lm, "MOST_TIMES", 7)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select(F.col("text").cast("binary").alias("text"))
+    core = ["w1", "w2", "x"]
+    got = {bytes(r.word).decode(): (r.n, dict(zip(r.code, r.times)), r.core) for r in brown_lm.neighbours(docs, [w.encode() for w in core]).collect()}
+    assert got == {w: (n, dict(near), core.index(w) if w in core else -1) for w, (n, near) in brute_neighbours(texts, core).items()}
+
+
+def test_every_word_is_clustered(spark, monkeypatch):
+    """Words beyond the core, in long texts, get their class by exchange and not by their ending."""
     rng = np.random.default_rng(3)
     nouns, verbs = ([f"{x}{i}" for i in range(300)] for x in "nv")
     line = lambda: " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(6000))
     rows = [(i, line()) for i in range(4)] + [(i, "a b") for i in range(10, 20)]
-    assert all(len(t) > brown_lm.SAMPLE_BYTES for i, t in rows if i < 4)
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
-    start = brown_lm.fit_classes(docs)
-    counts = brown_lm.corpus_counts(docs)
-    words, big = brown_lm.clustered(*counts, start, 6)
-    of = {r.word: r["class"] for r in words.collect()}
-    assert big.sum() == sum(len(t.split()) + 1 for _, t in rows)
-    assert set(of) == {*nouns, *verbs, "a", "b", "\n"}
-    first, before = brown_lm.clustered(*counts, start, 0)
-    was = {r.word: r["class"] for r in first.collect()}
-    mixed = lambda of: sum(of[v] == of[w] for v in nouns for w in verbs)
-    assert brown_lm.likelihood(big) > brown_lm.likelihood(before) and mixed(of) < mixed(was)
+    monkeypatch.setattr(brown_lm, "CORE_WORDS", 120)
+    monkeypatch.setattr(brown_lm, "SEED_WORDS", 60)
+    model = brown_lm.clustered(docs)
+    of = {bytes(r.word).decode(): r["class"] for r in model.words.collect()}
+    counts = {bytes(r.word).decode(): r.n for r in model.words.collect()}
+    tokens = Counter(w for _, t in rows for w in [*t.split(), "\n"])
+    assert counts == tokens and of["\n"] == brown_lm.END
+    mixed = sum(of[v] == of[w] for v in nouns for w in verbs) / 300**2
+    alike = sum(of[v] == of[w] for v in nouns for w in nouns) / 300**2
+    assert mixed < 0.02 < alike
+
+
+def brute_score(rows, classes):
+    """log10 probabilities from the definition, given classes and counts of the training words."""
+    words = {bytes(r.word): (r["class"], r.n) for r in classes.words.collect()}
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    moves, end = np.zeros((brown_lm.SIDE, brown_lm.SIDE)), brown_lm.END
+    seqs = []
+    for (_, t), h in zip(rows, held):
+        ws = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))]
+        ks = [end, *(words[w][0] if w in words else classes.endings(w) for w in ws), end]
+        seqs.append((ws, ks))
+        if not h:
+            for a, b in zip(ks, ks[1:]):
+                moves[a, b] += 1
+    types, total = np.zeros(brown_lm.SIDE), np.zeros(brown_lm.SIDE)
+    for k, n in words.values():
+        types[k] += 1
+        total[k] += n
+    out = []
+    for ws, ks in seqs:
+        x = sum(math.log10((moves[a, b] + 1) / (moves[a].sum() + brown_lm.SIDE)) for a, b in zip(ks, ks[1:]))
+        x += sum(math.log10((words.get(w, (0, 0))[1] + 1) / (total[k] + types[k] + 1)) for w, k in zip(ws, ks[1:]))
+        out.append(x)
+    return out
+
+
+def test_score_is_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(brown_lm, "HOT_WORDS", 5)
+    monkeypatch.setattr(brown_lm, "CORE_WORDS", 8)
+    made = []
+    clustered = brown_lm.clustered
+    monkeypatch.setattr(brown_lm, "clustered", lambda *a: made.append(clustered(*a)) or made[-1])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in brown_lm.score(docs).collect())
+    assert got == sorted((str(i), round(x, 6)) for (i, _), x in zip(rows, brute_score(rows, made[0])))
