@@ -7,11 +7,11 @@ NumPy against a table of known pairs; only words with an incompatible pair are m
 exactly, by merge rank.
 
 The vocabulary file gives everything (tokens, merges, special tokens, splitting pattern); it is
-read on each worker from ``path``, never copied.  Texts are cut at special tokens and white
-space, words are normalised (NFC, lower case by character) and split by the pattern, in every
-script; the fixed values below name the characters that the vocabulary's own library knows from
-another Unicode version than Python does.  No tokenizer library is called.  Recent words are
-remembered in caches of bounded size, so a worker's memory does not grow with its input.
+read on each worker from ``path``, never copied.  Texts are cut at special tokens, normalised
+(NFC, lower case by character) and split into words by the pattern, in every script; the fixed
+values below name the characters that the vocabulary's own library knows from another Unicode
+version than Python does.  No tokenizer library is called.  Recent words are remembered in a
+cache of bounded size, so a worker's memory does not grow with its input.
 
 Null texts count as empty: no tokens.  Long texts are encoded whole.  Repeated rows stay
 repeated; null ids stay null; an empty table gives no rows; other columns are ignored.
@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import string
+import re
 import unicodedata
 from array import array
 
@@ -70,19 +70,19 @@ def _class(ranges: str) -> str:
 
 AT_STARTERS = regex.compile(f"([{_class(STARTERS)}])")
 LOWER_LATER = {c: c + add for first, last, add in LATER_CAPITALS for c in range(first, last + 1)}
-#: Characters that str.split takes for white space and the vocabulary does not.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
-SPACES = regex.compile(r"\s+")
+#: Texts without these need no normalising but lower case, and have the letters and numbers of LATIN only.
+BEYOND_LATIN = regex.compile("[^\\x00-\\x7f\\xa0-\u017f\u2010-\u2027\u2030-\u205e]")
+LATIN = {r"\p{L}": "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\\t-\\r \xa0"}
 
 
-def normal(word: str) -> str:
-    """NFC and lower case of a word, as the vocabulary's library does them."""
-    if AT_STARTERS.search(word):
-        word = "".join([unicodedata.normalize("NFC", x) for x in AT_STARTERS.split(word)])
+def normal(text: str) -> str:
+    """NFC and lower case of a text, as the vocabulary's library does them."""
+    if AT_STARTERS.search(text):
+        text = "".join([unicodedata.normalize("NFC", x) for x in AT_STARTERS.split(text)])
     else:
-        word = unicodedata.normalize("NFC", word)
+        text = unicodedata.normalize("NFC", text)
     # by character: no rule for a letter's place in its word
-    return "".join(map(str.lower, word)).translate(LOWER_LATER)
+    return "".join(map(str.lower, text)).translate(LOWER_LATER)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -105,6 +105,10 @@ class Vocabulary:
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        latin = pattern
+        for kind, inside in LATIN.items():  # all stand inside character classes
+            latin = latin.replace(kind, inside)
+        self.latin = re.compile(latin)
         for kind, later in (("L", NO_LETTERS), ("N", NO_NUMBERS)):
             pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{_class(later)}]]")
         self.pieces = regex.compile("(?V1)" + pattern)
@@ -199,51 +203,36 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocab = Vocabulary(path)
-        self.words: Recent = Recent(CACHE_WORDS)  # white-space-free word -> ids
-        self.cuts: Recent = Recent(CACHE_WORDS)  # piece in stand-in letters -> ids
+        self.cuts: Recent = Recent(CACHE_WORDS)  # word, as the pattern splits them -> ids
         self.pair_keys = np.zeros(0, np.int64)
         self.pair_good = np.zeros(0, bool)
         self.failed = self.tried = 0
 
-    def _pieces(self, word: str) -> list[str]:
-        """The vocabulary's pieces of a white-space-free word, in stand-in letters."""
-        v = self.vocab
-        if word.isascii():
-            low = word.lower()
-            core = low.rstrip(string.punctuation)
-            if core.isalpha():  # letters, and perhaps punctuation behind them: what the pattern does there
-                return [core, low[len(core) :]] if len(core) < len(low) else [low]
-            return [_stand_in(p, v) for p in v.pieces.findall(low)]
-        return [_stand_in(p, v) for p in v.pieces.findall(normal(word))]
-
-    def prepare(self, words) -> dict[str, bytes]:
+    def split(self, text: str) -> list[str]:
+        """The vocabulary's words of a text without special tokens, normalised."""
+        if BEYOND_LATIN.search(text):
+            return self.vocab.pieces.findall(normal(text))
+        return self.vocab.latin.findall(text.lower())
+
+    def prepare(self, new: list[str]) -> dict[str, bytes]:
         """Cut words: speculate, verify all pairs together, mend failures."""
-        pieces = {w: self._pieces(w) for w in words}
-        cuts = self.cuts
-        new = cuts.missing({p for ps in pieces.values() for p in ps})
-        fresh = {}
-        if new:
-            guess = [self.vocab.speculated(p) for p in new]
-            size = np.fromiter(map(len, guess), np.int64, len(guess))
-            flat = np.fromiter((i for g in guess for i in g), np.int64, int(size.sum()))
-            ends = size.cumsum()
-            inside = np.ones(len(flat), bool)
-            inside[ends - 1] = False  # no pair starts at a word's last token
-            at = np.flatnonzero(inside)
-            good = self._pairs_good((flat[at] << 20) | flat[at + 1])
-            bad = np.unique(np.searchsorted(ends, at[~good], side="right"))
-            self.tried += len(new)
-            self.failed += len(bad)
-            for k in bad.tolist():
-                guess[k] = self.vocab.merged(new[k])
-            fresh = {p: array("I", g).tobytes() for p, g in zip(new, guess)}
-            cuts.update(fresh)
-        out = {w: cuts[ps[0]] if len(ps) == 1 else b"".join([cuts[p] for p in ps]) for w, ps in pieces.items()}
-        for p in fresh:
-            if len(p) > LONG_WORD:
-                del cuts[p]
-        cuts.turn()
-        return out
+        if not new:
+            return {}
+        letters = [w if w.isascii() and w.isalpha() else _stand_in(w, self.vocab) for w in new]
+        guess = [self.vocab.speculated(w) for w in letters]
+        size = np.fromiter(map(len, guess), np.int64, len(guess))
+        flat = np.fromiter((i for g in guess for i in g), np.int64, int(size.sum()))
+        ends = size.cumsum()
+        inside = np.ones(len(flat), bool)
+        inside[ends - 1] = False  # no pair starts at a word's last token
+        at = np.flatnonzero(inside)
+        good = self._pairs_good((flat[at] << 20) | flat[at + 1])
+        bad = np.unique(np.searchsorted(ends, at[~good], side="right"))
+        self.tried += len(new)
+        self.failed += len(bad)
+        for k in bad.tolist():
+            guess[k] = self.vocab.merged(letters[k])
+        return {w: array("I", g).tobytes() for w, g in zip(new, guess)}
 
     def _pairs_good(self, keys: np.ndarray) -> np.ndarray:
         """Look all pairs up in the sorted table of known ones; judge each new pair once."""
@@ -264,29 +253,25 @@ class Encoder:
             self.pair_keys, self.pair_good = keys_all[order], np.concatenate([self.pair_good, judged])[order]
         return good[back]
 
-    def _split(self, text: str) -> list[str]:
-        return SPACES.split(text) if SEPARATORS.search(text) else text.split()
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        special, words = self.vocab.special, self.words
+        special, cuts = self.vocab.special, self.cuts
         split = []
         for t in texts:
             if self.vocab.at_special and self.vocab.at_special.search(t):
                 parts = self.vocab.at_special.split(t)  # every second part is a special token
-                split.append([w for i, x in enumerate(parts) for w in ([x] if i % 2 else self._split(x)) if w])
-                words.update((x, array("I", [special[x]]).tobytes()) for x in parts[1::2])
+                split.append([w for i, x in enumerate(parts) for w in ([x] if i % 2 else self.split(x))])
+                cuts.update((x, array("I", [special[x]]).tobytes()) for x in parts[1::2])  # no word reads like one
             else:
-                split.append(self._split(t))
-        fresh = self.prepare(words.missing({w for s in split for w in s if w}))
-        words.update(fresh)
-        words[""] = b""
-        get = words.__getitem__
+                split.append(self.split(t))
+        fresh = self.prepare(cuts.missing(set().union(*split)))
+        cuts.update(fresh)
+        get = cuts.__getitem__
         out = [b"".join(map(get, s)) for s in split]
         for w in fresh:
             if len(w) > LONG_WORD:
-                del words[w]
-        words.turn()
+                del cuts[w]
+        cuts.turn()
         return out
 
     @property

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Recent, id_hash, text_slices, worker_state
+from .shared import Recent, cuts, id_hash, text_slices, worker_state
 
 SAMPLE_TOXIC = 2_000
 SAMPLE_CLEAN = 3_000
@@ -230,20 +230,28 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return chosen.toPandas().sort_values("_id")
 
 
-def marks(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` features toxic documents hold far more often than clean ones.
-
-    (doc, feature) lists each feature of a document once.
-    """
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    of_toxic = toxic[doc] == 1
-    a = np.bincount(feature[of_toxic], minlength=n).astype(float)
-    b = np.bincount(feature[~of_toxic], minlength=n).astype(float)
+def marks(in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features toxic documents hold far more often than clean ones, from counts of documents."""
+    a, b, n1, n0 = in_toxic.astype(float), in_clean.astype(float), n_toxic, n_clean
     e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
     gain = a * np.log(np.maximum(a, 1) / np.maximum(e1, 1e-12)) + b * np.log(np.maximum(b, 1) / np.maximum(e0, 1e-12))
     return (a >= 3) & (gain >= 9) & (a / n1 >= 8 * (b + 0.5) / n0)
 
 
+def holders(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, of_feature: np.ndarray, per_word: np.ndarray, n: int) -> np.ndarray:
+    """Documents of either kind (clean, toxic) that hold each of n features, some documents at a time."""
+    out, begin, ends = np.zeros((2, n), np.int64), per_word.cumsum() - per_word, sizes.cumsum()
+    for start, stop in cuts(sizes, 100_000):
+        words = flat[int(ends[start - 1]) if start else 0 : int(ends[stop - 1])]
+        held = np.unique(np.repeat(np.arange(stop - start), sizes[start:stop]) * len(per_word) + words)  # (document, word)
+        doc, word = held // len(per_word), held % len(per_word)
+        many = per_word[word]
+        at = np.arange(many.sum()) - np.repeat(many.cumsum() - many, many) + np.repeat(begin[word], many)
+        held = np.unique(np.repeat(doc, many) * n + of_feature[at])  # (document, feature)
+        np.add.at(out, (toxic[start + held // n], held % n), 1)
+    return out
+
+
 def numbered(texts) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Distinct words by number, the texts' words as numbers, and each text's length in words."""
     words: dict[str, int] = {}
@@ -271,14 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         of_feature.extend(fs)
     every, of_feature = np.unique(np.array(of_feature, np.int64), return_inverse=True)
     per_word = np.array(per_word, np.int64)
-    of_word, begin = np.repeat(np.arange(len(names)), per_word), per_word.cumsum() - per_word
-    held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(names) + flat)  # (document, word)
-    held_doc, held_word = held // len(names), held % len(names)
-    many = per_word[held_word]
-    at = np.arange(many.sum()) - np.repeat(many.cumsum() - many, many) + np.repeat(begin[held_word], many)
-    held = np.unique(np.repeat(held_doc, many) * len(every) + of_feature[at])  # (document, feature)
-    strong = marks(held // len(every), held % len(every), toxic, len(every))
-    del held, held_doc, held_word, many, at
+    of_word = np.repeat(np.arange(len(names)), per_word)
+    held = holders(flat, sizes, toxic, of_feature, per_word, len(every))
+    strong = marks(held[1], held[0], int(toxic.sum()), int((1 - toxic).sum()))
     strong_word = np.bincount(of_word, strong[of_feature], len(names)) > 0
     y = (strong_word[flat] & np.repeat(toxic == 1, sizes)).astype(float)
 
