@@ -2,12 +2,16 @@
 
 Two sets of sizes |A| <= |B| with Jaccard similarity of at least 0.8 differ in at most
 k = |A| / 4 elements.  Sizes fall into bands (powers of two).  A band partitions the feature
-domain into more parts than the sets of the band can differ in, so two similar sets agree on
-some non-empty part.  A signature is the content of one part.  Parts have one order in a band;
-before the first part on which two similar sets agree, every part that either of them fills
-is one where they differ, so it is enough that a set of size n signs its first n // 4 + 1
-non-empty parts.  Sets near the lower edge of a band also sign in the band below.  Thus no
-link is lost, whatever the partition.
+domain in two levels: into groups, and each group into ``SECOND`` parts.  A group is bad if the
+sets differ in two of its parts or more, so at most k / 2 groups are bad.  In any other group they agree
+on all parts but one at most: for each part a signature is the content of the group's other
+parts, and one of these subsets of parts is common to both sets.  Groups have one order in a band,
+and a set signs its groups in that order until n // 8 + 1 of them have two filled parts or more:
+one of those is not bad, both sets have come that far when the first such group is reached, and
+what they agree on there is not empty.  Bands below ``SUBSETS`` features have one part a group and no subsets to choose
+from: there a set signs its first n // 4 + 1 non-empty parts.  Sets near the lower edge of a band
+also sign in the band below.  Thus no link is lost, whatever the partition, as long as a set fills
+so many groups; features are hashed, so it does by ten standard deviations and more.
 
 The partition only decides the work.  Features that a bounded sample shows to be common
 (boilerplate, passages, large groups of near copies) go to parts of their own at the end of
@@ -31,13 +35,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, sample_ids, slices, worker_state, written
+from .shared import Recent, discard, sample_ids, text_slices, worker_state, written
 
 WORDS = 5
 PERCENT = 80
@@ -47,42 +51,39 @@ COMMON_LEAST = 4
 COMMON_MOST = 1_000_000
 BITMAP_LONGS = 16
 FILTER_BITS = 1 << 24
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Bands of smaller sets have one part a feature.
 SMALL = 32
+#: Bands from this size on enumerate subsets of SECOND parts.
+SUBSETS = 512
+SECOND = 3
 
 # Odd multipliers that mix bits: a Weyl sequence of the golden ratio's fraction.
 GOLDEN = 0x9E3779B97F4A7C15
 MIX = [np.uint64((GOLDEN * (2 * i + 1)) & (2**64 - 1)) for i in range(64)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * MIX[3]
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit features of a text."""
-    words = text.lower().split() if text else []  # on bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = worker_state("shingles", _Hashes)
-    if len(hashes) > CACHE_WORDS:
-        hashes.clear()
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    h = _mix(h)
-    width = min(n, len(h))
-    out = np.full(len(h) - width + 1, np.uint64(width))
-    for k in range(width):
-        out += h[k : len(h) - width + 1 + k] * MIX[4 + k % 32]
-    return np.unique(_mix(out))
+def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit features of each text."""
+    split = [t.lower().split() for t in texts]  # on bytes: A-Z and ASCII white space only
+    hashes = worker_state("shingles", lambda: Recent(CACHE_WORDS))
+    hashes.update((w, xxhash.xxh3_64_intdigest(w)) for w in hashes.missing(set().union(*split)))
+    get, out = hashes.__getitem__, []
+    for words in split:
+        h = _mix(np.fromiter(map(get, words), np.uint64, len(words)))
+        width = min(n, len(h))
+        grams = np.full(len(h) - width + 1 if width else 0, np.uint64(width))
+        for k in range(width):
+            grams += h[k : len(h) - width + 1 + k] * MIX[4 + k % 32]
+        out.append(np.unique(_mix(grams)))
+    hashes.turn()
+    return out
 
 
 def bitmap(features: np.ndarray) -> np.ndarray:
@@ -103,6 +104,37 @@ def parts(band: int) -> int:
     return 3 * low // 5 + 2 * math.isqrt(low) + 4 if low >= SMALL else 1 << 61
 
 
+def groups(band: int) -> int:
+    """Groups of a band that enumerates subsets; about three quarters of them get two filled parts."""
+    return 3 * (1 << band) // 10
+
+
+def of_parts(part: np.ndarray, content: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of single parts, and whether each lies in a common part."""
+    part, content = part[: n // 4 + 1], content[: n // 4 + 1]
+    return content ^ (part * MIX[41]), part >> np.uint64(62) != 0
+
+
+def of_subsets(part: np.ndarray, content: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of each group's subsets of parts that leave one part out, and whether each is common."""
+    late, place = part >> np.uint64(62), part & np.uint64((1 << 62) - 1)
+    group = place // np.uint64(SECOND) | late << np.uint64(62)
+    begins = np.concatenate([[True], group[1:] != group[:-1]])
+    at, group = begins.cumsum() - 1, group[begins]
+    filled = np.bincount(at, minlength=len(group))
+    enough = np.flatnonzero((filled >= 2).cumsum() == n // 8 + 1)
+    held = np.zeros((len(group), SECOND), np.uint64)
+    there = np.zeros((len(group), SECOND), bool)
+    column = (place % np.uint64(SECOND)).astype(np.int64)
+    held[at, column] = _mix(content ^ (part * MIX[41]))
+    there[at, column] = True
+    signs = (held.sum(1, dtype=np.uint64)[:, None] - held) ^ (group[:, None] * MIX[39]) ^ (np.arange(SECOND, dtype=np.uint64) * MIX[38])
+    valid = filled[:, None] > there  # some other part is filled
+    if len(enough):
+        valid[enough[0] + 1 :] = False
+    return signs[valid], np.broadcast_to(group[:, None] >> np.uint64(62) != 0, valid.shape)[valid]
+
+
 def signatures(features: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, whether each lies in a common part) of one set."""
     n = len(features)
@@ -113,14 +145,16 @@ def signatures(features: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np
     inside = at < len(common)
     is_common[inside] = common[at[inside]] == features[inside]
     for b in [band] + [band - 1] * (band > 0 and n * PERCENT <= 100 * ((1 << band) - 1)):
-        part = ((features >> np.uint64(1)) % np.uint64(parts(b))) | (is_common.astype(np.uint64) << np.uint64(62))
+        subsets = 1 << b >= SUBSETS
+        part = ((features >> np.uint64(1)) % np.uint64(SECOND * groups(b) if subsets else parts(b))) | (is_common.astype(np.uint64) << np.uint64(62))
         order = part.argsort(kind="stable")
         part = part[order]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        content = np.add.reduceat(_mix(features[order]) * MIX[40], first)[: n // 4 + 1]
-        part = part[first][: n // 4 + 1]
-        out.append(_mix(content ^ (part * MIX[41]) ^ MIX[42 + b % 20]))
-        late.append(part >> np.uint64(62) != 0)
+        content = np.add.reduceat(_mix(features[order]) * MIX[40], first)
+        part = part[first]
+        signs, is_late = (of_subsets if subsets else of_parts)(part, content, n)
+        out.append(_mix(signs ^ MIX[42 + b % 20]))
+        late.append(is_late)
     return np.concatenate(out).view(np.int64), np.concatenate(late)
 
 
@@ -128,13 +162,13 @@ def common_features(source: DataFrame, n: int) -> np.ndarray:
     """Features that several documents of a bounded sample share, sorted; of bounded number."""
     some = source.join(F.broadcast(sample_ids(source, "doc_id", SAMPLE_DOCS)), "doc_id", "left_semi").select("text")
 
-    def run(frames):
-        for pdf in frames:
-            sets = [shingles(t, n) for t in pdf["text"].drop_duplicates()]
-            if sets:
-                yield pd.DataFrame({"f": np.concatenate(sets).view(np.int64)})
+    def run(batches):
+        for batch in batches:
+            for _, texts in text_slices(batch.column(0)):
+                found = shingle_sets(list(set(texts)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["f"])
 
-    counts = some.mapInPandas(run, "f long").groupBy("f").count().where(F.col("count") >= COMMON_LEAST)
+    counts = some.mapInArrow(run, "f long").groupBy("f").count().where(F.col("count") >= COMMON_LEAST)
     top = counts.orderBy(F.desc("count"), "f").limit(COMMON_MOST).select("f").toPandas()["f"]
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
@@ -143,23 +177,25 @@ def signed(source: DataFrame, n: int, common: np.ndarray) -> DataFrame:
     """One row a document: n_shingles, a digest of its set, and its bitmap and signatures."""
     shared = source.sparkSession.sparkContext.broadcast(common)
 
-    def run(frames):
-        for pdf, start, texts in ((pdf, *x) for pdf in frames for x in slices(pdf["text"])):
-            sets = [shingles(t, n) for t in texts]
-            signs = [signatures(s, shared.value) if len(s) else (np.zeros(0, np.int64), np.zeros(0, bool)) for s in sets]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"].iloc[start : start + len(texts)].array,
-                    "n_shingles": [len(s) for s in sets],
-                    "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "bits": [bitmap(s) for s in sets],
-                    "cold": [s[~late] for s, late in signs],
-                    "hot": [s[late] for s, late in signs],
-                }
-            )
+    def run(batches):
+        for batch in batches:
+            for start, texts in text_slices(batch.column(1)):
+                sets = shingle_sets(texts, n)
+                signs = [signatures(s, shared.value) if len(s) else (np.zeros(0, np.int64), np.zeros(0, bool)) for s in sets]
+                made = [
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([bitmap(s) for s in sets], LONGS),
+                    pa.array([s[~late] for s, late in signs], LONGS),
+                    pa.array([s[late] for s, late in signs], LONGS),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *made], ["doc_id", "n_shingles", "digest", "bits", "cold", "hot"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, n_shingles long, digest binary, bits array<long>, cold array<long>, hot array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bits array<long>, cold array<long>, hot array<long>")
+
+
+LONGS = pa.list_(pa.int64())
 
 
 def compared(source: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -180,15 +216,16 @@ def compared(source: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     bits[table["row"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(bits.view(np.uint64))
 
-    def run(frames):
-        for pdf in frames:
-            at = pdf["at"].to_numpy(np.int64)
-            pdf = pdf[(shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
-            for start, texts in slices(pdf["text"]):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start : start + len(texts)].array, "features": [shingles(t, n).tobytes() for t in texts]})
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            for start, texts in text_slices(batch.column(1)):
+                sets = pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), sets], ["doc_id", "features"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    sets = source.where("doc_id is not null").withColumn("at", place).mapInPandas(run, f"doc_id {kind}, features binary")
+    sets = source.where("doc_id is not null").select("doc_id", "text", place.alias("at")).mapInArrow(run, f"doc_id {kind}, features binary")
     sets = written(sets, "sets")
 
     def similar(frames):
@@ -200,11 +237,14 @@ def compared(source: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return (
+    alike = written(
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
-        .mapInPandas(similar, f"a {kind}, b {kind}")
+        .mapInPandas(similar, f"a {kind}, b {kind}"),
+        "alike",
     )
+    discard(sets)
+    return alike
 
 
 def _plausible():
@@ -222,21 +262,25 @@ def links(source: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     buckets = written(alike.unionByName(hot), "buckets")
     about = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits")
 
+    of = lambda x: about.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("b" + x))
     centre = buckets.groupBy("sig").agg(F.min("rep").alias("a"))  # combined before the shuffle
     star = buckets.join(centre, "sig").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    of = lambda x: about.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("b" + x))
-    near = star.join(of("a"), "a").join(of("b"), "b").where(_plausible()).select("a", "b")
-    found = written(compared(source, written(near, "near"), n), "found")
+    near = written(star.join(of("a"), "a").join(of("b"), "b").where(_plausible()).select("a", "b"), "near")
+    found = compared(source, near, n)
+    discard(near)
 
+    # sizes and bitmaps go with the rows of mixed buckets only
     known = components(found)
-    rows = buckets.join(about, "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = buckets.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    rows = written(rows.join(mixed, "sig", "left_semi"), "mixed")
+    rows = written(rows.join(mixed, "sig", "left_semi").join(about, "rep"), "mixed")
     left = rows.select("sig", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = rows.select("sig", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     on = (left.sig == right.sig) & (F.col("ca") < F.col("cb")) & _plausible()
-    rest = left.join(right, on).select("a", "b").distinct()
-    more = written(compared(source, written(rest, "rest"), n), "more")
+    rest = written(left.join(right, on).select("a", "b").distinct(), "rest")
+    more = compared(source, rest, n)
+    for t in (buckets, rows, rest):
+        discard(t)
     return found.unionByName(more)
 
 
@@ -251,7 +295,8 @@ def join(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str
     discard(rows)
     of = components(links(source, reps, n))
     classes = reps.select("digest", F.col("doc_id").alias("rep")).join(of.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("digest", F.coalesce("component", "rep").alias("component"))
+    classes = written(classes.select("digest", F.coalesce("component", "rep").alias("component")), "classes")
+    discard(reps)
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return members.join(classes, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
@@ -259,8 +304,13 @@ def join(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str
 def keep_one(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id.
 
-    Of rows that share an id one stays; rows without an id all stay.
+    Of rows that share an id the one stays whose text has the smallest digest, then the smallest
+    of the rows as JSON; rows without an id all stay.  Only rows of repeated ids are sorted; whole
+    texts travel only where Spark has to shuffle for the anti-join.
     """
     gone = join(docs, n, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = docs.join(written(gone, "gone"), id_col, "left_anti")  # rows without an id match nothing
+    repeated = written(docs.groupBy(id_col).agg(F.count("*").alias("_n")).where(F.col(id_col).isNotNull() & (F.col("_n") > 1)).select(id_col), "repeated")
+    order = Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    several = kept.join(repeated, id_col, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(several.select(docs.columns))

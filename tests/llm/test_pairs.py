@@ -100,6 +100,32 @@ def test_similar_sets_share_a_signature(base, changes, seed):
         assert 4 * apart <= min(len(a), len(b))  # the bitmap never rules a link out
 
 
+def test_similar_large_sets_share_a_subset():
+    """Bands that enumerate subsets of parts, at the threshold, over both bands and with common features."""
+    rng = np.random.default_rng(7)
+    for n in (520, 640, 1000, 1030, 1100, 2000, 5000):
+        for trial in range(20):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            k = len(a) // 9 if trial % 2 else 0  # swap k elements, or add a quarter
+            b = np.unique(np.concatenate([rng.permutation(a)[k:], rng.integers(0, 2**63, k if k else len(a) // 4).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= 80 * (len(a) + len(b) - both)
+            common = np.sort(rng.permutation(a)[: len(a) // (2 + trial % 5)])
+            sa, sb = (ngram_join.signatures(x, common) for x in (a, b))
+            assert np.intersect1d(sa[0], sb[0]).size
+            assert len(sa[0]) == len(sa[1]) < 1.25 * len(a)  # near a band's lower edge in two bands
+    other = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    assert not np.intersect1d(ngram_join.signatures(a, common)[0], ngram_join.signatures(other, common)[0]).size
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "g h i j k l", "y"), (1, "g h i j k l", "x"), (2, "a b c d e f", "z"), (None, "m", "n"), (None, "m", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    first = sorted(tuple(map(str, r)) for r in ngram_join.keep_one(df).collect())
+    assert first == sorted(tuple(map(str, r)) for r in ngram_join.keep_one(df.repartition(7)).collect())
+    assert [r[0] for r in first].count("1") == 1 and [r[0] for r in first].count("None") == 2
+
+
 def test_join_query_matches_sql(spark, duck):
     got = queries.op10_ngram_join(spark, SMALL).toPandas()
     assert rows(got) == rows(duck.execute(queries.ORACLE_SQL["op10_ngram_join"]).df())
@@ -165,6 +191,35 @@ def test_neighbours_of_little(spark):
     assert learned_ann.nearest(few.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_items_of_several_vectors(spark):
+    """Rows that share an id are one item; columns of other names do not matter."""
+    rows = [(0, [1.0, 0.0], 1), (0, [0.0, 2.0], 1), (1, [0.5, 0.0], 2), (1, [0.5, 0.0], 2), (2, [0.0, 0.25], 3), (2, [0.25, 0.0], 3), (None, [9.0, 9.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = learned_ann.nearest(df, F.col("id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 0.5), (2, 0.5)]
+    got = maxscore.topk(df, F.col("id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 256 * 128), (2, 512 * 64)]
+
+
+def clusters(spark, n, centres, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 16)) + 6 * rng.normal(size=(centres, 16))[rng.integers(0, centres, n)]
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), list(enumerate(x.tolist()))
+
+
+def test_parts_prune_and_grow(spark, monkeypatch):
+    """Clustered vectors: high recall with a small share of the rows scored, also when parts are cut again."""
+    df, data = clusters(spark, 4000, 40)
+    want = exact(data, 400, 20, lambda a, b: float(a @ b))
+    for part_rows in (8_192, 60):
+        monkeypatch.setattr(learned_ann, "PART_ROWS", part_rows)
+        report = {}
+        got = learned_ann.nearest(df, F.col("id") % 400 == 0, report=report).toPandas()
+        hit = sum(len(set(g.vec_id) & {-j for _, j in want[q]}) for q, g in got.groupby("query_id"))
+        assert hit >= 0.9 * 20 * len(want) and report["scored"] <= 0.3
+        assert (report["parts"] > 32) == (part_rows == 60)
+
+
 def test_recall_of_query(spark):
     got = queries.op2_learned_ann(spark, SMALL).toPandas()
     e = spark.read.parquet(f"{SMALL}/embeddings.parquet").toPandas()
