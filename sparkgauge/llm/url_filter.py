@@ -5,9 +5,10 @@ subdomains, ``^`` stands for a separator or the end, ``*`` for anything.  Every
 filed under the one of its literal tokens that the URLs at hand use least.  A URL
 fetches the rules filed under its own tokens; only those run their regular expression.
 
-The rule list is a parameter of at most ``MAX_RULES`` rules, so the index is a literal of
-proven size inside the projection and the whole filter is one map-only stage; only the
-token counts (one row per rule token) are aggregated.
+Up to ``LITERAL_RULES`` rules the index is a literal inside the projection, a table of hash slots,
+so a token costs one look-up whatever the number of rules, and the whole filter is one map-only
+stage; only the token counts (one row per rule token) are aggregated.  A longer list is a
+table: distinct URLs meet it by a join on tokens, and the verdicts are joined back by URL.
 
 Null and empty URLs, and those without ``://``, get empty host and path, no rule and the
 default verdict.  Repeated rows stay repeated; other columns of the input are kept, except
@@ -16,7 +17,9 @@ that ``host``, ``path``, ``rule``, ``method_rule`` and ``verdict`` are replaced.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower
 
-MAX_RULES = 10_000
+LITERAL_RULES = 10_000
+RULE = "struct<token:string,text:string,regex:string,verdict:string,host_rule:boolean>"
 
 SEPARATOR = r"(?:[^a-z0-9_.%-]|$)"
 
@@ -102,39 +106,63 @@ def url_tokens(url: Column) -> Column:
 
 def rule_index(pages: DataFrame, rules, url_col: str = "url") -> dict[str, list[Rule]]:
     """Rarest token -> rules. Counts come from all URLs; one row a rule token reaches the driver."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are indexed")
     bare = [r.text for r in rules if not r.tokens]
     if bare:
         raise ValueError(f"rules without a whole literal token: {bare}")
     wanted = sorted({t for r in rules for t in r.tokens})
-    counts = dict(
-        pages.select(F.explode(url_tokens(F.col(url_col))).alias("token"))
-        .where(F.col("token").isin(wanted))
-        .groupBy("token")
-        .count()
-        .collect()
-    )
+    slots = slot_table({t: [t] for t in wanted}, "array<array<string>>")
+    known = lambda t: F.array_contains(slot(slots, t, len(wanted)), t)
+    tokens = F.filter(url_tokens(F.col(url_col)), known)
+    counts = dict(pages.select(F.explode(tokens).alias("token")).groupBy("token").count().collect())
     index: dict[str, list[Rule]] = {}
     for r in rules:
         index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(r)
     return index
 
 
-def _literal(r: Rule) -> Column:
-    return F.struct(
-        F.lit(r.text).alias("text"), F.lit(r.regex).alias("regex"), F.lit(r.verdict).alias("verdict"), F.lit(r.host_rule).alias("host_rule")
-    )
+def n_slots(n: int) -> int:
+    return 1 << max(1, (2 * n).bit_length())
+
+
+def slot_table(entries: dict[str, list], kind: str) -> Column:
+    """Entries by hash slot of their token, as one literal."""
+    slots = [[] for _ in range(n_slots(len(entries)))]
+    for token, values in sorted(entries.items()):
+        slots[zlib.crc32(token.encode()) % len(slots)] += values
+    return F.from_json(F.lit(json.dumps(slots)), kind)
+
+
+def slot(table: Column, token: Column, n: int) -> Column:
+    """The slot of a token in a table of n entries."""
+    return F.get(table, F.pmod(F.crc32(token), F.lit(n_slots(n))).cast("int"))
+
+
+def _entry(token: str, r: Rule) -> dict:
+    return {"token": token, "text": r.text, "regex": r.regex, "verdict": r.verdict, "host_rule": r.host_rule}
+
+
+def fetched_by_join(pages: DataFrame, index: dict[str, list[Rule]], url_col: str) -> DataFrame:
+    """``_fetched`` of each page by a join of distinct URLs' tokens with a table of rules."""
+    spark = pages.sparkSession
+    rules = spark.createDataFrame([tuple(_entry(t, r).values()) for t, rs in index.items() for r in rs], "token string, text string, regex string, verdict string, host_rule boolean")
+    urls = pages.select(F.col(url_col).alias("_url")).distinct()
+    asked = urls.select("_url", F.explode(url_tokens(F.col("_url"))).alias("token"))
+    found = asked.join(rules, "token").groupBy("_url").agg(F.collect_list(F.struct("token", "text", "regex", "verdict", "host_rule")).alias("_fetched"))
+    joined = pages.join(found, F.col(url_col) == F.col("_url"), "left").drop("_url")
+    return joined.withColumn("_fetched", F.coalesce("_fetched", F.array().cast(f"array<{RULE}>")))
 
 
 def filter_urls(pages: DataFrame, rules=BASE_RULES + PATTERN_RULES, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule (host rules only), method_rule (any) and verdict."""
     index = rule_index(pages, rules, url_col)
     host, path = url_parts(F.col(url_col))
-    lookup = F.create_map(*[x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(_literal, rs)))])
-    none = F.array().cast("array<struct<text:string,regex:string,verdict:string,host_rule:boolean>>")
-    fetched = F.flatten(F.transform(url_tokens(F.col(url_col)), lambda t: F.coalesce(F.element_at(lookup, t), none)))
-    out = pages.withColumns({"host": host, "path": path, "_fetched": fetched})
+    if len(rules) <= LITERAL_RULES:
+        table = slot_table({t: [_entry(t, r) for r in rs] for t, rs in index.items()}, f"array<array<{RULE}>>")
+        own = lambda t: F.filter(slot(table, t, len(index)), lambda r: r.token == t)
+        out = pages.withColumn("_fetched", F.flatten(F.transform(url_tokens(F.col(url_col)), own)))
+    else:
+        out = fetched_by_join(pages, index, url_col)
+    out = out.withColumns({"host": host, "path": path})
     fits = F.filter(
         "_fetched",
         lambda r: F.when(r.host_rule, F.rlike(F.concat("host", "path"), r.regex)).otherwise(

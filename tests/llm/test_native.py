@@ -153,6 +153,26 @@ def test_url_rules(spark):
     assert got == urls
 
 
+def test_thousands_of_rules(spark, monkeypatch):
+    """A literal index and a join of tokens give the same, and both what a scan of all rules gives."""
+    rules = url_filter.BASE_RULES + url_filter.PATTERN_RULES + tuple(url_filter.Rule(f"||site{i}.org^", "block" if i % 2 else "allow") for i in range(3000)) + tuple(url_filter.Rule(f"/p{i}/*.zip^", "block") for i in range(2000))
+    urls = [f"http://a.site{i * 7 % 4000}.org/p{i % 2500}/x.{'zip' if i % 3 else 'gz'}" for i in range(300)] + [None, "", "http://x.net/", "http://x.net/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    direct = {r.page_id: (r.method_rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+    monkeypatch.setattr(url_filter, "LITERAL_RULES", 100)
+    assert direct == {r.page_id: (r.method_rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+
+    def brute(u):
+        at = (u or "").find("://")
+        rest = (u or "")[at + 3 :] if at >= 0 else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        fits = [r for r in rules if re.search(r.regex, host.lower() + path if r.host_rule else u or "")]
+        best = min(fits, key=lambda r: (not r.host_rule, -len(r.text), r.text), default=None)
+        return (best.text, best.verdict) if best else (None, "allow")
+
+    assert direct == {i: brute(u) for i, u in enumerate(urls)}
+
+
 def test_url_query_matches_sql(spark, duck):
     got = queries.op9_url_filter(spark, SMALL).toPandas()
     assert rows(got) == rows(duck.execute(queries.ORACLE_SQL["op9_url_filter"]).df())
