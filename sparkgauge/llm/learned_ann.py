@@ -174,7 +174,7 @@ def fit(rows: DataFrame, k: int) -> Router:
     counts = dict(routed.groupBy("part").count().collect())  # one row a part
     large = {p: n for p, n in counts.items() if n > PART_ROWS}
     if large:
-        share = F.create_map(*[F.lit(v) for p, n in large.items() for v in (p, int(min(1.0, SAMPLE_ROWS / n) * (2**63 - 1)))])
+        share = F.create_map(*[F.lit(v) for p, n in large.items() for v in (p, min(2**63 - 1, int(min(1.0, SAMPLE_ROWS / n) * 2**63)))])
         some = routed.where(F.col("part").isin(list(large)) & (F.shiftrightunsigned(F.xxhash64("id", F.lit(2)), 1) <= F.element_at(share, F.col("part"))))
 
         def cut(pdf: pd.DataFrame) -> pd.DataFrame:
