@@ -93,13 +93,18 @@ def without_noise(text: Column, language: str) -> Column:
     return F.regexp_replace(text, LANGUAGES[language].noise, " ")
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def code_measures(text: Column, language: str) -> Column:
-    """Map of measure to count of one language."""
+    """Map of measure to count of one language; comments and strings are taken out once."""
     spec = LANGUAGES[language]
-    bare = without_noise(text, language)
-    pairs = [x for m, p in spec.measures.items() for x in (F.lit(m), F.regexp_count(bare, F.lit(p)))]
-    pairs += [x for m, p in spec.raw.items() for x in (F.lit(m), F.regexp_count(text, F.lit(p)))]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
+    raw = [x for m, p in spec.raw.items() for x in (F.lit(m), F.regexp_count(text, F.lit(p)))]
+    if not spec.measures:
+        return F.create_map(*raw) if raw else F.create_map().cast("map<string,int>")
+    return once(without_noise(text, language), lambda bare: F.create_map(*[x for m, p in spec.measures.items() for x in (F.lit(m), F.regexp_count(bare, F.lit(p)))], *raw))
 
 
 def analyzed(files: DataFrame, language: str = "language", text: str = "text") -> DataFrame:
@@ -124,10 +129,8 @@ def _sql_words(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, SQL_NOISE, " "))
 
 
-def sql_measures(text: Column) -> Column:
-    """Statements by kind, joins, common tables, windows, subqueries and transactions of SQL text."""
-    bare = _sql_words(text)
-    count = lambda p: F.regexp_count(bare, F.lit(p))
+def sql_measures(text: Column, names=None) -> Column:
+    """Statements by kind, joins, common tables, windows, subqueries and transactions of SQL text; all, or those named."""
     ddl = r"\b(?:CREATE(?:\s+(?:OR|REPLACE|ALTER|TEMP|TEMPORARY|UNIQUE))*|ALTER|DROP|TRUNCATE)\s+"
     pairs = {
         "tables": ddl + r"TABLE\b", "views": ddl + r"(?:MATERIALIZED\s+)?VIEW\b", "indexes": ddl + r"INDEX\b", "sequences": ddl + r"SEQUENCE\b", "types": ddl + r"(?:TYPE|DOMAIN)\b",
@@ -135,7 +138,8 @@ def sql_measures(text: Column) -> Column:
         "joins": r"\bJOIN\b", "ctes": r"\bWITH\s+(?:RECURSIVE\s+)?\w+\s*(?:\([^)]*\)\s*)?AS\s*\(", "window-functions": r"\bOVER\s*\(", "subqueries": r"\(\s*SELECT\b", "transactions": r"\bBEGIN\s+TRAN(?:SACTION)?\b|\bSTART\s+TRANSACTION\b",
         "statements": r"[^;\s][^;]*(?:;|$)", "integration-signals": r"\b(?:DBLINK|OPENQUERY|OPENROWSET|FOREIGN)\b",
     }
-    return F.create_map(*[x for m, p in pairs.items() for x in (F.lit(m), count(p))])
+    wanted = {m: p for m, p in pairs.items() if names is None or m in names}
+    return once(_sql_words(text), lambda bare: F.create_map(*[x for m, p in wanted.items() for x in (F.lit(m), F.regexp_count(bare, F.lit(p)))]))
 
 
 def sql_dialect(text: Column) -> Column:

@@ -28,7 +28,7 @@ def inspected(files: DataFrame, content: str = "content") -> DataFrame:
     feeds = F.regexp_count(as_text, F.lit("\n"))
     odd = F.regexp_count(as_text, F.lit(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]"))
     size = F.octet_length(body)
-    bom = as_text.rlike(r"^(\xEF\xBB\xBF|\xFF\xFE|\xFE\xFF)")
+    bom = as_text.rlike(r"^(\xEF\xBB\xBF|\xFF\xFE|\xFE\xFF|\x00\x00\xFE\xFF)")
     return files.withColumns(
         {
             "bytes": size.cast("long"),
@@ -44,7 +44,7 @@ def decoded(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 4))
     tail = lambda n: F.substring(content, n + 1, 1 << 30)
     return (
-        F.when(head == "FFFE0000", F.decode(tail(4), "UTF-32"))
+        F.when(head.isin("FFFE0000", "0000FEFF"), F.decode(content, "UTF-32"))  # reads the mark itself
         .when(head.startswith("FFFE"), F.decode(tail(2), "UTF-16LE"))
         .when(head.startswith("FEFF"), F.decode(tail(2), "UTF-16BE"))
         .when(head.startswith("EFBBBF"), F.decode(tail(3), "UTF-8"))
@@ -148,3 +148,63 @@ def source_complexity(methods: Column, branches: Column, asyncs: Column) -> Colu
         .when((branches / m < 0.12) & (asyncs / m < 0.08), "routine")
         .otherwise("moderate")
     )
+
+
+def scope_precedence(candidates: DataFrame, key: list[str], rank: str, tie: str) -> DataFrame:
+    """Scopes by precedence: of several candidates of one key the one of the lowest rank stays, then the smallest ``tie``."""
+    rest = [c for c in candidates.columns if c not in key]
+    return candidates.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(rank, tie)).alias("_s")).select(*key, "_s.*")
+
+
+def derived_scopes(facts: DataFrame, repo: str = "repo") -> DataFrame:
+    """(repo, ecosystem, scope, directory, role) from scope-bearing facts, one for each ecosystem and scope.
+
+    Projects come before packages, these before repository-wide front ends, ecosystem packages and
+    stand-alone SQL; a repository without any gets a fallback at its root.
+    """
+    kind, tags, fact = F.col("kind"), F.coalesce("tags", F.array().cast("array<string>")), F.col("id")
+    tag = lambda name: tag_value(tags, name + ":")
+    has = lambda t: F.array_contains(tags, t)
+    eco = F.coalesce(tag("ecosystem"), F.lit("common"))
+    folder = F.regexp_replace(F.regexp_replace("scope", r"/?[^/]*\.[a-z]+proj$", ""), "^$", ".")
+    of = lambda rank, ecosystem, role, directory: F.struct(F.lit(rank).alias("rank"), ecosystem.alias("ecosystem"), role.alias("role"), directory.alias("directory"))
+    found = (
+        F.when((kind == "dotnet-project") & fact.startswith("dotnet:project:"), of(0, F.lit("dotnet"), F.coalesce(tag("project-role"), F.lit("project")), folder))
+        .when((kind == "javascript-package") & fact.startswith("javascript:package:"), of(1, F.lit("javascript"), F.coalesce(tag("package-role"), F.lit("package")), F.col("scope")))
+        .when((kind == "javascript-package") & (fact == "javascript:repository") & has("frontend-assets:present"), of(2, F.lit("javascript"), F.coalesce(tag("package-role"), F.lit("web-ui")), F.lit(".")))
+        .when((kind == "ecosystem-package") & has("scope:analyzed"), of(3, eco, F.coalesce(tag("package-role"), F.lit("package")), F.col("scope")))
+        .when((kind == "sql-repository") & has("scope:standalone"), of(4, F.lit("sql"), F.lit("data"), F.lit(".")))
+    )
+    rows = facts.select(repo, "scope", "id", found.alias("_f")).where("_f is not null").select(repo, "scope", "id", "_f.*")
+    named = scope_precedence(rows, [repo, "ecosystem", "scope"], "rank", "id")
+    bare = facts.select(repo).distinct().join(named.select(repo).distinct(), repo, "left_anti")
+    root = bare.select(repo, F.lit("common").alias("ecosystem"), F.lit(".").alias("scope"), F.lit(9).alias("rank"), F.lit("fallback").alias("id"), F.lit("fallback").alias("role"), F.lit(".").alias("directory"))
+    return named.unionByName(root).drop("rank")
+
+
+def exact_or_prefix_scope(facts: DataFrame, scopes: DataFrame, key: list[str], path: str = "path", scope: str = "scope", directory: str = "directory") -> DataFrame:
+    """``owner``: the scope a fact names itself if there is one of its key, else that of the deepest directory above its path.
+
+    key: columns that scope and fact must share, the ecosystem say.  Facts keep their rows; none fits: null.
+    """
+    named = scopes.select(*key, F.col(scope), F.col(scope).alias("_exact")).distinct()
+    rows = facts.withColumn("_row", F.monotonically_increasing_id()).join(named, [*key, scope], "left")
+    up = rows.where("_exact is null").select("_row", *key, F.explode(F.transform(ancestors(F.col(path)), lambda d: F.when(d == "", ".").otherwise(d))).alias("_dir"))
+    held = scopes.select(*key, F.col(directory).alias("_dir"), F.col(scope).alias("_scope"))
+    deep = up.join(held, [*key, "_dir"]).groupBy(*key, "_row").agg(F.max_by("_scope", F.struct(F.when(F.col("_dir") == ".", -1).otherwise(F.length("_dir")), F.col("_scope"))).alias("_deep"))
+    return rows.join(deep, [*key, "_row"], "left").withColumn("owner", F.coalesce("_exact", "_deep")).drop("_row", "_exact", "_deep")
+
+
+def structure_factors(files: DataFrame, scopes: DataFrame, key: list[str]) -> DataFrame:
+    """By scope: analyzed, production and canonical production files, and the factor that production-only and whole structures take.
+
+    files: key, path, is_test, duplicate_key (null for none); scopes: key, is_test.  A duplicate is
+    canonical once, at its smallest path.  A scope without analyzed files has factor 0 for tests, else 1.
+    """
+    first = files.where("duplicate_key is not null").groupBy("duplicate_key").agg(F.min("path").alias("_first"))
+    rows = files.join(first, "duplicate_key", "left").withColumn("_canonical", F.col("_first").isNull() | (F.col("_first") == F.col("path")))
+    made = ~F.col("is_test")
+    sums = rows.groupBy(*key).agg(F.count("*").alias("analyzed"), F.count_if(made).alias("production"), F.count_if(made & F.col("_canonical")).alias("canonical"))
+    out = scopes.select(*key, F.col("is_test").alias("_test")).join(sums, key, "left").na.fill(0, ["analyzed", "production", "canonical"])
+    over = lambda n: F.when(F.col("analyzed") == 0, F.when(F.col("_test"), 0.0).otherwise(1.0)).otherwise(F.coalesce(F.col("canonical") / F.nullif(F.col(n), F.lit(0)), F.lit(0.0)))
+    return out.select(*key, "analyzed", "production", "canonical", F.round(over("analyzed"), 6).alias("factor"), F.round(over("production"), 6).alias("production_factor"), (F.col("canonical") < F.col("production")).alias("has_duplicates"))

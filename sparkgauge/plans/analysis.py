@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analyzers, classify, facts
+from ..operators import analyzers, classify, facts, stats
 from ..sources import table
 from .registry import query
 
@@ -34,7 +34,7 @@ def page_files(spark, sf_dir):
 
 @query(f"""
 SELECT page_id, path, CASE WHEN path LIKE 'vendor/%' THEN 'vendored' WHEN path LIKE '%.min.%' THEN 'minified' WHEN path LIKE 'generated/%' THEN 'generated' WHEN path LIKE 'coverage/%' THEN 'coverage'
-  WHEN path LIKE '%yarn.lock' THEN 'dependency-lock' WHEN path LIKE 'tests/%' OR path LIKE '%.test.%' THEN 'test' WHEN path LIKE 'docs/%' OR path LIKE '%readme.md' THEN 'documentation'
+  WHEN path LIKE '%yarn.lock' THEN 'dependency-lock' WHEN (path LIKE 'tests/%' AND path NOT LIKE '%Dockerfile') OR path LIKE '%.test.%' THEN 'test' WHEN path LIKE 'docs/%' OR path LIKE '%readme.md' THEN 'documentation'
   WHEN path LIKE '.github/workflows/%' THEN 'ci-configuration' WHEN path LIKE '%Dockerfile' THEN 'container-configuration' WHEN path LIKE '%k8s/%' THEN 'infrastructure' WHEN path LIKE '%.png' THEN 'binary'
   WHEN path LIKE '%setup.py' THEN 'package-manifest' WHEN path LIKE '%.csproj' THEN 'project' WHEN path LIKE '%.sln' THEN 'solution' WHEN path LIKE '%makefile' THEN 'build-configuration'
   WHEN path LIKE '%.cs' OR path LIKE '%.go' THEN 'source' WHEN path LIKE '%.yml' THEN 'configuration' ELSE 'other' END AS role FROM {PATH_SQL}
@@ -126,8 +126,8 @@ def sql_keyword_metrics(spark, sf_dir):
     kinds = F.when(k % 3 == 0, "select * from a join b on a.x = b.x; ").when(k % 3 == 1, "insert into t select 'drop table' from (select 1); ").otherwise("with c as (select 1) update t set x = 1; ")
     tail = F.when(k % 4 == 0, "create or replace view v as select row_number() over (order by x) from t;").otherwise("/* delete */")
     text = F.concat(F.lit("-- create table t\nCREATE TABLE a"), k, F.lit(" (id int); "), kinds, tail)
-    m = analyzers.sql_measures(F.col("text"))
     names = ("tables", "views", "queries", "data-modifications", "joins", "ctes", "window-functions", "subqueries")
+    m = analyzers.sql_measures(F.col("text"), names)
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).withColumn("m", m)
     return rows.select("o_orderkey", *[F.element_at("m", F.lit(n)).cast("long").alias(n.replace("-", "_")) for n in names])
 
@@ -142,13 +142,10 @@ def markup_metrics(spark, sf_dir):
     return rows.select("page_id", *[F.element_at("m", F.lit(n)).cast("long").alias(n) for n in ("elements", "forms", "images", "inputs")])
 
 
-@query(r"""
-SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, '\w+|[^\s\w]'), chr(1))) AS signature FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z .,\n]', '', 'g') AS text FROM documents)
-""")
+@query(None)
 def formatting_signatures(spark, sf_dir):
-    """Digests of tokens, blind to white space; over letters, points and commas only, where all languages agree."""
-    plain = F.regexp_replace("text", r"[^A-Za-z .,\n]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", analyzers.formatting_signature(plain).alias("signature"))
+    """Digests of whole texts' tokens, blind to white space; held against brute force in the tests."""
+    return table(spark, sf_dir, "documents").select("doc_id", analyzers.formatting_signature(F.col("text")).alias("signature"))
 
 
 @query("""
@@ -158,11 +155,121 @@ SELECT vec_id, neighbour, distance FROM (SELECT *, row_number() OVER (PARTITION
 """)
 def embedding_nearest(spark, sf_dir):
     """Nearest profile of another label, by cosine; the asked rows are a stated set of each 25th."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    norm = lambda e: F.sqrt(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x * x))
-    v = v.withColumn("n", norm(F.col("e")))
-    a = v.where("vec_id % 25 = 0").select("vec_id", "label", F.col("e").alias("ae"), F.col("n").alias("an"))
-    b = v.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("bl"), F.col("e").alias("be"), F.col("n").alias("bn"))
-    dot = F.aggregate(F.zip_with("ae", "be", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = a.join(b, F.col("label") != F.col("bl")).select("vec_id", F.struct(F.round(1 - dot / (F.col("an") * F.col("bn")), 6).alias("distance"), "neighbour").alias("d"))
-    return pairs.groupBy("vec_id").agg(F.min("d").alias("d")).select("vec_id", "d.neighbour", "d.distance")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    return stats.nearest_vectors(v.where("id % 25 = 0"), v).withColumnRenamed("id", "vec_id")
+
+
+#: Every listed name, ending and directory of the classification, with the role that the rules give it.
+SAMPLES = (
+    *[(f"{d}/a.cs", "other-folder") for d in ("bin", "build", "packages", ".idea", ".gradle")],
+    *[(f"{d}/a.cs", "excluded") for d in classify.EXCLUDED_DIRECTORIES],
+    *[(f"lib/{n}", "dependency-lock") for n in classify.LOCK_NAMES],
+    *[(f"lib/{n}", "package-manifest") for n in classify.MANIFEST_NAMES],
+    *[(f"src/a{e}", "source") for e in classify.LANGUAGES if e not in (".tf", ".tfvars", ".tfbackend", ".hcl", ".bats", ".psd1")],
+    *[(f"src/a{e}", "infrastructure") for e in (".tf", ".tfvars", ".tfbackend", ".hcl", ".bicep")],
+    *[(f"img/a{e}", "binary") for e in classify.BINARY_EXTENSIONS],
+    *[(f"a/{d}/b.xyz", "vendored") for d in classify.VENDORED_SEGMENTS],
+    *[(f"a/{d}/b.cs", "test") for d in classify.TEST_SEGMENTS],
+    *[(f"x{e}", "project") for e in classify.PROJECT_EXTENSIONS],
+    *[(f"x{e}", "solution") for e in classify.SOLUTION_EXTENSIONS],
+    *[(f"cfg/x{e}", "configuration") for e in classify.CONFIG_EXTENSIONS],
+    *[(f"{d}/run.sh", use) for use, (folders, _) in classify.SCRIPT_USES.items() for d in folders],
+    *[(f"tools/{n}.sh", use) for use, (_, stems) in classify.SCRIPT_USES.items() for n in stems],
+    *[(f"db/{d}/a.sql", "generated") for d in classify.DUMP_SEGMENTS],
+    ("db/seeds/a.sql", "source"), ("src/gen/a.cs", "generated"), ("src/X.Designer.cs", "generated"), ("main.tfstate", "generated"), ("bootstrap/cache/a.php", "generated"), ("completions/a.bash", "generated"),
+    ("src/FooTest.java", "test"), ("src/footest.java", "source"), ("src/FooIT.kt", "test"), ("src/a_test.cc", "test"), ("benches/a.rs", "test"), ("x.tftest.hcl", "test"), ("tests/Dockerfile", "container-configuration"),
+    ("docker-compose.dev.yml", "container-configuration"), ("requirements-dev.txt", "build-configuration"), ("a/.cargo/config.toml", "build-configuration"), ("webpack.config.js", "build-configuration"), ("m.psd1", "build-configuration"),
+)
+#: Which samples are listed only for what they are not: no directory of these names is left out.
+KEPT = {"other-folder": "source", "excluded": None}
+
+
+def sample_paths(spark):
+    rows = [(p, r) for p, r in SAMPLES if KEPT.get(r, r)]
+    return spark.createDataFrame([(p, KEPT.get(r, r)) for p, r in rows], "path string, role string").coalesce(1)
+
+
+def _values(rows):
+    return "(VALUES " + ", ".join("(" + ", ".join("'" + str(x) + "'" for x in r) + ")" for r in rows) + ")"
+
+
+@query(f"SELECT path, role FROM {_values(sorted({(p, KEPT.get(r, r)) for p, r in SAMPLES if KEPT.get(r, r)}))} t(path, role)")
+def scan_roles(spark, sf_dir):
+    """Role of a path for every name, ending and directory that the classification lists."""
+    return sample_paths(spark).select("path", classify.role(F.col("path")).alias("role")).distinct()
+
+
+@query(f"SELECT path, reason FROM {_values([(f'a/{d}/b.cs', r) for d, r in classify.EXCLUDED_DIRECTORIES.items()] + [('.yarn/cache/x', 'tool-cache'), ('.nuget/packages/y', 'tool-cache')])} t(path, reason) UNION ALL SELECT path, NULL FROM {_values([(f'{d}/a.cs',) for d in ('bin', 'build', 'packages', '.idea', '.gradle', '.cache')])} t(path)")
+def exclusion_reasons(spark, sf_dir):
+    """Directories that a scan leaves out and why; others are scanned."""
+    rows = [(f"a/{d}/b.cs",) for d in classify.EXCLUDED_DIRECTORIES] + [(".yarn/cache/x",), (".nuget/packages/y",)] + [(f"{d}/a.cs",) for d in ("bin", "build", "packages", ".idea", ".gradle", ".cache")]
+    return spark.createDataFrame(rows, "path string").select("path", classify.exclusion_reason(F.col("path")).alias("reason"))
+
+
+SCRIPTS = ("tools/build.sh", "ci/run.ps1", "ops/x.sh", "release/a.bash", "x/publish.ps1", "test/a.sh", "a/run-test.sh", "misc/y.ksh", "src/a.cs", "run")
+
+
+@query(f"""SELECT page_id, ([{", ".join(f"'{x}'" for x in ('build', 'ci', 'infrastructure', 'delivery', 'delivery', 'test', 'test', 'other'))}, NULL, CASE WHEN page_id % 3 = 0 THEN 'other' END])[page_id % 10 + 1] AS use FROM pages""")
+def script_uses(spark, sf_dir):
+    """What scripts are for, by folder and name; files without an ending by their interpreter."""
+    k = F.col("page_id")
+    path = F.element_at(F.array(*map(F.lit, SCRIPTS)), (k % 10 + 1).cast("int"))
+    sample = F.when(k % 3 == 0, F.lit("#!/usr/bin/env bash\necho")).otherwise(F.lit("#!/usr/bin/python\n"))
+    return table(spark, sf_dir, "pages").select("page_id", classify.script_role(path, sample).alias("use"))
+
+
+@query("""
+WITH f AS (SELECT page_id, page_id % 9 AS k, 'p' || page_id % 40 AS dir FROM pages)
+SELECT page_id, CASE WHEN k = 0 AND dir <> 'p3' THEN dir WHEN k % 2 = 1 AND dir IN ('p5', 'p7', 'p9') THEN dir || '/deep' WHEN dir <> 'p3' THEN dir ELSE '.' END AS owner FROM f
+""")
+def exact_then_prefix(spark, sf_dir):
+    """Owning scope of facts: the one that they name, else that of the deepest directory above them."""
+    k = F.col("page_id")
+    folder = F.concat(F.lit("p"), k % 40)
+    files = table(spark, sf_dir, "pages").select("page_id", F.lit("dotnet").alias("ecosystem"), F.when(k % 9 == 0, folder).otherwise("none").alias("scope"), F.concat(folder, F.when((k % 9) % 2 == 1, "/deep/er/a.cs").otherwise("/a.cs")).alias("path"))
+    names = [f"p{i}" for i in range(40) if i != 3] + ["p5/deep", "p7/deep", "p9/deep", "."]
+    scopes = spark.createDataFrame([("dotnet", n, n) for n in names], "ecosystem string, scope string, directory string")
+    return facts.exact_or_prefix_scope(files, scopes, ["ecosystem"]).select("page_id", "owner")
+
+
+@query("""
+WITH f AS (SELECT doc_id % 200 AS scope, doc_id AS path, lang = 'de' AS is_test, CASE WHEN source = (SELECT min(source) FROM documents) THEN NULL ELSE sha256(text) END AS dup FROM documents), c AS (SELECT *, dup IS NULL OR path = min(path) OVER (PARTITION BY dup) AS canonical FROM f),
+s AS (SELECT scope, count(*) AS analyzed, count(*) FILTER (NOT is_test) AS production, count(*) FILTER (NOT is_test AND canonical) AS canonical FROM c GROUP BY 1)
+SELECT n.scope, coalesce(analyzed, 0) AS analyzed, coalesce(production, 0) AS production, coalesce(canonical, 0) AS canonical, CASE WHEN analyzed IS NULL THEN CASE WHEN n.scope % 2 = 0 THEN 0 ELSE 1 END ELSE round(canonical::DOUBLE / analyzed, 6) END AS factor,
+  CASE WHEN analyzed IS NULL THEN CASE WHEN n.scope % 2 = 0 THEN 0 ELSE 1 END ELSE coalesce(round(canonical::DOUBLE / nullif(production, 0), 6), 0) END AS production_factor, coalesce(canonical, 0) < coalesce(production, 0) AS has_duplicates FROM (SELECT unnest(range(210)) AS scope) n LEFT JOIN s ON s.scope = n.scope
+""")
+def structure_factors(spark, sf_dir):
+    """Share of canonical production files by scope, which scales its structure measures."""
+    docs = table(spark, sf_dir, "documents")
+    first = docs.agg(F.min("source").alias("_s"))
+    rows = docs.crossJoin(F.broadcast(first)).select((F.col("doc_id") % 200).alias("scope"), F.col("doc_id").alias("path"), (F.col("lang") == "de").alias("is_test"), F.when(F.col("source") != F.col("_s"), F.sha2("text", 256)).alias("duplicate_key"))  # one row
+    scopes = spark.range(210).select(F.col("id").alias("scope"), (F.col("id") % 2 == 0).alias("is_test"))
+    return facts.structure_factors(rows, scopes, ["scope"])
+
+
+@query("""
+WITH f AS (SELECT page_id % 60 AS repo, page_id % 8 AS k, 's' || page_id % 5 AS scope, page_id FROM pages WHERE page_id % 60 < 50 OR page_id % 8 = 7),
+c AS (SELECT repo, CASE WHEN k = 0 THEN 'dotnet' WHEN k IN (1, 2) THEN 'javascript' WHEN k = 3 THEN 'python' WHEN k = 4 THEN 'sql' END AS ecosystem, CASE WHEN k = 2 THEN '.' ELSE scope END AS scope, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END AS rank, CASE k WHEN 0 THEN 'web' WHEN 1 THEN 'package' WHEN 2 THEN 'web-ui' WHEN 3 THEN 'package' ELSE 'data' END AS role FROM f WHERE k <= 4),
+b AS (SELECT repo, ecosystem, scope, arg_min(role, rank) AS role FROM c GROUP BY 1, 2, 3) SELECT repo, ecosystem, scope, role FROM b UNION ALL SELECT DISTINCT repo, 'common', '.', 'fallback' FROM f WHERE repo NOT IN (SELECT repo FROM b)
+""")
+def scope_derivation(spark, sf_dir):
+    """Scopes of repositories by precedence of the facts that name them, with a root where there are none."""
+    k, page = F.col("page_id") % 8, F.col("page_id")
+    kind = F.when(k == 0, "dotnet-project").when(k.isin(1, 2), "javascript-package").when(k == 3, "ecosystem-package").when(k == 4, "sql-repository").otherwise("file")
+    ident = F.when(k == 0, F.concat(F.lit("dotnet:project:"), page)).when(k == 1, F.concat(F.lit("javascript:package:"), page)).when(k == 2, "javascript:repository").otherwise(F.concat(F.lit("x:"), page))
+    tags = F.when(k == 0, F.array(F.lit("project-role:web"))).when(k == 2, F.array(F.lit("frontend-assets:present"))).when(k == 3, F.array(F.lit("scope:analyzed"), F.lit("ecosystem:python"))).when(k == 4, F.array(F.lit("scope:standalone")))
+    scope = F.when(k == 2, ".").otherwise(F.concat(F.lit("s"), page % 5))
+    rows = table(spark, sf_dir, "pages").where("page_id % 60 < 50 or page_id % 8 = 7").select((page % 60).alias("repo"), ident.alias("id"), kind.alias("kind"), scope.alias("scope"), tags.alias("tags"))
+    return facts.derived_scopes(rows).select("repo", "ecosystem", "scope", "role")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, (['a!b.log', '!keep.log', '#x.tmp', 'sub/a.tmp', 'sub/deep/keep.tmp', 'build/x', 'sub/build/y', 'src/a.log'])[page_id % 8 + 1] AS path FROM pages)
+SELECT page_id, path, path IN ('!keep.log', '#x.tmp', 'sub/a.tmp', 'build/x', 'src/a.log', 'a!b.log') AS ignored FROM p
+""")
+def ignore_nested(spark, sf_dir):
+    """Ignore rules with escapes, and rule files of directories below the root that hold there only."""
+    names = ["a!b.log", "!keep.log", "#x.tmp", "sub/a.tmp", "sub/deep/keep.tmp", "build/x", "sub/build/y", "src/a.log"]
+    path = F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return classify.ignored(rows, ["*.log", "!!keep.log", "\\!keep.log", "\\#x.tmp", "/build/"], below={"sub": ["*.tmp"], "sub/deep": ["!keep.tmp"]})

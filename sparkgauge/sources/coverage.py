@@ -34,16 +34,19 @@ def lcov(reports: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns(out).groupBy("source").agg(*[F.sum(c).alias(c) for c in out])
 
 
-COBERTURA = "packages struct<package: array<struct<classes: struct<class: array<struct<_filename: string, lines: struct<line: array<struct<_number: long, _hits: long>>>>>>>>>"
+COBERTURA = "packages struct<package: array<struct<classes: struct<class: array<struct<_filename: string, lines: struct<line: array<struct<_number: long, _hits: long, `_condition-coverage`: string>>>>>>>>>"
 
 
 def cobertura(reports: DataFrame, text: str = "text") -> DataFrame:
-    """Per source: found and hit lines of XML reports."""
+    """Per source: found and hit lines and branches of XML reports; a line that is named again counts once, with its best."""
     doc = F.from_xml(F.col(text), COBERTURA)
     rows = reports.select(F.explode(doc["packages"]["package"]).alias("p")).select(F.explode("p.classes.class").alias("c"))
     lines = rows.select(F.col("c._filename").alias("source"), F.explode("c.lines.line").alias("l"))
-    one = lines.groupBy("source", F.col("l._number").alias("n")).agg(F.max("l._hits").alias("hits"))
-    return one.groupBy("source").agg(F.count("*").alias("lines_found"), F.count_if(F.col("hits") > 0).alias("lines_hit"))
+    of = lambda part: F.coalesce(F.regexp_extract(F.col("l.`_condition-coverage`"), r"\((\d+)/(\d+)\)", part).try_cast("long"), F.lit(0))
+    one = lines.groupBy("source", F.col("l._number").alias("n")).agg(F.max("l._hits").alias("hits"), F.max(of(1)).alias("taken"), F.max(of(2)).alias("ways"))
+    return one.groupBy("source").agg(
+        F.count("*").alias("lines_found"), F.count_if(F.col("hits") > 0).alias("lines_hit"), F.sum("ways").alias("branches_found"), F.sum("taken").alias("branches_hit")
+    )
 
 
 def by_scope(coverage: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -41,3 +41,28 @@ def rate_card(spark: SparkSession, path: str) -> DataFrame:
 def write_facts(facts: DataFrame, path: str) -> None:
     """Facts as Parquet by repository, the form that later runs prune by."""
     facts.write.mode("overwrite").partitionBy("repo_id").parquet(path)
+
+
+def buckets(spark: SparkSession, path: str) -> DataFrame:
+    """Bucket manifest: bucket, label, since, until, each once and none that ends before it begins."""
+    rows = read_json(spark, path, f"buckets array<struct<{_fields(BUCKETS)}>>").select(F.inline("buckets"))
+    rows = rows.select(F.col("id").alias("bucket"), "label", F.col("sinceInclusive").cast("timestamp_ntz").alias("since"), F.col("untilExclusive").cast("timestamp_ntz").alias("until"))
+    return _sound(rows, rows.groupBy("bucket").count().where("count > 1").select("bucket").unionByName(rows.where("until <= since").select("bucket")), "buckets")
+
+
+def capacity(spark: SparkSession, path: str) -> DataFrame:
+    """Capacity manifest: bucket, contributor, hours, one cell each and no negative hours."""
+    rows = read_json(spark, path, f"entries array<struct<{_fields(CAPACITY)}>>").select(F.inline("entries"))
+    rows = rows.select(F.col("bucketId").alias("bucket"), F.col("contributorId").alias("contributor"), "hours")
+    return _sound(rows, rows.groupBy("bucket", "contributor").count().where("count > 1").select("bucket").unionByName(rows.where("hours < 0").select("bucket")), "capacity")
+
+
+def _fields(ddl: str) -> str:
+    return ", ".join(f"{n}:{t}" for n, t in (c.split(" ", 1) for c in ddl.split(", ")))
+
+
+def _sound(rows: DataFrame, wrong: DataFrame, name: str) -> DataFrame:
+    bad = [r[0] for r in wrong.limit(5).collect()]
+    if bad:
+        raise ValueError(f"{name}: {bad}")
+    return rows

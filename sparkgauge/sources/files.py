@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ TEXT_LIMIT = 8 * 1024 * 1024
 
 
 def tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """path (relative), content, length and modification time of all files under a root."""
+    """path (relative), content, length and modification time of all files under a root, which is no link."""
+    local = root.removeprefix("file://")
+    if os.path.islink(local.rstrip("/")):
+        raise ValueError(f"{root} is a link")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -25,7 +30,7 @@ def scan(files: DataFrame, ignore: list[str] = ()) -> DataFrame:
     kept = classify.ignored(files.where(~classify.is_excluded(F.col("path"))), list(ignore)).where(~F.col("ignored")).drop("ignored")
     seen = facts.inspected(kept)
     text = F.when(~F.col("is_binary") & (F.col("bytes") <= TEXT_LIMIT), facts.decoded(F.col("content")))
-    return classify.classified(seen.withColumn("text", text).drop("content"))
+    return classify.classified(seen.withColumn("text", text).drop("content"), binary="is_binary")
 
 
 def cached_scan(files: DataFrame, cache: DataFrame, ignore: list[str] = ()) -> DataFrame:
