@@ -10,20 +10,26 @@ CATEGORIES = (
     "specification-comprehension-and-domain-learning",
     "repository-and-solution-setup",
     "architecture-and-technical-design",
-    "domain-and-application-logic",
+    "production-implementation",
     "ui-implementation-and-represented-ux-decisions",
-    "api-and-service-boundaries",
     "data-modeling-persistence-and-migrations",
     "external-integrations-and-protocols",
-    "security-and-accessibility",
     "unit-testing",
     "integration-contract-and-component-testing",
     "end-to-end-and-ui-testing",
+    "manual-validation-debugging-and-hardening",
     "documentation",
     "build-configuration-and-developer-tooling",
     "ci-cd-and-infrastructure-as-code",
+    "security-and-accessibility",
     "packaging-deployment-and-release-artifacts",
-    "manual-validation-debugging-and-hardening",
+    "self-review-and-system-integration",
+)
+# Categories that a coherent change needs once.
+SHARED = (
+    "specification-comprehension-and-domain-learning",
+    "repository-and-solution-setup",
+    "architecture-and-technical-design",
     "self-review-and-system-integration",
 )
 COMPLEXITIES = ("routine", "moderate", "high", "exceptional")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import clamp, dec, quarter
 from ..functions.vocabulary import CHANGE_HEAVY, CHANGE_LIGHT, CHANGE_OVERHEAD, STATUS_FACTORS, choose
+from . import classify
 
 
 def snapshot_delta(base: DataFrame, head: DataFrame, key: str = "path", object_id: str = "object_id") -> DataFrame:
@@ -56,6 +57,48 @@ def path_classes(delta: DataFrame, base: DataFrame, key: str = "path", object_id
     )
 
 
+# Directories of the change classes.
+CHANGE_OUTPUT = ("obj", "bin", "dist", "out", "target", "artifacts", ".next", ".nuxt", ".svelte-kit")
+CHANGE_VENDORED = ("vendor", "third_party", "third-party", "external", "node_modules", "bower_components")
+CHANGE_LOCKS = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "packages.lock.json", "paket.lock", "composer.lock", "gemfile.lock", "poetry.lock", "cargo.lock", "go.sum")
+
+
+def change_classes(delta: DataFrame, base: DataFrame, head: DataFrame, object_id: str = "object_id") -> DataFrame:
+    """Class of each changed path by the first rule that fits its status, its tags, its paths and its objects.
+
+    delta: path, previous_path, status (moved among them), base_object, head_object, is_link (link or
+    submodule on either side), tags.  An added path is an exact duplicate if the base holds its object, a removed one
+    if the head does.
+    """
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    tag = lambda *names: F.arrays_overlap(tags, F.array(*map(F.lit, names)))
+
+    def either(test) -> Column:
+        return test(F.col("path")) | F.coalesce(test(F.col("previous_path")), F.lit(False))
+
+    folder = lambda names: lambda p: classify.has_segment(F.lower(p), names)
+    name = lambda p: classify.parts(p)["name"]
+    known = lambda df, to: df.select(F.col(object_id).alias("_object"), F.lit(True).alias(to)).distinct()
+    rows = delta.where("status <> 'unchanged'").withColumn("_object", F.coalesce("head_object", "base_object"))
+    rows = rows.join(known(base, "_in_base"), "_object", "left").join(known(head, "_in_head"), "_object", "left")
+    duplicate = ((F.col("status") == "added") & F.col("_in_base")) | ((F.col("status") == "removed") & F.col("_in_head"))
+    rules = (
+        ("exact-move", F.col("status") == "moved"),
+        ("unsupported", F.coalesce("is_link", F.lit(False)) | F.col("_object").isNull()),
+        ("vendored", tag("classification:vendored") | either(folder(CHANGE_VENDORED))),
+        ("minified", tag("classification:minified") | either(lambda p: name(p).contains(".min.") | name(p).endswith(".bundle.js"))),
+        ("binary", tag("content:binary") | classify.parts(F.col("path"))["ext"].isin(*classify.BINARY_EXTENSIONS)),
+        ("lockfile", tag("role:dependency-lock") | either(lambda p: name(p).isin(*CHANGE_LOCKS))),
+        ("build-output", either(folder(CHANGE_OUTPUT))),
+        ("exact-duplicate", F.coalesce(duplicate, F.lit(False))),
+        ("generated", tag("classification:generated", "classification:sql-dump") | either(lambda p: folder(classify.GENERATED_SEGMENTS)(p) | name(p).rlike(classify.GENERATED_NAMES))),
+    )
+    out = F.when(rules[0][1], rules[0][0])
+    for label, test in rules[1:]:
+        out = out.when(test, label)
+    return rows.select("path", "status", out.otherwise("represented").alias("class"))
+
+
 def logical_units(regions: Column) -> Column:
     return F.when(regions <= 1, 1).when(regions <= 3, 2).when(regions <= 15, 3).otherwise(4)
 
@@ -98,7 +141,8 @@ def positive_difference(base: str, head: str) -> dict[str, Column]:
 
 def normalized_lines(text: Column) -> Column:
     """Lines, trimmed, without blanks, whatever the line ends."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1), F.trim), lambda x: F.length(x) > 0)
+    bare = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\v\f")))
+    return F.filter(bare, lambda x: F.length(x) > 0)
 
 
 def anchors(base: DataFrame, head: DataFrame, key: str, text: str) -> DataFrame:
@@ -159,7 +203,9 @@ def distribute(df: DataFrame, group: list[str], order: list[str], weight: str, t
     """Share ``total`` of a group by weight, rounded; the last row of the order takes what is left."""
     w = Window.partitionBy(*group)
     run = w.orderBy(*order)
-    share = F.round((F.col(total).cast("decimal(18,4)") * F.col(weight) / F.sum(weight).over(w)).cast("decimal(28,8)"), digits).cast("decimal(18,4)")
+    # narrow enough that the quotient keeps fifteen digits
+    part, whole = (F.col(total).cast("decimal(18,4)") * F.col(weight)).cast("decimal(27,8)"), F.sum(weight).over(w).cast("decimal(16,4)")
+    share = F.round((part / whole).cast("decimal(28,8)"), digits).cast("decimal(18,4)")
     df = df.withColumns({"_share": share, "_n": F.count("*").over(w), "_i": F.row_number().over(run)})
     before = F.coalesce(F.sum("_share").over(run.rowsBetween(Window.unboundedPreceding, -1)), dec(0))
     return df.withColumn("share", F.when(F.col("_i") == F.col("_n"), F.col(total).cast("decimal(18,4)") - before).otherwise(F.col("_share")).cast("decimal(18,4)")).drop("_share", "_n", "_i")

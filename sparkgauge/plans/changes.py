@@ -104,14 +104,14 @@ def capability_delta(spark, sf_dir):
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, side, trim(unnest(string_split(t, chr(10)))) AS line FROM (
-  SELECT doc_id, 'b' AS side, text AS t FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT doc_id, 'h', replace(text, ' the ', ' ') FROM documents WHERE doc_id % 10 = 1)),
+WITH l AS (SELECT doc_id, side, trim(unnest(string_split(t, chr(10))), ' ' || chr(9) || chr(11) || chr(12)) AS line FROM (
+  SELECT doc_id, 'b' AS side, text AS t FROM documents UNION ALL SELECT doc_id, 'h', replace(text, ' the ', ' ') FROM documents)),
 u AS (SELECT doc_id, line, count(*) FILTER (side = 'b') AS nb, count(*) FILTER (side = 'h') AS nh FROM l WHERE length(line) > 0 GROUP BY 1, 2)
 SELECT doc_id, count(*) AS anchors FROM u WHERE nb = 1 AND nh = 1 GROUP BY 1
 """)
 def edit_anchor_lines(spark, sf_dir):
     """Lines that occur once in both versions of a text; an edited copy is the other version."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 1").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     head = docs.withColumn("text", F.replace("text", F.lit(" the "), F.lit(" ")))
     return change.anchors(docs, head, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("anchors"))
 
@@ -151,3 +151,28 @@ def adjustment_shares(spark, sf_dir):
     """A total shared by weight in cents; the last takes what is left."""
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.abs("c_acctbal").cast("decimal(18,2)").alias("w"), F.lit(1000).alias("total"))
     return doubles(change.distribute(rows, ["c_nationkey"], ["c_custkey"], "w", "total").select("c_nationkey", "c_custkey", "share"), "share")
+
+
+FOLDERS = ("src/", "vendor/", "a/Bin/", "gen/", "lib/", "third_party/x/", "web/")
+NAMES = ("a.cs", "b.min.js", "c.png", "yarn.lock", "d.g.cs", "e.py", "f.bundle.js", "Cargo.lock", "g.md", "h.go", "i.rs")
+NAMED = ", ".join(f"'{x}'" for x in FOLDERS), ", ".join(f"'{x}'" for x in NAMES)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, ([{NAMED[0]}])[doc_id % 7 + 1] || ([{NAMED[1]}])[doc_id % 11 + 1] AS path, CASE WHEN doc_id % 17 = 0 THEN 'moved' WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 3 = 1 THEN 'removed' ELSE 'modified' END AS status, doc_id % 23 = 0 AS link, doc_id % 29 = 0 AS tagged, sha256(text) AS o FROM documents),
+b AS (SELECT DISTINCT o FROM d WHERE doc_id % 2 = 0), h AS (SELECT DISTINCT o FROM d WHERE doc_id % 5 = 0)
+SELECT doc_id, CASE WHEN status = 'moved' THEN 'exact-move' WHEN link THEN 'unsupported' WHEN regexp_matches(path, '^(vendor|third_party)/') OR tagged THEN 'vendored' WHEN regexp_matches(path, '\\.min\\.|\\.bundle\\.js$') THEN 'minified' WHEN path LIKE '%.png' THEN 'binary' WHEN path LIKE '%.lock' THEN 'lockfile'
+  WHEN path LIKE 'a/Bin/%' THEN 'build-output' WHEN (status = 'added' AND o IN (SELECT o FROM b)) OR (status = 'removed' AND o IN (SELECT o FROM h)) THEN 'exact-duplicate' WHEN path LIKE 'gen/%' OR path LIKE '%.g.cs' THEN 'generated' ELSE 'represented' END AS class FROM d
+""")
+def change_classes(spark, sf_dir):
+    """Ten classes of changed paths, the first rule that fits."""
+    k = F.col("doc_id")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    o = F.sha2("text", 256)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(k, F.lit("/"), pick(FOLDERS), pick(NAMES)).alias("path"), o.alias("o"))
+    status = F.when(k % 17 == 0, "moved").when(k % 3 == 0, "added").when(k % 3 == 1, "removed").otherwise("modified")
+    tags = F.when(k % 29 == 0, F.array(F.lit("classification:vendored")))
+    delta = docs.select("path", F.lit(None).cast("string").alias("previous_path"), status.alias("status"), F.when(status != "added", F.col("o")).alias("base_object"), F.when(status != "removed", F.col("o")).alias("head_object"), (k % 23 == 0).alias("is_link"), tags.alias("tags"))
+    snapshot = lambda where: docs.where(where).select(F.col("o").alias("object_id"))
+    out = change.change_classes(delta, snapshot("doc_id % 2 = 0"), snapshot("doc_id % 5 = 0"))
+    return out.select(F.get(F.split("path", "/"), 0).cast("long").alias("doc_id"), "class")
