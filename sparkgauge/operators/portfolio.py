@@ -10,9 +10,16 @@ from .stats import dealt
 
 
 def duplicate_keeper(items: DataFrame, digest: str, order: list[Column]) -> DataFrame:
-    """``kept``: whether a row is the first of its digest in the order; rows without a digest are kept."""
-    w = Window.partitionBy(digest).orderBy(*order)
-    return items.withColumn("kept", F.col(digest).isNull() | (F.row_number().over(w) == 1))
+    """``kept``: whether a row is the first of its digest in the order; rows without a digest are kept.
+
+    The order's columns name a row, so the first of each digest is found by a grouped minimum, combined
+    before its shuffle, and joined back; descending columns must be numbers.
+    """
+    place = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])
+    rows = items.withColumn("_place", place)
+    first = rows.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min("_place").alias("_first"))
+    kept = F.col(digest).isNull() | (F.col("_place") == F.col("_first"))
+    return rows.join(first, digest, "left").withColumn("kept", kept).drop("_place", "_first")
 
 
 def exact_reverts(steps: DataFrame, chain: list[str], order: list[str], base: str, head: str) -> DataFrame:
@@ -28,10 +35,14 @@ def exact_reverts(steps: DataFrame, chain: list[str], order: list[str], base: st
 
 
 def opposing_effects(steps: DataFrame, id_col: str, path: str, base: str, head: str) -> DataFrame:
-    """Pairs (undone, undoing) of one path where a later step swaps an earlier one's ends."""
-    a = steps.select(path, F.col(id_col).alias("undone"), F.col(base).alias("x"), F.col(head).alias("y"))
-    b = steps.select(path, F.col(id_col).alias("undoing"), F.col(head).alias("x"), F.col(base).alias("y"))
-    return a.join(b, [path, "x", "y"]).where("undone < undoing and x <> y").select(path, "undone", "undoing")
+    """Steps that swap the ends of an earlier one of their path, each with the first that it undoes.
+
+    The first step of each path and direction is a grouped minimum; a step meets that of the other
+    direction only, so no pairs of a path's steps are listed.
+    """
+    first = steps.groupBy(path, F.col(base).alias("_y"), F.col(head).alias("_x")).agg(F.min(id_col).alias("undone"))
+    rows = steps.where(F.col(base) != F.col(head)).select(path, F.col(id_col).alias("undoing"), F.col(base).alias("_x"), F.col(head).alias("_y"))
+    return rows.join(first, [path, "_x", "_y"]).where("undone < undoing").select(path, "undone", "undoing")
 
 
 def max_merge(contributions: DataFrame, shared: list[str], unit: list[str], hours: str) -> DataFrame:
@@ -135,3 +146,19 @@ def matrix_gaps(cells: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFr
 def tolerance(isolated: Column, normalized: Column) -> Column:
     """Does the difference stay within the larger of one hour and a tenth?"""
     return F.abs(isolated - normalized) <= F.greatest(dec(1), isolated * dec("0.1"))
+
+
+def contributor_summary(rows: DataFrame, contributor: str, kind: str) -> DataFrame:
+    """Items of each contributor by kind, zero rows included, and their share of the contributor's."""
+    g = rows.groupBy(contributor, kind).agg(F.count("*").alias("_n"))
+    total = g.groupBy(contributor).agg(F.sum("_n").alias("_total"))
+    grid = total.crossJoin(F.broadcast(g.select(kind).distinct()))  # the kinds are few: the matrix is what is asked for
+    items = F.coalesce("_n", F.lit(0)).cast("long")
+    return grid.join(g, [contributor, kind], "left").select(contributor, kind, items.alias("items"), F.round(items / F.col("_total"), 6).alias("share"))
+
+
+def normalization_summary(touches: DataFrame, group: str, path: str, hours: str) -> DataFrame:
+    """Gross hours by group, those on paths touched more than once, and their share; null where nothing is gross."""
+    paths = touches.groupBy(group, path).agg(F.sum(hours).alias("_h"), F.count("*").alias("_n"))
+    sums = paths.groupBy(group).agg(F.sum("_h").cast("double").alias("gross"), F.sum(F.when(F.col("_n") > 1, F.col("_h")).otherwise(0)).cast("double").alias("rework"))
+    return sums.withColumn("rework_share", F.round(F.col("rework") / F.nullif("gross", F.lit(0.0)), 6))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, portfolio
-from ..sources import table
+from ..sources import commits, table
 from .registry import doubles, query
 
 
@@ -17,7 +17,7 @@ def duplicate_keeper(spark, sf_dir):
     """Of changes with one digest, the dearest is kept."""
     digest = F.sha2(F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority"), 256)
     rows = table(spark, sf_dir, "orders").select("o_orderkey", digest.alias("digest"), "o_totalprice")
-    return portfolio.duplicate_keeper(rows, "digest", [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "digest", "kept")
+    return portfolio.duplicate_keeper(rows, "digest", [-F.col("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "digest", "kept")
 
 
 STEPS = """steps AS (SELECT user_id, ts, event_id, (event_id * 7 % 3) AS base, (event_id * 7 + 1) % 3 AS head FROM events)"""
@@ -68,13 +68,12 @@ def largest_remainder(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT user_id, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS match_set, count(DISTINCT event_type) AS n FROM events WHERE user_id % 4 <> 0 OR event_type IN ('click', 'view') GROUP BY 1)
+WITH s AS (SELECT user_id, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS match_set, count(DISTINCT event_type) AS n FROM events GROUP BY 1)
 SELECT match_set, CASE WHEN max(n) = 1 THEN 'single' ELSE 'shared' END AS kind, count(*) AS subjects FROM s GROUP BY 1
 """)
 def match_set_groups(spark, sf_dir):
     """Subjects by the set of what they match."""
-    rows = table(spark, sf_dir, "events").where("user_id % 4 <> 0 or event_type in ('click', 'view')")
-    return portfolio.match_sets(rows, "user_id", "event_type")
+    return portfolio.match_sets(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
 @query("""
@@ -178,27 +177,19 @@ FROM t u CROSS JOIN (SELECT DISTINCT event_type FROM events) k LEFT JOIN g ON g.
 """)
 def contributor_summary(spark, sf_dir):
     """All requested contributors by kind, zero rows included."""
-    events = table(spark, sf_dir, "events")
-    g = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    kinds = g.select("event_type").distinct()
-    total = g.groupBy("user_id").agg(F.sum("n").alias("total"))
-    grid = total.crossJoin(F.broadcast(kinds))  # the handful of event types
-    items = F.coalesce("n", F.lit(0)).cast("long")
-    return grid.join(g, ["user_id", "event_type"], "left").select("user_id", "event_type", items.alias("items"), F.round(items / F.col("total"), 6).alias("share"))
+    return portfolio.contributor_summary(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
 @query("""
-WITH s AS (SELECT event_id, user_id, event_id % 5 AS base, (event_id + 1) % 5 AS head, event_id % 40 AS kind FROM events)
-SELECT a.event_id AS undone, b.event_id AS undoing FROM s a JOIN s b ON a.user_id = b.user_id AND a.base = b.head AND a.head = b.base AND a.event_id < b.event_id WHERE a.kind < 20 AND b.kind < 20
-UNION ALL SELECT a.o_orderkey, b.o_orderkey FROM (SELECT *, o_orderkey % 2 AS base FROM orders) a JOIN (SELECT *, o_orderkey % 2 AS base FROM orders) b ON a.o_custkey = b.o_custkey AND a.base = 1 - b.base AND a.o_orderkey < b.o_orderkey
+WITH s AS (SELECT event_id AS id, 'u' || user_id AS path, event_id % 5 AS base, (event_id + 1 + 3 * (event_id % 2)) % 5 AS head FROM events UNION ALL SELECT o_orderkey, 'c' || o_custkey, o_orderkey % 2, 1 - o_orderkey % 2 FROM orders)
+SELECT path, min(a.id) AS undone, b.id AS undoing FROM s b JOIN s a USING (path) WHERE a.base = b.head AND a.head = b.base AND a.id < b.id GROUP BY 1, 3
 """)
 def opposing_steps(spark, sf_dir):
-    """Pairs of steps on one path of which the later swaps the earlier one's ends."""
-    e = F.col("event_id")
-    events = table(spark, sf_dir, "events").where(e % 40 < 20).select(e.alias("id"), F.concat(F.lit("u"), "user_id").alias("path"), (e % 5).alias("base"), ((e + 1) % 5).alias("head"))
-    k = F.col("o_orderkey")
+    """Steps that swap an earlier one's ends on their path, each with the first that it undoes."""
+    e, k = F.col("event_id"), F.col("o_orderkey")
+    events = table(spark, sf_dir, "events").select(e.alias("id"), F.concat(F.lit("u"), "user_id").alias("path"), (e % 5).alias("base"), ((e + 1 + 3 * (e % 2)) % 5).alias("head"))
     orders = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("c"), "o_custkey").alias("path"), (k % 2).alias("base"), (1 - k % 2).alias("head"))
-    return portfolio.opposing_effects(events.union(orders), "id", "path", "base", "head").select("undone", "undoing")
+    return portfolio.opposing_effects(events.union(orders), "id", "path", "base", "head")
 
 
 @query("""
@@ -223,10 +214,16 @@ def alias_match(spark, sf_dir):
     """Changes of a half-open period with the contributors whose names or addresses they carry, in any case."""
     c = F.col("c_custkey")
     people = table(spark, sf_dir, "customer").select(c.alias("contributor"), F.explode(F.array("c_name", F.concat(F.lit("C"), c, F.lit("@X.ORG")))).alias("alias"))
-    k = F.col("o_custkey")
-    author = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("c"), k, F.lit("@x.org"))).otherwise(F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")))
-    made = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'1995-01-01' and o_orderdate < timestamp_ntz'1996-01-01'").select("o_orderkey", F.lower(author).alias("alias"))
-    return made.join(people.withColumn("alias", F.lower("alias")), "alias").select("o_orderkey", "contributor").distinct()
+    k, even = F.col("o_custkey"), F.col("o_orderkey") % 2 == 0
+    made = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("object_id"),
+        F.when(even, "nobody").otherwise(F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))).alias("author_name"),
+        F.when(even, F.concat(F.lit("c"), k, F.lit("@x.org"))).otherwise("none").alias("author_email"),
+        F.col("o_orderdate").cast("timestamp").alias("author_ts"),
+        F.array().cast("array<string>").alias("parents"),
+    )
+    found = commits.selected(made, people, "1995-01-01", "1996-01-01", coauthors=False)
+    return found.select(F.col("object_id").alias("o_orderkey"), "contributor")
 
 
 @query("""
@@ -236,6 +233,5 @@ SELECT l_suppkey, CAST(gross AS DOUBLE) AS gross, CAST(rework AS DOUBLE) AS rewo
 """)
 def normalization_summary(spark, sf_dir):
     """Gross hours and the share on paths that were touched more than once; null where nothing is gross."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("h"), F.count("*").alias("n"))
-    c = g.groupBy("l_suppkey").agg(F.sum("h").cast("double").alias("gross"), F.sum(F.when(F.col("n") > 1, F.col("h")).otherwise(0)).cast("double").alias("rework"))
-    return c.withColumn("rework_share", F.round(F.col("rework") / F.nullif("gross", F.lit(0.0)), 6))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("h"))
+    return portfolio.normalization_summary(rows, "l_suppkey", "l_partkey", "h")
