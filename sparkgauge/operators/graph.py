@@ -12,6 +12,8 @@ def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration by a reliable checkpoint in the session's folder."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkgauge-"))
     return df.checkpoint()
 
@@ -72,7 +74,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done = _cut(done)
         nodes = _cut(nodes.join(found, "node", "left_anti"))
         e = _cut(e.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    return done
+    return nodes.select("node", F.col("node").alias("component")) if done is None else done
 
 
 def cyclic_sizes(edges: DataFrame) -> DataFrame:

@@ -28,13 +28,18 @@ def point_metrics(rows: DataFrame, keys: list[str], reviewed: str, candidate: st
     )
 
 
-def interval_metrics(rows: DataFrame, keys: list[str], reviewed: str, low: str, high: str, digits: int = 4) -> DataFrame:
-    """Share of reviewed values within their interval, and the intervals' widths."""
+def interval_metrics(rows: DataFrame, keys: list[str], reviewed: str, low: str, high: str, digits: int = 4, reviewed_low: str | None = None, reviewed_high: str | None = None) -> DataFrame:
+    """Share of reviewed values within their interval, and the intervals' widths.
+
+    With the reviewed range's ends also how many of these ranges lie within their interval whole.
+    """
+    whole = [] if reviewed_low is None else [F.count_if((F.col(low) <= F.col(reviewed_low)) & (F.col(reviewed_high) <= F.col(high))).alias("fully_covered")]
     inside = F.col(reviewed).between(F.col(low), F.col(high))
     width = F.col(high).cast("decimal(18,4)") - F.col(low).cast("decimal(18,4)")
     return rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count_if(inside).alias("covered"),
+        *whole,
         F.round(F.count_if(inside) / F.count("*"), digits).alias("coverage"),
         F.round(F.sum(width).cast("double") / F.count("*"), digits).alias("mean_width"),
         F.round(F.sum(width).cast("double") / F.nullif(F.sum(F.col(reviewed).cast("decimal(18,4)")).cast("double"), F.lit(0.0)), digits).alias("relative_width"),
@@ -46,9 +51,15 @@ def range_status(value: Column, low: Column, high: Column) -> Column:
 
 
 def average_ranks(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1; equal values share the mean of their ranks."""
-    w = Window.partitionBy(*group)
-    return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2.0)
+    """Ranks from 1; equal values share the mean of their ranks.
+
+    Values are counted before the shuffle, their counts run up by group, and the ranks are joined back, so a group's
+    order costs its distinct values.
+    """
+    before = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*group, value).agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    ranks = counts.select(*group, value, (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(name))
+    return rows.join(ranks, [*group, value])
 
 
 def spearman(rows: DataFrame, group: list[str], x: str, y: str, digits: int = 8) -> DataFrame:
@@ -65,11 +76,14 @@ def spearman(rows: DataFrame, group: list[str], x: str, y: str, digits: int = 8)
 
 
 def nearest_rank(rows: DataFrame, group: list[str], value: str, q: float = 0.8) -> DataFrame:
-    """The ceil(q n)-th smallest value of each group."""
+    """The ceil(q n)-th smallest value of each group.
+
+    Equal values are counted before the shuffle and their counts run up by group, so a group costs its distinct values.
+    """
     w = Window.partitionBy(*group)
-    at = F.row_number().over(w.orderBy(value))
-    n = F.count("*").over(w)
-    return rows.withColumns({"_at": at, "_n": n}).where(F.col("_at") == F.ceil(F.col("_n") * F.lit(str(q)).cast("decimal(4,3)"))).select(*group, F.col(value).alias("quantile"), F.col("_n").alias("n"))
+    counts = rows.groupBy(*group, value).agg(F.count("*").alias("_c")).withColumns({"_upto": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_c").over(w)})
+    want = F.ceil(F.col("n") * F.lit(str(q)).cast("decimal(4,3)"))
+    return counts.where((F.col("_upto") >= want) & (F.col("_upto") - F.col("_c") < want)).select(*group, F.col(value).alias("quantile"), "n")
 
 
 def dealt(rows: DataFrame, value: Column, parts: int = 64) -> DataFrame:
@@ -141,13 +155,14 @@ def conditioned_intervals(rows: DataFrame, bucket: str, repo: str, value: str, l
 
 def support_levels(rows: DataFrame, repo: str, levels: list[list[str]], least: int = 3) -> DataFrame:
     """The first level of keys with enough rows in other repositories: level index and support."""
-    out = rows.withColumn("_row", F.monotonically_increasing_id())
-    for i, keys in enumerate(levels):
-        w, own = Window.partitionBy(*keys), Window.partitionBy(*keys, repo)
-        out = out.withColumn(f"_s{i}", F.count("*").over(w) - F.count("*").over(own))
+    out = rows
+    for i, keys in enumerate(levels):  # counted and joined, so a hot key is a join that can be split
+        own = rows.groupBy(*keys, repo).agg(F.count("*").alias(f"_own{i}"))
+        whole = own.groupBy(*keys).agg(F.sum(f"_own{i}").alias(f"_all{i}"))
+        out = out.join(own, [*keys, repo]).join(whole, keys).withColumn(f"_s{i}", F.col(f"_all{i}") - F.col(f"_own{i}")).drop(f"_all{i}", f"_own{i}")
     level = F.coalesce(*[F.when(F.col(f"_s{i}") >= least, F.lit(i)) for i in range(len(levels))], F.lit(len(levels) - 1))
     support = F.get(F.array(*[F.col(f"_s{i}") for i in range(len(levels))]), level)
-    return out.withColumns({"level": level, "support": support}).drop("_row", *[f"_s{i}" for i in range(len(levels))])
+    return out.withColumns({"level": level, "support": support}).drop(*[f"_s{i}" for i in range(len(levels))])
 
 
 def jaccard_distance(a: Column, b: Column) -> Column:
@@ -156,43 +171,137 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(a, b)) / union)
 
 
-def nearest_profile(profiles: DataFrame, key: str, repo: str, features: str, most_pairs: int = 50_000_000) -> DataFrame:
-    """Nearest profile of another repository: distinct profiles first, equal ones matched by key, the rest compared.
+def nearest_profile(profiles: DataFrame, key: str, repo: str, features: str, category: str | None = None, size: str | None = None, complexity: str | None = None, block: int = 2_048) -> DataFrame:
+    """Nearest profile of another repository: key, neighbour, distance.
+
+    The distance is the Jaccard distance of the feature sets; with the other columns given it is the mean of
+    four terms: another category, the sizes' difference over 8, the complexities' over 3, and Jaccard.
 
-    The comparison is of distinct profiles only and its size is bounded before it runs.
+    Distinct profiles are compared once, in pairs of blocks of bounded size; a block gives each profile
+    its two nearest of different repositories, which is enough whichever repository asks.
     """
-    kinds = profiles.groupBy(features).agg(F.collect_set(repo).alias("_repos"), F.min(F.struct(F.col(key), F.col(repo))).alias("_low"))
-    n = kinds.count()
-    if n * n > most_pairs:
-        raise ValueError(f"{n} distinct profiles make more than {most_pairs} pairs")
-    two = Window.partitionBy(features).orderBy(key)
-    first_by_repo = profiles.groupBy(features, repo).agg(F.min(key).alias(key))
-    best_two = first_by_repo.withColumn("_at", F.row_number().over(two)).where("_at <= 2")
-    asks = kinds.select(F.col(features).alias("_mine"))
-    pairs = asks.crossJoin(best_two.select(F.col(features).alias("_theirs"), F.col(repo).alias("_repo"), F.col(key).alias("neighbour")))
-    pairs = pairs.withColumn("distance", F.round(jaccard_distance(F.col("_mine"), F.col("_theirs")), 8))
-    w = Window.partitionBy("_mine", "_repo").orderBy("distance", "neighbour")
-    per_repo = pairs.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at", "_theirs")
-    joined = profiles.join(per_repo, (F.col(features) == F.col("_mine")) & (F.col(repo) != F.col("_repo")))
-    best = Window.partitionBy(key).orderBy("distance", "neighbour")
-    return joined.withColumn("_at", F.row_number().over(best)).where("_at = 1").select(key, "neighbour", "distance")
+    import numpy as np
+    import pandas as pd
+
+    terms = [c for c in (category, size, complexity) if c]
+    kind = F.to_json(F.struct(features, *terms)).alias("_kind")
+    named = profiles.select(key, repo, kind, F.col(features).alias("_set"), *[F.col(c).alias(f"_{n}") for c, n in zip((category, size, complexity), ("category", "size", "complexity")) if c])
+    attributes = [c for c in named.columns if c not in (key, repo, "_kind")]
+    holders = named.groupBy("_kind", repo).agg(F.min(key).alias(key))
+    first = holders.groupBy("_kind").agg(F.min(F.struct(F.col(key), F.col(repo))).alias("_a"))
+    second = holders.join(first, "_kind").where(F.col(repo) != F.col(f"_a.{repo}")).groupBy("_kind").agg(F.min(F.struct(F.col(key), F.col(repo))).alias("_b"))
+    known = named.groupBy("_kind").agg(*[F.first(c).alias(c) for c in attributes]).join(first, "_kind").join(second, "_kind", "left")
+    blocks = max(1, -(-known.count() // block))
+    at = F.pmod(F.xxhash64("_kind"), F.lit(blocks)).cast("int")
+    asks = known.select("_kind", *attributes, at.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_y"))
+    offers = known.select(*[F.col(c).alias(f"_o{c}") for c in attributes], F.col(f"_a.{key}").alias("_k1"), F.col(f"_a.{repo}").alias("_r1"), F.col(f"_b.{key}").alias("_k2"), F.col(f"_b.{repo}").alias("_r2"), at.alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_u"))
+    types = {f.name: f.dataType.simpleString() for f in profiles.schema}
+    schema = f"_kind string, distance double, neighbour {types[key]}, _repo {types[repo]}"
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"_kind": [], "distance": [], "neighbour": [], "_repo": []})
+        place: dict = {}
+        right = right.rename(columns={f"_o{c}": c for c in attributes})
+        for sets in (left["_set"], right["_set"]):
+            for s in sets:
+                for f in s:
+                    place.setdefault(f, len(place))
+
+        def incidence(sets):
+            m = np.zeros((len(sets), max(1, len(place))), np.float32)
+            for i, s in enumerate(sets):
+                m[i, [place[f] for f in s]] = 1
+            return m
+
+        a, b = incidence(left["_set"]), incidence(right["_set"])
+        both = (a @ b.T).astype(np.float64)
+        union = a.sum(1)[:, None] + b.sum(1)[None] - both
+        distance = np.where(union == 0, 0.0, 1 - both / np.where(union == 0, 1, union))
+        if terms:
+            column = lambda df, c: df[c].to_numpy() if c in df else np.zeros(len(df))
+            distance = distance + (column(left, "_category")[:, None] != column(right, "_category")[None])
+            distance = distance + abs(column(left, "_size")[:, None].astype(float) - column(right, "_size")[None].astype(float)) / 8
+            distance = (distance + abs(column(left, "_complexity")[:, None].astype(float) - column(right, "_complexity")[None].astype(float)) / 3) / 4
+        distance = np.round(distance, 8)
+        has = right["_k2"].notna().to_numpy()
+        of = np.concatenate([np.arange(len(right)), np.flatnonzero(has)])
+        keys = np.concatenate([right["_k1"].to_numpy(), right["_k2"].to_numpy()[has]])
+        repos = np.concatenate([right["_r1"].to_numpy(), right["_r2"].to_numpy()[has]])
+        rank = keys.argsort(kind="stable").argsort(kind="stable")
+        out = []
+        for i, name in enumerate(left["_kind"]):
+            order = np.lexsort((rank, distance[i][of]))
+            other = order[repos[order] != repos[order[0]]][:1]
+            out += [(name, distance[i][of[j]], keys[j], repos[j]) for j in (order[0], *other)]
+        return pd.DataFrame(out, columns=["_kind", "distance", "neighbour", "_repo"])
+
+    found = asks.groupBy("_x", "_y").cogroup(offers.groupBy("_u", "_v")).applyInPandas(best, schema)
+    pick = F.struct("distance", "neighbour", "_repo")
+    one = found.groupBy("_kind").agg(F.min(pick).alias("_one"))
+    two = found.join(one, "_kind").where(F.col("_repo") != F.col("_one._repo")).groupBy("_kind").agg(F.min(pick).alias("_two"))
+    answers = named.select(key, repo, "_kind").join(one, "_kind").join(two, "_kind", "left")
+    chosen = F.when(F.col("_one._repo") != F.col(repo), F.col("_one")).otherwise(F.col("_two"))
+    return answers.select(key, chosen.alias("_c")).where("_c is not null").select(key, F.col("_c.neighbour").alias("neighbour"), F.col("_c.distance").alias("distance"))
 
 
 def callable_shape(rows: DataFrame, group: list[str], value: str, limit: int) -> DataFrame:
-    """Count, nearest-rank p50 and p90, maximum, and the share of values over a limit."""
-    w = Window.partitionBy(*group)
-    at, n = F.row_number().over(w.orderBy(value)), F.count("*").over(w)
-    ranked = rows.withColumns({"_at": at, "_n": n})
-    place = lambda q: F.ceil(F.col("_n") * F.lit(q).cast("decimal(3,2)"))
-    return ranked.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.max(F.when(F.col("_at") == place("0.50"), F.col(value))).alias("p50"),
-        F.max(F.when(F.col("_at") == place("0.90"), F.col(value))).alias("p90"),
-        F.max(value).alias("largest"),
-        F.round(F.count_if(F.col(value) > limit) / F.count("*"), 6).alias("share_over"),
+    """Count, nearest-rank p50 and p90, maximum, and the share of values over a limit; a group costs its distinct values."""
+    rank = lambda q: F.expr(f"percentile_disc({q}) within group (order by {value})").cast(rows.schema[value].dataType)
+    return rows.groupBy(*group).agg(
+        F.count("*").alias("n"), rank("0.5").alias("p50"), rank("0.9").alias("p90"), F.max(value).alias("largest"), F.round(F.count_if(F.col(value) > limit) / F.count("*"), 6).alias("share_over")
     )
 
 
+def pearson(rows: DataFrame, group: list[str], a: str, b: str, digits: int = 6) -> DataFrame:
+    """Correlation of two measures by group, within [-1, 1]; null for fewer than two rows or no variance."""
+    value = F.corr(a, b)
+    value = F.when(~F.isnan(value), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), value)))
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.round(value, digits).alias("pearson"))
+
+
+def slices(rows: DataFrame, dimensions: dict[str, Column], measure: Column) -> DataFrame:
+    """Count and sum of a measure for each value of each dimension, in one pass; an array has each of its members, none is ``unknown``."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    dims = F.array(*[F.struct(F.lit(n).alias("dimension"), text(c).alias("slice")) for n, c in dimensions.items()])
+    return rows.select(F.explode(dims).alias("d"), measure.alias("_m")).groupBy("d.dimension", "d.slice").agg(F.count("*").alias("n"), F.sum("_m").alias("total"))
+
+
+def monotonic_violations(buckets: DataFrame, order: str, value: str) -> DataFrame:
+    """How many of the ordered buckets fall below the one before; one row a bucket goes through one task."""
+    before = F.lag(value).over(Window.orderBy(order))
+    return buckets.withColumn("_before", before).agg(F.count("*").alias("buckets"), F.count_if(F.col(value) < F.col("_before")).alias("violations"))
+
+
+def nearest_vectors(asked: DataFrame, rows: DataFrame, digits: int = 6, block: int = 1_024, shard: int = 4_096) -> DataFrame:
+    """For each asked vector the nearest of another label by cosine distance, ties to the smaller id: id, neighbour, distance.
+
+    Both have id, label, v (array of double).  Vectors meet in pairs of blocks of bounded size; each gives one answer a vector.
+    """
+    import numpy as np
+    import pandas as pd
+
+    blocks, shards = max(1, -(-asked.count() // block)), max(1, -(-rows.count() // shard))
+    deal = lambda df, n, m, own, other: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = deal(asked.select("id", "label", "v"), blocks, shards, "_x", "_y")
+    right = deal(rows.select(F.col("id").alias("oid"), F.col("label").alias("olabel"), F.col("v").alias("ov"), F.col("id")), shards, blocks, "_v", "_u").drop("id")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "distance": [], "neighbour": []})
+        b = b.sort_values("oid")
+        unit = lambda c: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.stack(c.to_numpy()))
+        d = np.round(1 - unit(a["v"]) @ unit(b["ov"]).T, digits)
+        d[(a["label"].to_numpy()[:, None] == b["olabel"].to_numpy()[None]) | ~np.isfinite(d)] = np.inf
+        at = d.argmin(1)  # the first of equal ones has the smallest id
+        out = pd.DataFrame({"id": a["id"].to_numpy(), "distance": d[np.arange(len(a)), at], "neighbour": b["oid"].to_numpy()[at]})
+        return out[np.isfinite(out["distance"])]
+
+    kind = asked.schema["id"].dataType.simpleString()
+    found = left.groupBy("_x", "_y").cogroup(right.groupBy("_u", "_v")).applyInPandas(best, f"id {kind}, distance double, neighbour {kind}")
+    return found.groupBy("id").agg(F.min(F.struct("distance", "neighbour")).alias("d")).select("id", "d.neighbour", "d.distance")
+
+
 def residual_pareto(rows: DataFrame, group: list[str], key: str, error: str, threshold: float = 0.8) -> DataFrame:
     """Errors by size: rank, share, cumulative share, and whether the shares before were below the threshold."""
     w = Window.partitionBy(*group)

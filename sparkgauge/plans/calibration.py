@@ -77,13 +77,13 @@ def loro_baseline(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT p_size AS bucket, p_brand AS repo, p_retailprice AS e FROM part WHERE p_partkey % 7 = 0),
+WITH v AS (SELECT p_size AS bucket, p_brand AS repo, p_retailprice AS e FROM part),
 b AS (SELECT bucket, count(*) AS n, count(DISTINCT repo) AS repos, quantile_disc(e, 0.8) AS own FROM v GROUP BY 1), g AS (SELECT quantile_disc(e, 0.8) AS everywhere FROM v)
 SELECT bucket, n, repos, CASE WHEN n >= 5 AND repos >= 4 THEN own ELSE everywhere END AS quantile, CASE WHEN n >= 5 AND repos >= 4 THEN 'bucket' ELSE 'global' END AS source FROM b, g
 """)
 def conditioned_intervals(spark, sf_dir):
     """Quantiles by feature bucket, with a fallback where support is thin."""
-    rows = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.col("p_size").alias("bucket"), F.col("p_brand").alias("repo"), F.col("p_retailprice").alias("e"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("bucket"), F.col("p_brand").alias("repo"), F.col("p_retailprice").alias("e"))
     return stats.conditioned_intervals(rows, "bucket", "repo", "e", 5, 4)
 
 
@@ -100,14 +100,14 @@ def support_levels(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT c_custkey AS key, c_nationkey AS repo, list_sort(list_distinct(list('s' || (o_orderkey % 6)))) AS f FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 3 = 1 GROUP BY 1, 2),
+WITH p AS (SELECT c_custkey AS key, c_nationkey AS repo, list_sort(list_distinct(list('s' || (o_orderkey % 6)))) AS f FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
 d AS (SELECT a.key, b.key AS neighbour, round(1 - len(list_intersect(a.f, b.f))::DOUBLE / len(list_distinct(list_concat(a.f, b.f))), 8) AS distance FROM p a JOIN p b ON a.repo <> b.repo)
 SELECT key, neighbour, distance FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS n FROM d) WHERE n = 1
 """)
 def jaccard_nearest(spark, sf_dir):
     """Nearest profile of another nation by Jaccard distance of order kinds."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.concat(F.lit("s"), F.col("o_orderkey") % 6).alias("f"))
-    people = table(spark, sf_dir, "customer").where("c_custkey % 3 = 1").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("repo"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("repo"))
     profiles = orders.join(people, "key").groupBy("key", "repo").agg(F.array_sort(F.collect_set("f")).alias("features"))
     return stats.nearest_profile(profiles, "key", "repo", "features")
 
@@ -192,8 +192,7 @@ def pearson_correlation(spark, sf_dir):
     """Correlation of two measures of a subject."""
     k = F.get_json_object("props", "$.k").cast("double")
     rows = table(spark, sf_dir, "events").select("user_id", F.col("value").alias("a"), k.alias("b"))
-    g = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 6).alias("pearson"))
-    return g.where("n > 1")
+    return stats.pearson(rows, ["user_id"], "a", "b").where("n > 1")
 
 
 @query("""
@@ -203,13 +202,9 @@ SELECT dimension, slice, count(*) AS n, CAST(sum(abs(CAST(c_acctbal AS DECIMAL(1
 def slice_evaluation(spark, sf_dir):
     """One pass over three dimensions of slices."""
     c = table(spark, sf_dir, "customer")
-    dims = F.array(
-        F.struct(F.lit("segment").alias("dimension"), F.col("c_mktsegment").alias("slice")),
-        F.struct(F.lit("nation").alias("dimension"), F.col("c_nationkey").cast("string").alias("slice")),
-        F.struct(F.lit("band").alias("dimension"), F.when(F.abs("c_acctbal") <= 1000, "small").otherwise("large").alias("slice")),
-    )
-    rows = c.select(F.explode(dims).alias("d"), F.abs(F.col("c_acctbal").cast("decimal(18,2)")).alias("e"))
-    return rows.groupBy("d.dimension", "d.slice").agg(F.count("*").alias("n"), F.sum("e").cast("double").alias("abs_sum"))
+    dims = {"segment": F.col("c_mktsegment"), "nation": F.col("c_nationkey"), "band": F.when(F.abs("c_acctbal") <= 1000, "small").otherwise("large")}
+    rows = stats.slices(c, dims, F.abs(F.col("c_acctbal").cast("decimal(18,2)")))
+    return rows.select("dimension", "slice", "n", F.col("total").cast("double").alias("abs_sum"))
 
 
 @query("""
@@ -218,8 +213,5 @@ SELECT count(*) AS buckets, count(*) FILTER (q80 < before) AS violations FROM (S
 """)
 def monotonic_violations(spark, sf_dir):
     """Ordered buckets whose quantile falls below the one before."""
-    from pyspark.sql import Window
-
     q = stats.nearest_rank(table(spark, sf_dir, "part").select("p_size", "p_retailprice"), ["p_size"], "p_retailprice")
-    before = F.lag("quantile").over(Window.orderBy("p_size"))  # one row a bucket
-    return q.withColumn("before", before).agg(F.count("*").alias("buckets"), F.count_if(F.col("quantile") < F.col("before")).alias("violations"))
+    return stats.monotonic_violations(q, "p_size", "quantile")
