@@ -86,12 +86,13 @@ COMPLEXITY = {
 
 #: Our own default coefficients: rule -> place of its category, setup hours, hours a unit (half of it beyond ten units).
 DEFAULTS = {
-    "specification-comprehension": (0, "1", "0.25"), "solution-coordination": (1, "0.5", "0.25"), "project-setup": (1, "0.95", "0.25"), "architecture-design": (2, "1.25", "0.25"),
+    "specification-comprehension": (0, "1", "0.25"), "solution-coordination": (1, "0.5", "0.25"), "project-setup": (1, "0.95", "0.25"), "architecture-design": (2, "1.25", "0.25"), "recreation-design": (2, "1", "0.25"),
     "dotnet-source-backbone": (3, "0.25", "0.1"), "javascript-source-backbone": (3, "0.25", "0.1"), "polyglot-source-backbone": (3, "0.25", "0.1"), "application-entry-point": (3, "0.25", "0.5"),
-    "background-work": (3, "0.5", "0.5"), "validation-surface": (3, "0.25", "0.2"), "ui-surface": (4, "0.5", "0.5"), "api-surface": (5, "0.5", "0.4"), "data-persistence": (6, "0.5", "0.3"),
-    "external-integration": (7, "1", "0.5"), "security-surface": (8, "1", "0.5"), "unit-tests": (9, "0.25", "0.1"), "integration-tests": (10, "0.5", "0.2"), "end-to-end-tests": (11, "0.75", "0.3"),
-    "documentation": (12, "0.25", "0.05"), "build-tooling": (13, "0.25", "0.1"), "ci-infrastructure": (14, "0.5", "0.05"), "container-deployment": (15, "0.5", "0.05"), "packaging-release": (15, "0.5", "0.5"),
-    "manual-validation": (16, "0.5", "0.2"), "self-review": (17, "1", "0.25"), "gap-automated-tests": (9, "2", "0.25"), "gap-system-tests": (10, "2", "0.5"), "gap-documentation": (12, "2", "0.25"), "gap-ci": (14, "1", "0.25"),
+    "background-work": (3, "0.5", "0.5"), "validation-surface": (3, "0.25", "0.2"), "api-surface": (3, "0.5", "0.4"), "ui-surface": (4, "0.5", "0.5"), "data-persistence": (5, "0.5", "0.3"),
+    "external-integration": (6, "1", "0.5"), "unit-tests": (7, "0.25", "0.1"), "coverage-achievement": (7, "0.25", "0.1"), "integration-tests": (8, "0.5", "0.2"), "end-to-end-tests": (9, "0.75", "0.3"),
+    "manual-validation": (10, "0.5", "0.2"), "documentation": (11, "0.25", "0.05"), "build-tooling": (12, "0.25", "0.1"), "ci-infrastructure": (13, "0.5", "0.05"), "security-surface": (14, "1", "0.5"),
+    "container-deployment": (15, "0.5", "0.05"), "packaging-release": (15, "0.5", "0.5"), "self-review": (16, "1", "0.25"),
+    "gap-automated-tests": (7, "2", "0.25"), "gap-system-tests": (8, "2", "0.5"), "gap-documentation": (11, "2", "0.25"), "gap-ci": (13, "1", "0.25"),
 }
 LOW, HIGH, CONFIDENCE = "0.65", "1.6", "0.7"
 
@@ -206,6 +207,37 @@ def gaps(facts: DataFrame) -> DataFrame:
     return seen.select("repo", F.lit(ROOT).alias("scope"), F.inline(found))
 
 
+def scaled(driven: DataFrame, factors: DataFrame) -> DataFrame:
+    """Drivers of source structures times their scope's factor (repo, scope, factor); others as they are."""
+    backbone = F.col("rule").endswith("source-backbone")
+    rows = driven.join(factors.select("repo", "scope", F.col("factor").cast("decimal(18,6)").alias("_factor")), ["repo", "scope"], "left")
+    value = F.when(backbone, (F.col("value") * F.coalesce("_factor", dec(1, "decimal(18,6)"))).cast("decimal(38,10)")).otherwise(F.col("value"))
+    return rows.withColumn("value", value).drop("_factor").where("value > 0")
+
+
+def coverage_drivers(facts: DataFrame, source_hours: DataFrame) -> DataFrame:
+    """Drivers of covered implementation: a scope's source hours times its coverage; measured beats declared.
+
+    facts: kind coverage with measurements in percent; source_hours: repo, scope, hours of its backbone.
+    """
+    rows = facts.where("kind = 'coverage'").withColumn("_m", (F.col("source_kind") == "measured") | F.coalesce(F.array_contains("tags", "coverage:measured"), F.lit(False))).select("repo", "scope", "_m", "source_kind", F.explode("measurements").alias("m"))
+    rows = rows.where("_m or source_kind = 'declared-assumed'")
+    value = F.col("m.value").cast("decimal(38,10)")
+    sums = rows.groupBy("repo", "scope").agg(F.bool_or("_m").alias("measured"), F.avg(F.when(F.col("_m"), value)).alias("_mean"), F.avg(F.when(~F.col("_m"), value)).alias("_declared"))
+    percent = F.when(F.col("measured"), F.col("_mean")).otherwise(F.col("_declared")).cast("decimal(18,4)")
+    out = sums.join(source_hours, ["repo", "scope"], "left").withColumn("percent", percent)
+    hours = (F.coalesce("hours", dec(0)).cast("decimal(18,4)") * F.col("percent") / 100).cast("decimal(38,10)")
+    level = F.when(F.col("percent") >= 100, "high").when(F.col("percent") >= 80, "moderate").otherwise("routine")
+    return out.select("repo", "scope", F.lit("coverage-achievement").alias("rule"), F.lit("covered-implementation-hours").alias("driver"), F.greatest(hours, dec("0.01", "decimal(38,10)")).alias("value"), "measured", "percent", level.alias("complexity"))
+
+
+def recreation_drivers(facts: DataFrame) -> DataFrame:
+    """Drivers of design that a recreation must recover: kinds of boundaries and references between scopes."""
+    kind = F.col("kind")
+    seen = facts.groupBy("repo").agg(F.countDistinct(F.when(kind.isin(*SEMANTIC), kind)).alias("_f"), F.count_if(kind == "project-reference").alias("_r"), F.count_if(kind.isin(*SCOPES)).alias("_s"))
+    return seen.select("repo", F.lit(ROOT).alias("scope"), F.lit("recreation-design").alias("rule"), F.lit("decision-surfaces").alias("driver"), (F.col("_f") + F.col("_r") + F.col("_s")).cast("decimal(38,10)").alias("value")).where("value > 0")
+
+
 def capabilities(driven: DataFrame, model: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row a rule and scope: drivers as a map, quantity, complexity, expected hours and the rule's factors."""
     spark = driven.sparkSession

@@ -129,5 +129,110 @@ def markdown(df: DataFrame, title: str, most: int = 200) -> str:
     return head + body + ("\nFurther rows are left out.\n" if len(rows) > most else "")
 
 
+def _table(rows, columns: list[str]) -> str:
+    """Rows of a small report as a Markdown table."""
+    cell = lambda v: "" if v is None else ", ".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v)
+    return f"| {' | '.join(columns)} |\n|{' --- |' * len(columns)}\n" + "".join("| " + " | ".join(cell(r[c]).replace("|", "\\|") for c in columns) + " |\n" for r in rows)
+
+
+def estimate_view(items: DataFrame, kind: str, rate=None, most: int = 200) -> dict:
+    """A view as a document: repository, category, scope, work-item or review; ``most`` rows and what they leave out."""
+    keys = {"repository": [], "category": ["category"], "scope": ["scope"], "work-item": ["item_id", "category", "scope"], "review": ["item_id"]}[kind]
+    if kind == "review":
+        rows = review_queue(items.withColumn("_all", F.lit(1)), ["_all"], "item_id", "expected", "confidence").select("place", "item_id", "category", "scope", "low", "expected", "high", "confidence", "reasons").orderBy("place")
+    else:
+        rows = view(items, keys)
+        rows = (rows if rate is None else rows.withColumns(cost_columns(rate))).orderBy(F.desc("expected"), *keys)
+    shown = [r.asDict() for r in rows.limit(most + 1).collect()]
+    total = items.agg(F.count("*").alias("items"), *[F.sum(h).alias(h) for h in ("low", "expected", "high")]).first().asDict()
+    return {"view": kind, "total": total, "rows": shown[:most], "complete": len(shown) <= most}
+
+
+def view_markdown(document: dict, title: str = "Estimate") -> str:
+    """A view as Markdown: totals, the table, and a note if rows were left out."""
+    t = document["total"]
+    out = f"# {title}: {document['view']}\n\n{t['items']} items; low {t['low']}, expected {t['expected']}, high {t['high']} hours. Ranges are planning bounds, not probabilities.\n\n"
+    if document["rows"]:
+        out += _table(document["rows"], list(document["rows"][0]))
+    return out + ("" if document["complete"] else "\nFurther rows are left out.\n")
+
+
+def explanation(items: DataFrame, facts: DataFrame, item: str, evidence: str = "evidence_ids", fact_id: str = "id") -> dict:
+    """One item with the facts behind it and the ids of those that are missing."""
+    one = items.where(F.col("item_id") == item)
+    found = explained(one, facts, "item_id", evidence, fact_id).orderBy(fact_id).limit(PACKET_FACTS).collect()
+    row = one.first()
+    if row is None:
+        raise KeyError(item)
+    return {"item": row.asDict(), "facts": [r.asDict() for r in found if not r["missing"]], "missing": [r[fact_id] for r in found if r["missing"]]}
+
+
+def explanation_markdown(document: dict) -> str:
+    i = document["item"]
+    out = f"# {i['item_id']}\n\n" + "".join(f"- {k}: {v}\n" for k, v in i.items() if k != "item_id" and v is not None)
+    if document["facts"]:
+        out += "\n## Evidence\n\n" + _table(document["facts"], [c for c in document["facts"][0] if c not in ("missing", "item_id")])
+    return out + ("\n## Missing\n\n" + "".join(f"- {m}\n" for m in document["missing"]) if document["missing"] else "")
+
+
+def sections_markdown(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
+    """A report of several tables: a change with its items, adjustments and paths, a portfolio with its groups and series.
+
+    Each table shows ``most`` rows and says if there are more.
+    """
+    out = f"# {title}\n"
+    for name, df in sections.items():
+        rows = df.limit(most + 1).collect()
+        out += f"\n## {name}\n\n" + (_table([r.asDict() for r in rows[:most]], df.columns) if rows else "None.\n")
+        out += "\nFurther rows are left out.\n" if len(rows) > most else ""
+    return out
+
+
+def sections_json(kind: str, sections: dict[str, DataFrame], most: int = 10_000) -> str:
+    """The same report as canonical JSON; a table with more rows than ``most`` is an error, since it belongs in a file of rows."""
+    out = {"kind": kind}
+    for name, df in sections.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        out[name] = [r.asDict(True) for r in rows]
+    return canonical_json(out)
+
+
+def review_query(kind: str, value: str, items: DataFrame, facts: DataFrame, most: int = PACKET_FACTS) -> DataFrame:
+    """What a reviewer asks for: a capability's items, an item's or fact's evidence, or a scope's facts, in order and bounded."""
+    if kind == "capability":
+        return items.where(capability_of(F.col("item_id")) == value).orderBy("item_id").limit(most)
+    if kind == "evidence":
+        return facts.where(F.col("id") == value).limit(most)
+    if kind == "scope":
+        return facts.where((F.col("scope") == value) | F.col("scope").startswith(value.rstrip("/") + "/")).orderBy("id").limit(most)
+    raise ValueError(kind)
+
+
+def adjustment_checks(adjustments: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
+    """Proposed ranges against their items: deltas, and what is wrong with each.
+
+    adjustments: key, low, expected, high, reason.
+    """
+    own = items.select(key, *[F.col(p).alias(f"_{p}") for p in ("low", "expected", "high")])
+    rows = adjustments.join(own, key, "left")
+    problem = (
+        F.when(F.col("_expected").isNull(), "unknown-item")
+        .when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no-reason")
+        .when((F.col("low") < 0) | (F.col("low") > F.col("expected")) | (F.col("expected") > F.col("high")), "not-ordered")
+        .when((F.col("low") == F.col("_low")) & (F.col("expected") == F.col("_expected")) & (F.col("high") == F.col("_high")), "no-change")
+        .otherwise("ok")
+    )
+    return rows.select(key, problem.alias("status"), *[F.when(F.col("_expected").isNotNull(), F.col(p) - F.col(f"_{p}")).alias(f"{p}_delta") for p in ("low", "expected", "high")])
+
+
+def overlap_rate(a: DataFrame, b: DataFrame, key: list[str], item: str) -> DataFrame:
+    """How far two reviewers' choices overlap, by key: both, either, and the share; null where neither chose."""
+    rows = a.select(*key, item).distinct().withColumn("_a", F.lit(1)).join(b.select(*key, item).distinct().withColumn("_b", F.lit(1)), [*key, item], "full_outer")
+    both = F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    return rows.groupBy(*key).agg(both.alias("both"), F.count("*").alias("either"), F.round(both / F.count("*"), 6).alias("rate"))
+
+
 def cost_columns(rate) -> dict[str, Column]:
     return {f"{h}_cost": F.round((F.col(h) * dec(rate)).cast("decimal(28,8)"), 2).cast("decimal(18,2)") for h in ("low", "expected", "high")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, calibration, changes, estimate, portfolios, reporting
+from . import analysis, assembly, calibration, changes, estimate, evaluation, portfolios, reporting, series
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "calibration", "changes", "estimate", "portfolios", "reporting"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "assembly", "calibration", "changes", "estimate", "evaluation", "portfolios", "reporting", "series"]

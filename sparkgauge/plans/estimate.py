@@ -159,12 +159,16 @@ def capability_shares(spark, sf_dir):
 
 
 ESTIMATE = """f AS (SELECT 'r' || l_suppkey % 7 AS repo, l_orderkey::VARCHAR AS scope, l_returnflag AS k, CAST(l_quantity AS DECIMAL(18,4)) AS q, l_linenumber AS n FROM lineitem),
-d AS (SELECT repo, scope, 'api-surface' AS rule, 'endpoints' AS driver, sum(q) AS v, 0.4 AS rate FROM f WHERE k = 'A' GROUP BY 1, 2 UNION ALL SELECT repo, scope, 'api-surface', 'controllers', count(*), 0.4 FROM f WHERE k = 'A' GROUP BY 1, 2
-  UNION ALL SELECT repo, scope, 'data-persistence', 'migrations', sum(q), 0.3 FROM f WHERE k = 'N' GROUP BY 1, 2 UNION ALL SELECT repo, scope, 'data-persistence', 'db-sets', sum(n), 0.3 FROM f WHERE k = 'N' GROUP BY 1, 2
-  UNION ALL SELECT repo, scope, 'background-work', 'message-handlers', sum(q), 0.5 FROM f WHERE k = 'R' GROUP BY 1, 2),
-c AS (SELECT repo, scope, rule, sum(v) AS quantity, sum(least(v, 10) * rate + greatest(v - 10, 0) * rate / 2) AS hours,
+d AS (SELECT repo, scope, 'api-surface' AS rule, 'endpoints' AS driver, sum(q) AS v, 0.5 AS setup, 0.4 AS rate FROM f WHERE k = 'A' GROUP BY 1, 2 UNION ALL SELECT repo, scope, 'api-surface', 'controllers', count(*), 0.5, 0.4 FROM f WHERE k = 'A' GROUP BY 1, 2
+  UNION ALL SELECT repo, scope, 'data-persistence', 'migrations', sum(q), 0.5, 0.3 FROM f WHERE k = 'N' GROUP BY 1, 2 UNION ALL SELECT repo, scope, 'data-persistence', 'db-sets', sum(n), 0.5, 0.3 FROM f WHERE k = 'N' GROUP BY 1, 2
+  UNION ALL SELECT repo, scope, 'background-work', 'message-handlers', sum(q), 0.5, 0.5 FROM f WHERE k = 'R' GROUP BY 1, 2
+  UNION ALL SELECT repo, scope, 'architecture-design', 'boundary-families', count(DISTINCT k), 1.25, 0.25 FROM f GROUP BY 1, 2
+  UNION ALL SELECT repo, scope, 'manual-validation', 'specialized-boundaries', count(DISTINCT k), 0.5, 0.2 FROM f WHERE k <> 'A' GROUP BY 1, 2
+  UNION ALL SELECT repo, scope, 'manual-validation', 'runtime-surfaces', sum(CASE k WHEN 'A' THEN greatest(q, 1) ELSE 1 END), 0.5, 0.2 FROM f WHERE k <> 'N' GROUP BY 1, 2
+  UNION ALL SELECT repo, '.', 'specification-comprehension', 'semantic-families', count(DISTINCT k), 1, 0.25 FROM f GROUP BY 1 UNION ALL SELECT repo, '.', 'self-review', 'specialized-boundaries', count(DISTINCT k), 1, 0.25 FROM f GROUP BY 1),
+c AS (SELECT repo, scope, rule, sum(v) AS quantity, max(setup) + sum(least(v, 10) * rate + greatest(v - 10, 0) * rate / 2) AS hours,
   CASE WHEN sum(CASE WHEN driver IN ('endpoints', 'migrations', 'message-handlers') THEN v ELSE 0 END) > max(CASE rule WHEN 'api-surface' THEN 40 ELSE 20 END) THEN 'high' ELSE 'moderate' END AS complexity FROM d GROUP BY 1, 2, 3),
-e AS (SELECT *, greatest(round(CAST((0.5 + hours) * CASE complexity WHEN 'high' THEN 1.25 ELSE 1 END AS DECIMAL(18,6)) * 4, 0) / 4, 0.25) AS expected FROM c)"""
+e AS (SELECT *, greatest(round(CAST(hours * CASE complexity WHEN 'high' THEN 1.25 ELSE 1 END AS DECIMAL(18,6)) * 4, 0) / 4, 0.25) AS expected FROM c)"""
 
 
 def line_facts(spark, sf_dir):
@@ -182,24 +186,20 @@ def line_facts(spark, sf_dir):
     )
 
 
-SURFACES = ("api-surface", "data-persistence", "background-work")
-
-
 @query(f"WITH {ESTIMATE} SELECT repo, scope, rule, complexity, CAST(quantity AS DOUBLE) AS quantity, CAST(expected AS DOUBLE) AS expected FROM e")
 def estimate_capabilities(spark, sf_dir):
-    """Facts to drivers to priced capabilities of three boundary rules."""
-    driven = capabilities.drivers(line_facts(spark, sf_dir)).where(F.col("rule").isin(*SURFACES))
+    """Facts to drivers to priced capabilities of all rules that they feed."""
+    driven = capabilities.drivers(line_facts(spark, sf_dir))
     return doubles(capabilities.capabilities(driven).select("repo", "scope", "rule", "complexity", "quantity", "expected"), "quantity", "expected")
 
 
-@query(f"""WITH {ESTIMATE}, p AS (SELECT *, greatest(1, CAST(ceil(expected / 6.0) AS BIGINT)) AS parts, CAST(expected * 4 AS BIGINT) AS units FROM e),
+@query(f"""WITH {ESTIMATE}, p AS (SELECT *, greatest(1, CAST(ceil(expected / 6.0) AS BIGINT)) AS parts, CAST(expected * 4 AS BIGINT) AS units, CASE WHEN scope = '.' THEN 0.55 ELSE 0.6 END AS lf, CASE WHEN scope = '.' THEN 1.7 ELSE 1.65 END AS hf FROM e),
 x AS (SELECT *, unnest(range(1, parts + 1)) AS part FROM p), h AS (SELECT *, CAST((units // parts + CASE WHEN part <= units % parts THEN 1 ELSE 0 END) / 4.0 AS DECIMAL(18,2)) AS ph FROM x)
-SELECT repo, rule, count(*) AS items, CAST(sum(least(round(CAST(ph * 0.6 AS DECIMAL(18,6)) * 4, 0) / 4, ph)) AS DOUBLE) AS low, CAST(sum(ph) AS DOUBLE) AS expected, CAST(sum(greatest(round(CAST(ph * 1.65 AS DECIMAL(18,6)) * 4, 0) / 4, ph)) AS DOUBLE) AS high FROM h GROUP BY 1, 2
+SELECT repo, rule, count(*) AS items, CAST(sum(least(round(CAST(ph * lf AS DECIMAL(18,6)) * 4, 0) / 4, ph)) AS DOUBLE) AS low, CAST(sum(ph) AS DOUBLE) AS expected, CAST(sum(greatest(round(CAST(ph * hf AS DECIMAL(18,6)) * 4, 0) / 4, ph)) AS DOUBLE) AS high FROM h GROUP BY 1, 2
 """)
 def estimate_items(spark, sf_dir):
     """Work items of those capabilities with their ranges, summed by repository and rule."""
-    facts_ = line_facts(spark, sf_dir)
-    items = capabilities.work_items(capabilities.capabilities(capabilities.drivers(facts_).where(F.col("rule").isin(*SURFACES))), capabilities.evidence_confidence(facts_))
+    items = capabilities.estimate(line_facts(spark, sf_dir))["items"]
     return doubles(items.groupBy("repo", "rule").agg(F.count("*").alias("items"), *[F.sum(h).alias(h) for h in ("low", "expected", "high")]), "low", "expected", "high")
 
 
@@ -210,3 +210,60 @@ SELECT repo, 'gap-system-tests' AS rule, surfaces::DOUBLE AS value FROM s WHERE
 def estimate_gaps(spark, sf_dir):
     """Work that repositories without tests and documents lack."""
     return doubles(capabilities.gaps(line_facts(spark, sf_dir)).select("repo", "rule", "value"), "value")
+
+
+GAP_FACTS = """g AS (SELECT 'r' || l_suppkey % 23 AS repo, l_suppkey % 23 AS k, l_linenumber AS n, l_quantity AS q FROM lineitem), s AS (SELECT repo, count(*) FILTER (n = 1) AS scopes, count(*) FILTER (n = 1 AND q > 45) AS runnable, count(*) FILTER (n = 2 AND k % 3 = 0) AS tests,
+  count(*) FILTER (n = 2 AND k % 3 = 0 AND k % 2 = 0) AS system, count(*) FILTER (n = 5) AS surfaces, count(*) FILTER (n = 3 AND k % 4 = 0) AS docs, count(*) FILTER (n = 4 AND k % 5 = 0) AS ci FROM g GROUP BY 1)"""
+
+
+@query(f"""WITH {GAP_FACTS} SELECT repo, 'gap-automated-tests' AS rule, greatest(surfaces, 1)::DOUBLE AS value FROM s WHERE scopes > 0 AND tests = 0 UNION ALL SELECT repo, 'gap-system-tests', surfaces FROM s WHERE surfaces > 0 AND system = 0
+UNION ALL SELECT repo, 'gap-documentation', 0 FROM s WHERE docs = 0 UNION ALL SELECT repo, 'gap-ci', scopes FROM s WHERE ci = 0 AND (scopes > 1 OR runnable > 0)""")
+def gap_rules(spark, sf_dir):
+    """All four gaps: tests, system tests, documentation and CI that repositories lack."""
+    k, n = F.col("l_suppkey") % 23, F.col("l_linenumber")
+    kind = F.when(n == 1, "dotnet-project").when((n == 2) & (k % 3 == 0), "dotnet-test").when((n == 3) & (k % 4 == 0), "documentation").when((n == 4) & (k % 5 == 0), "ci-configuration").when(n == 5, "api-surface").otherwise("other")
+    tags = F.when((n == 1) & (F.col("l_quantity") > 45), F.array(F.lit("scope:runnable"))).when((n == 2) & (k % 2 == 0), F.array(F.lit("test-type:integration"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("r"), k).alias("repo"), kind.alias("kind"), tags.alias("tags"))
+    return doubles(capabilities.gaps(rows).select("repo", "rule", "value"), "value")
+
+
+@query("""
+WITH f AS (SELECT 'r' || l_suppkey % 7 AS repo, l_orderkey::VARCHAR AS scope, l_linenumber AS n, CAST(l_quantity AS DECIMAL(18,4)) AS q FROM lineitem), h AS (SELECT repo, scope, CAST(sum(q) / 4 AS DECIMAL(18,4)) AS hours FROM f GROUP BY 1, 2),
+m AS (SELECT repo, scope, bool_or(n = 1) AS measured, avg(CASE WHEN n = 1 THEN q * 2 END) AS a, avg(CASE WHEN n = 2 THEN q * 2 END) AS b FROM f WHERE n <= 2 GROUP BY 1, 2), p AS (SELECT *, CAST(CASE WHEN measured THEN a ELSE b END AS DECIMAL(18,4)) AS percent FROM m)
+SELECT p.repo, p.scope, measured, CAST(percent AS DOUBLE) AS percent, round(CAST(greatest(hours * percent / 100, 0.01) AS DOUBLE), 3) AS value, CASE WHEN percent >= 100 THEN 'high' WHEN percent >= 80 THEN 'moderate' ELSE 'routine' END AS complexity FROM p JOIN h USING (repo, scope)
+""")
+def coverage_capability(spark, sf_dir):
+    """Covered implementation hours of scopes; measured coverage beats a declared threshold."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("decimal(18,4)")
+    key = [F.concat(F.lit("r"), F.col("l_suppkey") % 7).alias("repo"), F.col("l_orderkey").cast("string").alias("scope")]
+    lines = table(spark, sf_dir, "lineitem")
+    hours = lines.select(*key, q.alias("q")).groupBy("repo", "scope").agg((F.sum("q") / 4).cast("decimal(18,4)").alias("hours"))
+    m = F.array(F.struct(F.lit("line-coverage").alias("name"), (q * 2).cast("decimal(38,10)").alias("value")))
+    rows = lines.where(n <= 2).select(*key, F.lit("coverage").alias("kind"), F.when(n == 1, "measured").otherwise("declared-assumed").alias("source_kind"), F.array().cast("array<string>").alias("tags"), m.alias("measurements"))
+    out = capabilities.coverage_drivers(rows, hours)
+    return out.select("repo", "scope", "measured", F.col("percent").cast("double").alias("percent"), F.round(F.col("value").cast("double"), 3).alias("value"), "complexity")
+
+
+@query("""
+WITH f AS (SELECT l_suppkey % 11 AS repo, l_linenumber AS n FROM lineitem), k AS (SELECT repo, count(DISTINCT CASE n WHEN 1 THEN 'api-surface' WHEN 2 THEN 'data-access' WHEN 3 THEN 'validation' END) AS f, count(*) FILTER (n = 4) AS r, count(*) FILTER (n = 5) AS s FROM f GROUP BY 1)
+SELECT repo, 'decision-surfaces' AS driver, (f + r + s)::DOUBLE AS value FROM k WHERE f + r + s > 0
+""")
+def recreation_design(spark, sf_dir):
+    """What a recreation must decide again: boundaries, references and scopes."""
+    n = F.col("l_linenumber")
+    kind = F.when(n == 1, "api-surface").when(n == 2, "data-access").when(n == 3, "validation").when(n == 4, "project-reference").when(n == 5, "dotnet-project").otherwise("other")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 11).alias("repo"), kind.alias("kind"))
+    return doubles(capabilities.recreation_drivers(rows).select("repo", "driver", "value"), "value")
+
+
+@query("""
+WITH b AS (SELECT l_suppkey % 7 AS repo, l_orderkey::VARCHAR AS scope, sum(CAST(l_quantity AS DECIMAL(18,2))) AS v, count(*) FILTER (l_returnflag = 'N') AS c, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT repo, scope, round(CAST(v AS DOUBLE) * round(c::DOUBLE / n, 6), 4) AS value FROM b WHERE c > 0
+""")
+def scaled_drivers(spark, sf_dir):
+    """Drivers of a source backbone times the share of its canonical production files."""
+    key = [(F.col("l_suppkey") % 7).alias("repo"), F.col("l_orderkey").cast("string").alias("scope")]
+    lines = table(spark, sf_dir, "lineitem").select(*key, F.col("l_quantity").cast("decimal(18,2)").alias("q"), "l_returnflag")
+    sums = lines.groupBy("repo", "scope").agg(F.sum("q").cast("decimal(38,10)").alias("value"), F.round(F.count_if(F.col("l_returnflag") == "N") / F.count("*"), 6).alias("factor"))
+    driven = sums.select("repo", "scope", F.lit("dotnet-source-backbone").alias("rule"), F.lit("methods").alias("driver"), "value")
+    return capabilities.scaled(driven, sums.select("repo", "scope", "factor")).select("repo", "scope", F.round(F.col("value").cast("double"), 4).alias("value"))

@@ -101,3 +101,43 @@ def category_view(spark, sf_dir):
     e = F.col("l_quantity").cast("decimal(18,2)")
     items = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("category"), (e * dec("0.5")).alias("low"), e.alias("expected"), (e * 2).alias("high"), (0.9 - F.col("l_discount")).cast("decimal(9,4)").alias("confidence"))
     return doubles(reports.view(items, ["category"]), "low", "expected", "high", "confidence")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS item_id, l_linenumber AS n, l_partkey AS part, CASE WHEN l_linenumber = 2 THEN '' ELSE 'why' END AS reason, CAST(l_quantity AS DECIMAL(18,2)) AS e FROM lineitem), i AS (SELECT o_orderkey AS item_id, CAST(o_orderkey % 50 AS DECIMAL(18,2)) AS e FROM orders WHERE o_orderkey % 13 <> 0),
+j AS (SELECT a.item_id, n, part, reason, a.e - CASE WHEN n = 3 THEN 100 ELSE 1 END AS low, a.e, a.e + 1 AS high, i.e AS ie FROM a LEFT JOIN i ON i.item_id = a.item_id)
+SELECT item_id, n, part, CASE WHEN ie IS NULL THEN 'unknown-item' WHEN reason = '' THEN 'no-reason' WHEN low < 0 THEN 'not-ordered' WHEN low = ie - 1 AND e = ie AND high = ie + 1 THEN 'no-change' ELSE 'ok' END AS status, CAST(e - ie AS DOUBLE) AS expected_delta FROM j
+""")
+def adjustment_checks(spark, sf_dir):
+    """Reviewers' proposed ranges against their items."""
+    e, n = F.col("l_quantity").cast("decimal(18,2)"), F.col("l_linenumber")
+    proposed = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"), (e - F.when(n == 3, 100).otherwise(1)).cast("decimal(18,2)").alias("low"), e.alias("expected"), (e + 1).cast("decimal(18,2)").alias("high"), F.when(n == 2, "").otherwise("why").alias("reason")
+    )
+    own = (F.col("o_orderkey") % 50).cast("decimal(18,2)")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 13 <> 0").select("o_orderkey", own.alias("expected"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id")).join(orders, "o_orderkey")
+    items = items.select("item_id", (F.col("expected") - 1).cast("decimal(18,2)").alias("low"), "expected", (F.col("expected") + 1).cast("decimal(18,2)").alias("high"))
+    out = reports.adjustment_checks(proposed, items.distinct())
+    at = F.split("item_id", ":")
+    return out.select(at[0].cast("long").alias("item_id"), at[1].cast("int").alias("n"), at[2].cast("long").alias("part"), "status", F.col("expected_delta").cast("double").alias("expected_delta"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem WHERE l_returnflag <> 'N'), b AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem WHERE l_linenumber <= 3)
+SELECT coalesce(a.k, b.k) AS l_suppkey, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS both, count(*) AS either, round(count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL)::DOUBLE / count(*), 6) AS rate FROM a FULL JOIN b ON a.k = b.k AND a.i = b.i GROUP BY 1
+""")
+def overlap_rate(spark, sf_dir):
+    """How far two reviewers' choices overlap."""
+    lines = table(spark, sf_dir, "lineitem")
+    return reports.overlap_rate(lines.where("l_returnflag <> 'N'"), lines.where("l_linenumber <= 3"), ["l_suppkey"], "l_partkey")
+
+
+@query("""
+SELECT 'order-7' AS asked, o_orderkey AS item FROM orders WHERE o_custkey = 7
+""")
+def review_query(spark, sf_dir):
+    """A reviewer asks for one capability's items; the answer is bounded."""
+    items = table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), "o_custkey", F.lit(":part-"), "o_orderkey").alias("item_id"), "o_orderkey")
+    found = reports.review_query("capability", "order-7", items, None, most=1000)
+    return found.select(F.lit("order-7").alias("asked"), F.col("o_orderkey").alias("item"))
