@@ -178,13 +178,13 @@ def interface_concentration(spark, sf_dir):
     return evaluation.interface_concentration(rows, ["node"])
 
 
-GRAPH = """nodes AS (SELECT s_nationkey AS repo, s_suppkey AS node FROM supplier), refs AS (SELECT DISTINCT a.s_nationkey AS repo, a.s_suppkey AS src, (a.s_suppkey * 7 + l_partkey % 3) % (SELECT count(*) FROM supplier) + 1 AS dst FROM lineitem JOIN supplier a ON l_suppkey = a.s_suppkey),
+GRAPH = """nodes AS (SELECT s_nationkey % 3 AS repo, s_suppkey AS node FROM supplier), refs AS (SELECT DISTINCT a.s_nationkey % 3 AS repo, a.s_suppkey AS src, (a.s_suppkey * 7 + l_partkey % 3) % (SELECT count(*) FROM supplier) + 1 AS dst FROM lineitem JOIN supplier a ON l_suppkey = a.s_suppkey),
 e AS (SELECT DISTINCT r.repo, src, dst FROM refs r JOIN nodes n ON n.repo = r.repo AND n.node = dst WHERE src <> dst)"""
 
 
 def supplier_graph(spark, sf_dir):
-    """Suppliers as nodes of their nation's graph; each refers to some others, of which those of its nation resolve."""
-    nodes = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("repo"), F.col("s_suppkey").alias("node"), F.col("s_suppkey").alias("scope"))
+    """Suppliers as nodes of three graphs; each refers to some others, of which those of its own graph resolve."""
+    nodes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 3).alias("repo"), F.col("s_suppkey").alias("node"), F.col("s_suppkey").alias("scope"))
     count = nodes.agg(F.count("*").alias("_n"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 3).alias("p")).distinct()
     refs = lines.join(nodes.select(F.col("scope").alias("source"), "repo"), "source").crossJoin(F.broadcast(count))  # one row
