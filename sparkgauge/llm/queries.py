@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, learned_ann, maxscore, ngram_join, packing, secret_scan, sharding, sql, toxicity, url_filter
+from . import bpe, brown_lm, html_extract, infill, learned_ann, maxscore, ngram_join, packing, resampling, secret_scan, sharding, sql, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def op12_ngram_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_learned_ann": op2_learned_ann,
@@ -92,5 +105,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_join": op10_ngram_join,
+    "op11_html_extract": op11_html_extract,
+    "op12_ngram_resampling": op12_ngram_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL = sql.ORACLE_SQL
