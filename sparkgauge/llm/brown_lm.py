@@ -153,9 +153,11 @@ def gains(old: np.ndarray | None, owner: np.ndarray, slot: np.ndarray, n: np.nda
     if old is not None:
         base[i, old] -= after[i, old] + before[i, old] + own
     total += xlogx(base + after + before + own[:, None]) - xlogx(base + after) - xlogx(base + before) + xlogx(base)
-    for sums, moved in ((big.sum(1), near[0].sum(1) + own), (big.sum(0), near[1].sum(1) + own)):
+    for sums, moved, stays in ((big.sum(1), near[0].sum(1) + own, before), (big.sum(0), near[1].sum(1) + own, after)):
         base = np.repeat(sums[None, :CLASSES], words, 0)
-        if old is not None:
+        if old is None:
+            base = base + stays  # its bigrams count for its neighbours, whatever its class
+        else:
             base[i, old] -= moved
         total -= xlogx(base + moved[:, None]) - xlogx(base)
     return total

@@ -162,11 +162,13 @@ def test_thousands_of_rules(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "LITERAL_RULES", 100)
     assert direct == {r.page_id: (r.method_rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
 
+    patterns = [(r, re.compile(r.regex)) for r in rules]
+
     def brute(u):
         at = (u or "").find("://")
         rest = (u or "")[at + 3 :] if at >= 0 else ""
         host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
-        fits = [r for r in rules if re.search(r.regex, host.lower() + path if r.host_rule else u or "")]
+        fits = [r for r, p in patterns if p.search(host.lower() + path if r.host_rule else u or "")]
         best = min(fits, key=lambda r: (not r.host_rule, -len(r.text), r.text), default=None)
         return (best.text, best.verdict) if best else (None, "allow")
 
