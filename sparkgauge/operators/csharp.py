@@ -21,12 +21,11 @@ Files whose brackets do not match give their callables with ``parsed`` false.  N
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .reading import rows_of
 
 SCHEMA = "name string, line int, tokens int, complexity int, nesting int, executable boolean, candidate boolean, reachable boolean, parsed boolean"
 
@@ -601,21 +600,5 @@ def callables_of(source: str) -> list[tuple]:
 
 
 def callables(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row a method of each file: the keys, its place, and SCHEMA; files travel as Arrow batches and nothing is shuffled."""
-    rows = files.select(*keys, F.col(text).alias("_text"))
-    columns = [x.split() for x in SCHEMA.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                some = batch.slice(at, 200)
-                made = [callables_of(t or "") for t in some.column("_text").to_pylist()]
-                owner = pa.array([i for i, m in enumerate(made) for _ in m], pa.int32())
-                flat = [r for m in made for r in m]
-                data = [some.column(i).take(owner) for i in range(len(keys))] + [pa.array([k for m in made for k in range(len(m))], pa.int32())]
-                data += [pa.array([r[i] for r in flat], kinds[k]) for i, (_, k) in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays(data, [*keys, "place", *[n for n, _ in columns]])
-
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{head}, place int, {SCHEMA}")
+    """One row a method of each file: the keys, its place, and SCHEMA."""
+    return rows_of(files, keys, [text], callables_of, SCHEMA, "place")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import csharp, evaluation
+from ..operators import csharp, evaluation, pythoncode, sqlcode
 from ..sources import table
 from .registry import query
 
@@ -99,3 +99,96 @@ def csharp_structure(spark, sf_dir):
     """The fourteen structural measures of each scope, from the callables of its files."""
     rows = csharp.callables(csharp_files(spark, sf_dir), ["lang"]).where("executable")
     return evaluation.callable_distribution(rows.select("lang", F.col("tokens").alias("size"), F.col("complexity").alias("decisions"), "nesting", "parsed"), ["lang"])
+
+
+# SQL: statement and what it holds.
+SQL_UNITS = (
+    ("CREATE TABLE t (id SERIAL PRIMARY KEY, x int CHECK (x > 0), FOREIGN KEY (x) REFERENCES u (id) ON DELETE CASCADE);\n", dict(statements=1, ddl=1, tables=1, constraints=3, pg=1)),
+    ("WITH c AS (SELECT a, row_number() OVER (ORDER BY b) FROM t) SELECT * FROM c JOIN (SELECT 1) d ON c.a = d.a;\n", dict(statements=1, queries=3, joins=1, ctes=1, subqueries=2, windows=1)),
+    ("/* outer /* CREATE TABLE x; */ still */ INSERT INTO t VALUES ('it''s; SELECT', \"a;b\", [c;d]);\nGO\n", dict(statements=1, modifications=1, ms=2)),
+    ("CREATE OR REPLACE FUNCTION f() RETURNS int AS $body$ BEGIN; SELECT 1; END $body$ LANGUAGE plpgsql;\n", dict(statements=1, ddl=1, functions=1, pg=3)),
+    ("BEGIN TRANSACTION; UPDATE t SET x = 1; DELETE FROM t; COMMIT;\n", dict(statements=4, transactions=1, modifications=2)),
+    ("CREATE UNIQUE INDEX i ON t (x); ALTER TABLE t ADD CONSTRAINT u UNIQUE (x); DROP VIEW v;\n", dict(statements=3, ddl=3, indexes=1, tables=1, views=1, constraints=1)),
+    ("FROBNICATE the thing; SELECT * FROM OPENQUERY(srv, 'x');\n", dict(statements=2, unknown=1, queries=1, ms=1, s1=1)),
+    ("CREATE MATERIALIZED VIEW mv AS SELECT `a` FROM t; PRAGMA x; CREATE FOREIGN TABLE ft (y int);\n", dict(statements=3, ddl=1, views=1, queries=1, my=1, lite=1, s2=1)),
+    ("CREATE SEQUENCE s; CREATE DOMAIN d AS int; CREATE PROC p AS SELECT 1; CREATE TRIGGER g;\n", dict(statements=4, ddl=4, sequences=1, types=1, procedures=1, triggers=1, queries=1)),
+)
+SQL_PATHS = ("db/q.sql", "db/migrations/a.sql", "seeds/x.sql", "deploy/y.sql", "dumps/z.sql", "a/fixtures/f.sql", "V2__add.sql", "q/001_a.sql", "seed/dump/i.sql", "p.bak.sql")
+SQL_ROLES = (None, "migration", "seed-data", "delivery", "dump", "test-fixture", "migration", "migration", "seed-data", "dump")
+
+
+def sql_files(spark, sf_dir):
+    """One script a document; one in seven does not end its last comment."""
+    write = lambda i, a, b, c, comment: F.concat(F.lit("-- "), comment, F.lit("\n"), *[pick([x[0] for x in SQL_UNITS], k) for k in (a, b, c)])
+    text = F.concat(unit_texts(write), F.when(F.col("m") % 7 == 3, "/* no end").otherwise(""))
+    return worded(spark, sf_dir).select("doc_id", pick(SQL_PATHS, F.coalesce("doc_id", F.lit(0))).alias("path"), text.alias("text"))
+
+
+def held_sql(units, names) -> str:
+    """A table of units: number and how often each holds each of the names."""
+    return "(VALUES " + ", ".join("(" + ", ".join(map(str, (k, *[u[1].get(n, 0) for n in names]))) + ")" for k, u in enumerate(units)) + f") h(k, {', '.join(names)})"
+
+
+SQL_COUNTS = [c for c in sqlcode.COUNTS if c != "signals"]
+SQL_HELD = f"""counts AS (
+  SELECT doc_id, {", ".join(f"sum(h.{c})::INTEGER AS {c}" for c in (*SQL_COUNTS, "pg", "ms", "my", "lite"))}, (max(s1) + max(s2))::INTEGER AS signals
+  FROM (SELECT doc_id, unnest([a, b, c]) % {len(SQL_UNITS)} AS k FROM units) u JOIN {held_sql(SQL_UNITS, (*SQL_COUNTS, "pg", "ms", "my", "lite", "s1", "s2"))} ON h.k = u.k GROUP BY 1),
+filled AS (SELECT s.doc_id, m, {", ".join(f"coalesce({c}, 0) AS {c}" for c in (*SQL_COUNTS, "signals", "pg", "ms", "my", "lite"))} FROM sizes s LEFT JOIN counts c ON c.doc_id = s.doc_id)"""
+
+
+@query(f"""
+WITH {WORDS_SQL}, {SQL_HELD},
+ranked AS (SELECT *, list_sort([(-my, 'mysql-mariadb'), (-pg, 'postgresql'), (-ms, 'sql-server'), (-lite, 'sqlite')]) AS r FROM filled),
+top AS (SELECT *, -r[1][1] AS first, -r[2][1] AS second FROM ranked)
+SELECT doc_id, {", ".join(f"{c}::INTEGER AS {c}" for c in (*SQL_COUNTS, "signals"))},
+  CASE WHEN first = 0 THEN 'standard-or-unknown' WHEN first = second THEN 'mixed-or-ambiguous' ELSE r[1][2] END AS dialect,
+  CASE WHEN first = 0 OR first = second THEN 'low' WHEN first >= 4 AND first - second >= 2 THEN 'high' WHEN first >= 2 THEN 'medium' ELSE 'low' END AS dialect_confidence,
+  CASE WHEN m % 7 = 3 THEN 'low' WHEN unknown > greatest(2, statements // 4) THEN 'medium' ELSE 'high' END AS confidence,
+  least(2000, views + indexes + sequences + types + ceil(constraints / 3.0))::INTEGER AS schema_units, least(2000, queries + modifications + ceil((joins + ctes + subqueries + windows + transactions) / 2.0))::INTEGER AS query_units,
+  ddl + queries + modifications + functions + procedures + triggers > 0 AS has_semantics FROM top
+""")
+def sql_semantics(spark, sf_dir):
+    """What the statements of SQL scripts written from all documents hold, their dialect and confidence."""
+    return sqlcode.units(sqlcode.analyzed(sql_files(spark, sf_dir), ["doc_id"]))
+
+
+@query(f"""
+WITH {WORDS_SQL}, {SQL_HELD}
+SELECT doc_id, path, CASE WHEN path = 'db/q.sql' THEN CASE WHEN functions + procedures + triggers > 0 THEN 'stored-program' WHEN ddl > 0 THEN 'schema' WHEN queries + modifications > 0 THEN 'query' ELSE 'unknown' END
+  ELSE (['', {", ".join(f"'{x}'" for x in SQL_ROLES[1:])}])[doc_id % 10 + 1] END AS role FROM (SELECT *, ([{", ".join(f"'{x}'" for x in SQL_PATHS)}])[doc_id % 10 + 1] AS path FROM filled)
+""")
+def sql_roles(spark, sf_dir):
+    """What SQL scripts are for, by path, head and statements."""
+    files = sql_files(spark, sf_dir)
+    counted = sqlcode.analyzed(files, ["doc_id", "path", "text"])
+    return counted.select("doc_id", "path", sqlcode.role(F.col("path"), F.col("text"), F.lit(False)).alias("role"))
+
+
+# Python: unit and what it holds.
+PYTHON_UNITS = (
+    ("def f(a: int) -> int:\n    if a and b:\n        return g(a)\n    return 0\n", dict(functions=1, public_symbols=1, type_annotations=3, branch_points=2, calls=2)),
+    ("class C(Base):\n    def m(self):\n        return [x for x in y\n            if x]\n    async def _p(self):\n        await z()\n", dict(classes=1, public_symbols=2, methods=2, async_units=1, type_annotations=2, branch_points=2, calls=4)),
+    ("def outer():\n    class In:\n        def a(self):\n            def b():\n                pass\n", dict(functions=2, methods=1, classes=1, public_symbols=3, type_annotations=3, calls=3)),
+    ('s = """\nif x:\n    def no(): pass\n"""\nassert s == \\\n    "a"\n', dict(assertions=1)),
+    ('@app.get("/x")\ndef test_it():\n\tfor i in r: pass\n', dict(decorators=1, functions=1, public_symbols=1, test_cases=1, type_annotations=1, branch_points=1, calls=1)),
+    ('if __name__ == "__main__":\n    main(x, y=[1,\n2])\n', dict(branch_points=1, calls=1, main=1)),
+    ('import os.path as p, sys\nfrom .a import b as c\nfrom fastapi import FastAPI\napi = FastAPI()\n@api.get("/")\ndef e(): pass\n', dict(internal_imports=1, decorators=1, endpoints=1, functions=1, public_symbols=1, type_annotations=1, calls=2, four=1)),
+)
+PYTHON_SUMS = ("internal_imports", "functions", "methods", "classes", "public_symbols", "async_units", "branch_points", "decorators", "type_annotations", "calls", "endpoints", "test_cases", "assertions")
+
+
+def python_files(spark, sf_dir):
+    write = lambda i, a, b, c, comment: F.concat(F.lit("# "), comment, F.lit("\n"), *[pick([x[0] for x in PYTHON_UNITS], k) for k in (a, b, c)])
+    text = F.concat(unit_texts(write), F.when(F.col("m") % 7 == 3, "x = (1\n").otherwise(""))
+    return worded(spark, sf_dir).select("doc_id", F.lit("src/a.py").alias("path"), text.alias("text"))
+
+
+@query(f"""
+WITH {WORDS_SQL}, counts AS (
+  SELECT doc_id, {", ".join(f"sum(h.{c})::INTEGER AS {c}" for c in PYTHON_SUMS)}, max(main) AS entry_points, max(four) * 4 AS imports
+  FROM (SELECT doc_id, unnest([a, b, c]) % {len(PYTHON_UNITS)} AS k FROM units) u JOIN {held_sql(PYTHON_UNITS, (*PYTHON_SUMS, "main", "four"))} ON h.k = u.k GROUP BY 1)
+SELECT s.doc_id, {", ".join(f"coalesce({c}, 0)::INTEGER AS {c}" for c in (*PYTHON_SUMS, "entry_points", "imports"))}, CASE WHEN m % 7 = 3 THEN 'low' ELSE 'medium' END AS confidence FROM sizes s LEFT JOIN counts c ON c.doc_id = s.doc_id
+""")
+def python_lines(spark, sf_dir):
+    """Measures of Python files written from all documents, by logical lines."""
+    return pythoncode.analyzed(python_files(spark, sf_dir), ["doc_id"]).select("doc_id", *PYTHON_SUMS, "entry_points", "imports", "confidence")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkgauge.operators import csharp
+from sparkgauge.operators import csharp, pythoncode, sqlcode
 
 SOURCE = r'''
 #if DEBUG
@@ -77,3 +77,73 @@ def test_csharp_files_with_nulls(spark):
         [f"Row(id={i}, place=0, name='F', complexity=2)" for i in (1, None, 1)]
     )
     assert csharp.callables(files.limit(0), ["id"]).count() == 0
+
+
+def sql(text):
+    return dict(zip([c.split()[0] for c in sqlcode.SCHEMA.split(", ")], sqlcode.semantics(text)))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", {"statements": 0, "confidence": "high", "dialect": "standard-or-unknown"}),
+        ("select 1; select '", {"statements": 2, "queries": 2, "confidence": "low"}),
+        ("select ')' , \")\" , [)] , `)` , $a$ ) $a$ ;", {"queries": 1, "confidence": "high"}),
+        ("/* a /* b */ select 1;", {"queries": 0, "confidence": "low"}),
+        ("/* a /* b */ c */ select 1 -- ; select 2\n;", {"queries": 1, "statements": 1, "confidence": "high"}),
+        ("select (1; select 2", {"statements": 1, "confidence": "low"}),
+        ("x; y; z; select 1", {"statements": 4, "unknown": 3, "confidence": "medium"}),
+        ("insert into t select 1\nGO\nupdate t set x = 1\ngo\n", {"statements": 2, "modifications": 2, "dialect": "sql-server", "dialect_confidence": "medium"}),
+        ("create table a (x int references b on delete cascade on update no action, unique (x));", {"modifications": 0, "constraints": 1, "tables": 1}),
+        ("create temp view v as with recursive r(a) as (select 1) select * from r;", {"views": 1, "ctes": 1, "subqueries": 1, "queries": 2}),
+        ("create or alter procedure p as begin tran; commit", {"procedures": 2, "transactions": 1, "statements": 2}),
+        ("alter materialized view v; drop domain d; truncate table t;", {"views": 0, "types": 1, "tables": 1, "ddl": 2}),
+        ("select sqlite_version(); create database link l; engine = federated", {"dialect": "sqlite", "signals": 2}),
+        ("select $x$ never ends", {"confidence": "low", "queries": 1}),
+        ("'' ' it''s' ''''", {"confidence": "high"}),
+        (";" * 300_000, {"statements": 0, "confidence": "low"}),
+    ],
+)
+def test_sql_statements(text, want):
+    got = sql(text)
+    assert {k: got[k] for k in want} == want
+
+
+def python(text, path="a.py"):
+    got = dict(zip([c.split()[0] for c in pythoncode.SCHEMA.split(", ")], pythoncode.measures(path, text)))
+    return {k: v for k, v in got.items() if v}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", {}),
+        ("class A:\n  class B:\n    def m(self): pass\n  def n(self):\n    def inner(): pass\n    return inner\ndef f(): pass\n", {"classes": 2, "methods": 2, "functions": 2, "public_symbols": 5, "type_annotations": 4, "calls": 4}),
+        ("if a:\n    class A:\n        if b:\n            def m(self): pass\n", {"classes": 1, "methods": 1, "public_symbols": 2, "type_annotations": 1, "calls": 1, "branch_points": 2}),
+        ("def f(a,\n   b):\n  x = (a or\nb)\n", {"functions": 1, "public_symbols": 1, "type_annotations": 1, "calls": 1, "branch_points": 1}),
+        ("import numpy as np\nnp.array([1])\nx = np.zeros(3)\nx.sum()\n", {"imports": 1, "calls": 3, "analysis_calls": 3}),
+        ("from unittest import mock\nm = mock.patch('a')\n@pytest.mark.skip\nasync def test_a():\n    assert await g()\n", {"imports": 1, "calls": 3, "mock_usages": 1, "decorators": 1, "functions": 1, "async_units": 1, "public_symbols": 1, "test_cases": 1, "type_annotations": 1, "assertions": 1}),
+        ("from pydantic import BaseModel\nclass M(BaseModel):\n    pass\n__all__ = ['M', \"N\"]\n", {"imports": 1, "classes": 1, "public_symbols": 3, "validation_types": 1, "calls": 1, "validation_rules": 0}),
+        ("x = f'{a}' r\"\\d\" b'''\n'''\ny = \\\n  1\n", {}),
+    ],
+)
+def test_python_lines(text, want):
+    got = python(text)
+    assert got.pop("confidence") == "medium"
+    assert got == {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("text", ["x = 'abc\n", "x = '''abc", "f(", ")", "if a:\n    b\n  c\n", "x = 'a\\"])
+def test_python_faults(text):
+    assert python(text)["confidence"] == "low"
+
+
+def test_python_entry_points():
+    assert python("x", "pkg/__main__.py")["entry_points"] == 1 and "entry_points" not in python("x", "main.py")
+
+
+def test_code_files_with_nulls(spark):
+    files = spark.createDataFrame([(1, None, None), (None, "a.py", "def f(): pass"), (None, "a.py", "def f(): pass")], "id int, path string, text string")
+    assert sorted(r.functions for r in pythoncode.analyzed(files, ["id"]).collect()) == [0, 1, 1]
+    assert sorted(r.statements for r in sqlcode.analyzed(files, ["id", "path"]).collect()) == [0, 1, 1]
+    assert sqlcode.analyzed(files.limit(0), ["id"]).count() == 0
