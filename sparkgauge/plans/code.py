@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import csharp, evaluation, pythoncode, sqlcode
+from ..operators import csharp, evaluation, formatting, pythoncode, sqlcode
 from ..sources import table
 from .registry import query
 
@@ -192,3 +192,16 @@ SELECT s.doc_id, {", ".join(f"coalesce({c}, 0)::INTEGER AS {c}" for c in (*PYTHO
 def python_lines(spark, sf_dir):
     """Measures of Python files written from all documents, by logical lines."""
     return pythoncode.analyzed(python_files(spark, sf_dir), ["doc_id"]).select("doc_id", *PYTHON_SUMS, "entry_points", "imports", "confidence")
+
+
+@query(f"""
+WITH {WORDS_SQL}
+SELECT doc_id, (['src/A.java', 'src/a.cpp', 'src/A.cs', 'src/a.txt'])[doc_id % 4 + 1] AS path, CASE WHEN doc_id % 4 = 3 OR doc_id % 3 = 1 THEN FALSE WHEN doc_id % 3 = 2 THEN TRUE ELSE doc_id % 4 < 2 OR m = 0 END AS formatting_only FROM sizes
+""")
+def formatting_decisions(spark, sf_dir):
+    """Changed files of several languages: comments dropped and lines broken, a name changed, or a line added."""
+    k = F.col("doc_id")
+    broken = F.regexp_replace(F.regexp_replace("text", r"//[^\n]*", ""), r"\n", "\n\n  ")
+    after = F.when(k % 3 == 0, broken).when(k % 3 == 1, F.regexp_replace("text", r"Go\(\)", "Went()")).otherwise(F.concat("text", F.lit("\n")))
+    changes = csharp_files(spark, sf_dir).select("doc_id", pick(("src/A.java", "src/a.cpp", "src/A.cs", "src/a.txt"), k).alias("path"), F.col("text").alias("before"), after.alias("after"))
+    return formatting.formatting_only(changes, ["doc_id", "path"])
