@@ -105,7 +105,7 @@ def csharp_structure(spark, sf_dir):
 SQL_UNITS = (
     ("CREATE TABLE t (id SERIAL PRIMARY KEY, x int CHECK (x > 0), FOREIGN KEY (x) REFERENCES u (id) ON DELETE CASCADE);\n", dict(statements=1, ddl=1, tables=1, constraints=3, pg=1)),
     ("WITH c AS (SELECT a, row_number() OVER (ORDER BY b) FROM t) SELECT * FROM c JOIN (SELECT 1) d ON c.a = d.a;\n", dict(statements=1, queries=3, joins=1, ctes=1, subqueries=2, windows=1)),
-    ("/* outer /* CREATE TABLE x; */ still */ INSERT INTO t VALUES ('it''s; SELECT', \"a;b\", [c;d]);\nGO\n", dict(statements=1, modifications=1, ms=2)),
+    ("/* outer /* CREATE TABLE x; */ still */ INSERT\tINTO t VALUES ('it''s; SELECT', \"a;b\", [c;d]);\nGO\n", dict(statements=1, modifications=1, ms=2)),
     ("CREATE OR REPLACE FUNCTION f() RETURNS int AS $body$ BEGIN; SELECT 1; END $body$ LANGUAGE plpgsql;\n", dict(statements=1, ddl=1, functions=1, pg=3)),
     ("BEGIN TRANSACTION; UPDATE t SET x = 1; DELETE FROM t; COMMIT;\n", dict(statements=4, transactions=1, modifications=2)),
     ("CREATE UNIQUE INDEX i ON t (x); ALTER TABLE t ADD CONSTRAINT u UNIQUE (x); DROP VIEW v;\n", dict(statements=3, ddl=3, indexes=1, tables=1, views=1, constraints=1)),

@@ -147,3 +147,14 @@ def test_code_files_with_nulls(spark):
     assert sorted(r.functions for r in pythoncode.analyzed(files, ["id"]).collect()) == [0, 1, 1]
     assert sorted(r.statements for r in sqlcode.analyzed(files, ["id", "path"]).collect()) == [0, 1, 1]
     assert sqlcode.analyzed(files.limit(0), ["id"]).count() == 0
+
+
+def test_sql_roles(spark):
+    many = "insert into t values (1);\n" * 100
+    cases = [("a/dumps/x.sql", "", False, "dump"), ("seeds/dumps/x.sql", "", False, "seed-data"), ("x.bak.sql", "", False, "dump"), ("x.sql", many, False, "dump"), ("tests/x.sql", many, False, "query"), ("x.sql", many, True, "dump"), ("tests/x.sql", "-- MySQL dump", True, "dump"), ("x.sql", "select 1", True, "test-fixture"), ("R__a.sql", "", False, "migration"), ("v1_a.sql", "", False, "unknown"), ("V1__a.sql", "", False, "migration"), ("12_a.sql", "", False, "unknown"), ("012-a.sql", "", False, "migration"), ("a/Migrate/b.sql", "", False, "migration"), ("my.seed.sql", "", False, "seed-data"), ("deploy/a.sql", "", False, "delivery"), ("install_a.sql", "", False, "delivery"), ("a.sql", "create trigger t", False, "stored-program"), ("a.sql", "drop table t", False, "schema"), ("a.sql", "update t set x=1", False, "query"), ("a.sql", "copy t (a) from stdin;", False, "dump")]
+    files = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, path string, text string, is_test boolean, want string")
+    counted = sqlcode.analyzed(files, ["id", "path", "text", "is_test", "want"])
+    from pyspark.sql import functions as F
+
+    got = counted.select("path", "want", sqlcode.role(F.col("path"), F.col("text"), F.col("is_test")).alias("role"))
+    assert [(r.path, r.role, r.want) for r in got.collect() if r.role != r.want] == []
