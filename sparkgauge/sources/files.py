@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify, facts
+from . import sourcetree
 
 TEXT_LIMIT = 8 * 1024 * 1024
 
@@ -35,6 +36,15 @@ def scan(files: DataFrame, ignore: list[str] = ()) -> DataFrame:
 
 def cached_scan(files: DataFrame, cache: DataFrame, ignore: list[str] = ()) -> DataFrame:
     """Rows of ``cache`` (a former scan) where path, length and time are unchanged; the rest scanned anew."""
-    key = ["path", "length", "modified"]
+    key = ["path", "length", "modified"]  # unchanged files lose their rows here, before their content is inspected
     fresh = scan(files.join(cache.select(key), key, "left_anti"), ignore)
     return cache.join(files.select(key), key, "left_semi").unionByName(fresh, allowMissingColumns=True)
+
+
+def scan_tree(spark: SparkSession, root: str, cache: DataFrame | None = None, rules: list[str] = (), **options) -> DataFrame:
+    """Scan of a folder: what is excluded, ignored or a link is never opened, nor what ``cache`` (a former scan) holds unchanged."""
+    if cache is None:
+        rows = sourcetree.pruned_tree(spark, root, rules=rules, **options).where("reason is null").select("path", "content", "length", "modified")
+        return scan(rows)
+    fresh, held = sourcetree.changed_files(spark, root, cache, rules=rules, **options)
+    return held.unionByName(scan(fresh.select("path", "content", "length", "modified")), allowMissingColumns=True)
