@@ -239,3 +239,62 @@ def pruned(files: DataFrame, delta: DataFrame, snapshot: list[str], path: str =
     context = files.where("is_context").withColumn("_dir", folder).join(above, [*snapshot, "_dir"], "left_semi").drop("_dir")
     direct = files.join(changed, [*snapshot, path], "left_semi")
     return direct.withColumn("why", F.lit("changed")).unionByName(context.join(changed, [*snapshot, path], "left_anti").withColumn("why", F.lit("context")))
+
+
+#: Categories whose work never follows from one capability, and those that follow only from a new or a vanished one.
+NO_DELTA = ("specification-comprehension-and-domain-learning", "manual-validation-debugging-and-hardening", "self-review-and-system-integration")
+ONCE_DELTA = ("repository-and-solution-setup", "architecture-and-technical-design")
+
+
+def modification_range(category: Column, status_factor: Column, units: Column) -> tuple[Column, Column, Column]:
+    """Low, expected and high hours of changing what is there: units at falling rates, half an hour to eight."""
+    rate = (changes.modification_factor(category) * status_factor).cast("decimal(18,8)")
+    units = units.cast("decimal(18,0)")
+    spent = F.least(units, dec(2)) * rate + F.least(F.greatest(units - 2, dec(0)), dec(6)) * rate * dec("0.5") + F.greatest(units - 8, dec(0)) * rate * dec("0.15")
+    expected = quarter(F.least(F.greatest(spent.cast("decimal(28,8)"), dec("0.5", "decimal(28,8)")), dec(8, "decimal(28,8)")))
+    return (changes.range_from_expected(expected, "0.7")[0], expected, changes.range_from_expected(expected, "0.7")[1])
+
+
+def capability_deltas(base: DataFrame, head: DataFrame, paths: DataFrame, material: DataFrame, change: list[str], capability: str = "capability", evidence: str = "evidence_id") -> DataFrame:
+    """Work items of capabilities by the rule that fits what both snapshots say of them.
+
+    base, head: change, capability, category, low, expected, high, paths (array); paths: change, evidence,
+    path, previous_path, status, regions (the represented ones); material: change, capability whose evidence differs in
+    value.  More hours than before are marginal effort, priced as a modification where the capability
+    was there or a file of it was; fewer are a removal if a path of it is touched; as many are a
+    modification if a path is touched and the evidence differs.  Items: rule, verb, hours, evidence ids.
+    """
+    key = [*change, capability]
+    points = ("category", "low", "expected", "high")
+    side = lambda df, p: df.select(*key, *[F.col(c).alias(f"_{p}_{c}") for c in points], F.lit(True).alias(f"_{p}"))
+    both = side(base, "b").join(side(head, "h"), key, "full_outer").withColumn("category", F.coalesce("_h_category", "_b_category"))
+    hours = lambda p, c: F.coalesce(f"_{p}_{c}", dec(0))
+    b, h = F.coalesce("_b", F.lit(False)), F.coalesce("_h", F.lit(False))
+    both = both.where(~F.col("category").isin(*NO_DELTA) & (~F.col("category").isin(*ONCE_DELTA) | ~b | ~h))
+
+    units, status = changes.logical_units(F.col("regions")), changes.status_factor(F.col("status"))
+    facts = paths.groupBy(*change, evidence).agg(F.max(units).alias("_u"), F.max(status).alias("_s"), F.bool_or(F.col("status") == "modified").alias("_m"))
+    sums = lambda p: [F.sum("_u").alias(f"{p}_units"), F.max("_s").alias(f"{p}_status"), F.bool_or("_m").alias(f"{p}_modified"), F.sort_array(F.collect_set(evidence)).alias(f"{p}_ids")]
+    held = base.select(*key, F.explode("paths").alias("_path")).union(head.select(*key, F.explode("paths").alias("_path"))).distinct()
+    moved = paths.select(*change, evidence, F.explode(F.array_compact(F.array("path", "previous_path"))).alias("_path")).distinct()
+    hit = held.join(moved, [*change, "_path"]).select(*key, evidence).distinct().join(facts, [*change, evidence])
+    rows = both.join(hit.groupBy(*key).agg(*sums("_t")), key, "left").join(facts.groupBy(*change).agg(*sums("_c")), change, "left")
+    rows = rows.join(material.select(*key, F.lit(True).alias("_material")).distinct(), key, "left")
+
+    touched = F.col("_t_ids").isNotNull()
+    of = lambda name: F.when(touched, F.col(f"_t_{name}")).otherwise(F.col(f"_c_{name}"))
+    delta = hours("h", "expected") - hours("b", "expected")
+    rule = (
+        F.when(delta > 0, "capability-marginal").when((delta < 0) & touched, "capability-removal")
+        .when((delta == 0) & touched & b & h & F.coalesce("_material", F.lit(False)), "capability-modification")
+    )
+    there = (delta > 0) & of("ids").isNotNull() & (b | of("modified"))
+    changed = modification_range(F.col("category"), of("status"), of("units"))
+    removed = changes.removal_expected(-delta)
+    gone = (changes.range_from_expected(removed, "0.62")[0], removed, changes.range_from_expected(removed, "0.62")[1])
+    diff = lambda c: hours("h", c) - hours("b", c)
+    more = (F.least(F.greatest(diff("low"), dec(0)), delta), delta, F.greatest(delta, diff("high")))
+    value = lambda i: F.when((rule == "capability-modification") | there, changed[i]).when(rule == "capability-removal", gone[i]).otherwise(more[i]).cast("decimal(18,4)")
+    verb = F.when(rule == "capability-removal", "Remove or simplify").when(rule == "capability-modification", "Modify").when(b, "Expand").otherwise("Add")
+    out = rows.select(*key, "category", rule.alias("rule"), verb.alias("verb"), *[value(i).alias(c) for i, c in enumerate(points[1:])], of("ids").alias("evidence_ids"))
+    return out.where("rule is not null and expected > 0 and size(evidence_ids) > 0")

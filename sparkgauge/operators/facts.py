@@ -58,6 +58,15 @@ def text_lines(text: Column) -> Column:
     return (feeds + F.when((F.length(text) > 0) & ~text.endswith("\n"), 1).otherwise(0)).cast("long")
 
 
+def duplicate_key(tags: Column) -> Column:
+    """Family of roles, language and digest of a file, which exact duplicates share; null for what is not maintained or has no digest."""
+    role = F.coalesce(tag_value(tags, "role:"), F.lit("unknown"))
+    family = F.when((role == "test") | F.array_contains(tags, "classification:test"), "test").otherwise(role)
+    out = F.arrays_overlap(tags, F.array(*map(F.lit, ("classification:generated", "classification:minified", "classification:vendored", "content:binary"))))
+    digest = tag_value(tags, "sha256:")
+    return F.when(digest.isNotNull() & ~out, F.concat_ws("|", family, F.coalesce(tag_value(tags, "language:"), F.lit("none")), digest))
+
+
 def exact_duplicates(files: DataFrame, key: list[str], path: str) -> DataFrame:
     """``canonical``: the smallest path of those with the same key; ``copies``: how many there are.
 

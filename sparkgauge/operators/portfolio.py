@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import dec, ratio
@@ -89,6 +89,46 @@ def calendar_buckets(rows: DataFrame, ts: str, unit: str, since: str | None = No
     return rows.withColumns({"since": low, "until": high, "partial": (low > start) | (high < end)})
 
 
+def to_instant(local: Column, zone: str) -> Column:
+    """The UTC instant (without zone) of a local time; of two instants the later, and an error if there is none."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    back = lambda x: F.convert_timezone(F.lit("UTC"), F.lit(zone), x)
+    out = utc
+    for minutes in (30, 60, 120):  # clocks that are set back show a time twice
+        later = utc + F.expr(f"interval {minutes} minute")
+        out = F.when(back(later) == local, later).otherwise(out)
+    message = F.concat(F.lit(f"no such local time in {zone}: "), local.cast("string"))
+    return F.when(back(utc) != local, F.raise_error(message).cast("timestamp_ntz")).otherwise(out)
+
+
+def calendar_partition(spark: SparkSession, since: str, until: str, unit: str, zone: str) -> DataFrame:
+    """The months or Monday weeks of a zone that cover [since, until), both in UTC: bucket, label, since, until, partial_start, partial_end.
+
+    A boundary that the zone's clocks skip is an error, since no bucket could begin there.
+    """
+    step = "interval 1 month" if unit == "month" else "interval 7 day"
+    low, high = F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")
+    local = lambda x: F.date_trunc(unit, F.convert_timezone(F.lit("UTC"), F.lit(zone), x)).cast("timestamp_ntz")
+    starts = spark.range(1).select(F.explode(F.sequence(local(low), local(high), F.expr(step))).alias("_start"))  # as many rows as the period has buckets
+    rows = starts.select("_start", to_instant(F.col("_start"), zone).alias("_from"), to_instant((F.col("_start") + F.expr(step)).cast("timestamp_ntz"), zone).alias("_to")).where((F.col("_from") < high) & (F.col("_to") > low))
+    day = F.date_format("_start", "yyyy-MM-dd")
+    name = F.date_format("_start", "yyyy-MM") if unit == "month" else F.concat(F.lit("week-"), day)
+    label = F.date_format("_start", "MMMM yyyy") if unit == "month" else F.concat(F.lit("Week of "), day)
+    return rows.select(
+        name.alias("bucket"), label.alias("label"), F.greatest("_from", low).alias("since"), F.least("_to", high).alias("until"), (F.col("_from") < low).alias("partial_start"), (F.col("_to") > high).alias("partial_end")
+    )
+
+
+def partition_faults(buckets: DataFrame, since: Column, until: Column) -> DataFrame:
+    """What keeps buckets from being a partition of [since, until): gaps and overlaps, a start or an end elsewhere."""
+    order = F.struct("since", *[c for c in buckets.columns if c not in ("since", "until")], "until")
+    ends = buckets.agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    row = lambda c: [F.col(f"{c}.{x}").alias(x) for x in buckets.columns]
+    start = ends.where(F.col("_first.since") != since).select(*row("_first"), F.lit("start").alias("problem"))
+    end = ends.where(F.col("_last.until") != until).select(*row("_last"), F.lit("end").alias("problem"))
+    return gap_check(buckets).withColumn("problem", F.lit("gap")).unionByName(start).unionByName(end)
+
+
 def bucket_join(rows: DataFrame, buckets: DataFrame, ts: str, most: int = 10_000) -> DataFrame:
     """Interval join: each row with the half-open bucket that holds its time; rows of no bucket go.
 
@@ -123,8 +163,8 @@ def trend(points: DataFrame, series: list[str], order: str, value: str) -> DataF
     first, last = F.min_by("_y", "_x"), F.max_by("_y", "_x")
     return at.groupBy(*series).agg(
         F.count("*").alias("points"),
-        F.round(F.regr_slope("_y", "_x"), 6).alias("slope"),
-        F.round(F.regr_r2("_y", "_x"), 6).alias("r2"),
+        F.round(F.regr_slope("_y", "_x"), 8).alias("slope"),
+        F.round(F.regr_r2("_y", "_x"), 8).alias("r2"),
         F.round((last - first) / F.nullif(first, F.lit(0.0)), 6).alias("change"),
     )
 

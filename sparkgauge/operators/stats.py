@@ -50,6 +50,26 @@ def range_status(value: Column, low: Column, high: Column) -> Column:
     return F.when(value < low, "below").when(value > high, "above").otherwise("inside")
 
 
+def range_diagnostic(reviewed: dict[str, Column], candidate: dict[str, Column]) -> dict[str, Column]:
+    """How a candidate range stands to a reviewed one: status, miss, widths and asymmetry; dicts of low, expected, high."""
+    low, expected, high = (candidate[x] for x in ("low", "expected", "high"))
+    said = reviewed["expected"]
+    below, above = expected - low, high - expected
+    asymmetry, width = F.abs(above - below), high - low
+    return {
+        "status": F.when(said < low, "candidate-too-high").when(said > high, "candidate-too-low").otherwise("covered"),
+        "miss": F.greatest(low - said, said - high, (said - said)),
+        "signed_error": expected - said,
+        "candidate_width": width,
+        "reviewed_width": reviewed["high"] - reviewed["low"],
+        "lower_distance": below,
+        "upper_distance": above,
+        "asymmetry": asymmetry,
+        "relative_asymmetry": F.when(width == 0, 0).otherwise(F.round((asymmetry / F.nullif(width, F.lit(0))).cast("decimal(28,8)"), 4)).cast("double"),
+        "symmetric": below == above,
+    }
+
+
 def average_ranks(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """Ranks from 1; equal values share the mean of their ranks.
 
@@ -165,6 +185,32 @@ def support_levels(rows: DataFrame, repo: str, levels: list[list[str]], least: i
     return out.withColumns({"level": level, "support": support}).drop(*[f"_s{i}" for i in range(len(levels))])
 
 
+# What makes a cell of the support hierarchy sufficient.
+LEAST_OBSERVATIONS, LEAST_REPOSITORIES = 3, 2
+
+
+def support_hierarchy(rows: DataFrame, repo: str, levels: list[list[str]]) -> DataFrame:
+    """The first level of keys, the last one without any, that has support in other repositories: level, observations, repositories, sufficient.
+
+    Counts are of rows of other repositories that share the level's keys; where no level suffices the last is taken.
+    """
+    out, cells = rows, []
+    for i, keys in enumerate(levels):  # counted and joined, so a hot key is a join that can be split
+        own = rows.groupBy(*keys, repo).agg(F.count("*").alias("_own"))
+        if keys:
+            whole = own.groupBy(*keys).agg(F.sum("_own").alias("_all"), F.count("*").alias("_repos"))
+            counts = own.join(whole, keys)
+        else:
+            one = own.agg(F.sum("_own").alias("_all"), F.count("*").alias("_repos")).withColumn("_k", F.lit(0))
+            counts = own.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k").drop("_k")  # one row
+        cell = F.struct(F.lit(i).alias("level"), (F.col("_all") - F.col("_own")).alias("observations"), (F.col("_repos") - 1).alias("repositories"))
+        out = out.join(counts.select(*keys, repo, cell.alias(f"_c{i}")), [*keys, repo])
+        cells.append(f"_c{i}")
+    enough = lambda c: (c["observations"] >= LEAST_OBSERVATIONS) & (c["repositories"] >= LEAST_REPOSITORIES)
+    picked = F.coalesce(*[F.when(enough(F.col(c)), F.col(c)) for c in cells], F.col(cells[-1]))
+    return out.withColumn("_pick", picked).select(*rows.columns, "_pick.*", enough(F.col("_pick")).alias("sufficient"))
+
+
 def jaccard_distance(a: Column, b: Column) -> Column:
     """1 - |a and b| / |a or b|; two empty sets have distance 0."""
     union = F.size(F.array_union(a, b))

@@ -184,26 +184,34 @@ SAMPLES = (
 KEPT = {"other-folder": "source", "excluded": None}
 
 
-def sample_paths(spark):
-    rows = [(p, r) for p, r in SAMPLES if KEPT.get(r, r)]
-    return spark.createDataFrame([(p, KEPT.get(r, r)) for p, r in rows], "path string, role string").coalesce(1)
+ROLE_SAMPLES = sorted({(p, KEPT.get(r, r)) for p, r in SAMPLES if KEPT.get(r, r)})
+REASON_SAMPLES = sorted([(f"a/{d}/b.cs", r) for d, r in classify.EXCLUDED_DIRECTORIES.items()] + [(".yarn/cache/x", "tool-cache"), (".nuget/packages/y", "tool-cache")]) + [(f"{d}/a.cs", None) for d in ("bin", "build", "packages", ".idea", ".gradle", ".cache")]
+PER_DOCUMENT = 4  # names a document picks: the smallest table of documents comes to all of them
 
 
-def _values(rows):
-    return "(VALUES " + ", ".join("(" + ", ".join("'" + str(x) + "'" for x in r) + ")" for r in rows) + ")"
+def picked_paths(spark, sf_dir, samples):
+    """(doc_id, path): each document picks some of the sample paths by its id."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(PER_DOCUMENT - 1)))
+    rows = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", k.alias("j"))
+    at = F.abs(F.col("doc_id")) * PER_DOCUMENT + F.col("j")
+    return rows.select("doc_id", F.element_at(F.array(*[F.lit(p) for p, _ in samples]), (at % len(samples) + 1).cast("int")).alias("path"))
 
 
-@query(f"SELECT path, role FROM {_values(sorted({(p, KEPT.get(r, r)) for p, r in SAMPLES if KEPT.get(r, r)}))} t(path, role)")
+def _picked_sql(samples, name):
+    values = ", ".join(f"({i}, '{p}', " + ("NULL" if r is None else f"'{r}'") + ")" for i, (p, r) in enumerate(samples))
+    return f"SELECT doc_id, path, {name} FROM (SELECT doc_id, (abs(doc_id) * {PER_DOCUMENT} + j) % {len(samples)} AS i FROM documents, (SELECT unnest(range({PER_DOCUMENT})) AS j) WHERE doc_id IS NOT NULL) JOIN (VALUES {values}) t(i, path, {name}) USING (i)"
+
+
+@query(_picked_sql(ROLE_SAMPLES, "role"))
 def scan_roles(spark, sf_dir):
-    """Role of a path for every name, ending and directory that the classification lists."""
-    return sample_paths(spark).select("path", classify.role(F.col("path")).alias("role")).distinct()
+    """Role of paths that the documents pick among every name, ending and directory that the classification lists."""
+    return picked_paths(spark, sf_dir, ROLE_SAMPLES).select("doc_id", "path", classify.role(F.col("path")).alias("role"))
 
 
-@query(f"SELECT path, reason FROM {_values([(f'a/{d}/b.cs', r) for d, r in classify.EXCLUDED_DIRECTORIES.items()] + [('.yarn/cache/x', 'tool-cache'), ('.nuget/packages/y', 'tool-cache')])} t(path, reason) UNION ALL SELECT path, NULL FROM {_values([(f'{d}/a.cs',) for d in ('bin', 'build', 'packages', '.idea', '.gradle', '.cache')])} t(path)")
+@query(_picked_sql(REASON_SAMPLES, "reason"))
 def exclusion_reasons(spark, sf_dir):
-    """Directories that a scan leaves out and why; others are scanned."""
-    rows = [(f"a/{d}/b.cs",) for d in classify.EXCLUDED_DIRECTORIES] + [(".yarn/cache/x",), (".nuget/packages/y",)] + [(f"{d}/a.cs",) for d in ("bin", "build", "packages", ".idea", ".gradle", ".cache")]
-    return spark.createDataFrame(rows, "path string").select("path", classify.exclusion_reason(F.col("path")).alias("reason"))
+    """Why a scan leaves out the directories of paths that the documents pick; others are scanned."""
+    return picked_paths(spark, sf_dir, REASON_SAMPLES).select("doc_id", "path", classify.exclusion_reason(F.col("path")).alias("reason"))
 
 
 SCRIPTS = ("tools/build.sh", "ci/run.ps1", "ops/x.sh", "release/a.bash", "x/publish.ps1", "test/a.sh", "a/run-test.sh", "misc/y.ksh", "src/a.cs", "run")
@@ -273,3 +281,16 @@ def ignore_nested(spark, sf_dir):
     path = F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % 8 + 1).cast("int"))
     rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
     return classify.ignored(rows, ["*.log", "!!keep.log", "\\!keep.log", "\\#x.tmp", "/build/"], below={"sub": ["*.tmp"], "sub/deep": ["!keep.tmp"]})
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR text IS NULL THEN NULL ELSE CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'test' WHEN doc_id % 3 = 1 THEN 'source' ELSE 'unknown' END || '|' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'none' END || '|' || sha256(text) END AS duplicate_key FROM documents
+""")
+def duplicate_keys(spark, sf_dir):
+    """Role family, language and digest that exact duplicates share, from the tags of file facts."""
+    k = F.col("doc_id")
+    tags = F.array_compact(F.array(
+        F.when(k % 3 == 0, "role:test").when(k % 3 == 1, "role:source"), F.when(k % 5 == 0, "classification:test"), F.when(k % 2 == 0, F.concat(F.lit("language:"), "lang")),
+        F.concat(F.lit("sha256:"), F.sha2("text", 256)), F.when(k % 7 == 0, "content:binary"),
+    ))
+    return table(spark, sf_dir, "documents").select("doc_id", facts.duplicate_key(tags).alias("duplicate_key"))

@@ -217,3 +217,43 @@ def scope_pruning(spark, sf_dir):
     rows = rows.groupBy("snapshot", "path").agg(F.bool_or("is_context").alias("is_context"), F.bool_or("changed").alias("changed"))
     delta = rows.select("snapshot", "path", F.when(F.col("changed"), "modified").otherwise("unchanged").alias("status"))
     return assembly.pruned(rows.drop("changed"), delta, ["snapshot"]).select("snapshot", "path", "why")
+
+
+DELTA_CATEGORIES = ("production-implementation", "ui-implementation-and-represented-ux-decisions", "unit-testing", "repository-and-solution-setup", "architecture-and-technical-design", "manual-validation-debugging-and-hardening", "data-modeling-persistence-and-migrations")
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey AS change, l_linenumber AS k, {sql_list(DELTA_CATEGORIES, "(l_linenumber - 1)")} AS category, l_partkey, l_suppkey,
+    CASE WHEN l_partkey % 5 <> 0 THEN {cents_sql("l_partkey", 900)} END AS b, CASE WHEN l_suppkey % 6 <> 0 THEN CASE WHEN l_partkey % 4 = 0 AND l_partkey % 5 <> 0 THEN {cents_sql("l_partkey", 900)} ELSE {cents_sql("l_suppkey", 1100)} END END AS h,
+    l_linenumber % 2 = 1 AS touched, l_partkey % 3 = 0 AS material, CASE l_suppkey % 3 WHEN 0 THEN 'modified' WHEN 1 THEN 'added' ELSE 'removed' END AS status, l_partkey % 20 AS regions FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
+u AS (SELECT *, CASE WHEN regions <= 1 THEN 1 WHEN regions <= 3 THEN 2 WHEN regions <= 15 THEN 3 ELSE 4 END AS units, CASE status WHEN 'modified' THEN 0.3 WHEN 'removed' THEN 0.75 ELSE 1 END AS sf FROM l),
+c AS (SELECT change, sum(units) AS units, max(sf) AS sf, bool_or(status = 'modified') AS modified, string_agg('e' || k, '+' ORDER BY k) AS ids FROM u GROUP BY 1),
+r AS (SELECT u.change, k, category, b, h, coalesce(h, 0) - coalesce(b, 0) AS d, touched, material, CASE WHEN touched THEN u.units ELSE c.units END AS n, CASE WHEN touched THEN u.sf ELSE c.sf END AS sf, CASE WHEN touched THEN status = 'modified' ELSE modified END AS modified, CASE WHEN touched THEN 'e' || k ELSE ids END AS ids
+  FROM u JOIN c USING (change) WHERE (b IS NOT NULL OR h IS NOT NULL) AND category <> 'manual-validation-debugging-and-hardening' AND (category NOT IN ('repository-and-solution-setup', 'architecture-and-technical-design') OR b IS NULL OR h IS NULL)),
+s AS (SELECT *, CASE WHEN d > 0 THEN 'capability-marginal' WHEN d < 0 AND touched THEN 'capability-removal' WHEN d = 0 AND touched AND b IS NOT NULL AND h IS NOT NULL AND material THEN 'capability-modification' END AS rule,
+  sf * CASE WHEN k IN (2, 7) THEN 1.25 WHEN k = 3 THEN 0.75 WHEN k IN (4, 5) THEN 0.5 ELSE 1 END AS f FROM r),
+p AS (SELECT *, CASE WHEN rule = 'capability-modification' OR rule = 'capability-marginal' AND (b IS NOT NULL OR modified) THEN 'm' WHEN rule = 'capability-removal' THEN 'r' ELSE 'd' END AS price,
+  round(least(greatest((least(n, 2) * f + least(greatest(n - 2, 0), 6) * f * 0.5 + greatest(n - 8, 0) * f * 0.15)::DECIMAL(18,8), 0.5), 8) * 4, 0) / 4 AS me, round(least(greatest((-d * 0.25)::DECIMAL(18,4), 0.5), 16) * 4, 0) / 4 AS re FROM s WHERE rule IS NOT NULL),
+e AS (SELECT *, CASE price WHEN 'm' THEN me WHEN 'r' THEN re ELSE d END::DECIMAL(18,2) AS expected, CASE price WHEN 'm' THEN 0.3 ELSE 0.38 END AS doubt FROM p)
+SELECT change, 'k' || k AS capability, rule, CASE WHEN price = 'r' THEN 'Remove or simplify' WHEN rule = 'capability-modification' THEN 'Modify' WHEN b IS NOT NULL THEN 'Expand' ELSE 'Add' END AS verb,
+  CAST(CASE WHEN price = 'd' THEN least(greatest(d * 0.5, 0), expected) ELSE least(expected, round((expected * (0.65 - doubt * 0.25))::DECIMAL(18,8) * 4, 0) / 4) END AS DOUBLE) AS low, CAST(expected AS DOUBLE) AS expected,
+  CAST(CASE WHEN price = 'd' THEN greatest(expected, d * 2) ELSE greatest(expected, round((expected * (1.55 + doubt * 1.25))::DECIMAL(18,8) * 4, 0) / 4) END AS DOUBLE) AS high, ids AS evidence FROM e WHERE expected > 0
+""")
+def capability_delta_rules(spark, sf_dir):
+    """Items of capabilities in two snapshots by rule: marginal, removal, modification, over all lines of all orders."""
+    k, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    once = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    lines = once.select(
+        F.col("l_orderkey").alias("change"), F.concat(F.lit("k"), k).alias("capability"), F.element_at(F.array(*map(F.lit, DELTA_CATEGORIES)), k.cast("int")).alias("category"), k.alias("k"), part.alias("part"), supplier.alias("supplier"),
+        F.array(F.when(k % 2 == 1, F.concat(F.lit("p"), k)).otherwise("none")).alias("paths"),
+    )
+    def side(x, keep):
+        e = x.cast("decimal(18,2)")
+        return lines.where(keep).select("change", "capability", "category", "paths", *[(e * dec(f)).cast("decimal(18,4)").alias(c) for c, f in zip(POINTS, ("0.5", 1, 2))])
+
+    base = side(cents(F.col("part"), 900), F.col("part") % 5 != 0)
+    head = side(F.when((F.col("part") % 4 == 0) & (F.col("part") % 5 != 0), cents(F.col("part"), 900)).otherwise(cents(F.col("supplier"), 1100)), F.col("supplier") % 6 != 0)
+    status = F.when(F.col("supplier") % 3 == 0, "modified").when(F.col("supplier") % 3 == 1, "added").otherwise("removed")
+    paths = lines.select("change", F.concat(F.lit("e"), "k").alias("evidence_id"), F.concat(F.lit("p"), "k").alias("path"), F.lit(None).cast("string").alias("previous_path"), status.alias("status"), (F.col("part") % 20).alias("regions"))
+    out = assembly.capability_deltas(base, head, paths, lines.where("part % 3 = 0"), ["change"])
+    return doubles(out.withColumn("evidence", F.array_join("evidence_ids", "+")).drop("evidence_ids", "category"), *POINTS)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, stats
 from ..sources import table
-from .registry import query
+from .registry import doubles, query
 
 PAIRS = """pairs AS (SELECT o_orderkey, c_mktsegment AS segment, CAST(o_totalprice AS DECIMAL(18,2)) AS reviewed, CAST(candidate AS DECIMAL(18,4)) AS candidate FROM orders
   JOIN (SELECT l_orderkey, sum(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4))) AS candidate FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey)"""
@@ -215,3 +215,33 @@ def monotonic_violations(spark, sf_dir):
     """Ordered buckets whose quantile falls below the one before."""
     q = stats.nearest_rank(table(spark, sf_dir, "part").select("p_size", "p_retailprice"), ["p_size"], "p_retailprice")
     return stats.monotonic_violations(q, "p_size", "quantile")
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_brand AS repo, p_type AS cat, p_size // 5 AS band, p_size % 3 AS eco, p_partkey % 2 AS cx FROM part),
+s AS (SELECT p_partkey, """ + ", ".join(f"""count(*) OVER ({w}) - count(*) OVER ({w}{', ' if w else 'PARTITION BY '}repo) AS o{i},
+  (SELECT count(DISTINCT x.repo) FROM r x WHERE x.repo <> r.repo{c}) AS q{i}""" for i, (w, c) in enumerate((("PARTITION BY cat, band, eco, cx", " AND x.cat = r.cat AND x.band = r.band AND x.eco = r.eco AND x.cx = r.cx"), ("PARTITION BY cat, band, eco", " AND x.cat = r.cat AND x.band = r.band AND x.eco = r.eco"), ("PARTITION BY cat, band", " AND x.cat = r.cat AND x.band = r.band"), ("PARTITION BY cat", " AND x.cat = r.cat"), ("", "")))) + """ FROM r),
+l AS (SELECT *, CASE WHEN o0 >= 3 AND q0 >= 2 THEN 0 WHEN o1 >= 3 AND q1 >= 2 THEN 1 WHEN o2 >= 3 AND q2 >= 2 THEN 2 WHEN o3 >= 3 AND q3 >= 2 THEN 3 ELSE 4 END AS level FROM s)
+SELECT p_partkey, level, ([o0, o1, o2, o3, o4])[level + 1] AS observations, ([q0, q1, q2, q3, q4])[level + 1] AS repositories, level < 4 OR o4 >= 3 AND q4 >= 2 AS sufficient FROM l
+""")
+def support_hierarchy(spark, sf_dir):
+    """The first of five levels with enough observations and repositories but one's own."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("repo"), F.col("p_type").alias("cat"), F.expr("p_size div 5").alias("band"), (F.col("p_size") % 3).alias("eco"), (F.col("p_partkey") % 2).alias("cx"))
+    levels = [["cat", "band", "eco", "cx"], ["cat", "band", "eco"], ["cat", "band"], ["cat"], []]
+    return stats.support_hierarchy(rows, "repo", levels).select("p_partkey", "level", "observations", "repositories", "sufficient")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)) AS e, CAST(l_quantity * l_linenumber % 13 AS DECIMAL(18,2)) AS a, CAST(l_quantity * 7 % 11 AS DECIMAL(18,2)) AS b, CAST(l_partkey % 60 AS DECIMAL(18,2)) AS said FROM lineitem), d AS (SELECT *, e - a AS low, e + b AS high FROM r)
+SELECT l_orderkey, l_linenumber, CASE WHEN said < low THEN 'candidate-too-high' WHEN said > high THEN 'candidate-too-low' ELSE 'covered' END AS status, CAST(greatest(low - said, said - high, 0) AS DOUBLE) AS miss, CAST(e - said AS DOUBLE) AS signed_error,
+  CAST(abs(b - a) AS DOUBLE) AS asymmetry, CASE WHEN a + b = 0 THEN 0 ELSE round(CAST(abs(b - a) AS DOUBLE) / CAST(a + b AS DOUBLE), 4) END AS relative_asymmetry, a = b AS symmetric FROM d
+""")
+def range_diagnostics(spark, sf_dir):
+    """How estimated ranges stand to what reviewers said: status, miss and asymmetry."""
+    two = lambda x: x.cast("decimal(18,2)")
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", two(q).alias("e"), two(q * n % 13).alias("a"), two(q * 7 % 11).alias("b"), two(F.col("l_partkey") % 60).alias("said"))
+    e, said = F.col("e"), F.col("said")
+    made = stats.range_diagnostic({"low": said, "expected": said, "high": said}, {"low": e - F.col("a"), "expected": e, "high": e + F.col("b")})
+    out = rows.select("l_orderkey", "l_linenumber", *[made[c].alias(c) for c in ("status", "miss", "signed_error", "asymmetry", "relative_asymmetry", "symmetric")])
+    return doubles(out, "miss", "signed_error", "asymmetry")

@@ -127,7 +127,7 @@ def days(spark, sf_dir):
 
 @query(f"""
 WITH d AS ({DAYS}), x AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY day) - 1)::DOUBLE AS x, hours::DOUBLE AS y FROM d)
-SELECT event_type, count(*) AS points, round(regr_slope(y, x), 6) AS slope, round(regr_r2(y, x), 6) AS r2, round((arg_max(y, x) - arg_min(y, x)) / nullif(arg_min(y, x), 0), 6) AS change FROM x GROUP BY 1
+SELECT event_type, count(*) AS points, round(regr_slope(y, x), 8) AS slope, round(regr_r2(y, x), 8) AS r2, round((arg_max(y, x) - arg_min(y, x)) / nullif(arg_min(y, x), 0), 6) AS change FROM x GROUP BY 1
 """)
 def trend_ols(spark, sf_dir):
     """Slope, fit and change of each series over its buckets."""
@@ -235,3 +235,36 @@ def normalization_summary(spark, sf_dir):
     """Gross hours and the share on paths that were touched more than once; null where nothing is gross."""
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("h"))
     return portfolio.normalization_summary(rows, "l_suppkey", "l_partkey", "h")
+
+
+ZONE, SINCE, UNTIL = "America/New_York", "1995-02-10 05:00:00", "2001-05-20 00:00:00"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE AS ts, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders),
+m AS (SELECT *, date_trunc('month', timezone('{ZONE}', timezone('UTC', ts))) AS month FROM o WHERE ts >= TIMESTAMP '{SINCE}' AND ts < TIMESTAMP '{UNTIL}'),
+b AS (SELECT *, timezone('UTC', timezone('{ZONE}', month::TIMESTAMP)) AS a, timezone('UTC', timezone('{ZONE}', (month + INTERVAL 1 MONTH)::TIMESTAMP)) AS z FROM m)
+SELECT strftime(month, '%Y-%m') AS bucket, greatest(a, TIMESTAMP '{SINCE}') AS since, least(z, TIMESTAMP '{UNTIL}') AS until, a < TIMESTAMP '{SINCE}' AS partial_start, z > TIMESTAMP '{UNTIL}' AS partial_end, count(*) AS items, CAST(sum(p) AS DOUBLE) AS hours
+FROM b GROUP BY ALL
+""")
+def zoned_months(spark, sf_dir):
+    """Months of a zone with its changing offsets, cut to a period; orders by the month that holds their instant."""
+    months = portfolio.calendar_partition(spark, SINCE, UNTIL, "month", ZONE)
+    ts = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(ts.cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    found = portfolio.bucket_join(rows, months, "ts")
+    return found.groupBy("bucket", "since", "until", "partial_start", "partial_end").agg(F.count("*").alias("items"), F.sum("p").cast("double").alias("hours"))
+
+
+@query("""
+WITH b AS (SELECT user_id, min(ts) AS since, max(ts) AS until FROM events GROUP BY 1), l AS (SELECT *, lag(until) OVER (ORDER BY since, user_id, until) AS before FROM b)
+SELECT user_id, since, until, 'gap' AS problem FROM l WHERE before <> since OR until <= since
+UNION ALL (SELECT *, 'start' FROM b ORDER BY since, user_id, until LIMIT 1)
+UNION ALL (SELECT *, 'end' FROM b WHERE (since, user_id, until) = (SELECT (since, user_id, until) FROM b ORDER BY since DESC, user_id DESC, until DESC LIMIT 1) AND until <> (SELECT max(ts) FROM events))
+""")
+def partition_faults(spark, sf_dir):
+    """Gaps and overlaps of buckets, and whether they begin and end where the period does."""
+    events = table(spark, sf_dir, "events")
+    buckets = events.groupBy("user_id").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
+    last = events.agg(F.max("ts")).first()[0]
+    return portfolio.partition_faults(buckets, F.lit("2024-01-01 00:00:00").cast(buckets.schema["since"].dataType), F.lit(last).cast(buckets.schema["until"].dataType))
