@@ -13,7 +13,12 @@ VERSION = "0.2.0"
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] = (), cache: DataFrame | None = None) -> DataFrame:
-    """Inspected and classified files under ``root``; unchanged ones come from ``cache``, a former scan."""
+    """Inspected and classified files under ``root``; unchanged ones come from ``cache``, a former scan.
+
+    A folder is walked by the pruning source, with its own rule files; other stores are listed by Spark.
+    """
+    if "://" not in root or root.startswith("file://"):
+        return files.scan_tree(spark, root.removeprefix("file://"), cache, list(ignore))
     found = files.tree(spark, root)
     return files.scan(found, list(ignore)) if cache is None else files.cached_scan(found, cache, list(ignore))
 

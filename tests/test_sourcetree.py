@@ -67,3 +67,9 @@ def test_cache_spares_unchanged_files(spark, tree):
     again = {r.path: r.sha256 for r in files.scan_tree(spark, str(tree), first).collect()}
     assert set(again) == KEPT - {"keep.log"} and again["a.py"] == digest["a.py"] and again["only"] != digest["only"]
     first.unpersist()
+
+
+def test_scan_verb_walks_folders(spark, tree):
+    from sparkgauge import api
+
+    assert {r.path for r in api.scan(spark, str(tree), ["*.py"]).collect()} == KEPT - {"a.py", "sub/build/z.py"}
