@@ -12,7 +12,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration by a reliable checkpoint in the session's folder."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkgauge-"))
     return df.checkpoint()

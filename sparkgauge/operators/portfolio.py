@@ -129,6 +129,11 @@ def partition_faults(buckets: DataFrame, since: Column, until: Column) -> DataFr
     return gap_check(buckets).withColumn("problem", F.lit("gap")).unionByName(start).unionByName(end)
 
 
+def cells_of(rows: DataFrame, columns: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every cell of a matrix that is asked for whole; the columns are broadcast only if a count shows that they are few."""
+    return rows.crossJoin(F.broadcast(columns) if columns.limit(most + 1).count() <= most else columns)
+
+
 def bucket_join(rows: DataFrame, buckets: DataFrame, ts: str, most: int = 10_000) -> DataFrame:
     """Interval join: each row with the half-open bucket that holds its time; rows of no bucket go.
 
@@ -178,7 +183,7 @@ def rolling_ratio(points: DataFrame, series: list[str], order: str, value: str,
 
 def matrix_gaps(cells: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Cells that a complete matrix lacks (missing) and cells outside it (unexpected)."""
-    full = rows.distinct().crossJoin(F.broadcast(columns.distinct()))  # the matrix itself is what is asked for
+    full = cells_of(rows.distinct(), columns.distinct())
     names = full.columns
     return full.exceptAll(cells.select(names).distinct()).withColumn("problem", F.lit("missing")).unionByName(cells.select(names).distinct().exceptAll(full).withColumn("problem", F.lit("unexpected")))
 
@@ -192,7 +197,7 @@ def contributor_summary(rows: DataFrame, contributor: str, kind: str) -> DataFra
     """Items of each contributor by kind, zero rows included, and their share of the contributor's."""
     g = rows.groupBy(contributor, kind).agg(F.count("*").alias("_n"))
     total = g.groupBy(contributor).agg(F.sum("_n").alias("_total"))
-    grid = total.crossJoin(F.broadcast(g.select(kind).distinct()))  # the kinds are few: the matrix is what is asked for
+    grid = cells_of(total, g.select(kind).distinct())
     items = F.coalesce("_n", F.lit(0)).cast("long")
     return grid.join(g, [contributor, kind], "left").select(contributor, kind, items.alias("items"), F.round(items / F.col("_total"), 6).alias("share"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import dec
 from ..functions.vocabulary import SHARED
 from .change import distribute
-from .portfolio import bucket_join, largest_remainder
+from .portfolio import bucket_join, cells_of, largest_remainder
 
 POINTS = ("low", "expected", "high")
 
@@ -125,7 +125,7 @@ def additive_series(items: DataFrame, buckets: DataFrame, allocations: DataFrame
     high_total_cents.  Buckets without items appear with zeros.
     """
     held = bucket_join(items, buckets, ts).groupBy("group", "bucket").agg(F.count("*").alias("items"), F.sum("expected_cents").alias("expected_cents"), F.sum("high_cents").alias("high_cents"))
-    grid = allocations.select("group").crossJoin(F.broadcast(buckets.select("bucket")))  # the series itself: a cell a group and bucket
+    grid = cells_of(allocations.select("group"), buckets.select("bucket"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     cells = grid.join(held, ["group", "bucket"], "left").select("group", "bucket", zero("items"), zero("expected_cents"), zero("high_cents"))
     dealt = range_allocation(cells, allocations, ["group"], "bucket")
@@ -148,7 +148,7 @@ def isolated_series(matches: DataFrame, buckets: DataFrame, contributors: DataFr
     matches: contributor, item, ts, low, expected, high.
     """
     sums = bucket_join(matches, buckets, ts).groupBy("contributor", "bucket").agg(F.count("*").alias("items"), *[F.sum(p).alias(p) for p in POINTS])
-    grid = contributors.select("contributor").distinct().crossJoin(F.broadcast(buckets.select("bucket")))
+    grid = cells_of(contributors.select("contributor").distinct(), buckets.select("bucket"))
     rows = grid.join(sums, ["contributor", "bucket"], "left")
     return rows.select("contributor", "bucket", F.coalesce("items", F.lit(0)).alias("items"), *[F.coalesce(p, dec(0)).alias(p) for p in POINTS])
 

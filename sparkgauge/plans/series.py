@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rounding import dec
-from ..operators import series
+from ..operators import portfolio, series
 from ..sources import table
 from .portfolios import VALUES, custom_buckets
 from .registry import cents, cents_sql, doubles, query
@@ -90,7 +90,7 @@ def head_groups(spark, sf_dir):
     """Changes by the set of heads that reach them, idle heads included."""
     reached = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 9).alias("repo"), F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("head")).distinct()
     modes = reached.select("head").distinct().union(spark.createDataFrame([("IDLE",)], "head string"))
-    heads = reached.select("repo").distinct().crossJoin(F.broadcast(modes))  # the handful of heads
+    heads = portfolio.cells_of(reached.select("repo").distinct(), modes)
     e = F.col("o_totalprice").cast("decimal(18,2)")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), *[e.alias(p) for p in POINTS])
     items = reached.select("repo", "item").distinct().join(orders, "item")
