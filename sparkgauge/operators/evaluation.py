@@ -67,6 +67,48 @@ def level_metrics(rows: DataFrame) -> DataFrame:
     return points.join(ranges.drop("n"), keys)
 
 
+#: Fixed value: what the digest of a change's final delta begins with.
+DELTA_IDENTITY = "change-final-delta/1.0.0"
+
+
+def delta_digest(base: Column, head: Column) -> Column:
+    """Digest of a change by the digests of the evidence before and after it."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\n", F.lit(DELTA_IDENTITY), base, head), 256))
+
+
+def record_candidates(records: DataFrame, candidates: DataFrame, partition: str, change: bool) -> DataFrame:
+    """Each record of a partition with its candidate: record, candidate, fault.
+
+    records: record, digest, profile, baseline, partition, change_id (null in a corpus of repositories);
+    candidates: candidate, digest, profile, baseline.  A record's fault is that it is of the other kind of corpus, that no candidate has
+    its key, or that more than one has; its candidate is null then.  Null keys match nothing.
+    """
+    key = ["digest", "profile", "baseline"]
+    offered = candidates.groupBy(*key).agg(F.count("*").alias("_n"), F.min("candidate").alias("_c"))
+    rows = records.where(F.col("partition") == partition).join(offered, key, "left")
+    fault = F.when(F.col("change_id").isNotNull() != change, "other-corpus").when(F.col("_n").isNull(), "no-candidate").when(F.col("_n") > 1, "many-candidates")
+    return rows.select("record", F.when(fault.isNull(), F.col("_c")).alias("candidate"), fault.alias("fault"))
+
+
+def corpus_evaluation(records: DataFrame, candidates: DataFrame, targets: DataFrame, references: DataFrame, items: DataFrame, partition: str, change: bool = False, strict: bool = True) -> DataFrame:
+    """Metrics at three levels of a corpus of repositories, or of changes, against candidates: level, slice and metrics.
+
+    targets and references are by record, items by candidate (one candidate may serve several records).  With ``strict`` any fault, or a
+    partition without records, is an error; else faulty records are left out.
+    """
+    found = record_candidates(records, candidates, partition, change)
+    if strict:
+        bad = found.where("fault is not null").select("record", "fault").orderBy("record").limit(5).collect()
+        if bad:
+            raise ValueError("candidates do not fit the corpus: " + ", ".join(f"{r.record} ({r.fault})" for r in bad))
+        if found.isEmpty():
+            raise ValueError(f"no records in {partition}")
+    sound = found.where("fault is null").select("record", "candidate")
+    own = items.join(sound, "candidate").drop("candidate")
+    kept = sound.select("record")
+    return level_metrics(observations(targets.join(kept, "record"), references.join(kept, "record"), own))
+
+
 def match_rates(targets: DataFrame, references: DataFrame, items: DataFrame, key: list[str] = ("record",)) -> DataFrame:
     """By record: targets, references and items, how many of them match, and targets complete but of another category."""
     rows = resolved_targets(targets, references, items)

@@ -26,11 +26,12 @@ def spread(e):
     return [(e * dec("0.8")).cast("decimal(18,2)").alias("low"), e.alias("expected"), (e * dec("1.2")).cast("decimal(18,2)").alias("high")]
 
 
-def records(spark, sf_dir):
-    """Targets, their references, and the estimated items of a hundred records."""
+def records(spark, sf_dir, record=None):
+    """Targets, their references, and the estimated items of a hundred records, or of those that ``record`` names."""
     orders = table(spark, sf_dir, "orders")
     e = F.col("o_totalprice").cast("decimal(18,2)")
-    targets = orders.select((F.col("o_custkey") % 100).alias("record"), F.col("o_orderkey").alias("target"), F.col("o_orderpriority").alias("category"), *spread(e))
+    record = F.col("o_custkey") % 100 if record is None else record
+    targets = orders.select(record.alias("record"), F.col("o_orderkey").alias("target"), F.col("o_orderpriority").alias("category"), *spread(e))
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "target").join(targets.select("record", "target", "category"), "target")
     item = F.concat_ws(":", "target", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("item")
     references = lines.select("record", "target", item)
@@ -64,6 +65,41 @@ def repository_evaluation(spark, sf_dir):
     return evaluation.repository_evaluation(targets, references, items, baseline).select("record", "targets", "covered", "baseline_covered")
 
 
+# Every customer is a change; some have no candidate of their baseline, some have two, some are no change.
+CHANGES = """x AS (SELECT c_custkey AS record, 'sha256:' || sha256('change-final-delta/1.0.0' || chr(10) || 'b' || c_custkey || chr(10) || 'h' || c_custkey) AS digest,
+  CASE WHEN c_custkey % 11 = 6 THEN 'other-corpus' WHEN c_custkey % 10 = 7 THEN 'no-candidate' WHEN c_custkey % 10 = 3 THEN 'many-candidates' END AS fault FROM customer WHERE c_custkey % 4 <> 0)"""
+
+
+def change_corpus(spark, sf_dir):
+    """Records of changes and the candidates for them, in two partitions."""
+    k = F.col("c_custkey")
+    people = table(spark, sf_dir, "customer")
+    digest = evaluation.delta_digest(F.concat(F.lit("b"), k), F.concat(F.lit("h"), k)).alias("digest")
+    profile = F.concat(F.lit("p"), k % 3).alias("profile")
+    corpus = people.select(k.alias("record"), digest, profile, F.lit("v1").alias("baseline"), F.when(k % 4 == 0, "held-out").otherwise("development").alias("partition"), F.when(k % 11 != 6, k).alias("change_id"))
+    offers = F.when(k % 10 == 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    candidates = people.select(k.alias("_k"), digest, profile, F.when(k % 10 == 7, "v0").otherwise("v1").alias("baseline"), F.explode(offers).alias("_o"))
+    return corpus, candidates.withColumn("candidate", F.concat("_o", "_k"))
+
+
+@query(f"WITH {CHANGES} SELECT record, digest, CASE WHEN fault IS NULL THEN 'a' || record END AS candidate, fault FROM x")
+def change_candidates(spark, sf_dir):
+    """Records of changes met with candidates by the digest of their final delta, profile and baseline."""
+    corpus, candidates = change_corpus(spark, sf_dir)
+    return evaluation.record_candidates(corpus, candidates, "development", True).join(corpus.select("record", "digest"), "record")
+
+
+@query(f"""WITH {RECORDS.replace("o_custkey % 100", "o_custkey")}, {CHANGES}, d AS (SELECT o.*, abs(ce - re) AS d FROM o JOIN x ON x.record = o.record AND x.fault IS NULL)
+SELECT level, slice, count(*) AS n, floor(CAST(sum(d) AS DOUBLE) / count(*) * 10000 + 0.5) / 10000 AS mae, round(CAST(sum(d) AS DOUBLE) / nullif(CAST(sum(re) AS DOUBLE), 0), 4) AS wape, round(CAST(sum(ce - re) AS DOUBLE) / nullif(CAST(sum(re) AS DOUBLE), 0), 4) AS bias FROM d GROUP BY 1, 2""")
+def change_evaluation(spark, sf_dir):
+    """Errors of change estimates at three levels, over the records of a partition that have one candidate."""
+    corpus, candidates = change_corpus(spark, sf_dir)
+    targets, references, items = records(spark, sf_dir, F.col("o_custkey"))
+    own = items.withColumn("candidate", F.concat(F.lit("a"), "record")).drop("record")
+    rows = evaluation.corpus_evaluation(corpus, candidates, targets, references, own, "development", change=True, strict=False)
+    return rows.select("level", "slice", "n", "mae", "wape", "bias")
+
+
 @query("""
 WITH a AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, c_nationkey FROM customer WHERE c_custkey % 9 <> 4)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left-only' WHEN a.k IS NULL THEN 'right-only' ELSE 'both' END AS match, orders FROM a FULL JOIN b ON a.k = b.k
