@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import csharp, evaluation, formatting, pythoncode, sqlcode
+from ..operators import csharp, evaluation, formatting, jscode, pythoncode, sqlcode
 from ..sources import table
 from .registry import query
 
@@ -205,3 +205,49 @@ def formatting_decisions(spark, sf_dir):
     after = F.when(k % 3 == 0, broken).when(k % 3 == 1, F.regexp_replace("text", r"Go\(\)", "Went()")).otherwise(F.concat("text", F.lit("\n")))
     changes = csharp_files(spark, sf_dir).select("doc_id", pick(("src/A.java", "src/a.cpp", "src/A.cs", "src/a.txt"), k).alias("path"), F.col("text").alias("before"), after.alias("after"))
     return formatting.formatting_only(changes, ["doc_id", "path"])
+
+
+# JavaScript: the body of a unit with its tokens, complexity and nesting as a callable's, and what it holds for the file; no semicolons but where needed.
+JS_UNITS = (
+    ("  if (a) b()\n  else if (c && d) e()\n", 17, 3, 2, dict(calls=2, branch_points=2)),
+    ("  const x = p ? `q${r ? 1 : 2}` : /if (x) {\\/}/g\n", 17, 2, 2, dict(branch_points=2)),
+    ("  for (const k of w) while (k) { k = z ?? 1 }\n", 18, 3, 2, dict(branch_points=2)),
+    ("  try { app.get('/x') } catch (e) { throw new Error(\"if (x)\") }\n", 21, 1, 1, dict(calls=1, endpoints=1, branch_points=1)),
+    ("  switch (v) { case 1: case 2: useState(0)\n  break\n  default: fetch('u') }\n", 23, 3, 1, dict(calls=2, state_usages=1, integration_calls=1, branch_points=3)),
+    ("  do { i++ } while (i < 3)\n  y()\n", 14, 1, 1, dict(calls=1, branch_points=1)),
+    ("  const g = async () => { if (h) return 1 }\n", 15, 0, 0, dict(functions=1, async_units=1, branch_points=1)),
+)
+JS_SUMS = ("functions", "async_units", "branch_points", "calls", "endpoints", "state_usages", "integration_calls")
+
+
+def js_files(spark, sf_dir):
+    """One module a document; one in seven does not end its last template."""
+    write = lambda i, a, b, c, comment: F.concat(F.lit("// "), comment, F.lit("\nexport function f"), i, F.lit("(a) {\n"), *[pick([x[0] for x in JS_UNITS], k) for k in (a, b, c)], F.lit("}\n"))
+    text = F.concat(F.lit("import q from 'react'\n"), unit_texts(write), F.when(F.col("m") % 7 == 3, "x = `y").otherwise(""))
+    return worded(spark, sf_dir).select("doc_id", "lang", F.lit("src/a.js").alias("path"), text.alias("text"))
+
+
+JS_SIZES = "(VALUES " + ", ".join(f"({k}, {u[1]}, {u[2]}, {u[3]})" for k, u in enumerate(JS_UNITS)) + ") u(k, tokens, complexity, nesting)"
+JS_CALLS = f"""calls AS (SELECT doc_id, lang, m, 'f' || i AS name, (7 + x.tokens + y.tokens + z.tokens)::INTEGER AS tokens, (1 + x.complexity + y.complexity + z.complexity)::INTEGER AS complexity, greatest(x.nesting, y.nesting, z.nesting)::INTEGER AS nesting
+  FROM units JOIN {JS_SIZES.replace(" u(", " x(")} ON x.k = a % 7 JOIN {JS_SIZES.replace(" u(", " y(")} ON y.k = b % 7 JOIN {JS_SIZES.replace(" u(", " z(")} ON z.k = c % 7)"""
+
+
+@query(f"""
+WITH {WORDS_SQL}, {JS_CALLS}
+SELECT doc_id, name, tokens, complexity, nesting, m % 7 <> 3 AS parsed FROM calls
+UNION ALL SELECT doc_id, 'g', 12, 2, 1, m % 7 <> 3 FROM (SELECT doc_id, m, unnest([a, b, c]) % 7 AS k FROM units) WHERE k = 6
+""")
+def js_callables(spark, sf_dir):
+    """Tokens, decision complexity and nesting of every function of JavaScript modules written from all documents."""
+    return jscode.callables(js_files(spark, sf_dir), ["doc_id"]).select("doc_id", "name", "tokens", "complexity", "nesting", "parsed")
+
+
+@query(f"""
+WITH {WORDS_SQL}, counts AS (
+  SELECT doc_id, {", ".join(f"sum(h.{c})::INTEGER AS {c}" for c in JS_SUMS)}
+  FROM (SELECT doc_id, unnest([a, b, c]) % 7 AS k FROM units) u JOIN {held_sql([(u[0], u[4]) for u in JS_UNITS], JS_SUMS)} ON h.k = u.k GROUP BY 1)
+SELECT s.doc_id, 1 AS imports, m::INTEGER AS exports, (coalesce(functions, 0) + m)::INTEGER AS functions, {", ".join(f"coalesce({c}, 0)::INTEGER AS {c}" for c in JS_SUMS[1:])}, CASE WHEN m % 7 = 3 THEN 'low' ELSE 'high' END AS confidence FROM sizes s LEFT JOIN counts c ON c.doc_id = s.doc_id
+""")
+def js_measures(spark, sf_dir):
+    """What JavaScript modules written from all documents hold."""
+    return jscode.analyzed(js_files(spark, sf_dir), ["doc_id"]).select("doc_id", "imports", "exports", *JS_SUMS, "confidence")
