@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rounding import dec
-from ..operators import evaluation, stats
+from ..operators import evaluation, stats, support
 from ..sources import table
 from .registry import doubles, query
 
@@ -294,3 +294,28 @@ def ood_nearest(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("repo"), F.col("c_mktsegment").alias("cat"), (F.col("c_custkey") % 4).alias("cx"))
     profiles = orders.join(people, "key").groupBy("key", "repo", "cat", "cx").agg(F.array_sort(F.collect_set("f")).alias("features"), (F.count("*") % 9).alias("size"))
     return stats.nearest_profile(profiles, "key", "repo", "features", "cat", "size", "cx").select("key", F.round("distance", 6).alias("distance"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS item, c_nationkey AS repo, c_mktsegment AS record, CASE WHEN c_custkey % 7 < 5 THEN 'K' || c_custkey % 2 ELSE 'OTHER' END AS cat, c_custkey % 4 AS cx, list_sort(list_distinct(list('s' || (o_orderkey % 3)))) AS eco, (count(*) % 9)::INTEGER AS size FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+p AS (SELECT *, CASE WHEN item % 5 = 0 THEN 'missing' ELSE 'available' END AS a1, CASE WHEN item % 5 = 0 THEN 0 ELSE item % 3 END AS b1, CASE WHEN item % 2 = 0 THEN 'missing' WHEN item % 11 = 0 THEN 'unknown' ELSE 'available' END AS a2, CASE WHEN item % 2 = 0 OR item % 11 = 0 THEN 0 ELSE size % 4 END AS b2 FROM c),
+g AS (SELECT repo, cat, size, cx, eco, a1, b1, a2, b2, count(*) AS n, min({'record': record, 'item': item}) AS f FROM p GROUP BY ALL),
+s AS (SELECT *, dense_rank() OVER (ORDER BY cat, size, cx, eco, a1, b1, a2, b2) AS sig FROM g),
+d AS (SELECT a.repo, a.sig, a.n, b.sig AS bsig, b.repo AS brepo, b.f AS bf,
+  round(((a.cat <> b.cat)::INTEGER + abs(a.size - b.size) / 8.0 + abs(a.cx - b.cx) / 3.0 + (1 - len(list_intersect(a.eco, b.eco))::DOUBLE / len(list_distinct(list_concat(a.eco, b.eco))))) / 4 + 1e-12, 6) AS st,
+  round((CASE WHEN a.a1 <> b.a1 THEN 1 WHEN a.a1 = 'available' THEN abs(a.b1 - b.b1) / 2.0 ELSE 0 END + CASE WHEN a.a2 <> b.a2 THEN 1 WHEN a.a2 = 'available' THEN abs(a.b2 - b.b2) / 3.0 ELSE 0 END) / 2 + 1e-12, 6) AS ft FROM s a JOIN s b ON a.repo <> b.repo),
+m AS (SELECT repo, sig, any_value(n) AS n, min({'score': round((4 * st + 2 * ft) / 6 + 1e-12, 6), 'repo': brepo, 'f': bf, 'st': st, 'ft': ft, 'sig': bsig}) AS x, coalesce(sum(1) FILTER (bsig = sig), 0) AS er FROM d GROUP BY 1, 2)
+SELECT m.repo, n AS observations, x.score AS score, x.st AS structural_distance, x.ft AS feature_distance, er::BIGINT AS exact_repositories, x.repo AS nearest_repo, x.f.record AS nearest_record, x.f.item AS nearest_item,
+  (SELECT sum(n) FROM s WHERE s.sig = x.sig AND s.repo <> m.repo)::BIGINT AS nearest_observations, (SELECT count(*) FROM s WHERE s.sig = x.sig AND s.repo <> m.repo) AS nearest_repositories FROM m
+""")
+def support_distance(spark, sf_dir):
+    """Profiles of work items against the nearest of another repository, by structure and features."""
+    k, size = F.col("item"), F.col("size")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").alias("repo"), F.col("c_mktsegment").alias("record"))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.collect_set(F.concat(F.lit("s"), F.col("o_orderkey") % 3)).alias("ecosystems"), (F.count("*") % 9).cast("int").alias("size"))
+    point = lambda state, bucket, most: F.struct(state.alias("availability"), F.when(state == "available", bucket).otherwise(0).cast("int").alias("bucket"), F.lit(most).alias("most"))
+    first = point(F.when(k % 5 == 0, "missing").otherwise("available"), k % 3, 2)
+    second = point(F.when(k % 2 == 0, "missing").when(k % 11 == 0, "unknown").otherwise("available"), size % 4, 3)
+    category = F.when(k % 7 < 5, F.concat(F.lit("K"), k % 2)).otherwise("OTHER")
+    rows = people.join(orders, "item").withColumns({"category": category, "complexity": k % 4, "features": F.array(first, second)})
+    return support.support_distance(rows).drop("profile", "exact_observations")
