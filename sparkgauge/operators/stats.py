@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _cut
+
 
 def half_up(x: Column, digits: int) -> Column:
     """A double that is not negative rounded with halves up, by the same steps in every engine."""
@@ -349,14 +351,27 @@ def nearest_vectors(asked: DataFrame, rows: DataFrame, digits: int = 6, block: i
 
 
 def residual_pareto(rows: DataFrame, group: list[str], key: str, error: str, threshold: float = 0.8) -> DataFrame:
-    """Errors by size: rank, share, cumulative share, and whether the shares before were below the threshold."""
-    w = Window.partitionBy(*group)
-    order = w.orderBy(F.desc("_size"), key)
-    rows = rows.withColumn("_size", F.abs(F.col(error).cast("decimal(18,4)")))
-    whole = F.nullif(F.sum("_size").over(w).cast("double"), F.lit(0.0))
-    upto = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-    out = rows.withColumns({"rank": F.row_number().over(order), "share": half_up(F.col("_size").cast("double") / whole, 6), "cumulative": half_up(upto / whole, 6), "_before": (upto - F.col("_size").cast("double")) / whole})
-    return out.withColumn("material", F.round("_before", 6) < threshold).drop("_size", "_before")
+    """Errors by size: rank, share, cumulative share, and whether the shares before were below the threshold.
+
+    Rows are ranged by group, size and key; a range adds what the ranges before it hold to sums of its own, so no task
+    reads a whole group.  Equal sizes go by key, rows without an error come last.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("_size"), F.asc(key)]
+    sized = rows.withColumn("_size", F.abs(F.col(error).cast("decimal(18,4)")))
+    ranged = _cut(sized.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    every = Window.partitionBy(*group)  # one row a range of a group
+    before = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_s"))
+    known = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_sum"), F.sum("_s").over(every).alias("_all"))
+    same = F.col("_part") == F.col("_of")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    w = Window.partitionBy(*group, "_part").orderBy(*order)
+    whole = F.nullif(F.col("_all").cast("double"), F.lit(0.0))
+    upto = (F.col("_sum") + F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).cast("double")
+    out = ranged.join(known, same).withColumns({"rank": (F.col("_rows") + F.row_number().over(w)), "share": half_up(F.col("_size").cast("double") / whole, 6), "cumulative": half_up(upto / whole, 6), "_before": (upto - F.col("_size").cast("double")) / whole})
+    return out.withColumn("material", F.round("_before", 6) < threshold).select(*rows.columns, "rank", "share", "cumulative", "material")
 
 
 def mutation_checks(cases: DataFrame, assertions: DataFrame) -> DataFrame:

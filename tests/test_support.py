@@ -62,3 +62,20 @@ def test_no_other_repository_and_no_rows(spark):
     got = support.support_distance(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 2 and all(r.score is None and r.nearest_repo is None and r.exact_observations == 0 for r in got)
     assert support.support_distance(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_residual_ranges_with_hot_group_ties_and_nulls(spark):
+    from sparkgauge.operators import stats
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.6 else rng.choice(["a", None]), i, rng.choice([0.0, 0.0, 5.0, -5.0, float(rng.randrange(-50, 50))])) for i in range(400)] + [("z", 1000, 0.0), ("hot", 1001, None)]
+    got = stats.residual_pareto(spark.createDataFrame(rows, "g string, k long, e double"), ["g"], "k", "e").collect()
+    assert len(got) == len(rows)
+    for g in ("hot", "a", None, "z"):
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, -abs(r[2] or 0), r[1]))
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.rank)
+        assert [(r.k, r.rank) for r in mine] == [(r[1], i + 1) for i, r in enumerate(want)]
+        total, upto = sum(abs(r[2] or 0) for r in want), 0
+        for m, r in zip(mine, want):
+            upto += abs(r[2] or 0)
+            assert m.cumulative is None if not total else abs(m.cumulative - upto / total) < 1e-6
