@@ -268,3 +268,26 @@ def partition_faults(spark, sf_dir):
     buckets = events.groupBy("user_id").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
     last = events.agg(F.max("ts")).first()[0]
     return portfolio.partition_faults(buckets, F.lit("2024-01-01 00:00:00").cast(buckets.schema["since"].dataType), F.lit(last).cast(buckets.schema["until"].dataType))
+
+
+@query("""
+WITH k AS (SELECT o_orderkey AS k, (o_orderkey // 40) % 5 AS repo, TIMESTAMP '1995-01-01' + to_minutes(CAST(o_orderkey % 600000 AS INTEGER)) AS ts, o_custkey AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 END AS b, o_orderkey % 7 = 0 AS merge FROM orders),
+c AS (SELECT c_custkey AS p FROM customer WHERE c_custkey % 4 <> 1),
+m AS (SELECT k.*, EXISTS (SELECT 1 FROM c WHERE p = a) AS da, EXISTS (SELECT 1 FROM c WHERE p = b) AS db FROM k WHERE ts < TIMESTAMP '1996-01-01'),
+s AS (SELECT *, lag(k) OVER (PARTITION BY repo, merge ORDER BY ts, k) AS before FROM m WHERE da OR db)
+SELECT repo, k, CASE WHEN da THEN 'direct-author' ELSE 'coauthor' END AS kind, da::INTEGER + db::INTEGER AS matched, merge AS excluded,
+  CASE WHEN merge THEN '' ELSE array_to_string(list_filter([CASE WHEN b IS NOT NULL THEN 'coauthored' END, CASE WHEN before <> k - 1 THEN 'previous-is-no-parent' END, CASE WHEN da AND db THEN 'many-contributors' END], lambda x: x IS NOT NULL), ',') END AS ambiguity FROM s
+""")
+def author_period(spark, sf_dir):
+    """Commits of listed people in a period, with what leaves their credit open and the merges left out."""
+    people = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("contributor"), F.concat(F.lit("P"), "c_custkey", F.lit("@x.org")).alias("alias"))
+    k, name = F.col("o_orderkey"), lambda n: F.lpad(n.cast("string"), 12, "0")
+    mail = lambda c: F.concat(F.lit("p"), c, F.lit("@x.org"))
+    other = F.struct(F.lit("other").alias("name"), mail(F.col("o_custkey") + 1).alias("email"))
+    made = table(spark, sf_dir, "orders").select(
+        F.expr("(o_orderkey div 40) % 5").alias("repo"), name(k).alias("object_id"), F.when(k % 7 == 0, F.array(name(k - 1), name(k - 9))).otherwise(F.array(name(k - 1))).alias("parents"),
+        F.lit("someone").alias("author_name"), mail(F.col("o_custkey")).alias("author_email"), F.timestamp_add("MINUTE", (k % 600_000).cast("int"), F.lit("1995-01-01").cast("timestamp")).alias("author_ts"),
+        F.when(k % 3 == 0, F.array(other)).otherwise(F.array().cast("array<struct<name:string,email:string>>")).alias("coauthors"),
+    )
+    rows = commits.author_period(made, people, "1995-01-01", "1996-01-01")
+    return rows.select("repo", F.col("object_id").cast("long").alias("k"), "kind", F.size("matches").alias("matched"), "excluded", F.array_join("ambiguity", ",").alias("ambiguity"))
