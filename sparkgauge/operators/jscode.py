@@ -27,12 +27,12 @@ from .reading import rows_of
 SCHEMA = "name string, line int, tokens int, complexity int, nesting int, parsed boolean"
 
 _SCAN = re.compile(
-    r"(?P<space>\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))"
+    r"[ \t]*(?:(?P<space>\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))"
     r"|(?P<text>\"(?:\\.|[^\"\\\n])*+\"?|'(?:\\.|[^'\\\n])*+'?)"
     r"|(?P<word>#?(?:[^\W\d]|\$)[\w$]*)"
     r"|(?P<number>\.?\d(?:\w|\.(?=\w)|(?<=[eE])[+-](?=\d))*)"
     r"|(?P<optional>\?(?=\s*[:),;\]]))"
-    r"|(?P<sign>>>>=|>>>|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|==|!=|<=|>=|\*\*|[-+*/%&|^]=|<<|.)",
+    r"|(?P<sign>>>>=|>>>|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|==|!=|<=|>=|\*\*|[-+*/%&|^]=|<<|.))",
     re.S,
 )
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*")
@@ -87,8 +87,8 @@ class Tokens:
         closed = broken = False
         while at < n:
             m = _SCAN.match(source, at)
-            kind, value, begin = m.lastgroup, m[0], at
-            at = m.end()
+            kind = m.lastgroup
+            value, begin, at = m[kind], m.start(kind), m.end()
             if kind == "space":
                 broken |= "\n" in value
                 if value.startswith("/*") and (len(value) < 4 or not value.endswith("*/")):
@@ -194,21 +194,26 @@ class Tokens:
 def with_line_ends(tokens: Tokens) -> tuple[list[str], list[str], list[int], set[int]]:
     """Texts, kinds, how many real tokens stand before each, and closing brackets of headers, with semicolons put in where line ends stand for them."""
     t, kind, real, headers, opened = [], [], [], set(), []
+    kinds, broken, closing = tokens.kind, tokens.broken, tokens.headers
     done: list[str] = []  # what stood before the bracket that closed last
     for i, x in enumerate(tokens.text):
-        if tokens.broken[i] and t and tokens.kind[i] != "v" and (not opened or opened[-1][0] in ("{", "h{")):
+        if broken[i] and t and (not opened or opened[-1][0] in ("{", "h{")):
             last, last_kind = t[-1], kind[-1]
             ends = last_kind in "nsrx" or last_kind == "w" and (last not in UNFINISHED or t[-2:-1] in (["."], ["?."])) or last in ("]", "++", "--", "`end") or last == ")" and len(t) - 1 not in headers or last == "}" and done[-1:] != ["do"]
-            starts = x not in CONTINUES or tokens.kind[i] != "p" and x not in ("in", "instanceof", "of", "as", "satisfies")
+            starts = x not in CONTINUES or kinds[i] != "p" and x not in ("in", "instanceof", "of", "as", "satisfies")
             if ends and starts and x not in ("catch", "finally") and not (x == "else" and last == "}") and not (x == "`"):
                 t.append(";"), kind.append("v"), real.append(i)
-        if x in OPEN and tokens.kind[i] == "p":
-            opened.append((x, t[-1] if t else ""))
-        elif x in CLOSE and tokens.kind[i] == "p" and opened:
-            done = [opened.pop()[1]]
-        if i in tokens.headers:
-            headers.add(len(t))
-        t.append(x if tokens.kind[i] not in "sr" else "''"), kind.append(tokens.kind[i]), real.append(i)
+        k = kinds[i]
+        if k == "p":
+            if x in OPEN:
+                opened.append((x, t[-1] if t else ""))
+            elif x in CLOSE and opened:
+                done = [opened.pop()[1]]
+            if i in closing:
+                headers.add(len(t))
+        t.append("''" if k == "s" or k == "r" else x)
+        kind.append(k)
+        real.append(i)
     return t, kind, [*real, len(tokens.text)], headers
 
 
