@@ -23,7 +23,9 @@ units AS (SELECT doc_id, lang, m, i, coalesce(len(w[20 * i + 1]), 0) AS a, coale
 def worded(spark, sf_dir):
     """doc_id, lang, the words of each document, and how many units of STEP words they make."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda x: x != "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("w"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # a file costs far more to read than to send, and a table of few row groups would leave most cores idle
+    rows = texts.repartition(4 * spark.sparkContext.defaultParallelism).select("doc_id", "lang", words.alias("w"))
     return rows.withColumn("m", F.expr(f"(size(w) + {STEP - 1}) div {STEP}").cast("int"))
 
 

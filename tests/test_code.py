@@ -3,6 +3,9 @@
 import pytest
 
 from sparkgauge.operators import csharp, pythoncode, sqlcode
+from sparkgauge.plans import code
+
+from .conftest import SMALL
 
 SOURCE = r'''
 #if DEBUG
@@ -158,3 +161,8 @@ def test_sql_roles(spark):
 
     got = counted.select("path", "want", sqlcode.role(F.col("path"), F.col("text"), F.col("is_test")).alias("role"))
     assert [(r.path, r.role, r.want) for r in got.collect() if r.role != r.want] == []
+
+
+def test_files_spread_over_all_cores(spark):
+    for files in (code.js_files, code.csharp_files, code.python_files, code.sql_files):
+        assert files(spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

@@ -113,3 +113,28 @@ def test_files_with_nulls(spark):
     assert sorted(map(str, rows)) == sorted(f"Row(id={i}, place=0, name='f', complexity=2)" for i in (1, None, 1))
     assert jscode.analyzed(files, ["id"]).where("functions = 1 and confidence = 'high'").count() == 3
     assert jscode.analyzed(files.limit(0), ["id"]).count() == jscode.callables(files.limit(0), ["id"]).count() == 0
+
+
+def many(n: int) -> str:
+    return "import q from 'react'\n" + "".join(f"// {i}\nexport function f{i}(a) {{\n  if (a) b()\n}}\n" for i in range(n))
+
+
+def test_equal_pieces_are_measured_once():
+    jscode.measured.cache_clear()
+    got = dict(zip(jscode.MEASURES, jscode.measures_of(many(500))[0]))
+    assert (got["imports"], got["exports"], got["functions"], got["branch_points"], got["calls"]) == (1, 500, 500, 500, 500)
+    assert jscode.measured.cache_info().misses <= 3
+    store = "import x from 'knex'\nexport function f() { insert() }\n"
+    assert dict(zip(jscode.MEASURES, jscode.measures_of(store)[0]))["data_calls"] == 1  # a family counts for the pieces behind it too
+
+
+def test_equal_pieces_are_read_once():
+    jscode.structured.cache_clear()
+    rows = jscode.callables_of(many(500))
+    assert [r[:2] for r in rows] == [(f"f{i}", 4 * i + 3) for i in range(500)] and {r[2:] for r in rows} == {(14, 2, 1, True)}
+    assert jscode.structured.cache_info().misses <= 3
+
+
+@pytest.mark.parametrize("source, want", [("const a = `\nexport function f() {}\n`\nfunction g() {}", [("g", 4)]), ("/*\nexport function f() {}\n*/function g() {}", [("g", 3)]), ("if (a)\nfunction g() {}\nclass C {\nm() {} }", [("g", 2), ("m", 4)]), ("do {}\nfunction g() {}", [("g", 2)])])
+def test_pieces_that_do_not_end(source, want):
+    assert [r[:2] for r in jscode.callables_of(source)] == want
