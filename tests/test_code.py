@@ -166,3 +166,22 @@ def test_sql_roles(spark):
 def test_files_spread_over_all_cores(spark):
     for files in (code.js_files, code.csharp_files, code.python_files, code.sql_files):
         assert files(spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_csharp_bodies_of_one_shape_are_measured_once():
+    source = "class C {\n" + "".join(f"  private void M{i}() {{ if (a{i} && b) {{ N{i}(); }} }}\n" for i in range(300)) + "}\n"
+    csharp.shaped.cache_clear()
+    assert {r[2:5] for r in csharp.callables_of(source)} == {(19, 3, 1)} and csharp.shaped.cache_info().misses == 1
+
+
+def test_python_lines_are_read_once():
+    pythoncode.kept_line.cache_clear()
+    got = dict(zip((*pythoncode.COUNTS, "confidence"), pythoncode.measures("a.py", "def f(a):\n    if a: g(a)\n" * 300 + 's = """\ndef f(a):\n"""\nx = [\nif_]\n')))
+    assert (got["functions"], got["branch_points"], got["calls"], got["confidence"]) == (300, 300, 600, "medium")
+    assert pythoncode.kept_line.cache_info().misses < 10
+
+
+def test_sql_lines_are_read_once():
+    sqlcode.kept_line.cache_clear()
+    got = dict(zip(sqlcode.COUNTS, sqlcode.semantics("SELECT a FROM t;\n" * 300 + "/*\nSELECT a FROM t;\n*/ SELECT '\nSELECT a FROM t;\n';\n")))
+    assert (got["statements"], got["queries"]) == (301, 301) and sqlcode.kept_line.cache_info().misses < 10
