@@ -43,42 +43,60 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """Largest colour that reaches each node along the edges."""
     while True:
-        offer = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
-        new = _cut(colour.join(offer, "node", "left").select("node", F.col("colour").alias("old"), F.greatest("colour", F.coalesce("offer", "colour")).alias("colour")))
+        offer = edges.join(colour.withColumnRenamed("node", "src").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
+        new = _cut(colour.join(offer.hint("merge"), "node", "left").select("node", F.col("colour").alias("old"), F.greatest("colour", F.coalesce("offer", "colour")).alias("colour")))
         if new.where("old <> colour").isEmpty():
             return new.select("node", "colour")
         colour = new.select("node", "colour")
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges without those of nodes that nothing enters or leaves, again and again: what is left lies on or between cycles."""
+    size = edges.count()
+    while size:
+        sources, targets = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = _cut(edges.join(sources.hint("merge"), "src", "left_semi").join(targets.hint("merge"), "dst", "left_semi").select("src", "dst"))
+        before, size = size, edges.count()
+        if size == before:
+            break
+    return edges
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) by forward colouring and backward search, round by round.
 
-    Each round colours nodes with the largest node that reaches them; a colour's owner and the
-    nodes of its colour that reach back to it are one component and leave the graph.
+    Nodes that nothing enters or leaves are components of their own and are peeled off first.  Each round
+    colours the rest with the largest node that reaches them; a colour's owner and the nodes of its
+    colour that reach back to it are one component and leave the graph.  Joins of a round are merged,
+    never broadcast, so no table of nodes passes through the driver.
     """
     e = _cut(edges.select("src", "dst").distinct())
-    nodes = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    done = None
-    while not nodes.isEmpty():
+    every = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    done, e = None, _peeled(e.where("src <> dst"))
+    while not e.isEmpty():
+        nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
         colour = _spread(e, nodes.select("node", F.col("node").alias("colour")))
         c_src, c_dst = colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))
-        inside = _cut(e.join(c_src, "src").join(c_dst, "dst").where("cs = cd").select("src", "dst"))
+        inside = _cut(e.join(c_src.hint("merge"), "src").join(c_dst.hint("merge"), "dst").where("cs = cd").select("src", "dst"))
         found = colour.where("node = colour").select("node", F.col("colour").alias("component"))
+        size = found.count()
         while True:  # backward from the owners within their colour
-            more = inside.join(found.select(F.col("node").alias("dst"), "component"), "dst").select(F.col("src").alias("node"), "component")
-            new = _cut(found.union(more).distinct())
-            if new.count() == found.count():
+            more = inside.join(found.select(F.col("node").alias("dst"), "component").hint("merge"), "dst").select(F.col("src").alias("node"), "component")
+            found = _cut(found.union(more).distinct())
+            before, size = size, found.count()
+            if size == before:
                 break
-            found = new
-        done = found if done is None else done.union(found)
-        done = _cut(done)
-        nodes = _cut(nodes.join(found, "node", "left_anti"))
-        e = _cut(e.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    return nodes.select("node", F.col("node").alias("component")) if done is None else done
+        done = _cut(found if done is None else done.union(found))
+        gone = lambda name: found.select(F.col("node").alias(name)).hint("merge")
+        e = _peeled(_cut(e.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst")))
+    alone = every if done is None else every.join(done.select("node").hint("merge"), "node", "left_anti")
+    alone = alone.select("node", F.col("node").alias("component"))
+    return alone if done is None else alone.union(done)
 
 
 def cyclic_sizes(edges: DataFrame) -> DataFrame:
     """Sizes of components that hold a cycle: two or more nodes, or a self loop; others have size 0."""
+    edges = _cut(edges.select("src", "dst").distinct())  # read twice
     comp = strong_components(edges)
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"))

@@ -121,6 +121,19 @@ def test_strong_components(spark):
     assert {r.component for r in graph.connected_components(e).collect()} == {1, 6}
 
 
+def test_chains_are_peeled_without_broadcasts(spark):
+    from sparkgauge.operators import graph
+
+    # a chain downwards, which once took a round a node, a cycle with a tail on either side, and a self loop
+    e = spark.createDataFrame([(i + 1, i) for i in range(20, 32)] + [(1, 2), (2, 3), (3, 1), (9, 1), (3, 8), (5, 5)], "src long, dst long")
+    spark.sparkContext.setJobGroup("peeled", "")
+    got = {r.node: (r.component, r.cyclic_size) for r in graph.cyclic_sizes(e).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: (3, 3) for i in (1, 2, 3)} | {5: (5, 1)} | {i: (i, 0) for i in (8, 9, *range(20, 33))}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("peeled"))
+    assert jobs < 200, jobs
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("g", i) for i in (1, 2, 3, 4)], "g string, v int")
     assert stats.nearest_rank(df, ["g"], "v").first()["quantile"] == 4
