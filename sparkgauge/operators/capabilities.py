@@ -4,12 +4,14 @@ Facts have repo, scope, id, kind, source_kind, measurements (array of name and v
 tags.  A fact contributes its measurements, and a count of itself, to families; a short table
 says which family and measure feed which driver of which rule, at the fact's scope or for the
 whole repository.  So all drivers of all rules come from one explode, one broadcast join with
-that table and one aggregation that is combined before its shuffle; coefficients and marginal
-tiers are tables as well, and a user's own replace the defaults.
+that table and one aggregation; coefficients and marginal tiers are tables as well, and a user's
+own replace the defaults.  Estimates send facts once to the place of their scope; only rules of
+whole repositories are combined before their shuffle.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,9 +96,16 @@ DEFAULTS = {
     "container-deployment": (15, "0.5", "0.05"), "packaging-release": (15, "0.5", "0.5"), "self-review": (16, "1", "0.25"),
     "gap-automated-tests": (7, "2", "0.25"), "gap-system-tests": (8, "2", "0.5"), "gap-documentation": (11, "2", "0.25"), "gap-ci": (13, "1", "0.25"),
 }
+SUMS_A_SPLIT = 64  # partitions of sums for each split of the facts
 LOW, HIGH, CONFIDENCE = "0.65", "1.6", "0.7"
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table held by the plan itself, so that reading it starts no Python worker."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows))))), schema)
+
+
 def driver_table(spark: SparkSession) -> DataFrame:
     """(family, measure, whole, rule, driver): what feeds what; ``whole``: for the whole repository."""
     rows = [
@@ -107,7 +116,7 @@ def driver_table(spark: SparkSession) -> DataFrame:
         for driver, measures in drivers.items()
         for measure in measures or (driver,)
     ]
-    return spark.createDataFrame(rows, "family string, measure string, whole boolean, rule string, driver string")
+    return fixed_table(spark, rows, "family string, measure string, whole boolean, rule string, driver string")
 
 
 def default_model(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -116,8 +125,8 @@ def default_model(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     tiers = [x for r, (_, _, rate) in DEFAULTS.items() for x in ((r, "0", "10", rate), (r, "10", None, str(float(rate) / 2)))]
     number = lambda df, *names: df.withColumns({n: df[n].cast("decimal(9,4)") for n in names})
     return (
-        number(spark.createDataFrame(rules, "rule string, category string, setup string, low_factor string, high_factor string, rule_confidence string"), "setup", "low_factor", "high_factor", "rule_confidence"),
-        number(spark.createDataFrame(tiers, "rule string, over string, upto string, rate string"), "over", "upto", "rate"),
+        number(fixed_table(spark, rules, "rule string, category string, setup string, low_factor string, high_factor string, rule_confidence string"), "setup", "low_factor", "high_factor", "rule_confidence"),
+        number(fixed_table(spark, tiers, "rule string, over string, upto string, rate string"), "over", "upto", "rate"),
     )
 
 
@@ -128,8 +137,8 @@ def test_type(tags: Column) -> Column:
 
 
 def runtime_surfaces(kind: Column, value) -> Column:
-    """Surfaces of one fact that can be run; ``value(name)`` is a measurement."""
-    of = lambda *names: F.greatest(sum((value(n) for n in names[1:]), value(names[0])), dec(1, "decimal(38,10)"))
+    """Surfaces of one fact that can be run; ``value(*names)`` is the sum of its measurements of those names."""
+    of = lambda *names: F.greatest(value(*names), dec(1, "decimal(38,10)"))
     return (
         F.when(kind.isin("entry-point", "background-work"), dec(1, "decimal(38,10)"))
         .when(kind == "api-surface", of("attributed-endpoints", "minimal-api-endpoints", "endpoints", "graphql-operations"))
@@ -138,47 +147,65 @@ def runtime_surfaces(kind: Column, value) -> Column:
     )
 
 
-def _families(kind: Column, tags: Column, ecosystem: Column) -> Column:
+MEASURES = "array<struct<name:string,value:decimal(38,10)>>"
+COUNTED = sorted({family for table in (SCOPED, REPOSITORY) for family, rules in table.items() if any(FACTS in m for drivers in rules.values() for m in drivers.values())})
+
+
+def _measured(facts: DataFrame) -> DataFrame:
+    """repo, scope, kind, id and tags of facts, their measurements, and what has to be looked for among those and the tags."""
+    kind, named = F.col("kind"), F.coalesce("measurements", F.array().cast(MEASURES))
+    if facts.schema["measurements"].dataType.simpleString() != MEASURES:
+        named = F.transform(named, lambda m: F.struct(m["name"].alias("name"), m["value"].alias("value"))).cast(MEASURES)
+    value = lambda *names: F.aggregate(named, dec(0, "decimal(38,10)"), lambda acc, m: F.when(m["name"].isin(*names), (acc + m["value"]).cast("decimal(38,10)")).otherwise(acc))
+    surfaces = F.when(kind.isin("entry-point", *SEMANTIC), (runtime_surfaces(kind, value) + value("runtime-surfaces")).cast("decimal(38,10)"))
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    technologies = F.when(kind == "integration", F.greatest(F.lit(1), F.size(F.filter(tags, lambda t: t.startswith("technology:")))))
+    return facts.select("repo", "scope", "kind", F.coalesce("id", F.lit("")).alias("id"), tags.alias("tags"), named.alias("named"), surfaces.alias("surfaces"), technologies.alias("technologies"))
+
+
+def _families() -> Column:
+    """Array of the families of a fact: name, measures, and for families that count kinds the kind as a bit; null where it is not of one."""
+    kind, tags, named = F.col("kind"), F.col("tags"), F.col("named")
+    items = lambda *rows: F.array(*[F.struct(F.lit(name).alias("name"), x.cast("decimal(38,10)").alias("value")) for name, x in rows]).cast(MEASURES)
+    one, technologies, runnable = (FACTS, F.lit(1)), (TECHNOLOGIES, F.col("technologies")), ("runnable", F.array_contains(tags, "scope:runnable").cast("int"))
+    own = (
+        F.when(kind.isin(*TESTS), F.concat(F.lit("tests:"), test_type(tags)))
+        .when(kind == "source-structure", F.concat(F.lit("source:"), F.when(F.substring_index("id", ":", 1).isin("dotnet", "javascript"), F.substring_index("id", ":", 1)).otherwise("other")))
+        .otherwise(kind)
+    )
+    beside = F.when(kind == "integration", F.concat(named, items(one, technologies))).when(kind == "production-scope", F.concat(named, items(one, runnable))).when(own.isin(*COUNTED), F.concat(named, items(one))).otherwise(named)
     production = kind.isin(*SCOPES) & ~F.array_contains(tags, "scope:test")
-    only = lambda condition, name: F.when(condition, name)
-    return F.array_compact(
-        F.array(
-            F.when(kind.isin(*TESTS), F.concat(F.lit("tests:"), test_type(tags)))
-            .when(kind == "source-structure", F.concat(F.lit("source:"), F.when(ecosystem.isin("dotnet", "javascript"), ecosystem).otherwise("other")))
-            .otherwise(kind),
-            only(kind.isin(*SCOPES), F.lit("scope")),
-            only(production, F.lit("production-scope")),
-            only((kind == "user-interface") & F.array_contains(tags, "ui-asset:maintained"), F.lit("user-interface:assets")),
-            only(F.arrays_overlap(tags, F.array(*map(F.lit, ("packable:declared-true", "package:cli-bin", "package:library-exports")))), F.lit("packable")),
-            only(kind.isin("entry-point", *SEMANTIC), F.lit("runtime")),
-        )
+    only = lambda condition, name, m, kinds=None: F.when(condition, F.struct(name.alias("family"), m.alias("m"), (F.lit(None).cast("long") if kinds is None else kinds).alias("kinds")))
+    # a kind counts once however many facts are of it, so it travels as a bit
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.array_position(F.array(*map(F.lit, SEMANTIC)), kind).cast("int"))
+    semantic, seen = kind.isin(*SEMANTIC), items((FACTS, F.lit(None)))
+    return F.array(
+        only(own.isNotNull(), own, beside),
+        only(kind.isin(*SCOPES), F.lit("scope"), F.concat(named, items(one))),
+        only(production, F.lit("production-scope"), F.concat(named, items(one, runnable))),
+        only((kind == "user-interface") & F.array_contains(tags, "ui-asset:maintained"), F.lit("user-interface:assets"), named),
+        only(F.arrays_overlap(tags, F.array(*map(F.lit, ("packable:declared-true", "package:cli-bin", "package:library-exports")))), F.lit("packable"), items(one)),
+        only(F.col("surfaces").isNotNull(), F.lit("runtime"), items(("runtime-surfaces", F.col("surfaces")))),
+        only(semantic, F.lit("presence"), seen, bit),
+        only(kind.isin("data-access", "integration", "security-configuration", "background-work"), F.lit("presence:specialized"), seen, bit),
+        only(semantic, F.lit("repository-presence"), seen, bit),
     )
 
 
+def drivers_at(facts: DataFrame, whole: bool) -> DataFrame:
+    """The drivers of the rules of single scopes, or of those of whole repositories: repo, scope, rule, driver, value."""
+    fits = REPOSITORY if whole else SCOPED
+    found = _measured(facts).select("repo", "scope", F.inline(_families())).where(F.col("family").isin(*fits))
+    rows = found.select("repo", "scope", "family", "kinds", F.inline("m")).withColumnRenamed("name", "measure")
+    fed = rows.join(F.broadcast(driver_table(facts.sparkSession).where(F.col("whole") == whole)), ["family", "measure"])  # a table of fixed size
+    keys = ["repo", *([] if whole else ["scope"]), "rule", "driver"]
+    total = F.coalesce(F.sum("value"), dec(0, "decimal(38,10)")) + F.coalesce(F.bit_count(F.bit_or("kinds")), F.lit(0))
+    return fed.groupBy(*keys).agg(total.cast("decimal(38,10)").alias("value")).where("value > 0").select("repo", F.lit(ROOT).alias("scope") if whole else "scope", "rule", "driver", "value")
+
+
 def drivers(facts: DataFrame) -> DataFrame:
     """(repo, scope, rule, driver, value): every driver of every rule, summed."""
-    kind, tags = F.col("kind"), F.coalesce("tags", F.array().cast("array<string>"))
-    named = F.coalesce("measurements", F.array().cast("array<struct<name:string,value:decimal(38,10)>>"))
-    value = lambda name: F.aggregate(F.filter(named, lambda m: m["name"] == name), dec(0, "decimal(38,10)"), lambda acc, m: (acc + m["value"]).cast("decimal(38,10)"))
-    item = lambda name, x: F.struct(F.lit(name).alias("name"), x.cast("decimal(38,10)").alias("value")).cast("struct<name:string,value:decimal(38,10)>")
-    own = F.array(
-        item(FACTS, F.lit(1)),
-        item(TECHNOLOGIES, F.greatest(F.lit(1), F.size(F.filter(tags, lambda t: t.startswith("technology:"))))),
-        item("runtime-surfaces", runtime_surfaces(kind, value)),
-        item("runnable", F.array_contains(tags, "scope:runnable").cast("int")),
-    )
-    plain = F.transform(named, lambda m: F.struct(m["name"].alias("name"), m["value"].alias("value"))).cast("array<struct<name:string,value:decimal(38,10)>>")
-    ecosystem = F.substring_index(F.coalesce("id", F.lit("")), ":", 1)
-    one = facts.select("repo", "scope", F.explode(_families(kind, tags, ecosystem)).alias("family"), F.concat(plain, own).alias("m"))
-    # presence counts kinds, not facts
-    seen = facts.where(kind.isin(*SEMANTIC)).select("repo", "scope", "kind").distinct()
-    present = seen.withColumn("family", F.explode(F.array_compact(F.array(F.lit("presence"), F.when(kind.isin("data-access", "integration", "security-configuration", "background-work"), F.lit("presence:specialized"))))))
-    anywhere = seen.select("repo", "kind").distinct().select("repo", F.lit(ROOT).alias("scope"), F.lit("repository-presence").alias("family"))
-    counted = present.select("repo", "scope", "family").unionByName(anywhere).withColumn("m", F.array(item(FACTS, F.lit(1))))
-    rows = one.unionByName(counted).select("repo", "scope", "family", F.inline("m")).withColumnRenamed("name", "measure")
-    fed = rows.join(F.broadcast(driver_table(facts.sparkSession)), ["family", "measure"])  # a table of fixed size
-    at = F.when(F.col("whole"), F.lit(ROOT)).otherwise(F.col("scope")).alias("scope")
-    return fed.groupBy("repo", at, "rule", "driver").agg(F.sum("value").cast("decimal(38,10)").alias("value")).where("value > 0")
+    return drivers_at(facts, False).unionByName(drivers_at(facts, True))
 
 
 def gaps(facts: DataFrame) -> DataFrame:
@@ -243,17 +270,21 @@ def capabilities(driven: DataFrame, model: tuple[DataFrame, DataFrame] | None =
     spark = driven.sparkSession
     rules, tiers = model or default_model(spark)
     limits = [(r, base, list(names), top) for r, (base, names, top) in COMPLEXITY.items()]
-    levels = spark.createDataFrame(limits, "rule string, base string, weighs array<string>, high_above int")
-    reach = F.least("value", F.coalesce("upto", "value")) - F.col("over")
-    hours = (F.greatest(reach, dec(0)).cast("decimal(18,4)") * F.col("rate")).cast("decimal(28,8)")
-    priced = driven.join(F.broadcast(tiers), "rule").groupBy("repo", "scope", "rule", "driver", "value").agg(F.sum(hours).alias("hours"))
-    priced = priced.join(F.broadcast(levels), "rule", "left").withColumn("weight", F.when(F.array_contains("weighs", F.col("driver")), F.col("value")).otherwise(dec(0)))
+    levels = fixed_table(spark, limits, "rule string, base string, weighs array<string>, high_above int")
+    reach = lambda t: F.least("value", F.coalesce(t["upto"], "value")) - t["over"]
+    hours = lambda t: (F.greatest(reach(t), dec(0)).cast("decimal(18,4)") * t["rate"]).cast("decimal(28,8)")
+    prices = tiers.groupBy("rule").agg(F.collect_list(F.struct("over", "upto", "rate")).alias("tiers")).join(F.broadcast(levels.select("rule", "weighs")), "rule", "left")
+    priced = driven.join(F.broadcast(prices), "rule").select(
+        "repo", "scope", "rule", "driver", "value",
+        F.aggregate("tiers", dec(0, "decimal(28,8)"), lambda acc, t: (acc + hours(t)).cast("decimal(28,8)")).alias("hours"),
+        F.when(F.array_contains("weighs", F.col("driver")), F.col("value")).otherwise(dec(0)).alias("weight"),
+    )
     of = lambda *names: F.sum(F.when(F.col("driver").isin(*names), F.col("value")))
     whole = priced.groupBy("repo", "scope", "rule").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("driver", F.col("value").cast("decimal(18,4)"))))).alias("drivers"),  # at most one a driver of the rule
         F.greatest(F.sum("value"), dec("0.01")).cast("decimal(18,4)").alias("quantity"),
         F.sum("hours").alias("hours"),
-        F.when(F.sum("weight") > F.first("high_above"), "high").otherwise(F.coalesce(F.first("base"), F.lit("moderate"))).alias("level"),
+        F.sum("weight").alias("weight"),
         of("methods", "functions").alias("methods"),
         of("branch-points").alias("branches"),
         of("async-methods", "async-functions", "async-units").alias("asyncs"),
@@ -261,10 +292,25 @@ def capabilities(driven: DataFrame, model: tuple[DataFrame, DataFrame] | None =
     from .facts import source_complexity
 
     zero = lambda c: F.coalesce(c, F.lit(0))
-    level = F.when(F.col("rule").endswith("source-backbone"), source_complexity(F.col("methods"), zero("branches"), zero("asyncs"))).otherwise(F.col("level"))
-    out = whole.withColumn("complexity", level).join(F.broadcast(rules), "rule")
+    known = rules.join(F.broadcast(levels.drop("weighs")), "rule", "left")
+    level = F.when(F.col("weight") > F.col("high_above"), "high").otherwise(F.coalesce("base", F.lit("moderate")))
+    level = F.when(F.col("rule").endswith("source-backbone"), source_complexity(F.col("methods"), zero("branches"), zero("asyncs"))).otherwise(level)
+    out = whole.join(F.broadcast(known), "rule").withColumn("complexity", level)
     factor = pricing.expected_hours(F.col("setup"), F.col("hours"), F.col("complexity"))
-    return out.withColumn("expected", factor).drop("level", "methods", "branches", "asyncs", "hours")
+    return out.withColumn("expected", factor).drop("weight", "base", "high_above", "methods", "branches", "asyncs", "hours")
+
+
+def by_scope(facts: DataFrame) -> DataFrame:
+    """Facts sent to the place of their scope, where they are summed, priced and met with its evidence without another shuffle.
+
+    Their number of partitions follows the splits of the input, since a short fact becomes many sums.
+    """
+    return facts.repartition(SUMS_A_SPLIT * max(1, facts.rdd.getNumPartitions()), "repo", "scope")
+
+
+def represented(facts: DataFrame, model: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Capabilities of all single scopes, and those of whole repositories, which are combined before their shuffle; no rule is of both kinds."""
+    return capabilities(drivers_at(by_scope(facts), False), model), capabilities(drivers_at(facts, True), model)
 
 
 def evidence_confidence(facts: DataFrame) -> DataFrame:
@@ -301,8 +347,10 @@ def work_items(found: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def estimate(facts: DataFrame, model: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """``items`` that the evidence represents, and ``gap``: items that a finished repository would have."""
-    sure = evidence_confidence(facts)
-    return {"items": work_items(capabilities(drivers(facts), model), sure), "gap": work_items(capabilities(gaps(facts), model), sure)}
+    scoped, whole = represented(facts, model)
+    at_root = evidence_confidence(facts.where(F.col("scope") == ROOT))
+    items = work_items(scoped, evidence_confidence(by_scope(facts))).unionByName(work_items(whole, at_root))
+    return {"items": items, "gap": work_items(capabilities(gaps(facts), model), at_root)}
 
 
 def totals(items: DataFrame, rate=None) -> DataFrame:

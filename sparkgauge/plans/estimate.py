@@ -189,8 +189,8 @@ def line_facts(spark, sf_dir):
 @query(f"WITH {ESTIMATE} SELECT repo, scope, rule, complexity, CAST(quantity AS DOUBLE) AS quantity, CAST(expected AS DOUBLE) AS expected FROM e")
 def estimate_capabilities(spark, sf_dir):
     """Facts to drivers to priced capabilities of all rules that they feed."""
-    driven = capabilities.drivers(line_facts(spark, sf_dir))
-    return doubles(capabilities.capabilities(driven).select("repo", "scope", "rule", "complexity", "quantity", "expected"), "quantity", "expected")
+    scoped, whole = capabilities.represented(line_facts(spark, sf_dir))
+    return doubles(scoped.unionByName(whole).select("repo", "scope", "rule", "complexity", "quantity", "expected"), "quantity", "expected")
 
 
 @query(f"""WITH {ESTIMATE}, p AS (SELECT *, greatest(1, CAST(ceil(expected / 6.0) AS BIGINT)) AS parts, CAST(expected * 4 AS BIGINT) AS units, CASE WHEN scope = '.' THEN 0.55 ELSE 0.6 END AS lf, CASE WHEN scope = '.' THEN 1.7 ELSE 1.65 END AS hf FROM e),

@@ -242,6 +242,19 @@ def test_estimate_grows_with_evidence(spark):
     assert got["a"] <= got["b"] == got["c"]
 
 
+def test_estimate_sums_scopes_in_one_place(spark):
+    """Facts are shuffled by scope once, no step sorts its groups, kinds count once, and no rule is both of a scope and of a repository."""
+    rules = lambda table: {r for rules in table.values() for r in rules}
+    assert not rules(capabilities.SCOPED) & rules(capabilities.REPOSITORY)
+    fact = lambda scope, kind, n: ("r", scope, "dotnet:a", kind, "observed", [("endpoints", Decimal(n)), ("runtime-surfaces", Decimal(3))], [])
+    facts = spark.createDataFrame([fact("s", "api-surface", 3), fact("s", "api-surface", 4), fact("s", "data-access", 1), fact("t", "api-surface", 0)], FACT)
+    got = {(r.scope, r.driver): float(r.value) for r in capabilities.drivers(facts).collect()}
+    assert got == {("s", "endpoints"): 7, ("t", "boundary-families"): 1, ("t", "runtime-surfaces"): 4, ("s", "boundary-families"): 2, ("s", "specialized-boundaries"): 1, ("s", "runtime-surfaces"): 16, (".", "semantic-families"): 2, (".", "specialized-boundaries"): 2}
+    scoped, _ = capabilities.represented(facts)
+    plan = scoped.drop("drivers")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(repo") == 1 and "SortAggregate" not in plan
+
+
 def test_no_window_over_a_whole_table(spark):
     """Ranks, gaps and digests over ranges and sorted batches: right results, and no task that takes all rows."""
     import contextlib
