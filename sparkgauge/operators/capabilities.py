@@ -96,7 +96,7 @@ DEFAULTS = {
     "container-deployment": (15, "0.5", "0.05"), "packaging-release": (15, "0.5", "0.5"), "self-review": (16, "1", "0.25"),
     "gap-automated-tests": (7, "2", "0.25"), "gap-system-tests": (8, "2", "0.5"), "gap-documentation": (11, "2", "0.25"), "gap-ci": (13, "1", "0.25"),
 }
-SUMS_A_SPLIT = 64  # partitions of sums for each split of the facts
+SUMS = 4  # partitions of sums for each of the session's shuffle partitions
 LOW, HIGH, CONFIDENCE = "0.65", "1.6", "0.7"
 
 
@@ -303,9 +303,9 @@ def capabilities(driven: DataFrame, model: tuple[DataFrame, DataFrame] | None =
 def by_scope(facts: DataFrame) -> DataFrame:
     """Facts sent to the place of their scope, where they are summed, priced and met with its evidence without another shuffle.
 
-    Their number of partitions follows the splits of the input, since a short fact becomes many sums.
+    A short fact becomes many sums, so they go to a stated number of partitions, which small ones do not lower.
     """
-    return facts.repartition(SUMS_A_SPLIT * max(1, facts.rdd.getNumPartitions()), "repo", "scope")
+    return facts.repartition(SUMS * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "repo", "scope")
 
 
 def represented(facts: DataFrame, model: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
