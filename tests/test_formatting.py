@@ -82,3 +82,26 @@ def test_pairs_as_rows(spark):
     changes = spark.createDataFrame(rows, "id int, path string, before string, after string")
     got = {r.id: r.formatting_only for r in formatting.formatting_only(changes, ["id"]).collect()}
     assert got == {**{i: i < len(SAME) for i in range(len(SAME + OTHER))}, -1: False, -2: True}
+
+
+@pytest.mark.parametrize("style", ["java", "cpp"])
+def test_easy_runs_are_read_at_once(style):
+    from dataclasses import replace
+
+    spec = formatting.STYLES[style]
+    run = "void f() { if (a && b) { x += 1.5e+3; } }\n" * 50
+    assert len(list(formatting.tokens(run, spec))) == 1
+    odd = ("x = u8\"a\" + 'b'; // c\n  y[1'0] <<= 2;\n", "#define A (\nint b;\n # if\n", "a / b /* c */ - d\\\n", "(]", "f(\"\"\"", "{ ( }", "/** d */ a->b\x0b(c)", "w" * 100 + "(1);")
+    for text in (run, *odd, *(run + x for x in odd)):
+        signed = []
+        for one in (spec, replace(spec, easy=None)):
+            try:
+                signed.append("\x1f".join(formatting.tokens(text, one)))
+            except formatting.Unfinished:
+                signed.append(None)
+        assert signed[0] == signed[1], text[-60:]
+
+
+def test_many_brackets():
+    for text, sound in (("(" * 50_000 + ")" * 50_000, True), ("([{" * 9_000 + "}])" * 9_000, True), ("()[]{}(" * 9_000, False), ("([)]", False), (")", False), ("", True)):
+        assert formatting.balanced(text) is sound
