@@ -6,12 +6,13 @@ grouped sums; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import dec, quarter
 from ..functions.vocabulary import CHANGE_HEAVY, CHANGE_LIGHT, SHARED
 from . import change as changes
+from .evaluation import once
 from .facts import tag_value
 
 #: Category by short name, in the order of the decision tree's results.
@@ -183,9 +184,10 @@ def reconciliation(normalized: DataFrame, components: DataFrame, touches: DataFr
     (hours of shared categories); touches: key, component, path; final_paths: key, path.
     """
     iso = components.groupBy(*key).agg(*[F.sum(p).alias(f"isolated_{p}") for p in ("low", "expected", "high", "shared")])
-    paths = touches.groupBy(*key, "path").agg(F.count("*").alias("_n"))
-    final = final_paths.select(*key, "path", F.lit(True).alias("_final")).distinct()
-    counted = paths.join(final, [*key, "path"], "left").groupBy(*key).agg(F.count_if(F.col("_n") > 1).alias("overlaps"), F.count_if(F.col("_final").isNull()).alias("reverted"))
+    at = [*key, "path"]
+    # a path's first two touches tell all; in order of its key no task holds a hash map of paths
+    paths = touches.repartition(*at).withColumn("_turn", F.row_number().over(Window.partitionBy(*at).orderBy("component"))).where("_turn <= 2")
+    counted = paths.join(once(final_paths.select(at), at).withColumn("_final", F.lit(True)), at, "left").groupBy(*key).agg(F.count_if(F.col("_turn") == 2).alias("overlaps"), F.count_if((F.col("_turn") == 1) & F.col("_final").isNull()).alias("reverted"))
     rows = normalized.join(iso, key).join(counted, key, "left")
     difference = F.col("expected") - F.col("isolated_expected")
     tolerance = F.greatest(dec(1, "decimal(18,2)"), F.round((F.col("isolated_expected") * dec("0.1")).cast("decimal(28,8)"), 2).cast("decimal(18,2)"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import dec
 from ..operators import assembly, change
+from ..operators.evaluation import once
 from ..sources import table
 from .registry import cents, cents_sql, doubles, query
 
@@ -182,8 +183,8 @@ def reconciled_orders(spark, sf_dir):
     sums = components.groupBy("change").agg(*[F.sum(p).alias(p) for p in (*POINTS, "shared")])
     normalized = sums.select("change", *[(F.col(p) * factor).cast("decimal(18,2)").alias(p) for p in POINTS], (F.col("shared") * dec("0.5")).cast("decimal(18,2)").alias("shared"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("component"), (F.col("l_partkey") % 50).alias("path"))
-    touches = lines.join(components.select("change", "component"), "component").select("change", "component", "path").distinct()
-    return assembly.reconciliation(normalized, components, touches, touches.where("path < 45").select("change", "path"), ["change"])
+    touches = lines.join(components.select("change", "component"), "component").select("change", "component", "path")
+    return assembly.reconciliation(normalized, components, once(touches, ["change", "path"]), touches.where("path < 45").select("change", "path"), ["change"])
 
 
 @query(f"""WITH {RECONCILED} SELECT change, CAST(ie AS DOUBLE) AS isolated_expected, CAST(ne AS DOUBLE) AS expected, "overlaps", reverted, CAST(excess AS DOUBLE) AS shared_excess, CAST(difference AS DOUBLE) AS difference, CAST(tolerance AS DOUBLE) AS tolerance,
