@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,6 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
         best = best.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("root", "component")).alias("component"))
         best = written(best, "labels")
+        discard(labels)
         if best.where("old <> component").isEmpty():
+            discard(links)
             return best.select("id", "component")
-        labels = best.select("id", "component")
+        labels = best

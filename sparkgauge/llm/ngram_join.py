@@ -17,10 +17,12 @@ The partition only decides the work.  Features that a bounded sample shows to be
 (boilerplate, passages, large groups of near copies) go to parts of their own at the end of
 the order, so ordinary sets never sign them.
 
-Equal sets are one class with one representative.  Sharing a signature with the smallest set
+Equal sets are one class with one representative.  Signatures meet in rounds, by remainder, so
+that a part of them is shuffled at once; only buckets of several classes are kept.  Sharing a signature with the smallest set
 of its bucket is tested first; then pairs that are in one bucket but not yet in one component.
-A parity bitmap of each set bounds the difference from below and is tested inside the join;
-pairs that remain are compared on the whole sets.  Only representatives take part; the result is
+A parity bitmap of each set bounds the difference from below and is tested inside the join, and of
+large sets a wider one, in proportion to the set, beside it;
+pairs that remain are compared on the whole sets.  Only representatives are paired; the result is
 one row a document with its component.  Hot buckets are never listed in pairs within one
 component, and skewed joins can be split.
 
@@ -32,6 +34,7 @@ id count as nodes of no component but the null one.  Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Recent, discard, sample_ids, text_slices, worker_state, written
+from .shared import Recent, discard, release, sample_ids, text_slices, worker_state, written
 
 WORDS = 5
 PERCENT = 80
@@ -52,6 +55,9 @@ COMMON_MOST = 1_000_000
 BITMAP_LONGS = 16
 FILTER_BITS = 1 << 24
 CACHE_WORDS = 100_000
+#: Signatures meet in a round for each so many documents, and in so many rounds at most.
+ROUND_DOCS = 32_768
+ROUNDS = 8
 #: Bands of smaller sets have one part a feature.
 SMALL = 32
 #: Bands from this size on enumerate subsets of SECOND parts.
@@ -86,13 +92,23 @@ def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def bitmap(features: np.ndarray) -> np.ndarray:
-    """Parity of the features at each of 64 * BITMAP_LONGS places."""
-    at = (features >> np.uint64(7)).astype(np.int64) & (64 * BITMAP_LONGS - 1)
-    odd = np.bincount(at, minlength=64 * BITMAP_LONGS) & 1
+def bitmap(features: np.ndarray, longs: int = BITMAP_LONGS) -> np.ndarray:
+    """Parity of the features at each of 64 * longs places."""
+    at = (features >> np.uint64(7)).astype(np.int64) & (64 * longs - 1)
+    odd = np.bincount(at, minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, longs: int = BITMAP_LONGS) -> np.ndarray:
+    """The narrower bitmap of the same set; both sizes are powers of two."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, longs), 0)
+
+
+def wide_bitmap(features: np.ndarray) -> np.ndarray:
+    """A bitmap of one to two places a feature, BITMAP_LONGS at least: a narrow one tells no large sets apart."""
+    return bitmap(features, max(BITMAP_LONGS, 1 << max(0, len(features).bit_length() - 6)))
+
+
 def parts(band: int) -> int:
     """Parts of a band's domain.
 
@@ -173,8 +189,11 @@ def common_features(source: DataFrame, n: int) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def signed(source: DataFrame, n: int, common: np.ndarray) -> DataFrame:
-    """One row a document: n_shingles, a digest of its set, and its bitmap and signatures."""
+def signed(source: DataFrame, n: int, common: np.ndarray, rounds: int) -> DataFrame:
+    """One row a document: n_shingles, a digest of its set, the class that begins it, and its bitmaps and signatures.
+
+    ``cold0`` and on hold the signatures of each round; ``wide`` is empty where ``bits`` are as wide.
+    """
     shared = source.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -182,50 +201,71 @@ def signed(source: DataFrame, n: int, common: np.ndarray) -> DataFrame:
             for start, texts in text_slices(batch.column(1)):
                 sets = shingle_sets(texts, n)
                 signs = [signatures(s, shared.value) if len(s) else (np.zeros(0, np.int64), np.zeros(0, bool)) for s in sets]
+                sign, late = (np.concatenate(x) for x in zip(*signs))
+                row = np.repeat(np.arange(len(sets)), [len(x) for x, _ in signs])
+                turn = np.where(late, rounds, (sign.view(np.uint64) % np.uint64(rounds)).astype(np.int64))
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                wide = [wide_bitmap(s) for s in sets]
                 made = [
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([bitmap(s) for s in sets], LONGS),
-                    pa.array([s[~late] for s, late in signs], LONGS),
-                    pa.array([s[late] for s, late in signs], LONGS),
+                    pa.array(digests, pa.binary()),
+                    pa.array(np.frombuffer(b"".join(digests), np.int64)[::2]),
+                    lists(np.concatenate([folded(w) for w in wide]), np.full(len(sets), BITMAP_LONGS)),
+                    pa.array([w.tobytes() if len(w) > BITMAP_LONGS else b"" for w in wide], pa.binary()),
+                    *[lists(sign[turn == r], np.bincount(row[turn == r], minlength=len(sets))) for r in (rounds, *range(rounds))],
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *made], ["doc_id", "n_shingles", "digest", "bits", "cold", "hot"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *made], names)
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bits array<long>, cold array<long>, hot array<long>")
+    kinds = {"doc_id": source.schema["doc_id"].dataType.simpleString(), "n_shingles": "long", "digest": "binary", "class": "long", "bits": "array<long>", "wide": "binary", "hot": "array<long>"}
+    kinds |= {f"cold{r}": "array<long>" for r in range(rounds)}
+    names = list(kinds)
+    return source.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
 
 
-LONGS = pa.list_(pa.int64())
+def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    """The values in turn as lists of these lengths."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], lengths.cumsum()]), pa.int32()), pa.array(values, pa.int64()))
 
 
-def compared(source: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar enough.
+def _place(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
 
-    Only texts of ids in pairs are cut into sets: a bit table of fixed size lets them through.
-    """
-    spark = source.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+
+def bit_table(ids: DataFrame) -> np.ndarray:
+    """A table of fixed size with a bit at the place of each id in the only column."""
     table = (
-        ends.select(place.alias("at"))
+        ids.select(_place(ids.columns[0]).alias("at"))
         .groupBy(F.expr("at div 64").alias("row"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
         .toPandas()
     )  # at most FILTER_BITS / 64 rows
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[table["row"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(bits.view(np.uint64))
+    return bits.view(np.uint64)
+
+
+def _hits(table: np.ndarray, places: pa.Array) -> np.ndarray:
+    """Whether the table has a bit at each place; none at null."""
+    at = places.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1) & (at >= 0)
+
+
+def compared(source: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are similar enough.
+
+    Only texts of ids in pairs are cut into sets: a bit table of fixed size lets them through.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(bit_table(pairs.select(F.explode(F.array("a", "b")))))
 
     def run(batches):
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            batch = batch.filter(pa.array(_hits(shared.value, batch.column(2))))
             for start, texts in text_slices(batch.column(1)):
                 sets = pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), sets], ["doc_id", "features"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    sets = source.where("doc_id is not null").select("doc_id", "text", place.alias("at")).mapInArrow(run, f"doc_id {kind}, features binary")
+    sets = source.where("doc_id is not null").select("doc_id", "text", _place("doc_id").alias("at")).mapInArrow(run, f"doc_id {kind}, features binary")
     sets = written(sets, "sets")
 
     def similar(frames):
@@ -254,20 +294,52 @@ def _plausible():
     return (least * 100 >= most * PERCENT) & (apart * 4 <= least)
 
 
-def links(source: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+def bucketed(rows: DataFrame, reps: DataFrame, rounds: int) -> DataFrame:
+    """Rows (sig, rep) of the signatures that several classes have, and of all hot ones."""
+    met = [rows.select(F.explode("hot").alias("sig"), "class").distinct()]
+    of_sig = Window.partitionBy("sig")
+    for r in range(rounds):
+        cold = rows.select(F.explode(f"cold{r}").alias("sig"), "class")
+        mixed = cold.withColumns({"low": F.min("class").over(of_sig), "high": F.max("class").over(of_sig)}).where("low <> high")
+        met.append(written(mixed.select("sig", "class").distinct(), "met"))
+        release(rows.sparkSession)
+    every = functools.reduce(DataFrame.unionByName, met)
+    out = written(every.join(reps.select("class", F.col("doc_id").alias("rep")), "class").select("sig", "rep"), "buckets")
+    for t in met[1:]:
+        discard(t)
+    return out
+
+
+def close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose wide bitmaps, folded to the narrower of both, allow the similarity asked for."""
+    of = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("wide").alias("w" + x))
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            keep = []
+            for na, x, nb, y in zip(pdf["na"], pdf["wa"], pdf["nb"], pdf["wb"]):
+                longs = min(len(x), len(y)) // 8
+                x, y = (folded(np.frombuffer(w, np.int64), longs) if longs else np.zeros(0, np.int64) for w in (x, y))
+                keep.append(4 * int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= min(na, nb))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(run, f"a {kind}, b {kind}")
+
+
+def links(source: DataFrame, buckets: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """Pairs of representatives that are similar enough; pairs already joined through others may be left out."""
-    cold = reps.select(F.explode("cold").alias("sig"), F.col("doc_id").alias("rep"))
-    alike = cold.withColumn("held", F.count("*").over(Window.partitionBy("sig"))).where("held > 1").drop("held")
-    hot = reps.select(F.explode("hot").alias("sig"), F.col("doc_id").alias("rep"))
-    buckets = written(alike.unionByName(hot), "buckets")
+    spark = source.sparkSession
     about = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits")
 
     of = lambda x: about.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("b" + x))
     centre = buckets.groupBy("sig").agg(F.min("rep").alias("a"))  # combined before the shuffle
     star = buckets.join(centre, "sig").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    near = written(star.join(of("a"), "a").join(of("b"), "b").where(_plausible()).select("a", "b"), "near")
+    near = written(close(star.join(of("a"), "a").join(of("b"), "b").where(_plausible()).select("a", "b"), reps), "near")
+    release(spark)
     found = compared(source, near, n)
     discard(near)
+    release(spark)
 
     # sizes and bitmaps go with the rows of mixed buckets only
     known = components(found)
@@ -277,7 +349,8 @@ def links(source: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     left = rows.select("sig", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = rows.select("sig", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     on = (left.sig == right.sig) & (F.col("ca") < F.col("cb")) & _plausible()
-    rest = written(left.join(right, on).select("a", "b").distinct(), "rest")
+    rest = written(close(left.join(right, on).select("a", "b").distinct(), reps), "rest")
+    release(spark)
     more = compared(source, rest, n)
     for t in (buckets, rows, rest):
         discard(t)
@@ -287,13 +360,17 @@ def links(source: DataFrame, reps: DataFrame, n: int) -> DataFrame:
 def join(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = written(signed(source, n, common_features(source, n)), "signed")
+    rounds = min(ROUNDS, 1 + source.count() // ROUND_DOCS)
+    rows = written(signed(source, n, common_features(source, n), rounds), "signed")
     filled = rows.where("n_shingles > 0 and doc_id is not null")
-    columns = ["doc_id", "n_shingles", "bits", "cold", "hot"]
+    columns = ["doc_id", "n_shingles", "class", "bits", "wide"]
     reps = written(filled.groupBy("digest").agg(F.min(F.struct(*columns)).alias("r")).select("digest", "r.*"), "reps")
     members = written(rows.select("doc_id", "n_shingles", "digest"), "members")
+    release(docs.sparkSession)
+    buckets = bucketed(filled, reps, rounds)
     discard(rows)
-    of = components(links(source, reps, n))
+    release(docs.sparkSession)
+    of = components(links(source, buckets, reps, n))
     classes = reps.select("digest", F.col("doc_id").alias("rep")).join(of.withColumnRenamed("id", "rep"), "rep", "left")
     classes = written(classes.select("digest", F.coalesce("component", "rep").alias("component")), "classes")
     discard(reps)

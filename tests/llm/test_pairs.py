@@ -118,6 +118,31 @@ def test_similar_large_sets_share_a_subset():
     assert not np.intersect1d(ngram_join.signatures(a, common)[0], ngram_join.signatures(other, common)[0]).size
 
 
+def test_join_in_rounds_matches_brute_force(spark, monkeypatch):
+    """Signatures that meet in eight rounds find what one round finds."""
+    monkeypatch.setattr(ngram_join, "ROUND_DOCS", 10)
+    docs, names = variants(), []
+    write = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: names.append(name) or write(df, name))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs) and names.count("met") == ngram_join.ROUNDS
+
+
+def test_wide_bitmaps_tell_large_sets_apart():
+    """Sets at the threshold pass in every size; large sets with a third of their features in common do not."""
+    rng = np.random.default_rng(8)
+    for n in (100, 1000, 2040, 5000, 20_000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        near = np.unique(np.concatenate([a, rng.integers(0, 2**63, len(a) // 4).astype(np.uint64)]))
+        far = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n - n // 2).astype(np.uint64)]))
+        for other, passes in ((near, True), (far, False)):
+            x, y = (ngram_join.wide_bitmap(s) for s in (a, other))
+            longs = min(len(x), len(y))
+            apart = int(np.bitwise_count((ngram_join.folded(x, longs) ^ ngram_join.folded(y, longs)).view(np.uint64)).sum())
+            assert (4 * apart <= min(len(a), len(other))) == passes
+        assert (ngram_join.folded(ngram_join.wide_bitmap(a)) == ngram_join.bitmap(a)).all()
+
+
 def test_rows_that_share_an_id(spark):
     rows = [(1, "a b c d e f", "x"), (1, "g h i j k l", "y"), (1, "g h i j k l", "x"), (2, "a b c d e f", "z"), (None, "m", "n"), (None, "m", "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, note string")
