@@ -265,25 +265,37 @@ def capability_deltas(base: DataFrame, head: DataFrame, paths: DataFrame, materi
     value.  More hours than before are marginal effort, priced as a modification where the capability
     was there or a file of it was; fewer are a removal if a path of it is touched; as many are a
     modification if a path is touched and the evidence differs.  Items: rule, verb, hours, evidence ids.
+
+    What has a path, and what is said of a capability, meets in groups in place of joins by more than the change, so that
+    inputs that come in partitions of the change are not shuffled again.
     """
     key = [*change, capability]
     points = ("category", "low", "expected", "high")
-    side = lambda df, p: df.select(*key, *[F.col(c).alias(f"_{p}_{c}") for c in points], F.lit(True).alias(f"_{p}"))
-    both = side(base, "b").join(side(head, "h"), key, "full_outer").withColumn("category", F.coalesce("_h_category", "_b_category"))
-    hours = lambda p, c: F.coalesce(f"_{p}_{c}", dec(0))
-    b, h = F.coalesce("_b", F.lit(False)), F.coalesce("_h", F.lit(False))
+    base, head, paths, material = (df.dropna(subset=change) for df in (base, head, paths, material))  # no change, no evidence
+    units, status = changes.logical_units(F.col("regions")), changes.status_factor(F.col("status"))
+    of_path = {"_u": units, "_s": status, "_m": F.col("status") == "modified"}
+    facts = paths.groupBy(*change, evidence).agg(*[F.max(c).alias(name) for name, c in of_path.items()])
+    sums = lambda p, ids: [F.sum("_u").alias(f"{p}_units"), F.max("_s").alias(f"{p}_status"), F.max("_m").alias(f"{p}_modified"), F.sort_array(F.collect_set(ids)).alias(f"{p}_ids")]
+    of_fact = Window.partitionBy(*change, evidence)
+    moved = paths.select(*change, F.col(evidence).alias("_id"), *[F.max(c).over(of_fact).alias(name) for name, c in of_path.items()], F.explode_outer(F.array("path", "previous_path")).alias("_path"))
+    held = lambda df: df.select(*change, F.explode_outer("paths").alias("_path"), F.struct(capability).alias("_of"))
+    at = held(base).unionByName(held(head)).unionByName(moved.select(*change, "_path", F.struct("_id", *of_path).alias("_f")), True).where("_path is not null")
+    met = at.groupBy(*change, "_path").agg(F.collect_set("_of").alias("_of"), F.collect_set("_f").alias("_f")).where("size(_of) > 0 and size(_f) > 0")
+    hit = met.select(*change, F.explode("_of").alias("_of"), "_f").select(*change, f"_of.{capability}", F.explode("_f").alias("_f")).select(*key, "_f.*")
+    hit = hit.where("_id is not null").groupBy(*key, "_id").agg(*[F.max(c).alias(c) for c in of_path])
+
+    # keys that are null meet nothing
+    side = lambda df, p: df.select(*key, F.when(F.col(capability).isNull(), p).alias("_alone"), F.struct(*points).alias(p))
+    every = side(base, "_b").unionByName(side(head, "_h"), True).unionByName(material.select(*key, F.lit(True).alias("_material")), True).unionByName(hit, True)
+    both = every.groupBy(*key, "_alone").agg(F.collect_list("_b").alias("_bs"), F.collect_list("_h").alias("_hs"), F.max("_material").alias("_material"), *sums("_t", "_id"))
+    both = both.where("size(_bs) > 0 or size(_hs) > 0").withColumn("_b", F.explode_outer("_bs")).withColumn("_h", F.explode_outer("_hs"))
+    both = both.withColumn("category", F.coalesce("_h.category", "_b.category")).drop("_bs", "_hs", "_alone")
+    hours = lambda p, c: F.coalesce(f"_{p}.{c}", dec(0))
+    b, h = F.col("_b").isNotNull(), F.col("_h").isNotNull()
     both = both.where(~F.col("category").isin(*NO_DELTA) & (~F.col("category").isin(*ONCE_DELTA) | ~b | ~h))
+    rows = both.join(facts.groupBy(*change).agg(*sums("_c", evidence)), change, "left")
 
-    units, status = changes.logical_units(F.col("regions")), changes.status_factor(F.col("status"))
-    facts = paths.groupBy(*change, evidence).agg(F.max(units).alias("_u"), F.max(status).alias("_s"), F.bool_or(F.col("status") == "modified").alias("_m"))
-    sums = lambda p: [F.sum("_u").alias(f"{p}_units"), F.max("_s").alias(f"{p}_status"), F.bool_or("_m").alias(f"{p}_modified"), F.sort_array(F.collect_set(evidence)).alias(f"{p}_ids")]
-    held = base.select(*key, F.explode("paths").alias("_path")).union(head.select(*key, F.explode("paths").alias("_path"))).distinct()
-    moved = paths.select(*change, evidence, F.explode(F.array_compact(F.array("path", "previous_path"))).alias("_path")).distinct()
-    hit = held.join(moved, [*change, "_path"]).select(*key, evidence).distinct().join(facts, [*change, evidence])
-    rows = both.join(hit.groupBy(*key).agg(*sums("_t")), key, "left").join(facts.groupBy(*change).agg(*sums("_c")), change, "left")
-    rows = rows.join(material.select(*key, F.lit(True).alias("_material")).distinct(), key, "left")
-
-    touched = F.col("_t_ids").isNotNull()
+    touched = F.size("_t_ids") > 0
     of = lambda name: F.when(touched, F.col(f"_t_{name}")).otherwise(F.col(f"_c_{name}"))
     delta = hours("h", "expected") - hours("b", "expected")
     rule = (

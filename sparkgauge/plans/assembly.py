@@ -243,7 +243,10 @@ SELECT change, 'k' || k AS capability, rule, CASE WHEN price = 'r' THEN 'Remove
 def capability_delta_rules(spark, sf_dir):
     """Items of capabilities in two snapshots by rule: marginal, removal, modification, over all lines of all orders."""
     k, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    once = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    # lines go once to the partition of their change; what is asked of them stays one array, so that all readings share that exchange
+    dealt = table(spark, sf_dir, "lineitem").where("l_orderkey is not null").select("l_orderkey", F.array(k.cast("long"), part, supplier).alias("_line")).repartition("l_orderkey")
+    of_line = lambda i: F.get("_line", F.lit(i))
+    once = dealt.groupBy("l_orderkey", of_line(0).alias("l_linenumber")).agg(F.min(of_line(1)).alias("l_partkey"), F.min(of_line(2)).alias("l_suppkey"))
     lines = once.select(
         F.col("l_orderkey").alias("change"), F.concat(F.lit("k"), k).alias("capability"), F.element_at(F.array(*map(F.lit, DELTA_CATEGORIES)), k.cast("int")).alias("category"), k.alias("k"), part.alias("part"), supplier.alias("supplier"),
         F.array(F.when(k % 2 == 1, F.concat(F.lit("p"), k)).otherwise("none")).alias("paths"),

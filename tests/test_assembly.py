@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sparkgauge import api
+from sparkgauge import api, plans
 from sparkgauge.operators import analyzers, assembly, capabilities, change, classify, evaluation, facts, portfolio, reports, series, stats
 from sparkgauge.sources import coverage, documents, files, snapshots
 
@@ -240,3 +240,23 @@ def test_edit_regions_read_batches_and_null_texts(spark):
     out = change.edit_regions(df.select("k", F.col("a").alias("t")), df.select("k", F.col("b").alias("t")), "k", "t")
     assert {r.k: r.regions for r in out.collect()} == {1: 1, 2: 1}
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_capability_deltas_are_dealt_once(spark):
+    """Lines go once to the partition of their change; no step behind that asks for another exchange."""
+    plan = plans.QUERIES["capability_delta_rules"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_capability_deltas_of_odd_keys(spark):
+    """Null capabilities meet nothing, rows of one key meet each other, rows without a change go."""
+    kind = "change string, capability string, category string, low decimal(18,4), expected decimal(18,4), high decimal(18,4), paths array<string>"
+    row = lambda change, capability, hours, *paths: (change, capability, "production-implementation", Decimal(hours), Decimal(hours), Decimal(hours), list(paths))
+    base = spark.createDataFrame([row("c", None, 1, "a"), row("c", "k", 1, "a"), row("c", "k", 2, "b"), row(None, "k", 1, "a")], kind)
+    head = spark.createDataFrame([row("c", None, 3, "a"), row("c", "k", 5, "a"), row(None, "k", 9, "a")], kind)
+    paths = spark.createDataFrame([("c", "e1", "a", None, "added", 2), ("c", "e1", "z", "b", "added", 9), ("c", None, "a", None, "added", 9), (None, "e1", "a", None, "added", 2)], "change string, evidence_id string, path string, previous_path string, status string, regions int")
+    material = spark.createDataFrame([("c", "k")], "change string, capability string")
+    out = assembly.capability_deltas(base, head, paths, material, ["change"]).collect()
+    assert sorted((str(r.capability), r.rule, r.verb, r.evidence_ids) for r in out) == [
+        ("None", "capability-marginal", "Add", ["e1"]), ("k", "capability-marginal", "Expand", ["e1"]), ("k", "capability-marginal", "Expand", ["e1"])
+    ]
