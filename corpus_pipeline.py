@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.llm import ngram_join, packing, secret_scan, toxicity
 from sparkgauge.llm.queries import table, word_bpe
-from sparkgauge.llm.shared import written
+from sparkgauge.llm.shared import discard, release, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "written_to"):
+            discard(before)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

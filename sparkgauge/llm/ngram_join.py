@@ -58,6 +58,8 @@ CACHE_WORDS = 100_000
 #: Signatures meet in a round for each so many documents, and in so many rounds at most.
 ROUND_DOCS = 32_768
 ROUNDS = 8
+#: Whole rows pass the bit table so many at a time.
+PASS_ROWS = 256
 #: Bands of smaller sets have one part a feature.
 SMALL = 32
 #: Bands from this size on enumerate subsets of SECOND parts.
@@ -382,12 +384,27 @@ def keep_one(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col:
     """The rows of ``docs`` that stay: of each component the one with the smallest id.
 
     Of rows that share an id the one stays whose text has the smallest digest, then the smallest
-    of the rows as JSON; rows without an id all stay.  Only rows of repeated ids are sorted; whole
-    texts travel only where Spark has to shuffle for the anti-join.
+    of the rows as JSON; rows without an id all stay.  Only rows of repeated ids are sorted.  A bit table of fixed size
+    lets all rows pass whose ids neither go nor repeat; whole texts of the others travel only where Spark has to
+    shuffle for the anti-join.
     """
-    gone = join(docs, n, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(written(gone, "gone"), id_col, "left_anti")  # rows without an id match nothing
+    gone = written(join(docs, n, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     repeated = written(docs.groupBy(id_col).agg(F.count("*").alias("_n")).where(F.col(id_col).isNotNull() & (F.col("_n") > 1)).select(id_col), "repeated")
+    release(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(gone.union(repeated)))
+    placed = docs.select("*", _place(id_col).alias("_at")).withColumn("_at", F.when(F.col(id_col).isNotNull(), F.col("_at")))
+
+    def passed(hit: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                last = batch.num_columns - 1
+                for at in range(0, len(batch), PASS_ROWS):  # a small copy at a time, here and in the JVM
+                    some = batch.slice(at, PASS_ROWS)
+                    yield some.select(list(range(last))).filter(pa.array(_hits(shared.value, some.column(last)) == hit))
+
+        return placed.mapInArrow(run, docs.schema)
+
+    kept = passed(True).join(gone, id_col, "left_anti")
     order = Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
     several = kept.join(repeated, id_col, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(several.select(docs.columns))
+    return passed(False).unionByName(kept.join(repeated, id_col, "left_anti").select(docs.columns)).unionByName(several.select(docs.columns))

@@ -1,5 +1,7 @@
 """N-gram join, searches and the pipeline against brute force."""
 
+import re
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,6 +120,15 @@ def test_similar_large_sets_share_a_subset():
     assert not np.intersect1d(ngram_join.signatures(a, common)[0], ngram_join.signatures(other, common)[0]).size
 
 
+def test_keep_one_shuffles_no_texts_that_stay(spark):
+    """Rows whose ids neither go nor repeat pass a bit table, not the exchange of an anti-join."""
+    docs = [(i, f"w{i} " * 3 + " ".join(f"v{i}x{j}" for j in range(20))) for i in range(40)]
+    df = spark.createDataFrame([*docs, (90, docs[3][1]), (91, docs[3][1]), (5, docs[5][1]), (None, docs[3][1])], "doc_id long, text string")
+    kept = ngram_join.keep_one(df)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in range(40)] + ["None"])
+    assert re.search(r"Union\n\W*MapInArrow", kept._jdf.queryExecution().sparkPlan().toString())
+
+
 def test_join_in_rounds_matches_brute_force(spark, monkeypatch):
     """Signatures that meet in eight rounds find what one round finds."""
     monkeypatch.setattr(ngram_join, "ROUND_DOCS", 10)
